@@ -8,6 +8,7 @@ from .common import table
 from .pseudonyms import pseudonymize
 from .secret_scan import scan_secrets
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,13 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_pseudonyms, op6_simhash_near_dedup, op8_secret_scan)}
+QUERIES = {f.__name__: f for f in (op2_feistel_pseudonyms, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
