@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def scratch(spark: SparkSession) -> str:
@@ -63,18 +65,19 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, names: list[str]) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
     """``mapInArrow`` of a row function: ``make()`` is called once a task and gives it.
 
     The function gets one value of each column of ``df`` and returns one value of each
-    name of ``names``.
+    field of ``schema``.
     """
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches):
         function = make()
         for part in slices(batches):
             rows = [function(*values) for values in zip(*(c.to_pylist() for c in part.columns), strict=True)]
             if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+                yield pa.RecordBatch.from_pydict(dict(zip(arrow.names, map(list, zip(*rows, strict=True)), strict=True)), schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .common import table
+from .decontaminate import contaminated
+from .mixing import mix
 from .pseudonyms import pseudonymize
 from .secret_scan import scan_secrets
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
+from .toxicity import fit, score_toxicity
+
+
+#: Target weights: the larger the number in a source's name, the smaller its share.
+WEIGHTS = {f"src{i}": 1.0 / (1 + i % 5) for i in range(20)}
+
+
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +28,11 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, slot and position; the text stays where it is."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), WEIGHTS)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,5 +45,26 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_feistel_pseudonyms, op6_simhash_near_dedup, op7_suffix_array_dedup, op8_secret_scan)}
+def op9_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_weak_label_quality,
+        op2_feistel_pseudonyms,
+        op4_pfair_mixing,
+        op6_simhash_near_dedup,
+        op7_suffix_array_dedup,
+        op8_secret_scan,
+        op9_compression_toxicity,
+        op10_spaced_seed_decontamination,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

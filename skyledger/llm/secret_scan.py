@@ -102,6 +102,5 @@ def scan_secrets(docs: DataFrame, *, vocabulary: str = VOCABULARY, chars_per_tok
 
         return one
 
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
-    return map_rows(docs_only(docs, "doc_id", "text"), make, schema, names)
+    return map_rows(docs_only(docs, "doc_id", "text"), make, schema)

@@ -55,7 +55,7 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, *, words: int = 3) -> DataFrame:
     """``doc_id, fp``: the fingerprint as a signed 64-bit integer."""
-    return map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, signed(fingerprint(text, words))), "doc_id long, fp long", ["doc_id", "fp"])
+    return map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, signed(fingerprint(text, words))), "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, *, distance: int = DISTANCE) -> DataFrame:

@@ -36,10 +36,11 @@ from .common import docs_only, map_rows
 
 FOLDS = 5
 WINDOW = 120
+#: Bytes that a chance match may save in a window.
 MARGIN = 1
 WORD = re.compile(r"[^\W\d_]+")
 #: Compression made to find short matches in short windows.
-_PARAMETERS = {"window_log": 14, "hash_log": 12, "chain_log": 12, "search_log": 5, "min_match": 4, "target_length": 32, "strategy": zstandard.STRATEGY_BTLAZY2}
+_PARAMETERS = {"window_log": 14, "hash_log": 13, "chain_log": 13, "search_log": 1, "min_match": 4, "target_length": 1, "strategy": zstandard.STRATEGY_FAST}
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -128,7 +129,10 @@ def contrast(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, b
     # The most typical segments stand last, nearest to the window.
     base = " ".join(w for w, _ in Counter(w for t in ordinary for w in set(WORD.findall(t.lower()))).most_common(200))[: size // 2]
     halves = ["".join(reversed(pick(ranked))), "".join(reversed(pick(((z, s) for z, s in reversed(ranked)), 8.0)))]
-    return tuple((base + half).encode() for half in halves)
+    # Equal sizes put the base at equal distances, so its matches cost the same on either side.
+    halves = [half.encode() for half in halves]
+    longest = max(map(len, halves))
+    return tuple(base.encode() + b"\n" * (longest - len(half)) + half for half in halves)
 
 
 class Model:
@@ -207,4 +211,4 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
     picked = docs_only(docs, "doc_id", "text")
     picked = picked.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"), "text")
-    return map_rows(picked, make, "doc_id long, held_out boolean, score double, predicted int", ["doc_id", "held_out", "score", "predicted"])
+    return map_rows(picked, make, "doc_id long, held_out boolean, score double, predicted int")
