@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
-from .common import table
+from . import chroma, licences, quality
+from .common import map_rows, table
 from .decontaminate import contaminated
 from .mixing import mix
 from .pseudonyms import pseudonymize
@@ -28,11 +29,28 @@ def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(licences.document_files(table(spark, sf_dir, "documents")))
+
+
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's block, slot and position; the text stays where it is."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), WEIGHTS)
 
 
+#: Samples that a query clip lacks on either side (20 frames), and its noise.
+CLIP, NOISE = 20 * chroma.HOP, 0.02
+
+
+def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings are the vectors of ``embeddings`` played as melodies; each twentieth id also
+    gives a noisy excerpt, searched for in all recordings."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    whole = map_rows(vectors, lambda: lambda i, v: (i, chroma.fingerprint(chroma.melody(v))), "media_id long, codes array<int>")
+    clip = map_rows(vectors.where(F.col("vec_id") % 20 == 0), lambda: lambda i, v: (i, chroma.fingerprint(chroma.melody(v, skip=CLIP, noise=NOISE, seed=i))), "media_id long, codes array<int>")
+    return chroma.search(whole, clip)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +77,9 @@ QUERIES = {
     for f in (
         op1_weak_label_quality,
         op2_feistel_pseudonyms,
+        op3_licence_scan,
         op4_pfair_mixing,
+        op5_chroma_fingerprints,
         op6_simhash_near_dedup,
         op7_suffix_array_dedup,
         op8_secret_scan,
@@ -67,4 +87,4 @@ QUERIES = {
         op10_spaced_seed_decontamination,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_licence_scan": licences.oracle_sql()}
