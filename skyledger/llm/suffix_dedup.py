@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import docs_only, drop_written, scratch, written
+from .common import docs_only, drop_written, scratch
 
 LENGTH = 100
 LEAD = 24
@@ -52,7 +52,8 @@ HOT = 10_000
 STEP = 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SCHEMA = "lead long, whole long, doc_id long, place long, until long"
+_COLUMNS = ["lead", "whole", "doc_id", "place", "until"]
+_SCHEMA = ", ".join(f"{c} long" for c in _COLUMNS)
 
 
 @lru_cache(maxsize=1)
@@ -200,6 +201,7 @@ class SuffixIndex:
 
     def __init__(self) -> None:
         self.levels: dict[int, str] = {}
+        self.scans: set[str] = set()
 
     def scan(self, spark, batch: DataFrame) -> DataFrame:
         """Merge-scan of a batch with all levels: the batch's entries, and open older ones.
@@ -209,7 +211,7 @@ class SuffixIndex:
         """
         rows = batch.withColumn("fresh", F.lit(1))
         for path in self.levels.values():
-            rows = rows.unionByName(spark.read.schema(_SCHEMA).parquet(path).withColumn("fresh", F.lit(0)))
+            rows = rows.unionByName(self.read(spark, path).withColumn("fresh", F.lit(0)))
         every = W.partitionBy("lead")
         ordered = every.orderBy("whole", "doc_id", "place")
         rows = rows.withColumn("before", F.lag("whole").over(ordered))
@@ -218,31 +220,49 @@ class SuffixIndex:
         rows = rows.withColumn("kind", kind).where("fresh = 1 OR (touched = 1 AND kind = 'open')")
         return rows.select("lead", "whole", "doc_id", "place", "until", "fresh", "kind")
 
-    def add(self, batch: DataFrame, *, keep: bool = True) -> tuple[DataFrame, str]:
-        """Scan a batch, then store what is new; gives the scan's rows and their path."""
-        spark = batch.sparkSession
-        path = scratch(spark)
-        found = written(self.scan(spark, batch), path)
+    def add(self, batch: DataFrame, *, keep: bool = True) -> DataFrame:
+        """Scan a batch and keep what is new as a level; gives the scan's ``again`` and ``open`` rows.
+
+        A scan is written by kind, and its fresh rows are the new level as they stand.
+        """
+        spark, path = batch.sparkSession, scratch(batch.sparkSession)
+        rows = self.scan(spark, batch)
+        if not keep:
+            rows = rows.where("kind <> 'new'")
+        rows.write.partitionBy("kind").parquet(path)
+        scanned = spark.read.schema(rows.schema).parquet(path)
         if keep:
-            self._store(found.where("fresh = 1 AND kind <> 'again'").select(*_SCHEMA.replace(" long", "").split(", ")))
-        return found, path
+            self.scans.add(path)
+            self._store(path, scanned.where("fresh = 1 AND kind IN ('new', 'open')").select(*_COLUMNS))
+        return scanned.where("kind <> 'new'")
 
-    def _store(self, rows: DataFrame) -> None:
+    def _store(self, path: str, rows: DataFrame) -> None:
+        """Levels as full as the new one merge with it, from the smallest on."""
         spark, level, old = rows.sparkSession, 0, []
         while level in self.levels:
             old.append(self.levels.pop(level))
-            rows = rows.unionByName(spark.read.schema(_SCHEMA).parquet(old[-1]))
+            rows = rows.unionByName(self.read(spark, old[-1]))
             level += 1
-        self.levels[level] = scratch(spark)
+        self.levels[level] = path
         if old:
-            rows = rows.repartition("lead").sortWithinPartitions("lead", "whole", "doc_id", "place")
-        rows.write.parquet(self.levels[level])
-        for path in old:
-            drop_written(spark, path)
+            self.levels[level] = scratch(spark)
+            rows.repartition("lead").sortWithinPartitions("lead", "whole", "doc_id", "place").write.parquet(self.levels[level])
+            for x in [path, *old]:
+                self._forget(spark, x)
+
+    def read(self, spark, path: str) -> DataFrame:
+        if path not in self.scans:
+            return spark.read.schema(_SCHEMA).parquet(path)
+        rows = spark.read.schema(f"{_SCHEMA}, fresh int, kind string").parquet(path)
+        return rows.where("fresh = 1 AND kind IN ('new', 'open')").select(*_COLUMNS)
+
+    def _forget(self, spark, path: str) -> None:
+        """Of a scan, its ``again`` and ``open`` rows stay: they are the result."""
+        drop_written(spark, f"{path}/kind=new" if path in self.scans else path)
 
     def drop(self, spark) -> None:
         for path in self.levels.values():
-            drop_written(spark, path)
+            self._forget(spark, path)
         self.levels = {}
 
 
@@ -336,8 +356,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = 4) -
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
-        scanned, _ = index.add(entries(batch, length=length), keep=high is not None)
-        scanned = scanned.where("kind <> 'new'")
+        scanned = index.add(entries(batch, length=length), keep=high is not None)
         found = scanned if found is None else found.unionByName(scanned)
     index.drop(spark)
     return found, texts
