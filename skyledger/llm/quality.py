@@ -21,11 +21,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_only, map_rows, written
+from .common import docs_only, map_rows, slices, written
 
 DIMENSIONS = 1024
 GOOD, JUNK, ABSTAIN = 2, 1, 0
@@ -178,6 +179,19 @@ def score_quality(docs: DataFrame, *, max_rows: int = 4000, least: float = 0.5)
     return rows.select("doc_id", "score", "posterior", (F.col("score") >= least).cast("int").alias("keep"))
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rejected ones."""
-    return docs.join(score_quality(docs, **options).where("keep = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+def keep_good(docs: DataFrame, *, max_rows: int = 4000, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rejected ones; the second pass scores in place, so no text is shuffled."""
+    weights, _ = fit(written(looks(docs)), max_rows=max_rows)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        cache: dict[str, str] = {}
+        for part in slices(batches):
+            keep = []
+            for text in part.column(at).to_pylist():
+                _, where, value = look(text, cache)
+                z = weights[-1] + sum(weights[i] * v for i, v in zip(where, value, strict=True))
+                keep.append(bool(where) and 1 / (1 + np.exp(-z)) >= least)
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

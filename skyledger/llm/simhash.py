@@ -92,7 +92,87 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = DISTANCE
     return fps.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-def keep_one(docs: DataFrame, *, words: int = 3, distance: int = DISTANCE, verify: float | None = None) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component."""
-    kept = near_duplicates(docs, words=words, distance=distance).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+#: Near copies: words of an index shingle, index segments of 32 bits, 64-bit words to verify.
+INDEX_WORDS, SEGMENTS, VERIFY = 2, 10, 8
+#: Least certain bits of a segment that a probe may flip, all subsets of them.
+FLIPS = 4
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th independent 64-bit hash made of a hash."""
+    x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _balance(h: np.ndarray, k: int) -> np.ndarray:
+    """Of 64 * k bits of distinct shingles: how many more ones than zeros, by bit."""
+    out = np.zeros(64 * k, np.int64)
+    for at in range(0, len(h), 255 * 64):
+        part = h[at : at + 255 * 64]
+        for j in range(k):
+            bits = np.unpackbits(_mixed(part, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            # Sums of at most 255 rows fit the byte they are added in.
+            for b in range(0, len(bits), 255):
+                out[64 * j : 64 * j + 64] += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
+    return 2 * out - len(h)
+
+
+def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the distinct shingles; fewer words make one shingle."""
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) <= words:
+        return np.array([digest(b" ".join(tokens), SEED)], np.uint64)
+    grams = {b" ".join(tokens[i : i + words]) for i in range(len(tokens) - words + 1)}
+    return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
+
+
+def wide(text: str | None, words: int) -> tuple[list[list[int]], bytes]:
+    """Probe keys of each segment (the first is its own key) and the bits to verify."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    index = _balance(_shingles(tokens, INDEX_WORDS), SEGMENTS // 2).reshape(SEGMENTS, 32)
+    keys = ((index > 0) << np.arange(32)).sum(axis=1).tolist()
+    probes = []
+    for s, key in enumerate(keys):
+        ball = [s << 32 | key]
+        for bit in np.argsort(np.abs(index[s]), kind="stable")[:FLIPS].tolist():
+            ball += [k ^ 1 << bit for k in ball]
+        probes.append(ball)
+    return probes, np.packbits(_balance(_shingles(tokens, words), VERIFY) > 0).tobytes()
+
+
+def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` of texts that share a part ``similarity`` of their word shingles.
+
+    Jaccard similarity ``s`` of shingle sets is cosine ``2s / (1 + s)``, an angle that SimHash measures as
+    a share of differing bits.  At 0.8 that is 15 %, too many for a short fingerprint, so the
+    complete fingerprint has 512 bits and the index has ten 32-bit segments of shorter shingles,
+    which a change of one word disturbs less.  A probe enumerates, in each segment, the ball of
+    keys that flip its ``FLIPS`` least certain bits.  Each table entry holds the smallest and
+    the largest id of its fingerprints, so a group of near copies gives links in proportion to its size;
+    complete distances decide.
+    """
+    most = round(64 * VERIFY * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    made = map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, *wide(text, words)), "doc_id long, probes array<array<long>>, bits binary")
+    seen = written(made)
+    classes = written(seen.groupBy("bits").agg(F.min(F.struct("doc_id", "probes")).alias("x")).select(F.col("x.doc_id").alias("id"), "bits", "x.probes"))
+    table = classes.select("id", F.explode(F.transform("probes", lambda p: p[0])).alias("key"))
+    table = table.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    probes = classes.select("id", F.explode(F.flatten("probes")).alias("key"))
+    met = probes.join(table, "key").where("id <> low OR id <> high")
+    pairs = met.select(F.explode(F.array(F.struct(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b")), F.struct(F.least("id", "high").alias("a"), F.greatest("id", "high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
+    one = classes.select(F.col("id").alias("a"), F.col("bits").alias("a_bits"))
+    two = classes.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"))
+    words64 = [F.conv(F.hex(F.substring("a_bits", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b_bits", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(VERIFY)]
+    distance = sum((F.bit_count(w) for w in words64[1:]), F.bit_count(words64[0]))
+    edges = written(pairs.join(one, "a").join(two, "b").where(distance <= most).select("a", "b"))
+    found = components(edges)
+    linked = classes.select("id", "bits").join(found, F.col("id") == F.col("node"), "left").select("bits", F.coalesce("component", "id").alias("component_id"))
+    return seen.select("doc_id", "bits").join(linked, "bits").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document, that of the smallest id, of each group of near copies."""
+    kept = near_copies(docs, words=words, similarity=similarity).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(written(kept), "doc_id", "left_semi")
