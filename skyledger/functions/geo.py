@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIDES = ("west", "south", "east", "north")
@@ -190,13 +190,17 @@ def utm_inverse(points: Column, zone: Column, north: Column) -> Column:
     return step(four, x=lon, y=lat)
 
 
-def utm_bounds(b: list[Column], zone: Column, north: Column, points: int = 21) -> list[Column]:
-    """WGS84 box of a UTM box; every edge is cut at ``points`` inner points, since it bends."""
+def utm_edges(b: list[Column], points: int = 21) -> Column:
+    """Points on the four edges of a UTM box, ``points`` inside each edge, since edges bend."""
     steps = F.sequence(F.lit(0), F.lit(points + 1))
     along = lambda lo, hi: F.transform(steps, lambda i: lo + (hi - lo) * i / float(points + 1))
     xs, ys = along(b[0], b[2]), along(b[1], b[3])
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    ring = F.concat(F.transform(xs, lambda x: point(x, b[1])), F.transform(xs, lambda x: point(x, b[3])), F.transform(ys, lambda y: point(b[0], y)), F.transform(ys, lambda y: point(b[2], y)))
-    found = utm_inverse(ring, zone, north)
-    xs, ys = F.transform(found, lambda p: p["x"]), F.transform(found, lambda p: p["y"])
-    return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
+    return F.concat(F.transform(xs, lambda x: point(x, b[1])), F.transform(xs, lambda x: point(x, b[3])), F.transform(ys, lambda y: point(b[0], y)), F.transform(ys, lambda y: point(b[2], y)))
+
+
+def utm_bounds(boxes: DataFrame, b: list[Column], zone: Column, north: Column) -> DataFrame:
+    """``boxes`` with ``west, south, east, north``: WGS84 bounds of UTM boxes ``b``."""
+    rows = boxes.withColumn("_points", utm_inverse(utm_edges(b), zone, north))
+    rows = rows.withColumns({"_x": F.transform("_points", lambda p: p["x"]), "_y": F.transform("_points", lambda p: p["y"])})
+    return rows.withColumns({"west": F.array_min("_x"), "south": F.array_min("_y"), "east": F.array_max("_x"), "north": F.array_max("_y")}).drop("_points", "_x", "_y")

@@ -173,9 +173,9 @@ def utm_boxes(spark, d):
     """WGS84 bounds of UTM boxes (no SQL: tests hold it against published values)."""
     k = F.col("item_id")
     x, y = 300_000.0 + F.col("west") * 100_000, 3_000_000.0 + F.col("south") * 500_000
-    out = F.array(*geo.utm_bounds([x, y, x + 10_000, y + 10_000], (k % 60 + 1).cast("double"), F.lit(True)))
-    rows = V.scenes(spark, d).select("item_id", out.alias("b"))
-    return rows.select("item_id", *(F.round(F.get("b", i), 7).alias(n) for i, n in enumerate(geo.SIDES)))
+    rows = V.scenes(spark, d).select("item_id", x.alias("x"), y.alias("y"), (k % 60 + 1).cast("double").alias("zone"))
+    out = geo.utm_bounds(rows, [F.col("x"), F.col("y"), F.col("x") + 10_000, F.col("y") + 10_000], F.col("zone"), F.lit(True))
+    return out.select("item_id", *(F.round(n, 7).alias(n) for n in geo.SIDES))
 
 
 @query("""WITH s AS (SELECT s_suppkey AS source_ref, sha256(s_name) AS sha, s_nationkey AS n FROM supplier), e AS (SELECT c_custkey AS evidence_id, c_custkey%120+1 AS source_ref, c_custkey%4 AS k, c_nationkey AS n FROM customer)

@@ -1 +1,221 @@
-"""Queries."""
+"""Queries over event logs and evidence memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import hashing
+from ..operators import log as L
+from ..operators import memory as M
+from . import views as V
+from .registry import query
+
+LIMITS = {"steps": 150, "tool_calls": 40, "input_bytes": 1500, "wall_time_ms": 90}
+
+
+@query("WITH h AS (SELECT episode_id, sequence, sha256(concat(event_id,'|',event_type,'|',props)) AS h FROM v_log) SELECT episode_id, count(*) AS events, sha256(string_agg(h, chr(10) ORDER BY sequence)) AS trace_hash FROM h GROUP BY 1")
+def trace_hashes(spark, d):
+    """One hash of each episode's events in order."""
+    return L.trace_hash(V.log(spark, d), "episode_id", "sequence", ["event_id", "event_type", "props"])
+
+
+@query("SELECT episode_id, count(*) AS events, count(DISTINCT event_type) AS kinds, min(sequence) AS first_sequence, max(sequence) AS last_sequence, arg_max(event_id,sequence) AS head, max(sequence)+1 AS next_sequence FROM v_log GROUP BY 1")
+def event_counts(spark, d):
+    """Counts, ends and the next sequence of each log."""
+    return L.event_counts(V.log(spark, d), "episode_id", "sequence", "event_type", "event_id")
+
+
+def chain_log(spark, d):
+    return V.log(spark, d).select("episode_id", (F.col("sequence") + 1).alias("sequence"), "event_id", "event_type")
+
+
+CONTENT = ["event_id", "event_type"]
+CHAIN = """c AS (SELECT episode_id, sequence+1 AS sequence, concat(event_id,'|',event_type) AS content FROM v_log), k AS (SELECT episode_id, sequence, repeat('0',64) AS p, sha256(concat(content,'|',repeat('0',64))) AS h FROM c WHERE sequence=1
+ UNION ALL SELECT c.episode_id, c.sequence, k.h, sha256(concat(c.content,'|',k.h)) FROM k JOIN c ON c.episode_id=k.episode_id AND c.sequence=k.sequence+1)"""
+
+
+def content():
+    return F.concat_ws("|", *(F.col(c).cast("string") for c in CONTENT))
+
+
+@query(f"WITH RECURSIVE {CHAIN} SELECT episode_id, sequence, p AS previous_event_sha256, h AS event_sha256 FROM k")
+def build_chain(spark, d):
+    """A hash chain of each scope."""
+    return L.build_chain(chain_log(spark, d), "episode_id", "sequence", content())
+
+
+@query("SELECT episode_id, count(*) AS events, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 5 END AS first_bad, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 'hash_mismatch' END AS code FROM v_log GROUP BY 1")
+def verify_chain(spark, d):
+    """A changed event in each third scope is found at its place."""
+    rows = chain_log(spark, d)
+    made = L.build_chain(rows, "episode_id", "sequence", content())
+    both = rows.join(made, ["episode_id", "sequence"])
+    hit = (F.col("episode_id") % 3 == 0) & (F.col("sequence") == 5)
+    damaged = both.withColumn("event_type", F.when(hit, "changed").otherwise(F.col("event_type")))
+    return L.verify_chain(damaged, "episode_id", "sequence", content())
+
+
+@query("WITH w AS (SELECT episode_id, sequence, event_type, event_id, lag(event_id) OVER (PARTITION BY episode_id ORDER BY sequence) AS b FROM v_log) SELECT episode_id, true AS contiguous, true AS unique_ids, bool_and(coalesce(b<=event_id,true)) AS monotone_version, arg_min(event_type,sequence)='view' AS starts_right FROM w GROUP BY 1")
+def trace_checks(spark, d):
+    """Structural checks of each episode (event ids stand for state versions)."""
+    return L.trace_checks(V.log(spark, d), "episode_id", "sequence", "event_id", "event_id", "view", "event_type")
+
+
+@query("WITH w AS (SELECT episode_id, sequence, event_type, event_id, lag(event_id) OVER (PARTITION BY episode_id ORDER BY sequence) AS b FROM v_log), c AS (SELECT episode_id, bool_and(coalesce(b<=event_id,true)) AS m, arg_min(event_type,sequence)='view' AS s FROM w GROUP BY 1) SELECT episode_id, m AND s AS passed, concat_ws(',', CASE WHEN NOT m THEN 'monotone_version' END, CASE WHEN NOT s THEN 'starts_right' END) AS failed FROM c")
+def trace_report(spark, d):
+    """All checks, and the names of those that failed."""
+    return L.all_passed(trace_checks(spark, d), "episode_id", ["contiguous", "unique_ids", "monotone_version", "starts_right"])
+
+
+@query("""SELECT episode_id, count(*) FILTER (WHERE sequence%10<>3 AND sequence%10<>4 AND sequence%10<>5)+count(*) FILTER (WHERE sequence%10=5 AND false) AS equal, count(*) FILTER (WHERE sequence%10=3) AS missing, count(*) FILTER (WHERE sequence%10=4) AS unexpected, count(*) FILTER (WHERE sequence%10=5) AS changed,
+ min(sequence) FILTER (WHERE sequence%10 BETWEEN 3 AND 5) AS first_difference FROM v_log GROUP BY 1""")
+def trace_diff(spark, d):
+    """Recorded against replayed events."""
+    rows = V.log(spark, d).withColumn("h", hashing.digest(F.col("event_id"), F.col("event_type")))
+    k = F.col("sequence") % 10
+    expected = rows.where(k != 4)
+    actual = rows.where(k != 3).withColumn("h", F.when(k == 5, "changed").otherwise(F.col("h")))
+    return L.diff_traces(expected, actual, "episode_id", "sequence", "h")
+
+
+@query("""WITH p AS (SELECT l.*, row_number() OVER (PARTITION BY episode_id ORDER BY sequence) AS n, count(*) OVER (PARTITION BY episode_id) AS m FROM v_log l WHERE sequence>episode_id%50)
+SELECT episode_id, sequence, event_id, m>7 AS has_more, max(sequence) OVER (PARTITION BY episode_id) AS next_cursor FROM p WHERE n<=7""")
+def trace_pages(spark, d):
+    """A page of seven events behind a cursor of each episode."""
+    rows = V.log(spark, d)
+    cursors = rows.select("episode_id").distinct().withColumns({"cursor": F.col("episode_id") % 50, "limit": F.lit(7)})
+    return L.trace_page(rows, cursors, "episode_id", "sequence").select("episode_id", "sequence", "event_id", "has_more", "next_cursor")
+
+
+@query("""WITH r AS (SELECT episode_id, event_id%20 AS action, event_type AS body, sequence, first_value(event_type) OVER (PARTITION BY episode_id, event_id%20 ORDER BY sequence) AS f, row_number() OVER (PARTITION BY episode_id, event_id%20 ORDER BY sequence) AS n FROM v_log)
+SELECT episode_id, action, sequence, CASE WHEN n=1 THEN 'accepted' WHEN body=f THEN 'replay' ELSE 'conflict' END AS verdict FROM r""")
+def idempotency(spark, d):
+    """Repeated actions are replays or conflicts."""
+    rows = V.log(spark, d).select("episode_id", (F.col("event_id") % 20).alias("action"), F.col("event_type").alias("body"), "sequence")
+    return L.idempotency(rows, ["episode_id", "action"], "body", "sequence").drop("body")
+
+
+@query("""WITH a AS (SELECT episode_id, event_id%10 AS k, count(*) AS accepted FROM v_log WHERE event_type='click' GROUP BY 1,2), r AS (SELECT episode_id, event_id%10 AS k, count(*) AS results FROM v_log WHERE event_type='view' GROUP BY 1,2)
+SELECT episode_id, k, coalesce(accepted,0) AS accepted, coalesce(results,0) AS results, CASE WHEN accepted IS NULL THEN 'unexpected_result' WHEN results IS NULL THEN 'missing_result' WHEN results>accepted THEN 'duplicate_result' WHEN results<accepted THEN 'missing_result' END AS code FROM a FULL JOIN r USING (episode_id,k)""")
+def action_results(spark, d):
+    """Accepted actions and results, both ways."""
+    rows = V.log(spark, d).withColumn("k", F.col("event_id") % 10)
+    return L.action_coverage(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), ["episode_id", "k"])
+
+
+@query("SELECT episode_id, k, event_id FROM (SELECT episode_id, event_id%10 AS k, event_id FROM v_log WHERE event_type='signup') s WHERE NOT EXISTS (SELECT 1 FROM v_log l WHERE l.event_type='purchase' AND l.episode_id=s.episode_id AND l.event_id%10=s.k)")
+def unmatched_starts(spark, d):
+    """Started and never completed."""
+    rows = V.log(spark, d).select("episode_id", (F.col("event_id") % 10).alias("k"), "event_id", "event_type")
+    return L.unmatched_starts(rows, ["episode_id", "k"], "event_type", "signup", "purchase").drop("event_type")
+
+
+@query("SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_custkey%3<>0 UNION ALL SELECT o_custkey, 'backfill' FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey%3<>0)")
+def backfill(spark, d):
+    """Rows that aren't there yet."""
+    old = V.read(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    new = V.read(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct().withColumn("name", F.lit("backfill"))
+    return L.backfill(old, new, ["k"])
+
+
+def _counter_sql(name, limit, used):
+    return f"least({used},{limit}) AS {name}_used, greatest({limit}-least({used},{limit}),0) AS {name}_remaining"
+
+
+@query(f"""WITH g AS (SELECT episode_id, count(*) AS s, count(*) FILTER (WHERE event_type='click') AS t, sum(length(props))::BIGINT AS b, max(sequence)::BIGINT AS w FROM v_log GROUP BY 1)
+SELECT episode_id, {_counter_sql('steps', 150, 's')}, {_counter_sql('tool_calls', 40, 't')}, {_counter_sql('input_bytes', 1500, 'b')}, {_counter_sql('wall_time_ms', 90, 'w')}, s>=150 OR w>=90 AS exhausted FROM g""")
+def budget_use(spark, d):
+    """Counters of each episode, held within limits."""
+    return L.budget_use(V.log(spark, d), "episode_id", steps=F.lit(1), tools=(F.col("event_type") == "click").cast("int"), size=F.length("props"), wall=F.col("sequence"), limits=LIMITS)
+
+
+@query("SELECT episode_id, count(*) AS events, sum(octet_length(encode(props)))::BIGINT AS bytes, count(*)<=100 AND sum(octet_length(encode(props)))<=1000 AS within FROM v_log GROUP BY 1")
+def size_guard(spark, d):
+    """Rows and bytes before anything is parsed."""
+    return L.size_guard(V.log(spark, d), "episode_id", "props", most_rows=100, most_bytes=1000)
+
+
+@query("SELECT episode_id, event_type, arg_max(value,sequence) AS last_result, max(sequence) AS last_sequence FROM v_log GROUP BY 1,2")
+def last_results(spark, d):
+    """The last result of each tool."""
+    return L.last_result(V.log(spark, d), ["episode_id", "event_type"], "sequence", "value")
+
+
+@query("SELECT event_id, CAST(json_extract(props,'$.k') AS BIGINT) AS k, sha256(concat('{\"k\":',CAST(json_extract(props,'$.k') AS BIGINT),'}')) AS h FROM events")
+def canonical_payloads(spark, d):
+    """Payloads parsed once, hashed in canonical form."""
+    v = F.parse_json("props")
+    return V.read(spark, d, "events").select("event_id", F.variant_get(v, "$.k", "bigint").alias("k"), F.sha2(hashing.canonical(F.col("props")), 256).alias("h"))
+
+
+@query("SELECT event_id, concat('{\"inner\":{\"k\":',CAST(json_extract(props,'$.k') AS BIGINT),'},\"wall_time_ms\":{\"limit\":9}}') AS meaning FROM events")
+def semantic_payloads(spark, d):
+    """nested payloads without what differs between runs."""
+    text = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"inner":{"created_at":"x","k":'), F.get_json_object("props", "$.k"), F.lit('},"wall_time_ms":{"limit":9,"used":4}}'))
+    return V.read(spark, d, "events").select("event_id", hashing.semantic(text).alias("meaning"))
+
+
+MEM = """e AS (SELECT episode_id AS scope_id, sequence, CASE WHEN event_type IN ('error','signup') THEN 'invalidate' ELSE 'publish' END AS event_type, event_id*13%101 AS memory_id FROM v_log)"""
+
+
+def memory_events(spark, d):
+    kind = F.when(F.col("event_type").isin("error", "signup"), "invalidate").otherwise("publish")
+    return V.log(spark, d).select(F.col("episode_id").alias("scope_id"), "sequence", kind.alias("event_type"), (F.col("event_id") * 13 % 101).alias("memory_id"))
+
+
+@query(f"""WITH {MEM}, g AS (SELECT scope_id, memory_id, count(*) FILTER (WHERE event_type='publish') AS n, min(sequence) FILTER (WHERE event_type='publish') AS published_at, min(sequence) FILTER (WHERE event_type='invalidate') AS invalidated_at FROM e WHERE sequence<=60 GROUP BY 1,2)
+SELECT scope_id, memory_id, published_at, invalidated_at, n>0 AND invalidated_at IS NULL AS active, CASE WHEN n=0 THEN 'invalidate_without_publish' WHEN n>1 THEN 'published_twice' WHEN invalidated_at<published_at THEN 'invalidate_before_publish' END AS code FROM g""")
+def memory_snapshot(spark, d):
+    """What is active as of sequence 60."""
+    rows = memory_events(spark, d)
+    return M.snapshot(rows, rows.select("scope_id").distinct().withColumn("as_of", F.lit(60)))
+
+
+@query(f"""WITH {MEM}, p AS (SELECT *, row_number() OVER (PARTITION BY scope_id, memory_id ORDER BY sequence) AS n FROM e WHERE event_type='publish'), a AS (SELECT *, sum((n=1)::INT) OVER (PARTITION BY scope_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS active FROM p)
+SELECT scope_id, sequence, memory_id, CASE WHEN n>1 THEN 'repeat' WHEN active>30 THEN 'cap_reached' ELSE 'published' END AS verdict FROM a""")
+def memory_publish(spark, d):
+    """Publications under a cap of active records."""
+    return M.publish_batch(memory_events(spark, d).where("event_type = 'publish'").drop("event_type"), cap=30)
+
+
+@query("""WITH g AS (SELECT n_nationkey AS task_id, n_regionkey AS version FROM nation UNION ALL SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey%6=0), h AS (SELECT task_id, version, count(*) AS n FROM g GROUP BY 1,2)
+SELECT c_custkey AS request_id, CASE WHEN n IS NULL THEN 'not_granted' WHEN n>1 THEN 'ambiguous_grant' WHEN c_custkey%7=0 THEN 'outside_validity' WHEN c_acctbal<1000 THEN 'reward_below_threshold' WHEN c_custkey%11=0 THEN 'lifetime_too_long' WHEN c_custkey%5>=4 THEN 'too_many_sessions' END AS code
+FROM customer LEFT JOIN h ON h.task_id=c_nationkey AND h.version=c_custkey%5""")
+def grant_checks(spark, d):
+    """Requests against grants, the first rule broken."""
+    t = lambda s: F.lit(s).cast("timestamp_ntz")
+    nation = V.read(spark, d, "nation")
+    one = nation.select(F.col("n_nationkey").alias("task_id"), F.col("n_regionkey").cast("long").alias("version"), F.lit(1000.0).alias("min_reward"), t("2024-01-01").alias("valid_from"), t("2025-01-01").alias("expires_at"), F.lit(60).alias("max_ttl"), F.lit(4).alias("max_sessions"))
+    k = F.col("c_custkey")
+    requests = V.read(spark, d, "customer").select(k.alias("request_id"), F.col("c_nationkey").alias("task_id"), (k % 5).alias("version"), F.col("c_acctbal").alias("reward"), F.when(k % 7 == 0, t("2025-01-01")).otherwise(t("2024-06-01")).alias("at"), F.when(k % 11 == 0, 90).otherwise(30).alias("ttl"), (k % 5).cast("int").alias("sessions"))
+    return M.authorize(requests, one.unionByName(one.where("task_id % 6 = 0")))
+
+
+@query("""WITH r AS (SELECT item_id AS memory_id, platform, west, south, east, north, acquired AS available_at, acquired+INTERVAL 300 DAY AS expires_at, acquired AS s, acquired+INTERVAL 60 DAY AS e FROM v_scenes),
+q AS (SELECT c_custkey AS query_id, CASE c_custkey%5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS platform, c_custkey%20/10.0 AS w, c_custkey%15/10.0 AS so, TIMESTAMP '1996-01-01'+to_days(CAST(c_custkey%700 AS INT)) AS t FROM customer),
+m AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) AS position, count(*) OVER (PARTITION BY query_id) AS matched_count FROM q JOIN r USING (platform) WHERE west<=w+0.3 AND east>=w AND south<=so+0.3 AND north>=so AND t>=available_at AND t<expires_at AND s<=t AND e>=t-INTERVAL 5 DAY)
+SELECT * FROM m WHERE position<=10""")
+def memory_search(spark, d):
+    """Searches of many queries at once, by place, time, validity and platform."""
+    at = F.col("acquired")
+    records = V.scenes(spark, d).select(F.col("item_id").alias("memory_id"), "platform", "west", "south", "east", "north", at.alias("available_at"), (at + F.expr("INTERVAL 300 DAY")).alias("expires_at"), at.alias("start"), (at + F.expr("INTERVAL 60 DAY")).alias("end"))
+    k = F.col("c_custkey")
+    name = F.when(k % 5 == 0, "1-URGENT").when(k % 5 == 1, "2-HIGH").when(k % 5 == 2, "3-MEDIUM").when(k % 5 == 3, "4-NOT SPECIFIED").otherwise("5-LOW")
+    x, y, t = (k % 20) / 10.0, (k % 15) / 10.0, F.lit("1996-01-01").cast("timestamp_ntz") + F.make_dt_interval((k % 700).cast("int"))
+    queries = V.read(spark, d, "customer").select(k.alias("query_id"), name.alias("platform"), x.alias("q_west"), y.alias("q_south"), (x + 0.3).alias("q_east"), (y + 0.3).alias("q_north"), t.alias("as_of"), (t - F.expr("INTERVAL 5 DAY")).alias("q_start"), t.alias("q_end"))
+    return M.memory_search(records, queries, limit=10)
+
+
+@query("""SELECT item_id, k.case_name, k.expected, west+k.dx AS case_west, east+k.dx AS case_east, CASE WHEN k.case_name='sensor' THEN 'other' ELSE platform END AS case_platform, acquired+to_days(k.dd) AS case_acquired
+FROM v_scenes CROSS JOIN (VALUES ('correct',true,0,0),('conflict',true,0,0),('neighbour',false,10,0),('expired',false,0,0),('date',false,0,400),('sensor',false,0,0)) k(case_name,expected,dx,dd)""")
+def case_matrix(spark, d):
+    """Six variants of each record."""
+    return M.case_matrix(V.scenes(spark, d))
+
+
+@query("WITH w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS n FROM conversations) SELECT conv_id, bool_and(n=turn) AS contiguous, count(*) AS turns FROM w GROUP BY 1")
+def contiguous_turns(spark, d):
+    """W03 on conversations: turns without gaps."""
+    rows = V.read(spark, d, "conversations").withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1)
+    return rows.groupBy("conv_id").agg(F.bool_and(F.col("n") == F.col("turn")).alias("contiguous"), F.count(F.lit(1)).alias("turns"))
