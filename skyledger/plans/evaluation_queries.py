@@ -1 +1,201 @@
-"""Queries."""
+"""Queries that score recorded episodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..operators import evaluate as E
+from ..operators import raster as P
+from . import views as V
+from .registry import query
+
+LAND = {"task.accuracy": 0.6, "evidence.faithfulness": 0.3, "process.efficiency": 0.1}
+LAND_SQL = """dc AS (SELECT raster_id, scl, count(*) AS n FROM v_pixels WHERE mask GROUP BY 1,2), dt AS (SELECT *, sum(n) OVER (PARTITION BY raster_id) AS total, row_number() OVER (PARTITION BY raster_id ORDER BY n DESC, scl) AS k FROM dc),
+dm AS (SELECT raster_id, scl AS dominant, n::DOUBLE/total AS fraction FROM dt WHERE k=1), sc AS (SELECT raster_id, (raster_id%12=dominant)::INT::DOUBLE AS acc, (raster_id%12=dominant AND round(fraction,6)>=0.05 AND raster_id%2=0 AND raster_id%3<>1)::INT::DOUBLE AS faith,
+ round(least(1.0,5.0/(4+raster_id%7))*(CASE WHEN raster_id%4>0 THEN least(1.0,2.0/(raster_id%4)) ELSE 0.0 END)*least(1.0,1000.0/(500+raster_id*100))/(1+raster_id%3),6) AS eff FROM dm)"""
+
+
+def landcover(spark, d):
+    """Episodes made of rasters: the answer, the evidence and the counts follow from the raster's number."""
+    k = F.col("raster_id")
+    truth = P.dominant_class(V.pixels(spark, d).where("mask"), ["raster_id"], "scl")
+    evidence = truth.select("raster_id", F.explode(F.array(F.lit("source"), F.lit("rendered"))).alias("kind"))
+    evidence = evidence.withColumns({"same_box": F.lit(True), "contains_box": k % 3 != 1, "hash_ok": k % 2 == 0})
+    rows = truth.join(E.faithful(evidence, "raster_id"), "raster_id")
+    right = (k % 12) == F.col("dominant")
+    eff = E.efficiency(steps=4 + k % 7, ideal_steps=F.lit(5), calls=k % 4, ideal_calls=F.lit(2), wall=500 + k * 100, wall_limit=F.lit(1000), failed=k % 3)
+    rows = rows.select("raster_id", right.cast("int").alias("task.accuracy"), (right & (F.col("fraction") >= 0.05) & F.col("source_valid") & F.col("rendered_valid")).cast("int").alias("evidence.faithfulness"), eff.alias("process.efficiency"))
+    return E.to_metrics(rows, "raster_id", LAND)
+
+
+@query(f"WITH {LAND_SQL} SELECT raster_id, 'task.accuracy' AS name, acc AS value, 0.6::DOUBLE AS weight FROM sc UNION ALL SELECT raster_id, 'evidence.faithfulness', faith, 0.3::DOUBLE FROM sc UNION ALL SELECT raster_id, 'process.efficiency', eff::DOUBLE, 0.1::DOUBLE FROM sc")
+def landcover_metrics(spark, d):
+    """Accuracy, faithfulness and efficiency."""
+    return landcover(spark, d)
+
+
+@query(f"WITH {LAND_SQL} SELECT raster_id, round((acc*0.6+faith*0.3+eff*0.1)/(0.6+0.3+0.1),6)::DOUBLE AS reward FROM sc")
+def landcover_reward(spark, d):
+    """Weighted mean of an episode's metrics."""
+    return E.reward(landcover(spark, d), "raster_id")
+
+
+@query(f"WITH {LAND_SQL} SELECT raster_id, CASE WHEN acc>=1 THEN 'correct' ELSE 'wrong' END AS outcome FROM sc")
+def semantic_outcomes(spark, d):
+    """Episodes whose task metrics are all 1."""
+    return E.semantic_outcome(landcover(spark, d), "raster_id")
+
+
+@query(f'WITH {LAND_SQL} SELECT raster_id, acc AS "task.accuracy", faith AS "evidence.faithfulness", eff::DOUBLE AS "process.efficiency" FROM sc')
+def metric_pivot(spark, d):
+    """A column for each metric."""
+    return E.pivot_metrics(landcover(spark, d), ["raster_id"], list(LAND))
+
+
+@query("""WITH x AS (SELECT *, greatest(0,least(east,a_east)-greatest(west,a_west))*greatest(0,least(north,a_north)-greatest(south,a_south)) AS shared, west-0.1<=a_west AND south-0.1<=a_south AND east+0.1>=a_east AND north+0.1>=a_north AS hit FROM v_boxes),
+s AS (SELECT doc_id, round(shared/((east-west)*(north-south)+(a_east-a_west)*(a_north-a_south)-shared),6) AS iou, hit::INT::DOUBLE AS h FROM x)
+SELECT doc_id, 'task.iou' AS name, iou AS value, 0.6::DOUBLE AS weight FROM s UNION ALL SELECT doc_id, 'evidence.crop_contains_truth', h, NULL FROM s UNION ALL SELECT doc_id, 'evidence.faithfulness', h, 0.4::DOUBLE FROM s""")
+def grounding_metrics(spark, d):
+    """Answered boxes against true ones."""
+    rows = V.boxes(spark, d)
+    crop = {f"crop_{s}": F.col(s) + (-0.1 if s in ("west", "south") else 0.1) for s in geo.SIDES}
+    scored = E.score_grounding(rows.withColumns(crop), "doc_id", said="", truth="a_", crop="crop_")
+    return E.to_metrics(scored, "doc_id", {"task.iou": 0.6, "evidence.crop_contains_truth": None, "evidence.faithfulness": 0.4})
+
+
+def temporal(spark, d):
+    """Answers to pair requests: each seventh customer answers wrongly, each fifth abstains."""
+    from .catalog_queries import best_pairs
+
+    k = F.col("request_id")
+    truth = best_pairs(spark, d)
+    said = F.when(k % 5 == 0, "abstained").otherwise("submitted")
+    should = F.when(F.col("status") == "selected", "submitted").otherwise("abstained")
+    right, confident, needless = E.abstention(F.col("said"), F.col("should"))
+    rows = truth.withColumns({"said": said, "should": should})
+    status_ok = (F.col("status") == "selected") == (k % 7 != 0)
+    eff = E.tool_efficiency(steps=3 + k % 5, ideal_steps=F.lit(4), calls=1 + k % 2, ideal_calls=F.lit(1), wall=900 + k % 300, wall_limit=F.lit(1000), failed=k % 2, renders=k % 3, expected_renders=F.lit(0))
+    coverage = F.when(F.col("reason") == "wrong_date", "not_evaluated").when(F.col("reason") == "insufficient_coverage", "fail").otherwise("pass")
+    return rows.select("request_id", status_ok.cast("int").cast("double").alias("validity"), coverage.alias("coverage_decision"), right, confident, needless, (status_ok & (F.col("said") == F.col("should"))).cast("int").cast("double").alias("faithfulness"), eff.alias("efficiency"))
+
+
+def _pair_sql() -> str:
+    from .catalog_queries import PAIR
+
+    return PAIR
+
+
+@query(f"""{_pair_sql()}, t AS (SELECT request_id, reason, reason='selected' AS sel, request_id%5=0 AS abst, (reason='selected')=(request_id%7<>0) AS ok FROM sel)
+SELECT request_id, ok::INT::DOUBLE AS validity, CASE reason WHEN 'wrong_date' THEN 'not_evaluated' WHEN 'insufficient_coverage' THEN 'fail' ELSE 'pass' END AS coverage_decision, (sel<>abst)::INT::DOUBLE AS correct, NOT sel AND NOT abst AS false_confidence, sel AND abst AS unnecessary,
+ (ok AND sel<>abst)::INT::DOUBLE AS faithfulness, round(least(1.0,4.0/(3+request_id%5))*least(1.0,1.0/(1+request_id%2))/(1+request_id%3)*least(1.0,1000.0/(900+request_id%300))/(1+request_id%2),6)::DOUBLE AS efficiency FROM t""")
+def temporal_scores(spark, d):
+    """Answers to pair requests, scored."""
+    return temporal(spark, d)
+
+
+@query(f"""{_pair_sql()}, t AS (SELECT reason, reason='selected' AS sel, request_id%5=0 AS abst, request_id FROM sel), r AS (SELECT CASE WHEN sel THEN 'selected' ELSE 'rejected' END AS truth, sel<>abst AS passed, abst, request_id%900 AS tokens, 900+request_id%300 AS ms FROM t)
+SELECT truth, count(*) AS episodes, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE abst) AS abstained, count(*) FILTER (WHERE passed AND abst) AS right_abstentions, sum(tokens)::BIGINT AS tokens, max(ms) AS longest_ms FROM r GROUP BY ROLLUP (truth)""")
+def run_summary(spark, d):
+    """Counts by truth and in all."""
+    from .catalog_queries import best_pairs
+
+    k = F.col("request_id")
+    rows = best_pairs(spark, d)
+    abstained = k % 5 == 0
+    rows = rows.select(F.col("status").alias("truth"), ((F.col("status") == "selected") != abstained).alias("passed"), abstained.alias("abstained"), (k % 900).alias("tokens"), (900 + k % 300).alias("elapsed_ms"))
+    return E.run_summary(rows, "truth")
+
+
+@query("SELECT conv_id, count(*) FILTER (WHERE role='assistant') AS calls, coalesce(sum(length(text)) FILTER (WHERE role='assistant'),0)::BIGINT AS input_tokens, coalesce(sum(length(text)//4) FILTER (WHERE role='assistant'),0)::BIGINT AS output_tokens FROM conversations GROUP BY 1")
+def transcript_costs(spark, d):
+    """Calls and tokens; turns without usage are skipped."""
+    n = F.length("text").cast("long")
+    usage = F.when(F.col("role") == "assistant", F.struct(n.alias("input_tokens"), F.expr("cast(length(text) div 4 AS long)").alias("output_tokens")))
+    return E.transcript_cost(V.read(spark, d, "conversations").select("conv_id", usage.alias("usage")), "conv_id")
+
+
+@query("""WITH s AS (SELECT o_custkey AS episode_id, o_orderkey%50 AS evidence_id FROM orders), c AS (SELECT DISTINCT c_custkey AS episode_id, unnest([c_custkey%50, (c_custkey*3)%50, (c_custkey*7)%50]) AS evidence_id FROM customer)
+SELECT episode_id, evidence_id FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.episode_id=c.episode_id AND s.evidence_id=c.evidence_id)""")
+def unknown_citations(spark, d):
+    """Cited evidence that an episode doesn't have."""
+    k = F.col("c_custkey")
+    answers = V.read(spark, d, "customer").select(k.alias("episode_id"), F.array(k % 50, (k * 3) % 50, (k * 7) % 50).alias("evidence_ids"))
+    evidence = V.read(spark, d, "orders").select(F.col("o_custkey").alias("episode_id"), (F.col("o_orderkey") % 50).alias("evidence_id"))
+    return E.unknown_citations(answers, evidence, "episode_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id%11=0 THEN 'invalid_json' WHEN event_id%7=0 THEN 'missing_field' WHEN event_id%5=0 THEN 'wrong_type' WHEN event_type NOT IN ('click','view') THEN 'not_allowed' WHEN value<2 THEN 'below_minimum' WHEN value>100 THEN 'above_maximum' END AS code FROM events""")
+def answer_checks(spark, d):
+    """JSON answers against a table of rules; the first that fails wins."""
+    k = F.col("event_id")
+    number = F.when(k % 5 == 0, F.lit('"x"')).otherwise(F.col("value").cast("string"))
+    text = F.when(k % 11 == 0, "{not json").when(k % 7 == 0, F.concat(F.lit('{"label":"'), F.col("event_type"), F.lit('"}'))).otherwise(F.concat(F.lit('{"score":'), number, F.lit(',"label":"'), F.col("event_type"), F.lit('"}')))
+    answers = V.read(spark, d, "events").select("event_id", F.lit("s").alias("schema_id"), text.alias("answer"))
+    rules = spark.createDataFrame(
+        [("s", 1, "score", "number", True, None, None, None), ("s", 2, "label", "string", True, ["click", "view"], None, None), ("s", 3, "score", "number", False, None, 2.0, 100.0)],
+        "schema_id string, rule_order int, field string, kind string, required boolean, allowed array<string>, low double, high double",
+    )
+    return E.validate_answers(answers, F.broadcast(rules), "event_id")
+
+
+@query("SELECT coalesce(c_custkey,o_custkey) AS k, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'unexpected' ELSE 'matched' END AS status FROM (SELECT c_custkey FROM customer WHERE c_custkey%4<>0) c FULL JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c_custkey=o_custkey")
+def sample_status(spark, d):
+    """Expected and actual samples."""
+    return E.match_status(V.read(spark, d, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k")), V.read(spark, d, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS a FROM lineitem GROUP BY 1), r AS (SELECT l_orderkey AS k, list_sort(list(DISTINCT l_partkey)) AS b FROM lineitem WHERE l_linenumber<5 GROUP BY 1) SELECT k, a IS NOT DISTINCT FROM b AS equal FROM l FULL JOIN r USING (k)""")
+def input_sets(spark, d):
+    """Equal sets of inputs."""
+    rows = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_partkey", "l_linenumber")
+    return E.same_sets(rows, rows.where("l_linenumber < 5"), "k", "l_partkey")
+
+
+MANIFEST = """ex AS (SELECT c_custkey AS sample_id, c_nationkey AS want FROM customer WHERE c_custkey%50<>0), rp AS (SELECT c_custkey AS sample_id, CASE WHEN c_custkey%13=0 THEN -1 ELSE c_nationkey END AS task, c_custkey%17=0 AS bad_input, c_custkey%19=0 AS open_, 1+c_custkey%4 AS actions, c_custkey%23<>0 AS runs_ok, c_custkey%29<>0 AS rendered, CASE WHEN c_custkey%31=0 THEN 0 ELSE 10+c_custkey END AS tokens, c_acctbal/10000 AS reward FROM customer WHERE c_custkey%37<>0),
+mf AS (SELECT coalesce(ex.sample_id,rp.sample_id) AS sample_id, list_sort(list_filter([CASE WHEN want IS NULL THEN 'expected' END, CASE WHEN rp.sample_id IS NULL THEN 'reported_once' END, CASE WHEN NOT coalesce(task=want,false) THEN 'task' END, CASE WHEN NOT coalesce(NOT bad_input AND want IS NOT NULL,false) THEN 'inputs' END,
+ CASE WHEN coalesce(open_,true) THEN 'terminal' END, CASE WHEN rp.sample_id IS NULL THEN 'has_actions' END, CASE WHEN NOT coalesce(runs_ok,false) THEN 'one_run_each' END, CASE WHEN NOT coalesce(rendered,false) THEN 'rendered' END, CASE WHEN NOT coalesce(tokens BETWEEN 1 AND 100000,false) THEN 'tokens' END, CASE WHEN NOT coalesce(reward BETWEEN 0 AND 1,false) THEN 'reward' END], lambda x: x IS NOT NULL)) AS f, coalesce(tokens,0) AS tokens FROM ex FULL JOIN rp ON ex.sample_id=rp.sample_id)"""
+
+
+def manifest(spark, d):
+    k = F.col("c_custkey")
+    customer = V.read(spark, d, "customer")
+    inputs = F.array(F.concat(F.lit("a"), k.cast("string")), F.concat(F.lit("b"), k.cast("string")))
+    expected = customer.where("c_custkey % 50 <> 0").select(k.alias("sample_id"), F.col("c_nationkey").alias("task_id"), inputs.alias("inputs"))
+    actions = 1 + k % 4
+    reports = customer.where("c_custkey % 37 <> 0").select(
+        k.alias("sample_id"), F.when(k % 13 == 0, -1).otherwise(F.col("c_nationkey")).alias("task_id"), F.when(k % 17 == 0, F.array(F.lit("x"))).otherwise(F.reverse(inputs)).alias("inputs"), F.when(k % 19 == 0, "running").otherwise("submitted").alias("terminal"),
+        actions.alias("actions"), F.when(k % 23 == 0, actions + 1).otherwise(actions).alias("tool_runs"), (k % 29 != 0).alias("rendered"), F.when(k % 31 == 0, 0).otherwise(10 + k).alias("tokens"), (F.col("c_acctbal") / 10000).alias("reward"),
+    )
+    return E.result_manifest(expected, reports)
+
+
+@query(f"WITH {MANIFEST} SELECT sample_id, len(f)=0 AS passed, array_to_string(f,',') AS failed, tokens FROM mf")
+def result_manifest(spark, d):
+    """Ten named checks of each sample."""
+    return manifest(spark, d)
+
+
+@query(f"WITH {MANIFEST} SELECT count(*) AS samples, count(*) FILTER (WHERE len(f)=0) AS passed, sum(tokens)::BIGINT AS tokens, (SELECT array_to_string(list_sort(list(DISTINCT n)),',') FROM (SELECT unnest(f) AS n FROM mf)) AS failed_checks FROM mf")
+def manifest_totals(spark, d):
+    """Totals of the manifest."""
+    return E.manifest_totals(manifest(spark, d))
+
+
+@query("""WITH r AS (SELECT o_custkey AS query_id, count(*) AS n, min(o_orderkey) AS first_id FROM orders WHERE o_orderstatus='F' GROUP BY 1) SELECT c_custkey AS query_id, coalesce(n,0) AS retrieved, (coalesce(first_id,0)%2=1)::INT::DOUBLE AS accuracy, (n IS NOT NULL)::INT::DOUBLE AS faithfulness,
+ CASE WHEN n IS NOT NULL THEN round(least(1.0,2.0/n),6)::DOUBLE ELSE 0 END AS efficiency, round(0.6*(coalesce(first_id,0)%2=1)::INT+0.3*(n IS NOT NULL)::INT+0.1*(CASE WHEN n IS NOT NULL THEN round(least(1.0,2.0/n),6) ELSE 0 END),6)::DOUBLE AS reward FROM customer LEFT JOIN r ON query_id=c_custkey""")
+def memory_scores(spark, d):
+    """Retrieval by episode: accuracy, faithfulness, and efficiency only where the protocol was kept."""
+    hits = V.read(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("query_id")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
+    rows = V.read(spark, d, "customer").select(F.col("c_custkey").alias("query_id")).join(hits, "query_id", "left")
+    used = F.col("n").isNotNull()
+    rows = rows.select("query_id", F.coalesce("n", F.lit(0)).alias("retrieved"), (F.coalesce("first_id", F.lit(0)) % 2 == 1).cast("int").cast("double").alias("accuracy"), used.cast("int").cast("double").alias("faithfulness"), F.when(used, F.round(E.share(F.lit(2.0), F.col("n")), 6)).otherwise(0.0).alias("efficiency"))
+    return rows.withColumn("reward", F.round(0.6 * F.col("accuracy") + 0.3 * F.col("faithfulness") + 0.1 * F.col("efficiency"), 6))
+
+
+@query("""SELECT l.doc_id%20 AS "window", count(*) FILTER (WHERE quality=1 AND toxic=0) AS tn, count(*) FILTER (WHERE quality=1 AND toxic=1) AS fp, count(*) FILTER (WHERE quality=0 AND toxic=0) AS fn, count(*) FILTER (WHERE quality=0 AND toxic=1) AS tp FROM labels l GROUP BY 1""")
+def label_confusion(spark, d):
+    """A07 on labels: one kind of label against another."""
+    from ..operators import confusion as C
+
+    return C.confusion(V.read(spark, d, "labels").withColumn("window", F.col("doc_id") % 20), F.col("quality") == 0, F.col("toxic") == 1, ["window"])

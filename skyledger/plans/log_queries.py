@@ -45,7 +45,7 @@ def build_chain(spark, d):
     return L.build_chain(chain_log(spark, d), "episode_id", "sequence", content())
 
 
-@query("SELECT episode_id, count(*) AS events, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 5 END AS first_bad, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 'hash_mismatch' END AS code FROM v_log GROUP BY 1")
+@query("SELECT episode_id, count(*) AS events, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 5::BIGINT END AS first_bad, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 'hash_mismatch' END AS code FROM v_log GROUP BY 1")
 def verify_chain(spark, d):
     """A changed event in each third scope is found at its place."""
     rows = chain_log(spark, d)
