@@ -1 +1,47 @@
-"""Queries."""
+"""Queries that run a stream to the end of what is there and return its sink."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..streaming.actions import dedup_actions, episode_state
+from .registry import query
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share; a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    # A table may be one file or a folder of files.
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/events.parque[t]")
+
+
+def _drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out = _folder(spark)
+    running = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+@query("SELECT user_id AS episode_id, event_id AS client_action_id, event_type FROM events")
+def deduplicated_actions(spark, d):
+    """A stream in which every action comes twice keeps each once."""
+    rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("client_action_id"), "event_type", F.col("ts").alias("created_at"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    return _drain(spark, dedup_actions(rows)).select("episode_id", "client_action_id", "event_type")
+
+
+@query("SELECT user_id AS episode_id, count(*) AS events, count(*) FILTER (WHERE event_type='click') AS tool_calls, bool_or(event_type='signup') AS finished FROM events GROUP BY 1")
+def live_episode_state(spark, d):
+    """Counters and end of each episode, by state; the last state of each."""
+    kind = F.when(F.col("event_type") == "click", "tool_started").when(F.col("event_type") == "signup", "terminal").otherwise("tool_finished")
+    rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), kind.alias("event_type"), F.col("ts").alias("created_at"))
+    states = _drain(spark, episode_state(rows))
+    return states.groupBy("episode_id").agg(F.max("events").alias("events"), F.max("tool_calls").alias("tool_calls"), F.max("finished").alias("finished"))
