@@ -150,10 +150,12 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     complete fingerprint has 512 bits and the index has ten 32-bit segments of shorter shingles,
     which a change of one word disturbs less.  A probe enumerates, in each segment, the ball of
     keys that flip its ``FLIPS`` least certain bits.  Each table entry holds the smallest and
-    the largest id of its fingerprints, so a group of near copies gives links in proportion to its size;
-    complete distances decide.
+    the largest id of its fingerprints, so a group of near copies gives links in proportion to its size.
+    Complete distances decide, but for those within three standard deviations of the limit:
+    there the shingles themselves are compared.
     """
-    most = round(64 * VERIFY * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi))
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most, doubt = round(64 * VERIFY * share), round(3 * (64 * VERIFY * share * (1 - share)) ** 0.5)
     made = map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, *wide(text, words)), "doc_id long, probes array<array<long>>, bits binary")
     seen = written(made)
     classes = written(seen.groupBy("bits").agg(F.min(F.struct("doc_id", "probes")).alias("x")).select(F.col("x.doc_id").alias("id"), "bits", "x.probes"))
@@ -166,12 +168,30 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     two = classes.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"))
     words64 = [F.conv(F.hex(F.substring("a_bits", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b_bits", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(VERIFY)]
     distance = sum((F.bit_count(w) for w in words64[1:]), F.bit_count(words64[0]))
-    edges = written(pairs.join(one, "a").join(two, "b").where(distance <= most).select("a", "b"))
+    near = written(pairs.join(one, "a").join(two, "b").withColumn("distance", distance).where(F.col("distance") <= most + doubt).select("a", "b", "distance"))
+    sure = near.where(F.col("distance") < most - doubt).select("a", "b")
+    edges = written(sure.unionByName(similar(docs, near.where(F.col("distance") >= most - doubt), words, similarity)))
     found = components(edges)
     linked = classes.select("id", "bits").join(found, F.col("id") == F.col("node"), "left").select("bits", F.coalesce("component", "id").alias("component_id"))
     return seen.select("doc_id", "bits").join(linked, "bits").select("doc_id", "component_id")
 
 
+def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts share enough of their distinct shingles."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs_only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi")
+
+    def sets(doc_id, text):
+        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return doc_id, _shingles(tokens, words).view(np.int64).tolist()
+
+    sets_of = map_rows(texts, lambda: sets, "id long, shingles array<long>").dropDuplicates(["id"])
+    sets_of = written(sets_of)
+    rows = pairs.select("a", "b").join(sets_of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets_of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return rows.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies."""
     kept = near_copies(docs, words=words, similarity=similarity).where("doc_id = component_id").select("doc_id").distinct()
