@@ -40,6 +40,8 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     weights = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w and w > 0}
     if len(weights) > period:
         raise ValueError("more sources than slots in a period")
+    if not weights:
+        return {}
     total = sum(weights.values())
     exact = {s: w * period / total for s, w in weights.items()}
     slots = {s: max(1, int(x)) for s, x in exact.items()}
