@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_only, map_rows, slices, written
+from .common import bounded_sample, docs_only, map_rows, slices, written
 
 DIMENSIONS = 1024
 GOOD, JUNK, ABSTAIN = 2, 1, 0
@@ -159,7 +159,7 @@ def fit(seen: DataFrame, *, max_rows: int = 4000) -> tuple[np.ndarray, DataFrame
         return np.zeros(DIMENSIONS + 1), spark.createDataFrame([], schema)
     good, _, _ = estimate(np.array([r.votes for r in rows]), np.array([r.n for r in rows], float))
     posterior = {tuple(r.votes): float(g) for r, g in zip(rows, good, strict=True)}
-    sample = seen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("votes", "at", "value").collect()
+    sample = bounded_sample(seen, max_rows).select("votes", "at", "value").collect()
     x = np.zeros((len(sample), DIMENSIONS))
     for i, r in enumerate(sample):
         x[i, r["at"]] = r["value"]

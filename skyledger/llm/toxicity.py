@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_only, map_rows
+from .common import bounded_sample, docs_only, map_rows
 
 FOLDS = 5
 WINDOW = 120
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1500, max_ordina
     known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     # The bounds apply to ids before any text moves.
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
-    sides = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, max_toxic), (0, max_ordinary))]
+    sides = [bounded_sample(known.where(F.col("toxic") == k), n) for k, n in ((1, max_toxic), (0, max_ordinary))]
     ids = sides[0].unionByName(sides[1])
     short = docs_only(docs, "doc_id", "text").where(F.length("text") <= max_chars)
     rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
