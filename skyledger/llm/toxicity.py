@@ -2,11 +2,11 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary texts.  A text is cut
 into windows of whole words; each window is compressed with either dictionary, and what the toxic
-one saves beyond a margin is the window's gain.  A text's score is a calibrated logistic function
+one saves is the window's gain.  A text's score is a calibrated logistic function
 of its total gain and of its gain per window, so a long text isn't toxic for one chance match.
 
-*Training the dictionaries.*  Substrings of words are ranked by how much more often (capped counts
-per text, Welch's statistic) they occur in toxic than in ordinary texts.  The toxic dictionary
+*Training the dictionaries.*  Substrings of words are chosen by how much more often (capped counts
+per text, Welch's statistic) they occur in toxic than in ordinary texts, each for words that none before it explains.  The toxic dictionary
 holds the segments that speak for toxic text behind a common base of frequent words; the ordinary
 one holds the same base and the segments that speak against.  With a shared base the
 lengths differ only where a window has something typical of one side.
@@ -36,11 +36,14 @@ from .common import bounded_sample, docs_only, map_rows
 
 FOLDS = 5
 WINDOW = 120
-#: Bytes that a chance match may save in a window.
-MARGIN = 1
 WORD = re.compile(r"[^\W\d_]+")
+#: Characters of the shortest segment, and bytes of the shortest match.
+SHORTEST = 5
+#: Bytes of one value before a dictionary: zstandard sizes its tables by the dictionary, and in
+#: small tables the segments of one side would displace matches that both sides have.
+PADDING = 1 << 15
 #: Compression made to find short matches in short windows.
-_PARAMETERS = {"window_log": 14, "hash_log": 13, "chain_log": 13, "search_log": 1, "min_match": 4, "target_length": 1, "strategy": zstandard.STRATEGY_FAST}
+_PARAMETERS = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 1, "min_match": SHORTEST, "target_length": 1, "strategy": zstandard.STRATEGY_FAST}
 
 
 def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -72,14 +75,10 @@ class Compressor:
         return np.fromiter((len(compress(p)) for p in parts), np.int64, len(parts))
 
 
-def segments(text: str, low: int = 4, high: int = 10) -> Counter:
-    """Substrings of words, each word with a space before it; counts are capped at three."""
-    out: Counter = Counter()
-    for word, n in Counter(WORD.findall(text.lower())).items():
-        word = f" {word}"
-        for s in {word[i : i + k] for k in range(low, min(high, len(word)) + 1) for i in range(len(word) - k + 1)}:
-            out[s] += n
-    return out
+def segments(word: str, low: int = SHORTEST, high: int = 10) -> set[str]:
+    """Substrings of a word with a space before it."""
+    word = f" {word}"
+    return {word[i : i + k] for k in range(low, min(high, len(word)) + 1) for i in range(len(word) - k + 1)}
 
 
 def different(texts: list[str], words: int = 5, hashes: int = 4) -> list[str]:
@@ -96,43 +95,89 @@ def different(texts: list[str], words: int = 5, hashes: int = 4) -> list[str]:
     return out
 
 
+def telling(own: list[Counter], other: list[Counter], *, least: float, most: int, candidates: int = 400) -> list[str]:
+    """Segments that speak for the texts ``own`` (as word counts) against ``other``.
+
+    The best by Welch's statistic of capped counts goes first; the words that it explains are then
+    taken away, so that no other part of the same words is chosen for what it shares with them.
+    """
+    texts = own + other
+    n, m = max(1, len(own)), max(1, len(other))
+
+    def statistic(counts: dict[int, int]) -> float:
+        a1 = a2 = b1 = b2 = 0.0
+        for t, k in counts.items():
+            k = min(k, 3)
+            if t < len(own):
+                a1, a2 = a1 + k, a2 + k * k
+            else:
+                b1, b2 = b1 + k, b2 + k * k
+        am, bm = a1 / n, b1 / m
+        return (am - bm) / math.sqrt((a2 / n - am * am + 1 / n) / n + (b2 / m - bm * bm + 1 / m) / m)
+
+    uses: dict[str, list[tuple[int, int]]] = {}
+    for t, words in enumerate(texts):
+        for word, k in words.items():
+            uses.setdefault(word, []).append((t, k))
+    # How much more a segment occurs in own texts picks candidates; only they get exact counts.
+    lead: Counter = Counter()
+    for word, found in uses.items():
+        weight = sum(min(k, 3) / n if t < len(own) else -min(k, 3) / m for t, k in found)
+        for s in segments(word):
+            lead[s] += weight
+    top = {s for s, _ in lead.most_common(candidates)}
+    holds = {word: hit for word in uses if (hit := segments(word) & top)}
+    counts: dict[str, dict[int, int]] = {s: {} for s in top}
+    for word, hit in holds.items():
+        for s in hit:
+            for t, k in uses[word]:
+                counts[s][t] = counts[s].get(t, 0) + k
+    score = {s: statistic(c) for s, c in counts.items()}
+
+    def own_only(s: str) -> bool:
+        """Ten times as frequent in own texts: then a part of a segment says as much as the whole."""
+        sides = [0.0, 0.0]
+        for t, k in counts[s].items():
+            sides[t >= len(own)] += min(k, 3)
+        return sides[0] / n >= 10 * sides[1] / m
+
+    links = [s for s in sorted(score, key=lambda s: (-score[s], s)) if len(s) == SHORTEST and score[s] >= least and own_only(s)]
+
+    def grown(s: str, longest: int = 16) -> str:
+        """``s`` with telling characters around it: a match may begin at any of them."""
+        while len(s) < longest and (more := next((x for x in links if x not in s and x[:-1] == s[1 - SHORTEST :]), None)):
+            s += more[-1]
+        while len(s) < longest and (more := next((x for x in links if x not in s and x[1:] == s[: SHORTEST - 1]), None)):
+            s = more[0] + s
+        return s
+
+    chosen: list[str] = []
+    while score and len(chosen) < most:
+        best = min(score, key=lambda s: (-round(score[s], 6), len(s), s))
+        if score[best] < least:
+            break
+        chosen.append(grown(best))
+        changed = set()
+        for word in [w for w, hit in holds.items() if best in hit]:
+            for s in holds.pop(word):
+                changed.add(s)
+                for t, k in uses[word]:
+                    counts[s][t] -= k
+        score.update({s: statistic(counts[s]) for s in changed})
+        del score[best]
+    return chosen
+
+
 def contrast(toxic: list[str], ordinary: list[str], size: int) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, each of at most ``size`` bytes."""
-    sums = []
-    for texts in (toxic, ordinary):
-        one, two = Counter(), Counter()
-        for text in texts:
-            for s, n in segments(text).items():
-                n = min(n, 3)
-                one[s] += n
-                two[s] += n * n
-        sums.append((one, two, max(1, len(texts))))
-    (a1, a2, an), (b1, b2, bn) = sums
-
-    def statistic(s):
-        am, bm = a1[s] / an, b1[s] / bn
-        return (am - bm) / math.sqrt((a2[s] / an - am * am + 1 / an) / an + (b2[s] / bn - bm * bm + 1 / bn) / bn)
-
-    ranked = sorted(((statistic(s), s) for s in a1.keys() | b1.keys() if a1[s] + b1[s] >= 5), reverse=True)
-
-    def pick(best, least=5.0):
-        chosen: list[str] = []
-        used = 0
-        for z, s in best:
-            if abs(z) < least or used > size // 2:
-                break
-            if not any(s in c for c in chosen):
-                chosen.append(s)
-                used += len(s.encode())
-        return chosen
-
-    # The most typical segments stand last, nearest to the window.
-    base = " ".join(w for w, _ in Counter(w for t in ordinary for w in set(WORD.findall(t.lower()))).most_common(200))[: size // 2]
-    halves = ["".join(reversed(pick(ranked))), "".join(reversed(pick(((z, s) for z, s in reversed(ranked)), 8.0)))]
-    # Equal sizes put the base at equal distances, so its matches cost the same on either side.
-    halves = [half.encode() for half in halves]
+    own, other = ([Counter(WORD.findall(t.lower())) for t in side] for side in (toxic, ordinary))
+    base = " ".join(w for w, _ in Counter(w for words in other for w in words).most_common(200))[: size // 2]
+    # The most telling segments stand last, nearest to the window.
+    halves = ["".join(f"\n{s}" for s in reversed(found)).encode() for found in (telling(own, other, least=4.5, most=size // 24), telling(other, own, least=8.0, most=size // 24))]
+    # Equal sizes put the base at equal distances, so its matches cost the same on either side;
+    # the last bytes of a dictionary aren't indexed, so they are filler.
     longest = max(map(len, halves))
-    return tuple(base.encode() + b"\n" * (longest - len(half)) + half for half in halves)
+    return tuple(b"\n" * PADDING + base.encode() + b"\n" * (longest - len(half)) + half + b"\n" * 16 for half in halves)
 
 
 class Model:
@@ -154,7 +199,7 @@ class Model:
         parts = windows(text)
         if not parts:
             return [0.0, 0.0]
-        gain = np.maximum(self._pair[0].lengths(parts) - self._pair[1].lengths(parts) - MARGIN, 0).sum()
+        gain = np.maximum(self._pair[0].lengths(parts) - self._pair[1].lengths(parts), 0).sum()
         size = sum(map(len, parts)) / WINDOW
         return [math.log1p(gain), 4 * math.log1p(2 * gain / (size + 1))]
 

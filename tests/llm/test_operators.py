@@ -355,9 +355,9 @@ def test_toxicity_on_held_out_rows(spark):
     model = toxicity.fit(docs, labels)
     known = docs.join(labels.select("doc_id", "toxic"), "doc_id").repartition(8)
     rows = [r for r in toxicity.score_toxicity(known, model).join(labels, "doc_id").collect() if r.held_out]
-    assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.94
+    assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.96
     clean = [r for r in rows if r.toxic == 0]
-    assert sum(r.predicted for r in clean) / len(clean) <= 0.03
+    assert sum(r.predicted for r in clean) / len(clean) <= 0.02
     assert all(0 <= r.score <= 1 for r in rows)
 
 
