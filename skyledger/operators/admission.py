@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import hashing, paths
+from ..functions import geo, hashing, paths
 
 
 def first_distinct(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -186,3 +186,29 @@ def lineage_closure(edges: DataFrame, *, max_depth: int = 16) -> DataFrame:
           SELECT up.child, e.parent, up.depth + 1 FROM up JOIN _lineage_edges e ON e.child = up.ancestor WHERE up.depth < {int(max_depth)})
         SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor""")
     return found.select("child", "ancestor", F.col("depth").cast("long").alias("depth"))
+
+
+def grounding_rows(rows: DataFrame, *, key: str = "question_id") -> DataFrame:
+    """Rows fit for grounding tasks, with the reason against each other row.
+
+    ``rows``: key, ``question``, a unit box ``west..north``, ``content`` (image bytes), ``image_width,
+    image_height``.  The box must be valid, the question not blank, the size in the image's header as
+    declared, and question and content not seen before (in key order).
+    """
+    sized = rows.join(image_sizes(rows, key), key).withColumn("content_sha", F.sha2("content", 256))
+    first_question = F.row_number().over(W.partitionBy("question").orderBy(key))
+    first_content = F.row_number().over(W.partitionBy("content_sha").orderBy(key))
+    sized = sized.withColumns({"_q": first_question, "_c": first_content})
+    code = (
+        F.when(~geo.valid_unit_box(geo.box()), "invalid_box")
+        .when(F.coalesce(F.trim("question"), F.lit("")) == "", "empty_question")
+        .when(F.col("width").isNull() | (F.col("width") != F.col("image_width")) | (F.col("height") != F.col("image_height")), "size_mismatch")
+        .when(F.col("_q") > 1, "repeated_question")
+        .when(F.col("_c") > 1, "repeated_image")
+    )
+    return sized.select(key, code.alias("code"))
+
+
+def associated(events: DataFrame, artifacts: DataFrame, keys: tuple[str, ...] = ("episode_id", "artifact_id")) -> DataFrame:
+    """Artifacts with the episodes that may use them: exact pairs only."""
+    return artifacts.join(events.select(*keys).distinct(), list(keys))

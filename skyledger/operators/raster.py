@@ -220,6 +220,12 @@ def tile_grid(rasters: DataFrame, *, tile: int = 2048) -> DataFrame:
     )
 
 
+def pixel_grid(tiles: DataFrame) -> DataFrame:
+    """One row a pixel of ``tiles(raster_id, col_off, row_off, tile_width, tile_height)``: never a whole raster at once."""
+    rows = tiles.withColumn("row_idx", F.explode(F.sequence(F.col("row_off"), F.col("row_off") + F.col("tile_height") - 1)))
+    return rows.select("raster_id", "row_idx", F.explode(F.sequence(F.col("col_off"), F.col("col_off") + F.col("tile_width") - 1)).alias("col_idx"))
+
+
 def admission(width: Column, height: Column, size: Column, *, pixels: int = 20_000_000, most: int = 128 << 20) -> Column:
     """Whether an image is taken whole, by windows, or refused."""
     return F.when(size > most, "oversize").when(width * height > pixels, "window").otherwise("whole")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
 from ..operators import admission as A
+from ..sources import readers
 from . import views as V
 from .registry import query
 
@@ -219,3 +220,29 @@ def set_union(spark, d):
 def set_intersection(spark, d):
     """What both sides have."""
     return V.read(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(V.read(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT url FROM pages")
+def projected_column(spark, d):
+    """One guarded column of a table; the plan reads no other."""
+    return readers.parquet_column(spark, f"{d}/pages.parquet", "url")
+
+
+@query("SELECT l_orderkey AS episode_id, l_partkey AS artifact_id, l_linenumber AS line FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey=l_orderkey AND o_custkey%2=0 AND l_partkey%3=0)")
+def associated_artifacts(spark, d):
+    """Artifacts of an episode, by exact association."""
+    lines = V.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.col("l_partkey").alias("artifact_id"), F.col("l_linenumber").alias("line"))
+    even = V.read(spark, d, "orders").where("o_custkey % 2 = 0").select(F.col("o_orderkey").alias("episode_id"))
+    events = lines.where("artifact_id % 3 = 0").join(even, "episode_id", "left_semi")
+    return A.associated(events, lines)
+
+
+@query("""SELECT doc_id AS question_id, CASE WHEN doc_id%10=0 THEN 'invalid_box' WHEN doc_id%10=1 THEN 'empty_question' WHEN doc_id%10=2 THEN 'size_mismatch' WHEN doc_id%10=3 AND doc_id>3 AND EXISTS (SELECT 1 FROM labels b WHERE b.doc_id%10=3 AND b.doc_id<l.doc_id) THEN 'repeated_question' END AS code FROM labels l""")
+def grounding_rows(spark, d):
+    """Rows fit for grounding tasks, and why others aren't."""
+    k = F.col("doc_id")
+    number = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), number(k % 5000 + 1), number(F.lit(9)), F.unhex(F.lit("0802000000")), number(k))
+    question = F.when(k % 10 == 1, " ").when(k % 10 == 3, "the same?").otherwise(F.concat(F.lit("q"), k.cast("string")))
+    rows = V.read(spark, d, "labels").select(k.alias("question_id"), question.alias("question"), F.when(k % 10 == 0, 0.9).otherwise(0.1).alias("west"), F.lit(0.1).alias("south"), F.lit(0.5).alias("east"), F.lit(0.5).alias("north"), png.alias("content"), F.when(k % 10 == 2, 0).otherwise(k % 5000 + 1).cast("int").alias("image_width"), F.lit(9).alias("image_height"))
+    return A.grounding_rows(rows)

@@ -301,6 +301,14 @@ def tile_grid(spark, d):
     return P.tile_grid(sizes(spark, d))
 
 
+@query("WITH r AS (SELECT n_nationkey AS raster_id, n_nationkey%5*7+3 AS w, n_nationkey%4*9+2 AS h FROM nation), c AS (SELECT raster_id, w, h, unnest(range(w)) AS col_idx FROM r) SELECT raster_id, col_idx, unnest(range(h)) AS row_idx FROM c")
+def pixel_grid(spark, d):
+    """Pixels of small rasters, tile by tile."""
+    k = F.col("n_nationkey").cast("long")
+    rasters = V.read(spark, d, "nation").select(F.col("n_nationkey").alias("raster_id"), (k % 5 * 7 + 3).alias("width"), (k % 4 * 9 + 2).alias("height"))
+    return P.pixel_grid(P.tile_grid(rasters, tile=8))
+
+
 @query(f"WITH {SIZES_SQL} SELECT CASE WHEN bytes>134217728 THEN 'oversize' WHEN width*height>20000000 THEN 'window' ELSE 'whole' END AS admission, count(*) AS rasters FROM r GROUP BY 1")
 def raster_admission(spark, d):
     """Whole, by windows, or refused."""
