@@ -169,9 +169,14 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     words64 = [F.conv(F.hex(F.substring("a_bits", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b_bits", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(VERIFY)]
     distance = sum((F.bit_count(w) for w in words64[1:]), F.bit_count(words64[0]))
     near = written(pairs.join(one, "a").join(two, "b").withColumn("distance", distance).where(F.col("distance") <= most + doubt).select("a", "b", "distance"))
-    sure = near.where(F.col("distance") < most - doubt).select("a", "b")
-    edges = written(sure.unionByName(similar(docs, near.where(F.col("distance") >= most - doubt), words, similarity)))
-    found = components(edges)
+    # What sure links join already needs no comparison of texts.
+    sure = written(components(near.where(F.col("distance") < most - doubt).select("a", "b")).where("node <> component"))
+    of = lambda side: sure.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+    unsure = near.where(F.col("distance") >= most - doubt).join(of("a"), "a", "left").join(of("b"), "b", "left")
+    unsure = unsure.withColumns({f"{x}_component": F.coalesce(f"{x}_component", x) for x in ("a", "b")}).where("a_component <> b_component")
+    more = similar(docs, written(unsure.select("a", "b", "a_component", "b_component")), words, similarity)
+    edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    found = components(written(edges))
     linked = classes.select("id", "bits").join(found, F.col("id") == F.col("node"), "left").select("bits", F.coalesce("component", "id").alias("component_id"))
     return seen.select("doc_id", "bits").join(linked, "bits").select("doc_id", "component_id")
 
@@ -187,12 +192,13 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
 
     sets_of = map_rows(texts, lambda: sets, "id long, shingles array<long>").dropDuplicates(["id"])
     sets_of = written(sets_of)
-    rows = pairs.select("a", "b").join(sets_of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets_of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    rows = pairs.join(sets_of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets_of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return rows.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return rows.where(both >= similarity * (F.size("x") + F.size("y") - both)).drop("x", "y")
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies."""
-    kept = near_copies(docs, words=words, similarity=similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(written(kept), "doc_id", "left_semi")
+    # The dropped are fewer than the kept, so their list is the cheaper one to join.
+    dropped = near_copies(docs, words=words, similarity=similarity).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(written(dropped), "doc_id", "left_anti")
