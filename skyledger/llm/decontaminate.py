@@ -9,7 +9,7 @@ run, where a match counts +1 and a replacement -3, must have ``min_words`` words
 
 Defined cases: null and empty texts have no words and never match; an item or a document with fewer words than
 the shortest mask can't match; equal items are reported each; several alignments of one pair
-give the longest (then the earliest in the document); repeated documents each match; an empty
+give the longest (then the earliest in the document); repeated documents each match; rows without an id are not reported; an empty
 table on either side gives an empty result; extra columns are ignored.
 """
 

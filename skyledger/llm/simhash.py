@@ -198,7 +198,10 @@ def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each group of near copies."""
+    """``docs`` with one document, that of the smallest id, of each group of near copies.
+
+    Rows that repeat an id stay together; rows without an id stay.
+    """
     # The dropped are fewer than the kept, so their list is the cheaper one to join.
     dropped = near_copies(docs, words=words, similarity=similarity).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(written(dropped), "doc_id", "left_anti")

@@ -26,7 +26,7 @@ a passage in a third of all rows leaves each split once.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; an empty table gives
 an empty result; extra columns are ignored; ``doc_id`` must be unique (rows with one id share
-one mask).
+one mask); rows without a doc_id are neither sources nor repeats and lose nothing.
 """
 
 from __future__ import annotations
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = 4) -
     bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)}) if batches > 1 else []
     index, found = SuffixIndex(), None
     for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
-        batch = texts
+        batch = texts.where("doc_id IS NOT NULL")
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
         if high is not None:

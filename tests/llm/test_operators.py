@@ -412,3 +412,22 @@ def test_decontamination_is_native(spark, odd, empty):
     assert {r.doc_id for r in frame.collect()} == {8}
     assert contaminated(empty, bench).count() == 0
     assert contaminated(odd, bench.limit(0)).count() == 0
+
+
+# All: rows without an id
+
+
+def test_rows_without_an_id(spark):
+    text = prose(120, 77)
+    docs = spark.createDataFrame([(None, text, None, None, None), (1, text, None, None, None), (None, None, None, None, None)], DOCS)
+    assert near_duplicates(docs).count() == 3
+    assert keep_one(docs).count() == 3
+    assert {r.n_removed for r in remove_repeats(docs, batches=1).collect()} == {0}
+    assert scan_secrets(docs).count() == 3
+    assert pseudonymize(docs).count() == 3
+    assert quality.score_quality(docs).count() == 3
+    assert mix(docs, {"a": 1.0}).count() == 3
+    assert licences.scan_licences(licences.document_files(docs)).count() == 3
+    model = toxicity.fit(docs, spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int"))
+    assert toxicity.score_toxicity(docs, model).count() == 3
+    assert [r.doc_id for r in contaminated(docs, spark.createDataFrame([(0, text), (None, text)], "item_id long, text string")).collect()] == [1]
