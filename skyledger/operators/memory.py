@@ -53,20 +53,22 @@ def publish_batch(records: DataFrame, *, cap: int) -> DataFrame:
     return rows.withColumn("verdict", verdict).drop("_first", "_active")
 
 
-def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, cell: float = 1.0) -> DataFrame:
-    """Records for many searches at once, joined by grid cells.
+def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, cell: float = 10.0, days: int = 30) -> DataFrame:
+    """Records for many searches at once, joined by platform, stretches of time and coarse grid cells.
 
     ``records``: ``memory_id, platform``, a box, ``available_at, expires_at``, ``start, end``;
     ``queries``: ``query_id, platform, as_of``, a box ``q_*`` and ``q_start, q_end``.
     """
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
+    stretch = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (86_400 * days))
 
-    def cells(t: DataFrame, p: str) -> DataFrame:
+    def keyed(t: DataFrame, p: str, start: str, end: str) -> DataFrame:
+        t = t.where(F.col(start) <= F.col(end)).withColumn("ct", F.explode(F.sequence(stretch(F.col(start)), stretch(F.col(end)))))
         return t.withColumn("cx", F.explode(span(f"{p}west", f"{p}east"))).withColumn("cy", F.explode(span(f"{p}south", f"{p}north")))
 
-    met = cells(records, "").join(cells(queries, "q_"), ["platform", "cx", "cy"])
-    # Of all cells that both boxes meet only the first counts.
-    first = (F.col("cx") == F.floor(F.greatest("west", "q_west") / cell)) & (F.col("cy") == F.floor(F.greatest("south", "q_south") / cell))
+    met = keyed(records, "", "start", "end").join(keyed(queries, "q_", "q_start", "q_end"), ["platform", "ct", "cx", "cy"])
+    # Of all cells and stretches that both sides meet only the first counts.
+    first = (F.col("cx") == F.floor(F.greatest("west", "q_west") / cell)) & (F.col("cy") == F.floor(F.greatest("south", "q_south") / cell)) & (F.col("ct") == stretch(F.greatest("start", "q_start")))
     met = met.where(first & geo.intersects(geo.box(), geo.box("q_")) & times.current(F.col("as_of"), F.col("available_at"), F.col("expires_at")) & times.overlap(F.col("start"), F.col("end"), F.col("q_start"), F.col("q_end")))
     w = W.partitionBy("query_id")
     met = met.withColumns({"position": F.row_number().over(w.orderBy("memory_id")), "matched_count": F.count(F.lit(1)).over(w)})
