@@ -183,7 +183,9 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
 
 def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts share enough of their distinct shingles."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    # Either side is made distinct before they meet, so a document of many pairs is one row.
+    sides = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
+    ids = written(sides[0].unionByName(sides[1]).distinct())
     texts = docs_only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi")
 
     def sets(doc_id, text):
