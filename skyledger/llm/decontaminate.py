@@ -1,29 +1,32 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame functions only.
 
-Texts become lists of lower-cased words (letters and digits).  A mask picks eight words of a short
+Texts become lists of lower-cased words (letters and digits).  A mask picks words of a short
 stretch and ignores the others, so a replaced word under an ignored place doesn't hide a copy.
-Hashes of all stretches of the benchmark under all masks join those of the documents; a hit gives
-an alignment (item, document, shift).  Each alignment is then verified word by word: the best
-run, where a match counts +1 and a replacement -3, must have ``min_words`` words of which
-``similarity`` agree.
-
-Defined cases: null and empty texts have no words and never match; an item or a document with fewer words than
-the shortest mask can't match; equal items are reported each; several alignments of one pair
+Hashes of all stretches of the benchmark under the mask join those of the documents; hits give
+alignments (item, document, shift).  The mask is chosen with a number of hits that every
+overlap within the limits has (:func:`seeding`), so no overlap is lost.  Each alignment is then
+verified word by word: its longest stretch that begins and ends with equal words, has at least
+``min_words`` words and agrees in ``similarity`` of them.
+
+Defined cases: null and empty texts have no words and never match; an item or a document of fewer than
+``min_words`` words can't match; equal items are reported each; several alignments of one pair
 give the longest (then the earliest in the document); repeated documents each match; rows without an id are not reported; an empty
 table on either side gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_only, written
 
-#: Words looked at within a stretch, eight for each mask.
-MASKS = ("111101111", "11011011011", "1110010100111")
 MIN_WORDS = 10
 SIMILARITY = 0.8
+#: Words looked at within a stretch, and the hits that any overlap within the default limits has at least.
+MASK, HITS = "1101", 2
 #: Benchmark hashes that may be broadcast: 24 bytes each, so some 50 MB at most.
 BROADCAST_ROWS = 2_000_000
 
@@ -34,53 +37,82 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(cut, lambda w: w != ""), lambda w: F.hash(w))
 
 
-def seeds(tokens: str) -> Column:
-    """Mask by mask, the hashes of all stretches: ``n`` places each, null where one doesn't fit."""
-    t, n = F.col(tokens), F.size(tokens)
-
-    def under(k: int, mask: str) -> Column:
-        picked = [i for i, c in enumerate(mask) if c == "1"]
-        fits = n >= len(mask)
-        places = F.sequence(F.lit(0), F.when(fits, n - len(mask)).otherwise(0))
-        hashes = F.transform(places, lambda i: F.xxhash64(F.lit(k), *(F.get(t, i + p) for p in picked)))
-        return F.when(fits, hashes).otherwise(F.array().cast("array<bigint>"))
-
-    return F.array(*(under(k, mask) for k, mask in enumerate(MASKS)))
-
-
-def seed_rows(texts: DataFrame, key: str) -> DataFrame:
-    """``key, place, seed``: one row for each mask and stretch."""
-    found = texts.select(key, words(F.col("text")).alias("tokens")).where(F.size("tokens") >= min(map(len, MASKS)))
-    found = found.select(key, F.explode(seeds("tokens")).alias("hashes"))
-    return found.select(key, F.posexplode("hashes").alias("place", "seed"))
-
-
-def _fold(hits: Column) -> Column:
-    """The best run of an array of booleans: struct of score, length, matches and end."""
-    zero = F.struct(*(F.lit(0).alias(c) for c in ("score", "size", "same", "best", "best_size", "best_same", "best_end", "at")))
-
-    def step(acc: Column, hit: Column) -> Column:
-        gain = F.when(hit, 1).otherwise(-3)
-        score = F.greatest(acc.score, F.lit(0)) + gain
-        fresh = acc.score <= 0
-        size = F.when(fresh, 1).otherwise(acc["size"] + 1)
-        same = F.when(fresh, 0).otherwise(acc.same) + hit.cast("int")
-        better = (score > acc.best) & hit
-        keep = lambda new, old: F.when(better, new).otherwise(old)
-        return F.struct(score.alias("score"), size.alias("size"), same.alias("same"), keep(score, acc.best).alias("best"), keep(size, acc.best_size).alias("best_size"), keep(same, acc.best_same).alias("best_same"), keep(acc["at"] + 1, acc.best_end).alias("best_end"), (acc["at"] + 1).alias("at"))
-
-    return F.aggregate(hits, zero, step)
+def seeding(min_words: int, similarity: float) -> tuple[str, int]:
+    """A mask, and how often it hits in any stretch of ``min_words`` words or more that agrees in ``similarity``.
+
+    A stretch cut into parts of 10 to 19 words has a part that agrees in as large a share, and of all
+    patterns of such a part none has fewer than ``HITS`` hits (tested).  Looser limits take the
+    run of equal words that the misses must leave somewhere.
+    """
+    if min_words >= MIN_WORDS and similarity >= SIMILARITY:
+        return MASK, HITS
+    runs = []
+    for n in range(max(min_words, 1), max(min_words, 1) + 1000):
+        same = max(1, math.ceil(n * similarity - 1e-9))
+        runs.append(-(-same // (n - same + 1)))
+    return "1" * min(runs), 1
+
+
+def seed_rows(texts: DataFrame, key: str, mask: str) -> DataFrame:
+    """``key, place, seed``: one row for each stretch under the mask."""
+    picked = [i for i, c in enumerate(mask) if c == "1"]
+    found = texts.select(key, words(F.col("text")).alias("tokens")).where(F.size("tokens") >= len(mask))
+    places = F.sequence(F.lit(0), F.size("tokens") - len(mask))
+    return found.select(key, F.posexplode(F.transform(places, lambda i: F.xxhash64(*(F.get("tokens", i + p) for p in picked)))).alias("place", "seed"))
+
+
+def _longest(hits: Column, similarity: float) -> Column:
+    """The longest stretch of an array of booleans that begins and ends with a hit and has ``similarity`` hits: struct ``start, end``.
+
+    With ``p`` the sums of (hit - similarity), in millionths, it is the longest with ``p[start] <= p[end]``:
+    the least ``p`` of starts so far and the largest of ends yet to come meet in one walk.
+    """
+    part = round(similarity * 1_000_000)
+    none = 1 << 62
+
+    def sums(hits: Column, gain: Column, lose: Column) -> Column:
+        """For each place: its sum if the word there is equal, and the running bound."""
+        zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(none).alias("bound"), F.array().cast("array<bigint>").alias("all"))
+
+        def step(acc: Column, hit: Column) -> Column:
+            bound = F.when(hit & (acc["sum"] < acc.bound), acc["sum"]).otherwise(acc.bound)
+            return F.struct((acc["sum"] + F.when(hit, gain).otherwise(lose)).alias("sum"), bound.alias("bound"), F.concat(acc["all"], F.array(bound)).alias("all"))
+
+        return F.aggregate(hits, zero, step)
+
+    # From the other end the sums of what is left, so that p[end] = total - rest: its least is p's largest.
+    gain, lose = F.lit(1_000_000 - part).cast("long"), F.lit(-part).cast("long")
+    left, right = sums(hits, gain, lose), sums(F.reverse(hits), gain, lose)
+    zero = F.struct(left["all"].alias("low"), F.reverse(right["all"]).alias("rest"), left["sum"].alias("total"), *(F.lit(0).alias(c) for c in ("i", "j", "start", "end")))
+
+    def walk(acc: Column, _: Column) -> Column:
+        low, rest = F.get(acc.low, acc.i), F.get(acc.rest, acc.j)
+        # Past the end either is null and nothing moves.
+        fits = (low < none) & (rest < none) & (low <= acc.total - rest)
+        longer = fits & (acc.j + 1 - acc.i > acc.end - acc.start)
+        return F.struct(
+            acc.low.alias("low"),
+            acc.rest.alias("rest"),
+            acc.total.alias("total"),
+            F.when(fits, acc.i).otherwise(acc.i + 1).alias("i"),
+            F.when(fits, acc.j + 1).otherwise(acc.j).alias("j"),
+            F.when(longer, acc.i).otherwise(acc.start).alias("start"),
+            F.when(longer, acc.j + 1).otherwise(acc.end).alias("end"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), 2 * F.size(hits)), zero, walk, lambda acc: F.struct(acc.start.alias("start"), acc.end.alias("end")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, doc_start, item_start, n_words, n_same``: the best verified overlap of a pair."""
     docs = docs_only(docs, "doc_id", "text")
     items = docs_only(benchmark, "item_id", "text")
-    tests = written(seed_rows(items, "item_id").select("seed", "item_id", F.col("place").alias("item_place")))
+    mask, least = seeding(min_words, similarity)
+    tests = written(seed_rows(items, "item_id", mask).select("seed", "item_id", F.col("place").alias("item_place")))
     small = tests.count() <= BROADCAST_ROWS
-    met = seed_rows(docs, "doc_id").join(F.broadcast(tests) if small else tests, "seed")
-    aligned = met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct()
-    aligned = written(aligned)
+    met = seed_rows(docs, "doc_id", mask).join(F.broadcast(tests) if small else tests, "seed")
+    aligned = met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
+    aligned = written(aligned.where(F.col("hits") >= least).select("doc_id", "item_id", "shift"))
 
     item_words = items.select("item_id", words(F.col("text")).alias("item_words"))
     doc_words = docs.join(aligned.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("doc_words"))
@@ -89,10 +121,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, min_words: int = MIN_
     last = F.least(F.size("item_words"), F.size("doc_words") - F.col("shift")) - 1
     pairs = pairs.withColumn("first", first).withColumn("last", last).where("first <= last")
     hits = F.transform(F.sequence("first", "last"), lambda i: F.get("item_words", i) == F.get("doc_words", i + F.col("shift")))
-    run = pairs.select("doc_id", "item_id", "shift", "first", _fold(hits).alias("run"))
-    start = F.col("first") + F.col("run.best_end") - F.col("run.best_size")
-    run = run.select("doc_id", "item_id", (start + F.col("shift")).alias("doc_start"), start.alias("item_start"), F.col("run.best_size").alias("n_words"), F.col("run.best_same").alias("n_same"))
-    run = run.where((F.col("n_words") >= min_words) & (F.col("n_same") >= F.col("n_words") * similarity))
+    run = pairs.select("doc_id", "item_id", "shift", "first", hits.alias("hits")).withColumn("run", _longest(F.col("hits"), similarity))
+    start, size = F.col("first") + F.col("run.start"), F.col("run.end") - F.col("run.start")
+    same = F.size(F.filter(F.slice("hits", F.col("run.start") + 1, size), lambda hit: hit))
+    run = run.select("doc_id", "item_id", (start + F.col("shift")).alias("doc_start"), start.alias("item_start"), size.alias("n_words"), same.alias("n_same"))
+    run = run.where(F.col("n_words") >= max(min_words, 1))
     best = run.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("doc_start")).alias("early"), "item_start", "n_words")).alias("x"))
     return best.select("doc_id", "item_id", (-F.col("x.early")).alias("doc_start"), "x.item_start", "x.n_words", "x.n_same")
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from skyledger.llm import chroma, licences, quality, toxicity
 from skyledger.llm.components import components
-from skyledger.llm.decontaminate import contaminated, decontaminate
+from skyledger.llm.decontaminate import HITS, MASK, contaminated, decontaminate, seeding
 from skyledger.llm.mixing import mix, schedule, shares
 from skyledger.llm.pseudonyms import Permutation, Pseudonyms, luhn_digit, pseudonymize
 from skyledger.llm.secret_scan import scan_secrets
@@ -405,6 +406,33 @@ def test_decontamination_against_brute_force(spark):
     assert left == set(range(len(texts))) - {d for d, _ in got}
 
 
+def test_mask_misses_no_overlap():
+    picked = [i for i, c in enumerate(MASK) if c == "1"]
+    for n in range(10, 20):
+        for gone in itertools.combinations(range(n), n // 5):
+            hit = [i not in gone for i in range(n)]
+            assert sum(all(hit[i + p] for p in picked) for i in range(n - len(MASK) + 1)) >= HITS
+    assert seeding(12, 0.9) == (MASK, HITS) and seeding(10, 0.7) == ("11", 1)
+
+
+def test_decontamination_finds_all_overlaps(spark):
+    """Replaced words near the ends, close together, and in the shortest items."""
+    r = random.Random(12)
+    items = [prose(15 + i % 16, 4000 + i) for i in range(48)]
+    texts = []
+    for i, item in enumerate(items):
+        for k in range(4):
+            words = item.split()
+            for at in r.sample(range(len(words)), len(words) // 5):
+                words[at] = f"other{k}"
+            texts.append(prose(12, 4100 + 4 * i + k) + " " + " ".join(words) + " " + prose(12, 4400 + 4 * i + k))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = {(x.doc_id, x.item_id): x for x in contaminated(table(spark, texts), bench).collect()}
+    want = {(i, j) for i, t in enumerate(texts) for j, b in enumerate(items) if brute_alignment(t, b)}
+    assert len(want) > 150 and set(rows) == want
+    assert all(x.n_words >= 10 and x.n_same >= 0.8 * x.n_words for x in rows.values())
+
+
 def test_decontamination_is_native(spark, odd, empty):
     bench = spark.createDataFrame([(0, prose(80, 2))], "item_id long, text string")
     frame = contaminated(odd, bench)
