@@ -96,6 +96,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = DISTANCE
 INDEX_WORDS, SEGMENTS, VERIFY = 2, 10, 8
 #: Least certain bits of a segment that a probe may flip, all subsets of them.
 FLIPS = 4
+#: Keys of more than one fingerprint that may be broadcast: 8 bytes each.
+BROADCAST_ROWS = 1_000_000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -149,8 +151,10 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     a share of differing bits.  At 0.8 that is 15 %, too many for a short fingerprint, so the
     complete fingerprint has 512 bits and the index has ten 32-bit segments of shorter shingles,
     which a change of one word disturbs less.  A probe enumerates, in each segment, the ball of
-    keys that flip its ``FLIPS`` least certain bits.  Each table entry holds the smallest and
-    the largest id of its fingerprints, so a group of near copies gives links in proportion to its size.
+    keys that flip its ``FLIPS`` least certain bits.  First a probe meets the smallest id of a key alone,
+    which joins a group of near copies by links in proportion to its size.  Then it meets all other
+    members of the key that are in another group by then, so every pair that shares a key is compared or
+    already in one group; texts of one template that are no near copies meet each other there.
     Complete distances decide, but for those within three standard deviations of the limit:
     there the shingles themselves are compared.
     """
@@ -159,24 +163,39 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     made = map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, *wide(text, words)), "doc_id long, probes array<array<long>>, bits binary")
     seen = written(made)
     classes = written(seen.groupBy("bits").agg(F.min(F.struct("doc_id", "probes")).alias("x")).select(F.col("x.doc_id").alias("id"), "bits", "x.probes"))
-    table = classes.select("id", F.explode(F.transform("probes", lambda p: p[0])).alias("key"))
-    table = table.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    entries = classes.select("id", F.explode(F.transform("probes", lambda p: p[0])).alias("key"))
+    table = entries.groupBy("key").agg(F.min("id").alias("low"))
     probes = classes.select("id", F.explode(F.flatten("probes")).alias("key"))
-    met = probes.join(table, "key").where("id <> low OR id <> high")
-    pairs = met.select(F.explode(F.array(F.struct(F.least("id", "low").alias("a"), F.greatest("id", "low").alias("b")), F.struct(F.least("id", "high").alias("a"), F.greatest("id", "high").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    one = classes.select(F.col("id").alias("a"), F.col("bits").alias("a_bits"))
-    two = classes.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"))
-    words64 = [F.conv(F.hex(F.substring("a_bits", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b_bits", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(VERIFY)]
-    distance = sum((F.bit_count(w) for w in words64[1:]), F.bit_count(words64[0]))
-    near = written(pairs.join(one, "a").join(two, "b").withColumn("distance", distance).where(F.col("distance") <= most + doubt).select("a", "b", "distance"))
-    # What sure links join already needs no comparison of texts.
-    sure = written(components(near.where(F.col("distance") < most - doubt).select("a", "b")).where("node <> component"))
-    of = lambda side: sure.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
-    unsure = near.where(F.col("distance") >= most - doubt).join(of("a"), "a", "left").join(of("b"), "b", "left")
-    unsure = unsure.withColumns({f"{x}_component": F.coalesce(f"{x}_component", x) for x in ("a", "b")}).where("a_component <> b_component")
-    more = similar(docs, written(unsure.select("a", "b", "a_component", "b_component")), words, similarity)
-    edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
-    found = components(written(edges))
+
+    def joined(met: DataFrame, known: DataFrame | None) -> DataFrame:
+        """``node, component`` of nodes other than their component, from ``known`` and pairs ``met(id, other)``."""
+        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+        one = classes.select(F.col("id").alias("a"), F.col("bits").alias("a_bits"))
+        two = classes.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"))
+        words64 = [F.conv(F.hex(F.substring("a_bits", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b_bits", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(VERIFY)]
+        distance = sum((F.bit_count(w) for w in words64[1:]), F.bit_count(words64[0]))
+        near = written(pairs.join(one, "a").join(two, "b").withColumn("distance", distance).where(F.col("distance") <= most + doubt).select("a", "b", "distance"))
+        if known and near.isEmpty():
+            return known
+        # What sure links join already needs no comparison of texts.
+        links = near.where(F.col("distance") < most - doubt).select("a", "b")
+        links = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))) if known else links
+        sure = written(components(links).where("node <> component"))
+        of = lambda side: sure.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
+        unsure = near.where(F.col("distance") >= most - doubt).join(of("a"), "a", "left").join(of("b"), "b", "left")
+        unsure = unsure.withColumns({f"{x}_component": F.coalesce(f"{x}_component", x) for x in ("a", "b")}).where("a_component <> b_component")
+        more = similar(docs, written(unsure.select("a", "b", "a_component", "b_component")), words, similarity)
+        edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+        return written(components(written(edges)).where("node <> component"))
+
+    first = joined(probes.join(table, "key").where("id <> low").select("id", F.col("low").alias("other")), None)
+    rest = entries.join(table, "key").where("id <> low").join(first, F.col("id") == F.col("node"), "left")
+    rest = written(rest.select("key", F.col("id").alias("other"), F.coalesce("component", "id").alias("component")))
+    # Groups of a key before members: a key of one group alone gives no row, however large it is.
+    own = probes.join(F.broadcast(rest.select("key").distinct()) if rest.count() <= BROADCAST_ROWS else rest.select("key").distinct(), "key")
+    own = own.join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("own"))
+    asks = own.join(rest.select("key", "component").distinct(), "key").where("own <> component")
+    found = joined(asks.join(rest, ["key", "component"]).select("id", "other"), first)
     linked = classes.select("id", "bits").join(found, F.col("id") == F.col("node"), "left").select("bits", F.coalesce("component", "id").alias("component_id"))
     return seen.select("doc_id", "bits").join(linked, "bits").select("doc_id", "component_id")
 

@@ -262,6 +262,30 @@ def test_near_copies_by_similarity(spark):
     assert keep_one(table(spark, texts)).count() == 20
 
 
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def templates(families):
+    """Two near copies of each of many texts that share a template, all of them too far apart otherwise."""
+    template, texts = prose(300, 6000).split(), []
+    for f in range(families):
+        own = prose(38, 6100 + f).split()
+        text = " ".join(template[:128] + own + template[166:])
+        texts += [text, edited(text, 4, f)]
+    return texts
+
+
+def test_near_copies_of_one_template(spark):
+    texts = templates(500)
+    out = {r.doc_id: r.component_id for r in near_copies(table(spark, texts)).collect()}
+    sets = [shingles(t) for t in texts]
+    close = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert all(close(i, i + 1) for i in range(0, 1000, 2)) and not any(close(i, i + k) for i in range(0, 900, 2) for k in (2, 3, 50))
+    assert [out[i] for i in range(1000)] == [i - i % 2 for i in range(1000)]
+
+
 def test_simhash_edges(odd, empty):
     assert near_duplicates(odd).count() == odd.count()
     assert near_duplicates(empty).count() == 0
