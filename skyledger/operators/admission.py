@@ -67,18 +67,25 @@ def running_cap(rows: DataFrame, key: str, order: list[str], size: str, cap: int
 
 
 def greedy_cap(rows: DataFrame, key: str, order: list[str], size: str, cap: int) -> DataFrame:
-    """Items in order, each taken if it still fits; for samples, whose groups are small."""
-    schema = rows.schema
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        used, keep = 0, []
-        for n in group[size]:
-            keep.append(used + n <= cap)
-            used += n if keep[-1] else 0
-        return group[keep]
-
-    return rows.groupBy(key).applyInPandas(take, schema)
+    """Items in order, each taken if it still fits.
+
+    The choice is sequential by nature; each key is a stream of sorted batches, so that a large one
+    needs no memory in proportion to its size.
+    """
+
+    def run(batches):
+        key_now, used = None, None
+        for batch in batches:
+            keep = []
+            for k, n in zip(batch[key], batch[size], strict=True):
+                k = None if pd.isna(k) else k
+                if used is None or k != key_now:
+                    key_now, used = k, 0
+                keep.append(bool(used + n <= cap))
+                used += n if keep[-1] else 0
+            yield batch[keep]
+
+    return rows.repartition(key).sortWithinPartitions(key, *(F.asc_nulls_last(c) for c in order)).mapInPandas(run, rows.schema)
 
 
 def physical_usage(files: DataFrame) -> DataFrame:

@@ -87,8 +87,7 @@ def running_byte_cap(spark, d):
 @query()
 def greedy_byte_cap(spark, d):
     """W08, the skipping form: items that no longer fit are passed over (tests hold it against a loop)."""
-    sample = A.seeded_sample(V.assets(spark, d), "dataset_id", 50, "7")
-    return A.greedy_cap(sample, "dataset_id", ["doc_id"], "size_bytes", 20_000).select("dataset_id", "asset_id", "size_bytes")
+    return A.greedy_cap(V.assets(spark, d), "dataset_id", ["doc_id"], "size_bytes", 20_000).select("dataset_id", "asset_id", "size_bytes")
 
 
 CATEGORY = """CASE WHEN path LIKE '%.sqlite3-wal' THEN 'sqlite_wal' WHEN path LIKE '%.sqlite3' THEN 'sqlite_main' WHEN path LIKE '%.log' THEN 'logs' WHEN path LIKE '%.pt' THEN 'checkpoints' ELSE 'uncategorized' END"""

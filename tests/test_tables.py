@@ -10,6 +10,8 @@ from skyledger.functions import hashing, paths
 from skyledger.operators import admission as A
 from skyledger.operators import evaluate as E
 from skyledger.operators import log as L
+from skyledger.plans import registry
+from skyledger.plans import views as V
 from skyledger.sources import readers, sinks
 
 
@@ -51,6 +53,18 @@ def test_greedy_cap_skips(spark):
     assert sorted(r.i for r in A.running_cap(rows, "k", ["i"], "size", 10).collect()) == [0]
 
 
+def test_greedy_byte_cap_reads_all_rows(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumn("source", F.lit("src0"))
+    assert docs.count() > 50
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want, used = set(), 0
+    for r in V.assets(spark, str(tmp_path)).orderBy("doc_id").collect():
+        if used + r.size_bytes <= 20_000:
+            want.add(r.asset_id)
+            used += r.size_bytes
+    assert {r.asset_id for r in registry.QUERIES["greedy_byte_cap"](spark, str(tmp_path)).collect()} == want
+
+
 def test_overlapping_scopes(spark):
     rows = spark.createDataFrame([("a",), ("a/b",), ("ab",), ("a/b/c",)], "scope string")
     found = {(r.outer_scope, r.inner_scope) for r in A.overlapping_scopes(rows).collect()}
