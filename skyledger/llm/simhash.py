@@ -162,7 +162,7 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     most, doubt = round(64 * VERIFY * share), round(3 * (64 * VERIFY * share * (1 - share)) ** 0.5)
     made = map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, *wide(text, words)), "doc_id long, probes array<array<long>>, bits binary")
     seen = written(made)
-    classes = written(seen.groupBy("bits").agg(F.min(F.struct("doc_id", "probes")).alias("x")).select(F.col("x.doc_id").alias("id"), "bits", "x.probes"))
+    classes = written(seen.groupBy("bits").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "probes")).alias("x")).select(F.col("x.doc_id").alias("id"), "bits", "x.probes"))
     entries = classes.select("id", F.explode(F.transform("probes", lambda p: p[0])).alias("key"))
     table = entries.groupBy("key").agg(F.min("id").alias("low"))
     probes = classes.select("id", F.explode(F.flatten("probes")).alias("key"))

@@ -293,6 +293,13 @@ def test_simhash_edges(odd, empty):
     assert keep_one(odd).columns == odd.columns
 
 
+def test_near_copies_beside_a_row_without_id(spark):
+    text = prose(120, 78)
+    docs = spark.createDataFrame([(i, text, None, None, None) for i in (None, 1, 2)], DOCS)
+    assert {r.component_id for r in near_copies(docs).collect()} == {1}
+    assert {r.doc_id for r in keep_one(docs).collect()} == {None, 1}
+
+
 # 7 suffix dedup
 
 
