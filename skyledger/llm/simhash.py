@@ -17,6 +17,7 @@ rows; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,32 +94,54 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = DISTANCE
 
 
 #: Near copies: words of an index shingle, index segments of 32 bits, 64-bit words to verify.
-INDEX_WORDS, SEGMENTS, VERIFY = 2, 10, 8
+INDEX_WORDS, SEGMENTS, VERIFY = 2, 14, 32
 #: Least certain bits of a segment that a probe may flip, all subsets of them.
 FLIPS = 4
-#: Keys of more than one fingerprint that may be broadcast: 8 bytes each.
+#: Pairs of two groups that are compared before all of them are.
+MEMBERS = 8
+#: Members of a key that meet as many others at once: 70 KB.
+BLOCK = 256
+#: Texts to compare by their shingles whose ids may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th independent 64-bit hash made of a hash."""
-    x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    """(k, len(h)): ``k`` independent 64-bit hashes made of each hash."""
+    x = h + np.arange(1, k + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
+#: Bits of each byte, the highest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32)
+
+
+def _counted(x: np.ndarray) -> np.ndarray:
+    """(k, 64): how many of the 64-bit words of each row of ``x`` have each bit, the highest first."""
+    k, n = x.shape
+    if n <= 500:
+        lanes = np.arange(8 * k).reshape(k, 1, 8) * 256
+        seen = np.bincount((x.astype(">u8").view(np.uint8).reshape(k, n, 8) + lanes).ravel(), minlength=k * 2048)
+        return (seen.reshape(8 * k, 256).astype(np.float32) @ _BITS).reshape(k, 64).astype(np.int64)
+    # Three words of one weight become one of it and one of twice that, until two words are left.
+    total, weight = np.zeros((k, 64), np.int64), 1
+    while x.shape[1]:
+        twice = [x[:, :0]]
+        while (m := x.shape[1] // 3) > 0:
+            a, b, c = x[:, :m], x[:, m : 2 * m], x[:, 2 * m : 3 * m]
+            odd = a ^ b
+            twice.append((a & b) | (odd & c))
+            x = np.concatenate([odd ^ c, x[:, 3 * m :]], axis=1)
+        bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(k, -1, 8), axis=2)
+        total += weight * bits.sum(axis=1, dtype=np.int64)
+        x, weight = np.concatenate(twice, axis=1), 2 * weight
+    return total
+
+
 def _balance(h: np.ndarray, k: int) -> np.ndarray:
     """Of 64 * k bits of distinct shingles: how many more ones than zeros, by bit."""
-    out = np.zeros(64 * k, np.int64)
-    for at in range(0, len(h), 255 * 64):
-        part = h[at : at + 255 * 64]
-        for j in range(k):
-            bits = np.unpackbits(_mixed(part, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            # Sums of at most 255 rows fit the byte they are added in.
-            for b in range(0, len(bits), 255):
-                out[64 * j : 64 * j + 64] += bits[b : b + 255].sum(axis=0, dtype=np.uint8)
-    return 2 * out - len(h)
+    return 2 * sum(_counted(_mixed(h[at : at + CHUNK], k)) for at in range(0, len(h), CHUNK)).ravel() - len(h)
 
 
 def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
@@ -130,18 +153,143 @@ def _shingles(tokens: list[bytes], words: int) -> np.ndarray:
     return np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams))
 
 
-def wide(text: str | None, words: int) -> tuple[list[list[int]], bytes]:
-    """Probe keys of each segment (the first is its own key) and the bits to verify."""
+def wide(text: str | None, words: int) -> tuple[list[int], list[int], bytes]:
+    """Key of each segment, the places of its least certain bits (five bits each) and the bits to verify."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     index = _balance(_shingles(tokens, INDEX_WORDS), SEGMENTS // 2).reshape(SEGMENTS, 32)
-    keys = ((index > 0) << np.arange(32)).sum(axis=1).tolist()
-    probes = []
-    for s, key in enumerate(keys):
-        ball = [s << 32 | key]
-        for bit in np.argsort(np.abs(index[s]), kind="stable")[:FLIPS].tolist():
-            ball += [k ^ 1 << bit for k in ball]
-        probes.append(ball)
-    return probes, np.packbits(_balance(_shingles(tokens, words), VERIFY) > 0).tobytes()
+    keys = ((index > 0) << np.arange(32)).sum(axis=1) + (np.arange(SEGMENTS) << 32)
+    doubtful = np.argsort(np.abs(index), axis=1, kind="stable")[:, :FLIPS]
+    packed = (doubtful << 5 * np.arange(FLIPS)).sum(axis=1)
+    return keys.tolist(), packed.tolist(), np.packbits(_balance(_shingles(tokens, words), VERIFY) > 0).tobytes()
+
+
+def _balls(entries: DataFrame) -> DataFrame:
+    """``node, key``: of ``entries(node, key, flips)``, all keys that flip some of the least certain bits."""
+    flipped = " | ".join(f"shiftleft(CAST(shiftright(c, {i}) & 1 AS BIGINT), shiftright(flips, {5 * i}) & 31)" for i in range(FLIPS))
+    subsets = F.array(*(F.lit(c) for c in range(1 << FLIPS)))
+    return entries.withColumn("c", F.explode(subsets)).select("node", F.expr(f"key ^ ({flipped})").alias("key"))
+
+
+def _near(a: pa.Array, b: pa.Array, far: np.ndarray, most: int) -> pa.RecordBatch:
+    at = pa.array(np.flatnonzero(far <= most))
+    return pa.RecordBatch.from_arrays([a.take(at), b.take(at), pa.array(far, pa.int32()).take(at)], ["a", "b", "distance"])
+
+
+def _across(table: DataFrame, probes: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """``a, b, distance`` of the pairs of different groups under a key at most ``most`` bits apart.
+
+    Both sides have ``key, node, component``.  Under each key they meet in blocks of about ``BLOCK``
+    members, so no key meets in one task and no row is made for a pair that is far apart.  Members of the
+    largest group under a key meet those of the other groups alone.
+    """
+    sizes = table.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
+        rows = rows.withColumns({"main": F.col("component") == F.col("largest"), "block": block}).join(classes.select("node", "bits"), "node")
+        return rows.groupBy("key", "main", "block").agg(F.collect_list(F.struct("node", "component", "bits")).alias("rows"))
+
+    # A key of one group is of use only to probes from elsewhere.
+    asked = probes.join(keys, "key").where("groups > 1 OR component <> largest")
+    counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    asked = written(asked.drop("n"))
+    one = blocks(asked.join(counts, "key"))
+    two = blocks(table.join(keys, "key").join(asked.select("key").distinct(), "key", "left_semi"))
+    met = one.select("key", F.col("main").alias("one_main"), F.col("rows").alias("one")).join(two.select("key", F.col("main").alias("two_main"), F.col("rows").alias("two")), "key").where("NOT (one_main AND two_main)").select("one", "two")
+
+    def compare(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for c in (0, 1):
+                    rows = batch.column(c)[i].values
+                    bits = np.frombuffer(b"".join(rows.field(2).to_pylist()), np.uint64).reshape(-1, VERIFY)
+                    sides.append((rows.field(0).to_numpy(), rows.field(1).to_numpy(), bits))
+                (a, a_group, a_bits), (b, b_group, b_bits) = sides
+                for k in range(len(a)):
+                    other = np.flatnonzero(b_group != a_group[k])
+                    far = np.bitwise_count(b_bits[other] ^ a_bits[k]).sum(axis=1, dtype=np.int32)
+                    at = np.flatnonzero(far <= most)
+                    if len(at):
+                        met = b[other[at]]
+                        yield pa.RecordBatch.from_pydict({"a": np.minimum(met, a[k]), "b": np.maximum(met, a[k]), "distance": far[at]})
+
+    return met.mapInArrow(compare, "a long, b long, distance int").distinct()
+
+
+def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``doc_id, digest, copies, first``: each row's group, as the struct ``none, doc_id, digest`` of its first row.
+
+    ``none`` marks a null id and sorts it last; ``digest`` is a hash of the text and ``copies`` how many rows
+    have both.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most, doubt = round(64 * VERIFY * share), round(3 * (64 * VERIFY * share * (1 - share)) ** 0.5)
+    texts = docs_only(docs, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
+    seen = written(map_rows(texts, lambda: lambda doc_id, text, digest: (doc_id, digest, *wide(text, words)), "doc_id long, digest long, keys array<long>, flips array<int>, bits binary"))
+    whole = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "keys", "flips")
+    classes = seen.groupBy("bits").agg(F.min(whole).alias("x"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "bits", "x.*"))
+    entries = classes.select("node", F.explode(F.arrays_zip("keys", "flips")).alias("e")).select("node", "e.keys", "e.flips").withColumnRenamed("keys", "key")
+
+    def compared(met: DataFrame) -> DataFrame:
+        """Those pairs ``met(a, b)`` that may be near, with their ``distance``."""
+        sides = [classes.select(F.col("node").alias(c), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b")]
+        rows = met.join(sides[0], "a").join(sides[1], "b").select("a", "b", "a_bits", "b_bits")
+
+        def distances(batches):
+            for batch in batches:
+                one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, VERIFY) for i in (2, 3))
+                far = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int32)
+                yield _near(batch.column(0), batch.column(1), far, most + doubt)
+
+        return rows.mapInArrow(distances, "a long, b long, distance int")
+
+    def joined(near: DataFrame, known: DataFrame | None) -> DataFrame | None:
+        """``node, component`` of nodes other than their component, from ``known`` and pairs that may be near."""
+        near = written(near)
+        if near.isEmpty():
+            return known
+        links = near.where(F.col("distance") < most - doubt).select("a", "b")
+        links = links.unionByName(similar(texts, classes, near.where(F.col("distance") >= most - doubt), words, similarity))
+        if known:
+            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return written(components(written(links)).where("node <> component"))
+
+    def of(rows: DataFrame, known: DataFrame | None) -> DataFrame:
+        """``rows`` with the component of ``node``."""
+        return rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")) if known else rows.withColumn("component", F.col("node"))
+
+    def some(asks: DataFrame, *by: str) -> DataFrame:
+        """Of ``asks(a, b)``, ``MEMBERS`` pairs at most for each value of ``by``."""
+        salt = F.pmod(F.xxhash64("a", "b"), F.lit(MEMBERS))
+        return asks.groupBy(*by, salt).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+    # A key's least node first: a group of near copies becomes one in proportion to its size.
+    least = entries.groupBy("key").agg(F.min("node").alias("b"))
+    known = joined(compared(entries.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()), None)
+    # What is left of a group then meets some members of the largest part under its keys.
+    table = of(entries.select("key", "node"), known)
+    parts = table.groupBy("key", "component", F.pmod(F.xxhash64("node"), F.lit(MEMBERS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"))
+    sizes = parts.groupBy("key", "component").agg(F.sum("n").alias("n"), F.collect_list("b").alias("b"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "b")).alias("x")).where("x.n > 1").select("key", F.col("x.component").alias("other"), F.explode("x.b").alias("b"))
+    asks = table.join(largest, "key").where("component <> other").select(F.col("node").alias("a"), "b", "other")
+    known = joined(compared(some(asks, "a", "other")), known)
+    # Balls meet some members of each other group.
+    table = of(entries.select("key", "node"), known)
+    probes = of(_balls(entries), known).withColumnRenamed("component", "own")
+    groups = table.groupBy("key", "component").agg(F.min("node").alias("b"))
+    asks = probes.withColumnRenamed("node", "a").join(groups, "key").where("own <> component")
+    asks = asks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("own", "component").alias("own"), F.greatest("own", "component").alias("other"))
+    known = joined(compared(some(asks, "own", "other")), known)
+    # At last they meet all members that are still in another.
+    known = joined(_across(of(entries.select("key", "node"), known), of(_balls(entries), known), classes, most + doubt), known)
+
+    linked = of(classes.select("node", "bits", "none", "doc_id", "digest"), known)
+    first = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "digest")).alias("first"))
+    rows = seen.groupBy("bits", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.join(linked.select("bits", "component"), "bits").join(first, "component").select("doc_id", "digest", "copies", "first")
 
 
 def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -149,80 +297,58 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
 
     Jaccard similarity ``s`` of shingle sets is cosine ``2s / (1 + s)``, an angle that SimHash measures as
     a share of differing bits.  At 0.8 that is 15 %, too many for a short fingerprint, so the
-    complete fingerprint has 512 bits and the index has ten 32-bit segments of shorter shingles,
+    complete fingerprint has 2,048 bits and the index has fourteen 32-bit segments of shorter shingles,
     which a change of one word disturbs less.  A probe enumerates, in each segment, the ball of
-    keys that flip its ``FLIPS`` least certain bits.  First a probe meets the smallest id of a key alone,
-    which joins a group of near copies by links in proportion to its size.  Then it meets all other
-    members of the key that are in another group by then, so every pair that shares a key is compared or
-    already in one group; texts of one template that are no near copies meet each other there.
-    Complete distances decide, but for those within three standard deviations of the limit:
-    there the shingles themselves are compared.
+    keys that flip its ``FLIPS`` least certain bits.
+
+    Every pair that shares a key is compared or already in one group, in four steps with a contraction of
+    the groups after each: own keys with the least member of a key, own keys with some members of the largest group
+    under it, balls with some members of each other group, and balls with all members that are in
+    another group by then.  So a
+    large group of near copies costs comparisons in proportion to its size; only texts of one template
+    that are no near copies of each other meet pairwise.  Complete distances decide, but for those
+    within three standard deviations of the limit: there the shingles themselves are compared.
+
+    Rows of one id and text are one row; ``component_id`` is null where no row of a group has an id.
     """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    most, doubt = round(64 * VERIFY * share), round(3 * (64 * VERIFY * share * (1 - share)) ** 0.5)
-    made = map_rows(docs_only(docs, "doc_id", "text"), lambda: lambda doc_id, text: (doc_id, *wide(text, words)), "doc_id long, probes array<array<long>>, bits binary")
-    seen = written(made)
-    classes = written(seen.groupBy("bits").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "probes")).alias("x")).select(F.col("x.doc_id").alias("id"), "bits", "x.probes"))
-    entries = classes.select("id", F.explode(F.transform("probes", lambda p: p[0])).alias("key"))
-    table = entries.groupBy("key").agg(F.min("id").alias("low"))
-    probes = classes.select("id", F.explode(F.flatten("probes")).alias("key"))
-
-    def joined(met: DataFrame, known: DataFrame | None) -> DataFrame:
-        """``node, component`` of nodes other than their component, from ``known`` and pairs ``met(id, other)``."""
-        pairs = met.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        one = classes.select(F.col("id").alias("a"), F.col("bits").alias("a_bits"))
-        two = classes.select(F.col("id").alias("b"), F.col("bits").alias("b_bits"))
-        words64 = [F.conv(F.hex(F.substring("a_bits", 8 * i + 1, 8)), 16, -10).cast("long").bitwiseXOR(F.conv(F.hex(F.substring("b_bits", 8 * i + 1, 8)), 16, -10).cast("long")) for i in range(VERIFY)]
-        distance = sum((F.bit_count(w) for w in words64[1:]), F.bit_count(words64[0]))
-        near = written(pairs.join(one, "a").join(two, "b").withColumn("distance", distance).where(F.col("distance") <= most + doubt).select("a", "b", "distance"))
-        if known and near.isEmpty():
-            return known
-        # What sure links join already needs no comparison of texts.
-        links = near.where(F.col("distance") < most - doubt).select("a", "b")
-        links = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b"))) if known else links
-        sure = written(components(links).where("node <> component"))
-        of = lambda side: sure.select(F.col("node").alias(side), F.col("component").alias(f"{side}_component"))
-        unsure = near.where(F.col("distance") >= most - doubt).join(of("a"), "a", "left").join(of("b"), "b", "left")
-        unsure = unsure.withColumns({f"{x}_component": F.coalesce(f"{x}_component", x) for x in ("a", "b")}).where("a_component <> b_component")
-        more = similar(docs, written(unsure.select("a", "b", "a_component", "b_component")), words, similarity)
-        edges = sure.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
-        return written(components(written(edges)).where("node <> component"))
-
-    first = joined(probes.join(table, "key").where("id <> low").select("id", F.col("low").alias("other")), None)
-    rest = entries.join(table, "key").where("id <> low").join(first, F.col("id") == F.col("node"), "left")
-    rest = written(rest.select("key", F.col("id").alias("other"), F.coalesce("component", "id").alias("component")))
-    # Groups of a key before members: a key of one group alone gives no row, however large it is.
-    own = probes.join(F.broadcast(rest.select("key").distinct()) if rest.count() <= BROADCAST_ROWS else rest.select("key").distinct(), "key")
-    own = own.join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("own"))
-    asks = own.join(rest.select("key", "component").distinct(), "key").where("own <> component")
-    found = joined(asks.join(rest, ["key", "component"]).select("id", "other"), first)
-    linked = classes.select("id", "bits").join(found, F.col("id") == F.col("node"), "left").select("bits", F.coalesce("component", "id").alias("component_id"))
-    return seen.select("doc_id", "bits").join(linked, "bits").select("doc_id", "component_id")
-
-
-def similar(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose texts share enough of their distinct shingles."""
-    # Either side is made distinct before they meet, so a document of many pairs is one row.
-    sides = [pairs.select(F.col(c).alias("doc_id")).distinct() for c in ("a", "b")]
-    ids = written(sides[0].unionByName(sides[1]).distinct())
-    texts = docs_only(docs, "doc_id", "text").join(ids, "doc_id", "left_semi")
-
-    def sets(doc_id, text):
-        tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return doc_id, _shingles(tokens, words).view(np.int64).tolist()
-
-    sets_of = map_rows(texts, lambda: sets, "id long, shingles array<long>").dropDuplicates(["id"])
-    sets_of = written(sets_of)
-    rows = pairs.join(sets_of.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets_of.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return rows.where(both >= similarity * (F.size("x") + F.size("y") - both)).drop("x", "y")
+    return _rows(docs, words, similarity).select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def similar(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` of nodes whose texts share enough of their distinct shingles."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("d")), "node")
+    wanted = written(wanted)
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = texts.join(few, texts.doc_id.eqNullSafe(few.id) & (texts.digest == few.d)).select("node", "text")
+
+    def sets(node, text):
+        return node, _shingles(text.encode("utf-8", "surrogatepass").lower().split(), words).view(np.int64).tolist()
+
+    sets_of = written(map_rows(texts, lambda: sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    sides = [sets_of.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b")]
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    rows = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
+    return rows.where(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b")
 
 
 def keep_one(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each group of near copies.
 
-    Rows that repeat an id stay together; rows without an id stay.
+    Rows that repeat an id and a text are copies like any other: one of them stays.  A row without an id stays
+    only where its group has none with one.
     """
+    rows = written(_rows(docs, words, similarity))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest").eqNullSafe(F.col("first"))
+    keyed = docs.withColumn("__digest", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+    def same(ids: DataFrame):
+        return keyed["doc_id"].eqNullSafe(ids["id"]) & (keyed["__digest"] == ids["digest"])
+
     # The dropped are fewer than the kept, so their list is the cheaper one to join.
-    dropped = near_copies(docs, words=words, similarity=similarity).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(written(dropped), "doc_id", "left_anti")
+    dropped = written(rows.where(~first).select(F.col("doc_id").alias("id"), "digest"))
+    repeated = written(rows.where(first & (F.col("copies") > 1)).select(F.col("doc_id").alias("id"), "digest"))
+    kept = keyed.join(dropped, same(dropped), "left_anti")
+    if not repeated.isEmpty():
+        once = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "__digest"])
+        kept = kept.join(repeated, same(repeated), "left_anti").unionByName(once)
+    return kept.drop("__digest")

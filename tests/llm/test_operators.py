@@ -4,11 +4,12 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from skyledger.llm import chroma, licences, quality, toxicity
+from skyledger.llm import chroma, licences, quality, simhash, toxicity
 from skyledger.llm.components import components
 from skyledger.llm.decontaminate import HITS, MASK, contaminated, decontaminate, seeding
 from skyledger.llm.mixing import mix, schedule, shares
@@ -286,6 +287,52 @@ def test_near_copies_of_one_template(spark):
     assert [out[i] for i in range(1000)] == [i - i % 2 for i in range(1000)]
 
 
+def test_near_copies_against_brute_force(spark):
+    """Pairs at 0.8 or more end in one group; each group is held together by such pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    out = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    holders, sets = {}, {}
+    for r in docs.collect():
+        w = (r.text or "").lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        for g in sets[r.doc_id]:
+            holders.setdefault(g, []).append(r.doc_id)
+    shared = Counter(p for ids in holders.values() for p in itertools.combinations(ids, 2))
+    close = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    group = {d: d for d in sets}
+
+    def find(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for a, b in close:
+        a, b = sorted((find(a), find(b)))
+        group[b] = a
+    assert len(close) > 100 and sum(out[a] == out[b] for a, b in close) >= 0.95 * len(close)
+    # Beyond three standard deviations a distance decides alone, so a wrong link is rare but possible.
+    assert sum(find(d) != find(c) for d, c in out.items()) <= 0.002 * len(out)
+
+
+def test_counts_of_bits():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    for n in (1, 2, 3, 499, 501, 1000, 5000):
+        x = r.integers(0, 1 << 63, (3, n), dtype=np.uint64)
+        want = [[sum(int(v) >> (63 - b) & 1 for v in row) for b in range(64)] for row in x]
+        assert simhash._counted(x).tolist() == want
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """One row of each group stays: also of rows that repeat an id, with one text or with copies of it."""
+    a, b = prose(200, 81), prose(200, 82)
+    rows = [(5, a), (5, a), (5, edited(a, 1, 3)), (None, b), (None, b), (None, a), (7, prose(200, 83)), (7, prose(200, 84))]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    out = keep_one(docs).collect()
+    assert sorted((r.doc_id or 0 for r in out)) == [0, 5, 7, 7] and [r.text for r in out if r.doc_id is None] == [b]
+
+
 def test_simhash_edges(odd, empty):
     assert near_duplicates(odd).count() == odd.count()
     assert near_duplicates(empty).count() == 0
@@ -297,7 +344,7 @@ def test_near_copies_beside_a_row_without_id(spark):
     text = prose(120, 78)
     docs = spark.createDataFrame([(i, text, None, None, None) for i in (None, 1, 2)], DOCS)
     assert {r.component_id for r in near_copies(docs).collect()} == {1}
-    assert {r.doc_id for r in keep_one(docs).collect()} == {None, 1}
+    assert {r.doc_id for r in keep_one(docs).collect()} == {1}
 
 
 # 7 suffix dedup
@@ -480,7 +527,7 @@ def test_rows_without_an_id(spark):
     text = prose(120, 77)
     docs = spark.createDataFrame([(None, text, None, None, None), (1, text, None, None, None), (None, None, None, None, None)], DOCS)
     assert near_duplicates(docs).count() == 3
-    assert keep_one(docs).count() == 3
+    assert sorted(r.doc_id or 0 for r in keep_one(docs).collect()) == [0, 1]
     assert {r.n_removed for r in remove_repeats(docs, batches=1).collect()} == {0}
     assert scan_secrets(docs).count() == 3
     assert pseudonymize(docs).count() == 3
