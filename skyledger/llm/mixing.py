@@ -5,14 +5,17 @@ release time ``floor(j / w)`` and deadline ``ceil((j + 1) / w)``; in each slot t
 block with the earliest deadline goes next.  At any slot each source is then less than one
 block away from its share.
 
-The weights are rounded to multiples of ``1 / period`` (largest remainders), which makes the
-schedule repeat after ``period`` slots: only one period is scheduled, a table of at most
-``period`` rows, and every block finds its slot by arithmetic.  Nothing about the documents
-passes through the driver but one row for each source.
+Weights are exact fractions of their sum.  With integers ``W`` of sum ``S`` the schedule repeats
+after ``S`` slots.  Where ``S`` is at most ``longest_period``, one period is scheduled, and every block finds
+its slot by arithmetic.  Otherwise the driver walks through the slots up to the first dry one (one
+step a block, whatever the documents), keeping each source's place every ``STRETCH`` slots; tasks walk
+through the stretches again, side by side, and write the plan.  Nothing about the documents passes through the driver
+but one row for each source.
 
 When sources run dry their slots stay empty; ``position`` numbers the blocks that exist, so
 all documents are kept, and ``full`` marks the blocks before the first dry slot, to which the deviation
-bound applies.
+bound applies.  Behind it a schedule without a short period has the last slot before a block's
+deadline, and equal slots go by name.
 
 Defined cases: a null source is a source of its own (named ``null_source``, empty by default); sources
 without a weight follow after all others, in name order; sources of weight zero likewise; an
@@ -23,8 +26,11 @@ pass through unless they have the name of a new one.
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,48 +38,85 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 64
-PERIOD = 1000
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Slots of each source in one period: at least one, largest remainders, ``period`` in all."""
-    weights = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w and w > 0}
-    if len(weights) > period:
-        raise ValueError("more sources than slots in a period")
-    if not weights:
-        return {}
-    total = sum(weights.values())
-    exact = {s: w * period / total for s, w in weights.items()}
-    slots = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(slots, key=lambda s: (slots[s] - exact[s], s))
-    i = 0
-    while (rest := period - sum(slots.values())) > 0:
-        slots[by_rest[i % len(by_rest)]] += 1
-        i += 1
-    while rest < 0:
-        most = max((s for s in slots if slots[s] > 1), key=lambda s: (slots[s] - exact[s], s))
-        slots[most] -= 1
-        rest += 1
-    return slots
-
-
-def schedule(slots: dict[str, int], period: int) -> list[str]:
-    """Earliest deadline first over one period; ties go to the smaller name."""
-    # Integer arithmetic: weight = slots / period.
-    waiting = [(0, s, 0) for s in sorted(slots)]
+#: Slots of the longest period that is scheduled whole.
+LONGEST_PERIOD = 100_000
+#: Slots that one task schedules at a time.
+STRETCH = 100_000
+#: Slots whose blocks are ranked together.
+TURN = 64
+
+
+def shares(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """The positive weights as the smallest integers of the same proportions."""
+    exact = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w and w > 0}
+    exact = {s: w for s, w in exact.items() if w}
+    common = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    whole = {s: int(w * common) for s, w in exact.items()}
+    divisor = math.gcd(*whole.values()) if whole else 1
+    return {s: w // divisor for s, w in whole.items()}
+
+
+def schedule(parts: dict[str, int], start: int = 0, done: dict[str, int] | None = None) -> Iterator[tuple[str, int]]:
+    """``source, block`` of each slot from ``start`` on, without end; ties go to the smaller name.
+
+    ``done`` is how many blocks each source had before ``start``.
+    """
+    period, done = sum(parts.values()), done or {}
+    waiting = [(done.get(s, 0) * period // w, s, done.get(s, 0)) for s, w in parts.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for now in range(period):
+    now = start
+    while True:
         while waiting and waiting[0][0] <= now:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[s]), s, j))
+            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
         deadline, s, j = heapq.heappop(ready)
         assert deadline > now
-        out.append(s)
-        if j + 1 < slots[s]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[s], s, j + 1))
-    return out
+        yield s, j
+        heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
+        now += 1
+
+
+def stretches(parts: dict[str, int], blocks: dict[str, int], stretch: int) -> tuple[list[tuple[int, int, list[int]]], int]:
+    """Start, end and places of the sources (in the order of ``parts``) of each stretch; the first dry slot."""
+    done = dict.fromkeys(parts, 0)
+    out, start, now = [], 0, 0
+    places = list(done.values())
+    for s, j in schedule(parts):
+        if j >= blocks.get(s, 0):
+            break
+        done[s] = j + 1
+        now += 1
+        if now % stretch == 0:
+            out.append((start, now, places))
+            start, places = now, list(done.values())
+    if now > start:
+        out.append((start, now, places))
+    return out, now
+
+
+def _plan(spark: SparkSession, parts: dict[str, int], pieces: list[tuple[int, int, list[int]]]) -> DataFrame:
+    """``source_key, nth, at`` of every slot of the stretches, a task for each."""
+
+    def walk(batches):
+        for batch in batches:
+            for start, end, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = schedule(parts, start, dict(zip(parts, places, strict=True)))
+                rows = [next(found) for _ in range(start, end)]
+                yield pa.RecordBatch.from_pydict({"source_key": [s for s, _ in rows], "nth": [j for _, j in rows], "at": list(range(start, end))})
+
+    rows = spark.createDataFrame(pieces, "start long, until long, places array<long>").repartition(max(1, len(pieces)), "start")
+    return rows.mapInArrow(walk, "source_key string, nth long, at long")
+
+
+def _before(rows: DataFrame, order: str, n: str) -> DataFrame:
+    """``rows`` with ``base``, the sum of ``n`` in all rows before, by ``order``; ranges first, so that no task has them all."""
+    dealt = written(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
+    parts = dealt.groupBy("part").agg(F.sum(n).alias("sum"))
+    above = F.sum("sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row a partition
+    own = F.sum(n).over(W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    joined = dealt.withColumn("own", F.coalesce(own, F.lit(0))).join(parts.select("part", F.coalesce(above, F.lit(0)).alias("above")), "part")
+    return joined.withColumn("base", F.col("above") + F.col("own")).drop("part", "own", "above")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -88,11 +131,11 @@ def _numbered(docs: DataFrame) -> DataFrame:
     before = F.sum("n").over(W.partitionBy("source_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     counts = counts.select("source_key", "part", F.coalesce(before, F.lit(0)).alias("before"))
     place = F.row_number().over(W.partitionBy("source_key", "part").orderBy("doc_id"))
-    return dealt.withColumn("place", place).join(F.broadcast(counts), ["source_key", "part"]).withColumn("number", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
+    return dealt.withColumn("place", place).join(counts, ["source_key", "part"]).withColumn("number", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
 
 
-def mix(docs: DataFrame, weights: dict[str, float], *, block: int = BLOCK, period: int = PERIOD, null_source: str = "") -> DataFrame:
-    """``docs`` with ``block, slot, position, full``.
+def mix(docs: DataFrame, weights: dict[str, float | Fraction], *, block: int = BLOCK, longest_period: int = LONGEST_PERIOD, null_source: str = "") -> DataFrame:
+    """``docs`` with ``number, block, slot, position, full``.
 
     ``weights`` are relative target weights by source.  Order by ``position`` and then
     ``number`` (the place within the source) to read the mixture.
@@ -101,57 +144,46 @@ def mix(docs: DataFrame, weights: dict[str, float], *, block: int = BLOCK, perio
     docs = docs.drop("source_key", "number", "block", "slot", "position", "full")
     keyed = docs.withColumn("source_key", F.coalesce("source", F.lit(null_source)))
     rows = _numbered(keyed.select("source_key", "doc_id").distinct()).withColumn("block", F.expr(f"number div {block}"))
-
-    slots = shares(weights, period)
-    order = schedule(slots, period) if slots else []
-    nth: dict[str, int] = {}
-    plan = []
-    for at, s in enumerate(order):
-        plan.append((s, nth.get(s, 0), at, slots[s]))
-        nth[s] = nth.get(s, 0) + 1
-    plan = spark.createDataFrame(plan, "source_key string, nth long, at long, per_period long")
-    share = plan.select("source_key", "per_period").distinct()
-
-    blocks = rows.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("n"))
-    blocks = blocks.join(F.broadcast(share), "source_key", "left").withColumn("nth", F.expr("block % per_period"))
-    blocks = blocks.join(F.broadcast(plan.drop("per_period")), ["source_key", "nth"], "left")
-    blocks = written(blocks.withColumn("slot", F.expr(f"(block div per_period) * {period} + at")))
-
-    # Dense positions by whole periods: how many blocks are in the periods before, and the place in one's own.
-    real = blocks.where("slot IS NOT NULL").withColumn("turn", F.expr(f"slot div {period}"))
-    turns = real.groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
-    ends = real.groupBy("source_key").agg((F.max("block") + 1).alias("b"), F.first("per_period").alias("p")).collect()
-    base, first_dry = _turn_base(turns), _first_dry({r.source_key: (r.b, r.p) for r in ends}, order, period)
-    real = real.join(base, "turn").withColumn("position", F.col("base") + F.row_number().over(W.partitionBy("turn").orderBy("at")) - 1)
-    real = real.select("source_key", "block", "slot", "position", (F.col("slot") < first_dry).alias("full"))
-    total = real.count()
-    other = blocks.where("slot IS NULL")
-    counts = other.groupBy("source_key").agg((F.max("block") + 1).alias("b"))
-    before = F.sum("b").over(W.orderBy("source_key").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select("source_key", F.coalesce(before, F.lit(0)).alias("base"))
-    other = other.join(counts, "source_key").select("source_key", "block", F.col("slot"), (F.lit(total) + F.col("base") + F.col("block")).alias("position"), F.lit(False).alias("full"))
-    found = real.unionByName(other)
-    placed = rows.join(found, ["source_key", "block"])
+    blocks = written(rows.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("n")))
+
+    parts = shares(weights)
+    period = sum(parts.values())
+    share = spark.createDataFrame([(s, w if period <= longest_period else 1, period / w) for s, w in parts.items()], "source_key string, per_period long, apart double")
+    weighted = blocks.join(F.broadcast(share), "source_key")  # one row a weight
+    ends = {r.source_key: r.b for r in weighted.groupBy("source_key").agg((F.max("block") + 1).alias("b")).collect()}
+    if period <= longest_period:
+        order = [step for step, _ in zip(schedule(parts), range(period), strict=False)] if parts else []
+        plan = spark.createDataFrame([(s, j, at) for at, (s, j) in enumerate(order)], "source_key string, nth long, at long")
+        first_dry = _first_dry(ends, [s for s, _ in order])
+        weighted = weighted.withColumn("nth", F.expr("block % per_period")).join(plan, ["source_key", "nth"])
+        real = weighted.withColumn("slot", F.expr(f"(block div per_period) * {period} + at"))
+    else:
+        pieces, first_dry = stretches(parts, ends, STRETCH)
+        plan = _plan(spark, parts, pieces)
+        last = F.ceil((F.col("block") + 1) * F.col("apart")) - 1
+        weighted = weighted.withColumn("nth", F.col("block")).join(plan, ["source_key", "nth"], "left")
+        real = weighted.withColumn("slot", F.coalesce("at", F.greatest(last, F.lit(first_dry))))
+    real = written(real.select("source_key", "block", "slot").withColumn("turn", F.expr(f"slot div {TURN}")))
+
+    # Dense positions: how many blocks are in the turns before, and the place in one's own.
+    base = _before(real.groupBy("turn").agg(F.count(F.lit(1)).alias("n")), "turn", "n").select("turn", "base")
+    place = F.row_number().over(W.partitionBy("turn").orderBy("slot", "source_key"))
+    real = real.withColumn("place", place).join(base, "turn")
+    real = real.select("source_key", "block", "slot", (F.col("base") + F.col("place") - 1).alias("position"), (F.col("slot") < first_dry).alias("full"))
+    total = sum(ends.values())
+    other = blocks.join(F.broadcast(share.select("source_key")), "source_key", "left_anti")
+    counts = _before(other.groupBy("source_key").agg((F.max("block") + 1).alias("b")), "source_key", "b").select("source_key", "base")
+    other = other.join(counts, "source_key").select("source_key", "block", F.lit(None).cast("long").alias("slot"), (F.lit(total) + F.col("base") + F.col("block")).alias("position"), F.lit(False).alias("full"))
+    placed = rows.join(real.unionByName(other), ["source_key", "block"])
     # Null-safe on doc_id: a null id is a row like any other.
     same = (keyed.source_key == placed.source_key) & keyed.doc_id.eqNullSafe(placed.doc_id)
     return keyed.join(placed, same).select(*(keyed[c] for c in docs.columns), "number", "block", "slot", "position", "full")
 
 
-def _turn_base(turns: DataFrame) -> DataFrame:
-    """``turn, base``: blocks in all periods before; one row a period, ranges summed in two steps."""
-    step = 4096
-    groups = turns.withColumn("g", F.expr(f"turn div {step}"))
-    total = groups.groupBy("g").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(W.orderBy("g").rowsBetween(W.unboundedPreceding, -1))
-    total = total.select("g", F.coalesce(before, F.lit(0)).alias("above"))
-    own = F.sum("n").over(W.partitionBy("g").orderBy("turn").rowsBetween(W.unboundedPreceding, -1))
-    return groups.withColumn("own", F.coalesce(own, F.lit(0))).join(total, "g").select("turn", (F.col("above") + F.col("own")).alias("base"))
-
-
-def _first_dry(blocks: dict[str, tuple[int, int]], order: list[str], period: int) -> int:
-    """The first slot that a source, out of blocks, leaves empty."""
+def _first_dry(blocks: dict[str, int], order: list[str]) -> int:
+    """The first slot that a source, out of blocks, leaves empty; ``order`` is one period."""
     places: dict[str, list[int]] = {}
     for at, s in enumerate(order):
         places.setdefault(s, []).append(at)
-    dry = [b // len(at) * period + at[b % len(at)] for s, at in places.items() for b in [blocks.get(s, (0, 0))[0]]]
+    dry = [b // len(at) * len(order) + at[b % len(at)] for s, at in places.items() for b in [blocks.get(s, 0)]]
     return min(dry, default=0)

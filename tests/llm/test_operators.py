@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 import xxhash
@@ -144,20 +145,35 @@ def test_licences_have_no_python(spark, odd, empty):
 # 4 mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 / (i + 1) for i in range(17)}, {"a": 1}, {"a": 999, "b": 1}])
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 / (i + 1) for i in range(17)}, {"a": 1}, {"a": 10_000, "b": 1}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}, {"a": 0.123456789, "b": 0.2345678901, "c": 1.7}, {f"src{i}": 1.0 / (1 + i % 5) for i in range(20)}])
 def test_schedule_deviates_by_less_than_a_block(weights):
-    slots = shares(weights, 1000)
-    assert sum(slots.values()) == 1000
-    seen = dict.fromkeys(slots, 0)
-    for t, s in enumerate(schedule(slots, 1000), 1):
+    """Against the true weights, over 100,000 slots."""
+    parts = shares(weights)
+    total, exact = sum(parts.values()), {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items()}
+    assert all(Fraction(parts[s], total) == exact[s] / sum(exact.values()) for s in weights)
+    seen = dict.fromkeys(parts, 0)
+    for t, (s, j) in zip(range(1, 100_001), schedule(parts), strict=False):
+        assert j == seen[s]
         seen[s] += 1
-        assert all(abs(seen[k] * 1000 - n * t) < 1000 for k, n in slots.items())
-    assert seen == slots
-
-
-def test_mix_keeps_all_rows(spark):
+        # A source drifts most just after its own block, or just before it.
+        assert abs(seen[s] * total - parts[s] * t) < total and (seen[s] - 1) * total > parts[s] * (t - 1) - total
+        if t % 997 == 0:
+            assert all(abs(seen[k] * total - w * t) < total for k, w in parts.items())
+    done = dict.fromkeys(parts, 0)
+    whole = [x for x, _ in zip(schedule(parts), range(500), strict=False)]
+    for s, _ in whole[:200]:
+        done[s] += 1
+    assert [x for x, _ in zip(schedule(parts, 200, done), range(300), strict=False)] == whole[200:]
+
+
+@pytest.mark.parametrize("longest", [100_000, 10])
+def test_mix_keeps_all_rows(spark, monkeypatch, longest):
+    from skyledger.llm import mixing
+
+    monkeypatch.setattr(mixing, "STRETCH", 7)
     docs = spark.createDataFrame([(i, f"s{i % 3 if i % 7 else 0}" if i % 11 else None, "x") for i in range(1000)], "doc_id long, source string, block string")
-    out = mix(docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, block=10, period=50).collect()
+    weights = {"s0": 3.0, "s1": 1.0, "s2": 1.0} if longest > 10 else {"s0": 3.0 + 1e-8, "s1": 1.0, "s2": 1.0}
+    out = mix(docs, weights, block=10, longest_period=longest).collect()
     assert sorted(r.doc_id for r in out) == list(range(1000))
     blocks = {}
     for r in out:
@@ -175,7 +191,8 @@ def test_mix_keeps_all_rows(spark):
         if b.full:
             assert b.slot == b.position
             seen[b.source] += 1
-            assert all(abs(seen[s] - w * t) < 1 for s, w in share.items())
+            assert all(abs(seen[s] - w * t) < 1 + 1e-5 for s, w in share.items())
+    assert sum(b.full for _, b in positions) > 20
     assert all(not b.full for _, b in positions if b.source is None)
 
 
