@@ -22,11 +22,14 @@ its own fingerprint with the others of the same ``lead``.  A ``lead`` with more
 entries is dealt by string instead, with partial minima, so that none meets whole in one task.
 
 Repeats within one input split are found before the shuffle (the split's own suffix array), so
-a passage in a third of all rows leaves each split once.
+a passage in a third of all rows leaves each split once.  A first, small batch shows which leading
+bytes are common to many different passages; from then on such a ``lead`` is dealt to tasks by
+``whole`` and its entries count as open.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; an empty table gives
-an empty result; extra columns are ignored; ``doc_id`` must be unique (rows with one id share
-one mask); rows without a doc_id are neither sources nor repeats and lose nothing.
+an empty result; extra columns are ignored; rows that repeat a doc_id are documents of their own, in the
+order of a hash of their text, so of equal rows one keeps its bytes; rows without a doc_id are
+neither sources nor repeats and lose nothing.
 """
 
 from __future__ import annotations
@@ -50,6 +53,10 @@ CHUNK = 1 << 21
 HOT = 10_000
 #: Open entries that a task compares at once.
 STEP = 4096
+#: Share of the first batch, and of a level's entries from which on a ``lead`` is dealt by ``whole``.
+PILOT, COMMON = 1 / 64, 1 / 2000
+#: Entries of a level that are counted for that, and parts that a common ``lead`` is dealt to.
+LOOK, SALTS = 200_000, 64
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _COLUMNS = ["lead", "whole", "doc_id", "place", "until"]
@@ -202,6 +209,7 @@ class SuffixIndex:
     def __init__(self) -> None:
         self.levels: dict[int, str] = {}
         self.scans: set[str] = set()
+        self.common: set[int] = set()
 
     def scan(self, spark, batch: DataFrame) -> DataFrame:
         """Merge-scan of a batch with all levels: the batch's entries, and open older ones.
@@ -212,14 +220,24 @@ class SuffixIndex:
         rows = batch.withColumn("fresh", F.lit(1))
         for path in self.levels.values():
             rows = rows.unionByName(self.read(spark, path).withColumn("fresh", F.lit(0)))
-        every = W.partitionBy("lead")
+        common = F.col("lead").isin(*self.common) if self.common else F.lit(False)
+        rows = rows.withColumn("common", common).withColumn("salt", F.when(F.col("common"), F.pmod("whole", F.lit(SALTS))).otherwise(0))
+        every = W.partitionBy("lead", "salt")
         ordered = every.orderBy("whole", "doc_id", "place")
         rows = rows.withColumn("before", F.lag("whole").over(ordered))
-        rows = rows.withColumn("several", F.min("whole").over(every) < F.max("whole").over(every)).withColumn("touched", F.max("fresh").over(every))
+        several, touched = F.min("whole").over(every) < F.max("whole").over(every), F.max("fresh").over(every) == 1
+        rows = rows.withColumn("several", F.col("common") | several).withColumn("touched", F.col("common") | touched)
         kind = F.when(F.col("until").isNotNull() | (F.col("before") == F.col("whole")), "again").when(F.col("several"), "open").otherwise("new")
-        rows = rows.withColumn("kind", kind).where("fresh = 1 OR (touched = 1 AND kind = 'open')")
+        rows = rows.withColumn("kind", kind).where("fresh = 1 OR (touched AND kind = 'open')")
         return rows.select("lead", "whole", "doc_id", "place", "until", "fresh", "kind")
 
+    def look(self, rows: DataFrame) -> None:
+        """Learn which leads are common; only where entries go depends on it, so a bounded sample will do."""
+        n = rows.count()
+        seen = rows.sample(min(1.0, LOOK / n), seed=7) if n else rows
+        often = seen.groupBy("lead").count().where(F.col("count") > max(20, min(n, LOOK) * COMMON)).orderBy(F.desc("count")).limit(int(1 / COMMON))
+        self.common |= {r.lead for r in often.collect()}
+
     def add(self, batch: DataFrame, *, keep: bool = True) -> DataFrame:
         """Scan a batch and keep what is new as a level; gives the scan's ``again`` and ``open`` rows.
 
@@ -233,7 +251,9 @@ class SuffixIndex:
         scanned = spark.read.schema(rows.schema).parquet(path)
         if keep:
             self.scans.add(path)
-            self._store(path, scanned.where("fresh = 1 AND kind IN ('new', 'open')").select(*_COLUMNS))
+            fresh = scanned.where("fresh = 1 AND kind IN ('new', 'open')").select(*_COLUMNS)
+            self.look(fresh)
+            self._store(path, fresh)
         return scanned.where("kind <> 'new'")
 
     def _store(self, path: str, rows: DataFrame) -> None:
@@ -325,7 +345,7 @@ def _compare(batches, length: int):
 def _cut(batches):
     """Documents without their removed stretches: sizes and the hash of what is left."""
     for batch in batches:
-        out = {"doc_id": batch.column(0).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        out = {"doc_id": batch.column(3).to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
         for i in range(batch.num_rows):
             text = batch.column(1)[i].as_py()
             spans = batch.column(2)[i].as_py() or []
@@ -344,13 +364,25 @@ def _cut(batches):
         yield pa.RecordBatch.from_pydict(out)
 
 
-def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = 4) -> tuple[DataFrame, DataFrame]:
-    """``found`` rows of all batches' scans (written), and the texts they came from."""
-    spark = docs.sparkSession
-    texts = docs_only(docs, "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("text"))
-    bounds = sorted({int(x) for x in docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02)}) if batches > 1 else []
+def _documents(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, own``: bytes under a unique ``doc_id`` in the order of the rows' ``own`` ids."""
+    texts = docs_only(docs, "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("text"), F.col("doc_id").alias("own"))
+    if texts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return texts
+    digest = F.xxhash64("text")
+    dealt = texts.repartitionByRange("own", digest).sortWithinPartitions("own", digest)
+    path = scratch(docs.sparkSession)
+    dealt.withColumn("doc_id", F.when(F.col("own").isNotNull(), F.monotonically_increasing_id())).write.parquet(path)
+    return docs.sparkSession.read.schema(texts.schema).parquet(path)
+
+
+def repeated_spans(texts: DataFrame, *, length: int = LENGTH, batches: int = 4) -> DataFrame:
+    """``found`` rows of all batches' scans (written) of ``texts(doc_id, text)`` with unique ids."""
+    spark = texts.sparkSession
+    shares = [PILOT + (1 - PILOT) * i / (batches - 1) for i in range(batches - 1)] if batches > 1 else []
+    bounds = sorted({int(x) for x in texts.approxQuantile("doc_id", shares, PILOT / 4)}) if shares else []
     index, found = SuffixIndex(), None
-    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None], strict=True)):
+    for low, high in zip([None, *bounds], [*bounds, None], strict=True):
         batch = texts.where("doc_id IS NOT NULL")
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
@@ -359,14 +391,15 @@ def repeated_spans(docs: DataFrame, *, length: int = LENGTH, batches: int = 4) -
         scanned = index.add(entries(batch, length=length), keep=high is not None)
         found = scanned if found is None else found.unionByName(scanned)
     index.drop(spark)
-    return found, texts
+    return found
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, batches: int = 4, hot: int = HOT) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     if not LEAD < length <= 127:
         raise ValueError(f"length must be over {LEAD} and at most 127")
-    found, texts = repeated_spans(docs, length=length, batches=batches)
+    texts = _documents(docs)
+    found = repeated_spans(texts, length=length, batches=batches)
     again = found.where("kind = 'again'")
     place, back, ahead = F.shiftright("place", 14), F.shiftright("place", 7).bitwiseAND(127), F.col("place").bitwiseAND(127)
     sure = again.select("doc_id", F.coalesce(F.when(F.col("until").isNotNull(), F.col("place")), place - back).alias("start"), F.coalesce("until", place + ahead).alias("end"))
@@ -375,7 +408,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, batches: int = 4, h
     often = pending.groupBy("lead").count().where(F.col("count") > hot).select("lead", F.lit(True).alias("hot"))
     pending = pending.join(often, "lead", "left").select("doc_id", F.struct("lead", "place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("entry"))
     wanted = pending.groupBy("doc_id").agg(F.collect_list("entry").alias("entries"))
-    fetched = texts.join(wanted, "doc_id").mapInArrow(lambda b: _fetch(b, length), "lead long, doc_id long, place long, bytes binary")
+    fetched = texts.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(lambda b: _fetch(b, length), "lead long, doc_id long, place long, bytes binary")
     by_lead = fetched.where("place >= 0").repartition("lead").sortWithinPartitions("lead", "doc_id", "place")
     compared = by_lead.mapInArrow(lambda b: _compare(b, length), "doc_id long, start long, end long")
     strings = fetched.where("place < 0").select("lead", "bytes", "doc_id", (-1 - F.col("place")).alias("start"))
@@ -384,4 +417,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, batches: int = 4, h
 
     spans = sure.unionByName(compared).unionByName(hot_again)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.join(per_doc, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.join(per_doc, "doc_id", "left").select("doc_id", "text", "spans", "own").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

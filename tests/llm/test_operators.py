@@ -394,6 +394,33 @@ def test_suffix_dedup_against_brute_force(spark, hot, batches):
     assert [rows[i] for i in range(len(texts))] == brute_removal(texts)
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Rows of one id are documents of their own, in the order of a hash of their text."""
+    long, other = prose(120, 905), prose(110, 906)
+    rows = [(1, long), (1, "short"), (2, long), (2, other + long), (3, other), (3, other), (None, long), (None, None), (1, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = remove_repeats(frame, batches=2).collect()
+    ordered = [r for r in frame.where("doc_id IS NOT NULL").orderBy("doc_id", F.xxhash64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).collect()]
+    want = Counter((r.doc_id, *b) for r, b in zip(ordered, brute_removal([r.text for r in ordered]), strict=True))
+    want.update((None, len((t or "").encode()), 0, 0, hashlib.sha256((t or "").encode()).hexdigest()) for t in (long, None))
+    assert Counter(tuple(r) for r in out) == want
+
+
+def test_suffix_dedup_of_a_common_lead(spark, monkeypatch):
+    """One phrase in all texts, in other company each time: its lead is dealt by what follows."""
+    from skyledger.llm import suffix_dedup
+
+    phrase = prose(8, 907)
+    texts = [prose(25, 3000 + i) + " " + phrase + " " + prose(25, 3500 + i % 90) for i in range(150)]
+    phrases = []
+    look = suffix_dedup.SuffixIndex.look
+    monkeypatch.setattr(suffix_dedup, "PILOT", 0.4)
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "look", lambda self, rows: (look(self, rows), phrases.append(len(self.common)))[0])
+    rows = {r.doc_id: tuple(r)[1:] for r in remove_repeats(table(spark, texts), batches=3).collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_removal(texts)
+    assert phrases[-1] > 0
+
+
 def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     from skyledger.llm import suffix_dedup
 
