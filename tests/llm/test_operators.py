@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 from collections import Counter
 from fractions import Fraction
 
@@ -135,6 +136,77 @@ def test_licences_and_inheritance(spark):
     assert out[5] == (None, None, None) and out[6] == (None, None, None)
 
 
+def wrapped(text, mark=""):
+    """Lines of at most 60 characters, with a comment mark."""
+    return "\n".join(f"{mark}{x}" for x in textwrap.wrap(text, 60))
+
+
+GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+NAMES = "\n3. Neither the name of Example Labs nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+AS_IS = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+GNU = "{} is free software: you can redistribute it and/or modify it under the terms of the GNU {} License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.\n\n{} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {} License for more details."
+APACHE = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+#: Heads of files as their authors publish them, with the licence that each means.
+HEADS = [
+    ("MIT", f"MIT License\n\nCopyright (c) 2021 Jane Roe\n\n{GRANT}"),
+    ("MIT", f"Copyright (c) 2021 Jane Roe. All rights reserved.\n\n{GRANT}"),
+    ("MIT", wrapped("The MIT License (MIT)", "// ") + "\n//\n" + wrapped(GRANT, "// ") + "\nint main() { return 0; }\n"),
+    ("BSD-3-Clause", f"Copyright (c) 2019, Example Labs\nAll rights reserved.\n\n{BSD}{NAMES}{AS_IS}"),
+    ("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2019, Example Labs\nAll rights reserved.\n\n{BSD}{NAMES}{AS_IS}"),
+    ("BSD-2-Clause", f"Copyright (c) 2019, Example Labs\nAll rights reserved.\n\n{BSD}{AS_IS}"),
+    ("BSD-2-Clause", "/*\n" + wrapped("Copyright (c) 2019, Example Labs. All rights reserved.", " * ") + "\n *\n" + wrapped(BSD, " * ") + "\n */\nint x;\n"),
+    ("BSD-3-Clause", "# Copyright 2016 The Example Authors. All rights reserved.\n# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.\n"),
+    ("ISC", "ISC License\n\nCopyright (c) 2010, A. B.\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n"),
+    ("ISC", "Copyright (c) 2010, A. B.\n\n" + wrapped("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")),
+    ("Apache-2.0", wrapped("Copyright 2020 Example Inc.", "# ") + "\n#\n" + "\n".join(wrapped(x, "# ") or "#" for x in APACHE.split("\n")) + "\nimport os\n"),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"),
+    ("GPL-3.0", wrapped(GNU.format("Tool", "General Public", "3", "Tool", "General Public"), "# ")),
+    ("GPL-2.0", "/*\n" + wrapped(GNU.format("This program", "General Public", "2", "This program", "General Public"), " * ") + "\n */\n"),
+    ("GPL-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n"),
+    ("LGPL-2.1", wrapped(GNU.format("This library", "Lesser General Public", "2.1", "This library", "Lesser General Public"), "; ")),
+    ("LGPL-3.0", "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n"),
+    ("AGPL-3.0", wrapped(GNU.format("Server", "Affero General Public", "3", "Server", "Affero General Public"), "-- ")),
+    ("MPL-2.0", "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0\n\n    THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\n    PUBLIC LICENSE (\"AGREEMENT\").\n"),
+    ("BSL-1.0", "//          Distributed under the Boost Software License, Version 1.0.\n//    (See accompanying file LICENSE_1_0.txt or copy at\n//          https://www.boost.org/LICENSE_1_0.txt)\n"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software.\n"),
+    ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nThis work is dedicated to the public domain under CC0 1.0.\n"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons\nAttribution 4.0 International License.\n"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International\n\nCreative Commons Attribution-ShareAlike 4.0 International Public\nLicense\n"),
+    ("CC-BY-NC-4.0", "Some text. Licensed under CC BY-NC 4.0. More text."),
+    ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\nx = 1\n"),
+    ("MIT OR Apache-2.0", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nfn main() {}\n"),
+    ("Proprietary", "Copyright 2020 Example Inc. All rights reserved.\n"),
+    (None, "We talked about the free world and its software, and nobody minded.\n"),
+    (None, "You need a driving license to rent the car.\n"),
+]
+
+
+def test_licences_of_published_heads(spark):
+    files = spark.createDataFrame([(i, f"d{i}/f", t) for i, (_, t) in enumerate(HEADS)], "doc_id long, path string, text string")
+    out = {r.doc_id: r.licence for r in licences.scan_licences(files).collect()}
+    assert [(i, out[i]) for i in range(len(HEADS))] == [(i, want) for i, (want, _) in enumerate(HEADS)]
+
+
+def test_licences_of_repeated_ids(spark):
+    """Two files of one id, and files without an id, have their own notices."""
+    rows = [(1, "a/x", "Released under the MIT License."), (1, "b/x", "Licensed under CC BY 4.0."), (1, "c/x", "none"), (None, "d/x", "Released under the MIT License."), (None, "e/x", None)]
+    out = Counter((r.path, r.licence) for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect())
+    assert out == Counter([("a/x", "MIT"), ("b/x", "CC-BY-4.0"), ("c/x", None), ("d/x", "MIT"), ("e/x", None)])
+
+
 def test_licences_have_no_python(spark, odd, empty):
     frame = licences.scan_licences(licences.document_files(odd))
     assert "Python" not in frame._jdf.queryExecution().executedPlan().toString()
