@@ -5,7 +5,10 @@ into windows of whole words; each window is compressed with either dictionary, a
 one saves is the window's gain.  A text's score is a calibrated logistic function
 of its total gain and of its gain per window, so a long text isn't toxic for one chance match.
 
-*Training the dictionaries.*  Substrings of words are chosen by how much more often (capped counts
+*Training the dictionaries.*  zstandard's own trainer keeps what is frequent in its samples.  As toxic texts differ
+from ordinary ones in few words, two dictionaries trained so differ by chance more than by toxicity: over sf0.1 their
+gains find 0.01 to 0.05 of the held-out toxic texts, also when trained again on the windows that gain most.
+So what goes into a dictionary is chosen by contrast.  Substrings of words are chosen by how much more often (capped counts
 per text, Welch's statistic) they occur in toxic than in ordinary texts, each for words that none before it explains.  The toxic dictionary
 holds the segments that speak for toxic text behind a common base of frequent words; the ordinary
 one holds the same base and the segments that speak against.  With a shared base the
@@ -244,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 1500, max_ordina
     sides = [bounded_sample(known.where(F.col("toxic") == k), n) for k, n in ((1, max_toxic), (0, max_ordinary))]
     ids = sides[0].unionByName(sides[1])
     short = docs_only(docs, "doc_id", "text").where(F.length("text") <= max_chars)
-    rows = short.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic").collect()
+    # Rows that repeat an id count once, so the bounds on ids hold for texts too.
+    rows = short.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     return train([(r.text, r.toxic) for r in sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.text))])
 
 

@@ -549,7 +549,10 @@ def test_toxicity_on_held_out_rows(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     model = toxicity.fit(docs, labels)
     known = docs.join(labels.select("doc_id", "toxic"), "doc_id").repartition(8)
-    rows = [r for r in toxicity.score_toxicity(known, model).join(labels, "doc_id").collect() if r.held_out]
+    rows = [r for r in toxicity.score_toxicity(known, model).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect() if r.held_out]
+    recall = {lang: sum(r.predicted for r in rows if r.toxic and r.lang == lang) / sum(r.toxic for r in rows if r.lang == lang) for lang in ("en", "de", "fr")}
+    assert recall["en"] >= 0.85 and recall["de"] >= 0.6 and recall["fr"] >= 0.85
+    assert sum(r.predicted for r in rows if r.toxic) >= 0.75 * sum(r.toxic for r in rows)
     assert sum(r.predicted == r.toxic for r in rows) / len(rows) >= 0.96
     clean = [r for r in rows if r.toxic == 0]
     assert sum(r.predicted for r in clean) / len(clean) <= 0.02
