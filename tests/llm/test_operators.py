@@ -577,6 +577,8 @@ def test_windows_cover_the_text():
 def brute_alignment(doc, item, words=10, similarity=0.8):
     split = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
     a, b = split(doc), split(item)
+    if 0 < len(b) < words:
+        return any(a[i : i + len(b)] == b for i in range(len(a)))
     for shift in range(-len(b) + 1, len(a)):
         hits = [a[i + shift] == b[i] for i in range(len(b)) if 0 <= i + shift < len(a)]
         for i in range(len(hits)):
@@ -587,10 +589,12 @@ def brute_alignment(doc, item, words=10, similarity=0.8):
 
 
 def test_decontamination_against_brute_force(spark):
-    items = [prose(15 + 3 * i, 300 + i) for i in range(8)] + [prose(5, 399), None, ""]
+    items = [prose(15 + 3 * i, 300 + i) for i in range(8)] + [prose(5, 399), None, "", prose(9, 398), "zyxw vut", "qponml"]
     texts = [None, "", "few words"]
+    more = [prose(9, 760) + " " + items[8] + " " + prose(9, 761), items[11].upper(), edited(items[11], 1, 9) + " " + prose(9, 762), "a Zyxw, vut b", "zyxw a vut", prose(9, 763) + " qponml"]
     for i, item in enumerate(items[:8]):
         texts += [prose(40, 500 + i) + " " + item.upper() + "! " + prose(30, 600 + i), prose(20, 700 + i) + " " + edited(item, 2, i) + " " + prose(20, 720 + i), prose(60, 740 + i)]
+    texts += more
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, seed string")
     rows = contaminated(table(spark, texts), bench).collect()
     got = {(r.doc_id, r.item_id) for r in rows}
@@ -630,6 +634,18 @@ def test_decontamination_finds_all_overlaps(spark):
     assert all(x.n_words >= 10 and x.n_same >= 0.8 * x.n_words for x in rows.values())
 
 
+def test_decontamination_of_repeated_ids(spark):
+    """Rows of one id are matched each by itself; rows without an id are dropped as well, but not reported."""
+    item, clean = prose(20, 450), prose(60, 451)
+    half = " ".join(item.split()[:8])
+    rows = [(1, clean), (1, clean + " " + item), (2, half + " " + clean), (2, clean + " " + half), (3, item), (3, item), (None, item), (None, clean)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    bench = spark.createDataFrame([(7, item), (7, prose(20, 452)), (None, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.n_words) for r in contaminated(docs, bench).collect()) == [(1, 7, 20), (3, 7, 20)]
+    left = Counter((r.doc_id, r.text) for r in decontaminate(docs, bench).collect())
+    assert left == Counter([(1, clean), (2, half + " " + clean), (2, clean + " " + half), (None, clean)])
+
+
 def test_decontamination_is_native(spark, odd, empty):
     bench = spark.createDataFrame([(0, prose(80, 2))], "item_id long, text string")
     frame = contaminated(odd, bench)
