@@ -19,7 +19,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    # Repeated links go in the small star.
+    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -30,6 +31,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def labels(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """``node, component`` of nodes that a few rounds link to a smaller one; equal labels mean one component.
+
+    A component may still have several labels: enough where only fewer comparisons depend on it.
+    """
+    now, paths = edges.where("a <> b").select("a", "b"), []
+    for _ in range(rounds):
+        paths.append(scratch(edges.sparkSession))
+        now = written(_small_star(_large_star(now)), paths[-1])
+    for path in paths[:-1]:
+        drop_written(edges.sparkSession, path)
+    return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (its least node) of every node in ``edges(a, b)``; loops are ignored."""
     spark = edges.sparkSession

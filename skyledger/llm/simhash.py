@@ -16,6 +16,8 @@ rows; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import docs_only, map_rows, written
-from .components import components
+from .components import components, labels
 
 SEED = 42
 DISTANCE = 3
@@ -94,11 +96,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, distance: int = DISTANCE
 
 
 #: Near copies: words of an index shingle, index segments of 32 bits, 64-bit words to verify.
-INDEX_WORDS, SEGMENTS, VERIFY = 2, 14, 32
+INDEX_WORDS, SEGMENTS, VERIFY = 2, 24, 32
 #: Least certain bits of a segment that a probe may flip, all subsets of them.
-FLIPS = 4
-#: Pairs of two groups that are compared before all of them are.
+FLIPS = 2
+#: Members of the largest group under its keys that a text meets before it meets all of them.
 MEMBERS = 8
+#: Texts of a group that is large: it is asked, but asks no more.
+LARGE = 64
 #: Members of a key that meet as many others at once: 70 KB.
 BLOCK = 256
 #: Texts to compare by their shingles whose ids may be broadcast: 24 bytes each.
@@ -175,28 +179,24 @@ def _near(a: pa.Array, b: pa.Array, far: np.ndarray, most: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([a.take(at), b.take(at), pa.array(far, pa.int32()).take(at)], ["a", "b", "distance"])
 
 
-def _across(table: DataFrame, probes: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+def _across(table: DataFrame, asks: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """``a, b, distance`` of the pairs of different groups under a key at most ``most`` bits apart.
 
     Both sides have ``key, node, component``.  Under each key they meet in blocks of about ``BLOCK``
-    members, so no key meets in one task and no row is made for a pair that is far apart.  Members of the
-    largest group under a key meet those of the other groups alone.
+    members, so no key meets in one task and no row is made for a pair that is far apart.
     """
-    sizes = table.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"))
+    keys = table.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"))
+    asked = written(asks.join(keys, "key").where("component <> least OR component <> most").select("key", "node", "component"))
 
-    def blocks(rows: DataFrame) -> DataFrame:
+    def blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
         block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-        rows = rows.withColumns({"main": F.col("component") == F.col("largest"), "block": block}).join(classes.select("node", "bits"), "node")
-        return rows.groupBy("key", "main", "block").agg(F.collect_list(F.struct("node", "component", "bits")).alias("rows"))
+        rows = rows.join(sizes.select("key", "n"), "key").withColumn("block", block).join(classes.select("node", "bits"), "node")
+        return rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "bits")).alias("rows"))
 
-    # A key of one group is of use only to probes from elsewhere.
-    asked = probes.join(keys, "key").where("groups > 1 OR component <> largest")
     counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    asked = written(asked.drop("n"))
-    one = blocks(asked.join(counts, "key"))
-    two = blocks(table.join(keys, "key").join(asked.select("key").distinct(), "key", "left_semi"))
-    met = one.select("key", F.col("main").alias("one_main"), F.col("rows").alias("one")).join(two.select("key", F.col("main").alias("two_main"), F.col("rows").alias("two")), "key").where("NOT (one_main AND two_main)").select("one", "two")
+    one = blocks(asked, counts)
+    two = blocks(table.join(counts.select("key"), "key", "left_semi"), keys)
+    met = one.select("key", F.col("rows").alias("one")).join(two.select("key", F.col("rows").alias("two")), "key").select("one", "two")
 
     def compare(batches):
         for batch in batches:
@@ -246,45 +246,44 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
         return rows.mapInArrow(distances, "a long, b long, distance int")
 
-    def joined(near: DataFrame, known: DataFrame | None) -> DataFrame | None:
-        """``node, component`` of nodes other than their component, from ``known`` and pairs that may be near."""
+    links: list[DataFrame] = []
+
+    def joined(near: DataFrame, last: bool = False) -> DataFrame | None:
+        """Labels of groups from all pairs so far and those of ``near`` that are near; whole groups at the ``last`` call."""
         near = written(near)
-        if near.isEmpty():
-            return known
-        links = near.where(F.col("distance") < most - doubt).select("a", "b")
-        links = links.unionByName(similar(texts, classes, near.where(F.col("distance") >= most - doubt), words, similarity))
-        if known:
-            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return written(components(written(links)).where("node <> component"))
+        if not near.isEmpty():
+            more = similar(texts, classes, near.where(F.col("distance") >= most - doubt), words, similarity)
+            links.append(written(near.where(F.col("distance") < most - doubt).select("a", "b").unionByName(more)))
+        if not links:
+            return None
+        every = reduce(DataFrame.unionByName, links)
+        return written(components(every) if last else labels(every)).where("node <> component")
 
     def of(rows: DataFrame, known: DataFrame | None) -> DataFrame:
         """``rows`` with the component of ``node``."""
         return rows.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")) if known else rows.withColumn("component", F.col("node"))
 
-    def some(asks: DataFrame, *by: str) -> DataFrame:
-        """Of ``asks(a, b)``, ``MEMBERS`` pairs at most for each value of ``by``."""
-        salt = F.pmod(F.xxhash64("a", "b"), F.lit(MEMBERS))
-        return asks.groupBy(*by, salt).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-
     # A key's least node first: a group of near copies becomes one in proportion to its size.
-    least = entries.groupBy("key").agg(F.min("node").alias("b"))
-    known = joined(compared(entries.join(least, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()), None)
-    # What is left of a group then meets some members of the largest part under its keys.
-    table = of(entries.select("key", "node"), known)
-    parts = table.groupBy("key", "component", F.pmod(F.xxhash64("node"), F.lit(MEMBERS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"))
-    sizes = parts.groupBy("key", "component").agg(F.sum("n").alias("n"), F.collect_list("b").alias("b"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "b")).alias("x")).where("x.n > 1").select("key", F.col("x.component").alias("other"), F.explode("x.b").alias("b"))
-    asks = table.join(largest, "key").where("component <> other").select(F.col("node").alias("a"), "b", "other")
-    known = joined(compared(some(asks, "a", "other")), known)
-    # Balls meet some members of each other group.
+    keys = entries.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last"))
+    known = joined(compared(entries.join(keys, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()))
+    # Balls are looked up once; a key that only its own node has is of no use to it.
+    hits = written(_balls(entries).join(keys, "key").where("node <> b OR node <> last").select("key", "node"))
+
+    def asking() -> DataFrame:
+        large = known.groupBy("component").count().where(F.col("count") >= LARGE).select("component") if known else None
+        return of(hits, known).join(large, "component", "left_anti") if known else of(hits, known)
+
+    # What is left of a group then meets some members of the largest group under its keys.
     table = of(entries.select("key", "node"), known)
-    probes = of(_balls(entries), known).withColumnRenamed("component", "own")
-    groups = table.groupBy("key", "component").agg(F.min("node").alias("b"))
-    asks = probes.withColumnRenamed("node", "a").join(groups, "key").where("own <> component")
-    asks = asks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("own", "component").alias("own"), F.greatest("own", "component").alias("other"))
-    known = joined(compared(some(asks, "own", "other")), known)
-    # At last they meet all members that are still in another.
-    known = joined(_across(of(entries.select("key", "node"), known), of(_balls(entries), known), classes, most + doubt), known)
+    salts = table.groupBy("key", "component", F.pmod(F.xxhash64("node"), F.lit(MEMBERS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"))
+    groups = salts.groupBy("key", "component").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("b")).alias("b"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("n", "component", "b")).alias("x")).select("key", F.col("x.component").alias("other"), "x.b")
+    member = F.get("b", F.pmod(F.xxhash64("node", "key"), F.size("b")).cast("int"))
+    asks = asking().join(largest, "key").where("component <> other").select(F.col("node").alias("a"), member.alias("b"), "other")
+    some = asks.groupBy("a", "other", F.pmod(F.xxhash64("b"), F.lit(MEMBERS))).agg(F.min("b").alias("b")).select("a", "b").distinct()
+    known = joined(compared(some))
+    # At last each text meets all under its keys that are in another group.
+    known = joined(_across(of(entries.select("key", "node"), known), asking(), classes, most + doubt), last=True)
 
     linked = of(classes.select("node", "bits", "none", "doc_id", "digest"), known)
     first = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "digest")).alias("first"))
@@ -297,17 +296,17 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
 
     Jaccard similarity ``s`` of shingle sets is cosine ``2s / (1 + s)``, an angle that SimHash measures as
     a share of differing bits.  At 0.8 that is 15 %, too many for a short fingerprint, so the
-    complete fingerprint has 2,048 bits and the index has fourteen 32-bit segments of shorter shingles,
+    complete fingerprint has 2,048 bits and the index has 24 32-bit segments of shorter shingles,
     which a change of one word disturbs less.  A probe enumerates, in each segment, the ball of
     keys that flip its ``FLIPS`` least certain bits.
 
-    Every pair that shares a key is compared or already in one group, in four steps with a contraction of
-    the groups after each: own keys with the least member of a key, own keys with some members of the largest group
-    under it, balls with some members of each other group, and balls with all members that are in
-    another group by then.  So a
-    large group of near copies costs comparisons in proportion to its size; only texts of one template
-    that are no near copies of each other meet pairwise.  Complete distances decide, but for those
-    within three standard deviations of the limit: there the shingles themselves are compared.
+    Every text is compared with all others under its keys, or is in one group with them already.  Groups are
+    contracted in between: own keys meet the least member of a key, then balls some members of
+    the largest group under a key, and at last all members that are in another group by then.  Groups of ``LARGE``
+    texts are asked, but ask no more.  So a large group of near copies costs comparisons in
+    proportion to its size; only texts of one template that are no near copies of each other meet pairwise,
+    in blocks.  Complete distances decide, but for those within three standard deviations of the limit: there
+    the shingles themselves are compared.
 
     Rows of one id and text are one row; ``component_id`` is null where no row of a group has an id.
     """
