@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -13,17 +14,31 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Folders made by :func:`scratch`, by application, for :func:`clear`.
+_made: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session.  Only where it is unset (local tests) is a
-    temporary folder of this machine taken instead.
+    The setting is read from the session.  Only in local mode, where one machine does all, a
+    temporary folder is taken if it is unset; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all folders that operators made in this application: for after their results are written."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        drop_written(spark, path)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -6,7 +6,9 @@ value is then mapped to another valid value of the same format by a keyed permut
 permutation is a Feistel network over the values of the format; a result outside the format
 is permuted again (cycle walking) until it is inside.  It is a bijection, so equal values get
 equal pseudonyms in all documents and different values never collide.  Only a holder of
-the key can undo it.
+the key can undo it.  The key is the ``spark.skyledger.pseudonyms.secret`` of the session; where that is
+unset, one is drawn for the session, so nobody else can undo its pseudonyms (nor link them to
+those of another session).
 
 Defined cases: null text stays null with zero counts; empty text stays empty; values that
 fail validation (a wrong check digit, 31 February) stay as they are; separators, letter case
@@ -18,29 +20,33 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import secrets
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from .common import slices
 
 ROUNDS = 8
-DEMO_KEY = "demonstration key; pass your own"
+#: Spark hides settings with this word in its logs and pages.
+SETTING = "spark.skyledger.pseudonyms.secret"
 KINDS = ("email", "phone", "ipv4", "card", "ssn", "iban", "date")
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]{1,64})@((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24})")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 NUMBER = re.compile(
     r"(?<![0-9A-Za-z])(?:"
-    r"(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})"
+    r"(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|\+[0-9]{1,4}(?:[ .-]?\(?[0-9]{1,4}\)?){1,5})"
     r"|(?P<ipv4>(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9]))"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})"
     r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})"
     r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})"
-    r")(?![0-9A-Za-z])"
+    r")(?:(?![0-9A-Za-z])|(?<=[0-9]{4}-[0-9]{2}-[0-9]{2})(?=[Tt][0-9]{2}:))"  # a date may have a time behind it
 )
+#: Country codes of one and of two digits; all others have three.
+SHORT_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
 HAS_DIGIT = re.compile(r"[0-9]")
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2100, 1, 1).toordinal() - FIRST_DAY
@@ -110,7 +116,7 @@ class Pseudonyms:
         return "".join(next(given) if c.isdigit() else c for c in shape)
 
     def letters(self, tweak: str, text: str) -> str:
-        """Digits become digits, letters letters of the same case, the rest stays."""
+        """Digits become digits, letters letters of the same case, the rest stays; case doesn't change which."""
         radix = [10 if c.isdigit() else 26 if c.isalpha() else 1 for c in text]
         value, size = 0, 1
         for c, r in zip(text, radix, strict=True):
@@ -118,7 +124,7 @@ class Pseudonyms:
             size *= r
         if size == 1:
             return text
-        shape = "".join("0" if c.isdigit() else "a" if c.islower() else "A" if c.isalpha() else c for c in text)
+        shape = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in text)
         value = self.number(f"{tweak}|{shape}", value, size)
         out = []
         for c, r in zip(reversed(text), reversed(radix), strict=True):
@@ -129,10 +135,13 @@ class Pseudonyms:
     def email(self, m: re.Match) -> str | None:
         return f"{self.letters(f'email|{m[2].lower()}', m[1])}@{m[2]}"
 
-    def phone(self, s: str) -> str:
+    def phone(self, s: str) -> str | None:
         digits = re.sub(r"\D", "", s)
-        code, own = digits[:-10], digits[-10:]
-        return self.refill(s, f"{code}{self.number(f'phone|{code}', int(own), 10**10):010d}")
+        code = (m[0] if (m := SHORT_CODES.match(digits)) else digits[:3]) if s[0] == "+" else digits[:-10]
+        own = digits[len(code) :]
+        if not 6 <= len(own) <= 12:
+            return None
+        return self.refill(s, f"{code}{self.number(f'phone|{code}', int(own), 10 ** len(own)):0{len(own)}d}")
 
     def ipv4(self, s: str) -> str | None:
         parts = s.split(".")
@@ -204,11 +213,19 @@ class Pseudonyms:
         return text, [count[k] for k in KINDS]
 
 
-def pseudonymize(docs: DataFrame, *, key: str = DEMO_KEY, back: bool = False, column: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's key; drawn where it has none."""
+    if not spark.conf.get(SETTING, None):
+        spark.conf.set(SETTING, secrets.token_hex(32))
+    return spark.conf.get(SETTING)
+
+
+def pseudonymize(docs: DataFrame, *, key: str | None = None, back: bool = False, column: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in ``column``, and ``n_<kind>`` counts of what was replaced.
 
     One pass without a shuffle.  ``back=True`` with the same key restores the texts.
     """
+    key = key or session_key(docs.sparkSession)
     counts = [f"n_{k}" for k in KINDS]
     docs = docs.drop(*counts)
     schema = T.StructType(docs.schema.fields + [T.StructField(c, T.LongType()) for c in counts])

@@ -75,7 +75,7 @@ def shape(word: str, cache: dict[str, str]) -> str:
         return cache[word]
     out = re.sub(r"[^\W\d_A-Z]+", "a", word)
     out = re.sub(r"[A-Z]+", "A", out)
-    out = re.sub(r"\d+", "9", out)[:12]
+    out = re.sub(r"\d+", "9", out)
     if len(cache) < 200_000:
         cache[word] = out
     return out

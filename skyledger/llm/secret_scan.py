@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns plus a token-efficiency test.
 
 Fixed patterns find assignments, access keys and long hex runs.  The token-efficiency test
-then looks at every other long word: text that a byte-pair vocabulary was trained on costs
-few tokens a character, a random string costs many.  A word with few characters per token is
-reported as ``random`` unless it is a known digest, a UUID or an identifier.
+then looks at every other word of 16 characters or more, letters alone included: text that a byte-pair
+vocabulary was trained on costs few tokens a character, a random string costs many.  A word with
+few characters per token is reported as ``random`` unless it is a known digest, a UUID or an
+identifier (which takes in every word of small letters alone, so a random string of them is missed).
 
 Defined cases: a null or empty text has no spans and the hash of the empty string; repeated
 rows each get a row; extra columns are ignored.
@@ -27,7 +28,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run under 16 fails whole, so the bound may stand in the pattern
 KINDS = ("assign", "access", "hex", "random")
 
-#: A word that may be a random string: long, with a digit and a letter (checked in code).
+#: A word that may be a random string: long, with a letter (checked in code).
 WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
@@ -70,7 +71,7 @@ def random_spans(text: str, taken: list[tuple[int, int, int]], encode, most: flo
     found = []
     for m in WORD.finditer(text):
         word = m.group()
-        if not (any(c.isdigit() for c in word) and any(c.isalpha() for c in word)) or known(word):
+        if not any(c.isalpha() for c in word) or known(word):
             continue
         if any(start < m.end() and m.start() < end for start, _, end in taken):
             continue

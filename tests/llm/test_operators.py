@@ -77,6 +77,37 @@ def test_quality_edges(spark, odd, empty):
     assert quality.keep_good(empty).count() == 0
 
 
+def test_scorer_beside_its_teachers(spark):
+    """The linear scorer loses next to nothing against the posterior of the labellers."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.score_quality(docs).join(labels, "doc_id").select("keep", "posterior", "quality").collect()
+    scorer, teachers = (sum(x == r.quality for x, r in zip(side, rows, strict=True)) for side in ([r.keep for r in rows], [int(r.posterior >= 0.5) for r in rows]))
+    assert scorer >= teachers - 0.01 * len(rows)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from skyledger.llm import common
+
+    session = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch(session)
+
+
+def test_clear(spark):
+    from skyledger.llm import common
+
+    path = common.scratch(spark)
+    common.written(spark.range(3).toDF("x"), path)
+    others = common._made[spark.sparkContext.applicationId]
+    common._made[spark.sparkContext.applicationId] = [path]
+    common.clear(spark)
+    common._made[spark.sparkContext.applicationId] = others
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+
+
 def test_estimate_finds_a_bad_labeller():
     import numpy as np
 
@@ -119,6 +150,22 @@ def test_formats_are_kept_and_linked(spark):
     assert Pseudonyms("other").replace(text)[0] != new
 
 
+def test_more_formats(spark):
+    """Times behind dates, telephone numbers of other lengths, letter case, and the session's key."""
+    p, back = Pseudonyms("k"), Pseudonyms("k", back=True)
+    texts = ["at 2024-02-29T10:00:00Z", "+44 20 7946 0958 or +442079460958", "+351 912 345 678", "+49 (30) 901820", "Jo.Doe7@Example.com and jo.doe7@example.com", "not +12 3 or 2024-13-01T10:00"]
+    new = [p.replace(t)[0] for t in texts]
+    assert [back.replace(t)[0] for t in new] == texts
+    assert "2024-02-29" not in new[0] and new[0].endswith("T10:00:00Z") and new[5] == texts[5]
+    one, two = new[1].split(" or ")
+    assert one != texts[1].split(" or ")[0] and one.replace(" ", "") == two and new[2].startswith("+351 ") and new[2] != texts[2] and new[3] != texts[3]
+    one, two = new[4].split(" and ")
+    assert one.lower() == two and one != "Jo.Doe7@Example.com"
+    docs = table(spark, ["mail jo@example.com"])
+    drawn = pseudonymize(docs).first().text
+    assert drawn == pseudonymize(docs).first().text and len(spark.conf.get("spark.skyledger.pseudonyms.secret")) == 64
+
+
 def test_pseudonym_edges(odd, empty):
     out = pseudonymize(odd)
     assert out.count() == odd.count() and "clash" not in [r.n_email for r in out.collect()]
@@ -537,6 +584,26 @@ def test_token_efficiency(spark):
     assert rows == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0}
 
 
+def test_random_strings_in_documents(spark):
+    """Planted keys of mixed letters and digits are found; documents without a secret have none."""
+    r = random.Random(8)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    planted, rows = {}, []
+    for x in docs:
+        text = x.text or ""
+        if x.doc_id % 2:
+            key = "".join(r.choice(letters + ("0123456789" if x.doc_id % 4 == 1 else "")) for _ in range(r.randint(20, 40)))
+            at = text.find(" ") + 1
+            text = f"{text[:at]}{key} {text[at:]}"
+            planted[x.doc_id] = f"random:{at}:{at + len(key)}"
+        rows.append((x.doc_id, text))
+    found = {x.doc_id: x for x in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(span in found[d].spans.split(",") for d, span in planted.items()) >= 0.97 * len(planted)
+    clean = [x for d, x in found.items() if d not in planted and not x.n_assign + x.n_access + x.n_hex]
+    assert sum(x.n_random > 0 for x in clean) <= 0.005 * len(clean)
+
+
 def test_secret_edges(odd, empty):
     assert scan_secrets(odd).count() == odd.count() and scan_secrets(empty).count() == 0
 
