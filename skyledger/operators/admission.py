@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, paths
+from ..sources.scratch import written
 
 
 def first_distinct(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -22,7 +23,10 @@ def path_coverage(found: DataFrame, files: DataFrame, prefixes: list[str]) -> Da
     """
     rows = found.withColumn("failure", paths.path_code(F.col("path")))
     rows = rows.withColumn("failure", F.coalesce("failure", F.when(~paths.under(F.col("path"), prefixes), F.lit("outside_reviewed_prefix"))))
-    rows = first_distinct(rows, "path", ["page_id"]).join(files, "path", "left")
+    # Broken paths, which are often the same one, don't meet: only good ones are looked up.
+    first = rows.where("failure IS NULL").groupBy("path").agg(F.min("page_id").alias("first")).join(files, "path", "left")
+    rows = rows.withColumn("path_key", F.when(F.col("failure").isNull(), F.col("path"))).join(first.withColumnRenamed("path", "path_key"), "path_key", "left")
+    rows = rows.withColumn("copy", F.when(F.col("page_id") > F.col("first"), 2).otherwise(1))
     size = F.when(F.col("bytes").isNull(), "missing_file").when(F.col("bytes") > 128 << 20, "oversize").when(F.col("width") * F.col("height") > 20_000_000, "window").otherwise("whole")
     outcome = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("copy") > 1, "duplicate").otherwise(size)
     kind = F.when(F.col("failure").isNotNull(), "failure").when(F.col("copy") > 1, "duplicate").when(F.col("bytes").isNull(), "failure").otherwise("admitted")
@@ -182,17 +186,21 @@ def match_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("unique_match", F.col("matches") == 1)
 
 
-def lineage_closure(edges: DataFrame, *, max_depth: int = 16) -> DataFrame:
-    """All ancestors of every node in ``edges(child, parent)``, with the least depth."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("_lineage_edges")
-    found = spark.sql(f"""
-        WITH RECURSIVE up(child, ancestor, depth) AS (
-          SELECT child, parent, 1 FROM _lineage_edges
-          UNION ALL
-          SELECT up.child, e.parent, up.depth + 1 FROM up JOIN _lineage_edges e ON e.child = up.ancestor WHERE up.depth < {int(max_depth)})
-        SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor""")
-    return found.select("child", "ancestor", F.col("depth").cast("long").alias("depth"))
+def lineage_closure(edges: DataFrame) -> DataFrame:
+    """All ancestors of every node in ``edges(child, parent)``, with the least depth.
+
+    One round a generation: the newest ancestors step to their parents, and pairs known before are
+    dropped, so ancestors met on several ways go on once and a cycle ends.  Each round is written.
+    """
+    steps = edges.select(F.col("child").alias("step"), F.col("parent").alias("next")).where("step IS NOT NULL AND next IS NOT NULL").distinct()
+    newest = written(steps.select(F.col("step").alias("child"), F.col("next").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
+    known, depth = newest, 1
+    while not newest.isEmpty():
+        depth += 1
+        up = newest.join(steps, F.col("ancestor") == F.col("step")).select("child", F.col("next").alias("ancestor")).distinct()
+        newest = written(up.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        known = known.unionByName(newest)
+    return known
 
 
 def grounding_rows(rows: DataFrame, *, key: str = "question_id") -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import geo
 from ..functions import raster as R
 
 PIXEL = ["raster_id", "row_idx", "col_idx"]
+#: What two bands must share: their acquisition and their exact grid.
 GEOMETRY = ["item_id", "acquired", "crs", "transform", "width", "height"]
 
 
@@ -30,6 +31,30 @@ def summary(pixels: DataFrame, keys: list[str], value: str = "value", ok: str =
     )
 
 
+def pair_codes(one: DataFrame, two: DataFrame, *, key: str = "raster_id", bands: tuple[str, str] = ("nir", "red"), same: list[str] | None = None) -> DataFrame:
+    """``key, code``: the first reason why two bands are no pair, null if they are one.
+
+    Either side has ``key, asset_id, band`` and ``GEOMETRY``.  Nothing is aligned: the pair must have the
+    right bands, be two assets and agree in all of ``same`` (``GEOMETRY`` by default).
+    """
+    same = same or GEOMETRY
+    sides = [t.select(key, *(F.col(c).alias(f"{p}_{c}") for c in ("asset_id", "band", *same))) for t, p in ((one, "one"), (two, "two"))]
+    rows = sides[0].join(sides[1], key, "full")
+    code = (
+        F.when(F.col("one_band").isNull() | F.col("two_band").isNull(), "missing_band")
+        .when((F.col("one_band") != bands[0]) | (F.col("two_band") != bands[1]), "wrong_band")
+        .when(F.col("one_asset_id") == F.col("two_asset_id"), "same_asset")
+    )
+    for c in same:
+        code = code.when(~F.col(f"one_{c}").eqNullSafe(F.col(f"two_{c}")), f"{c}_mismatch")
+    return rows.select(key, code.alias("code"))
+
+
+def admitted(pixels: DataFrame, codes: DataFrame, *, key: str = "raster_id") -> DataFrame:
+    """The pixels of rasters whose pair has no code against it."""
+    return pixels.join(codes.where("code IS NULL").select(key), key, "left_semi")
+
+
 def band_ratio(a: DataFrame, b: DataFrame, mask: DataFrame | None = None, *, keys: list[str] = PIXEL, scale: float = 1e-4, offset: float = -0.1) -> DataFrame:
     """Normalised difference of two bands ``keys, dn, mask`` on one grid, clear of ``mask`` classes.
 
@@ -82,7 +107,7 @@ def resample_nearest(source: DataFrame, target: DataFrame, *, src: tuple[float,
     """
     a, c, e, f = map(F.lit, src)
     ta, tc, te, tf = map(F.lit, dst)
-    x, y = R.center_x(tc, ta, F.col("row_idx") * 0 + F.col("col_idx")), R.center_y(tf, te, F.col("row_idx"))
+    x, y = R.center_x(tc, ta, F.col("col_idx")), R.center_y(tf, te, F.col("row_idx"))
     wanted = target.select(*keys, "row_idx", "col_idx", R.source_index(y, f, e).alias("src_row"), R.source_index(x, c, a).alias("src_col"))
     codes = source.select(*keys, F.col("row_idx").alias("src_row"), F.col("col_idx").alias("src_col"), "code", "mask")
     rows = wanted.join(codes, [*keys, "src_row", "src_col"], "left")
@@ -190,8 +215,13 @@ def pixels_in_zones(pixels: DataFrame, zones: DataFrame, *, cell: float = 4.0) -
 
 
 def zonal_stats(pixels: DataFrame, zones: DataFrame, *, cell: float = 4.0, digits: int = 6) -> DataFrame:
-    """Statistics of each raster in each zone; zones without a pixel centre keep a row of nulls."""
-    met = pixels_in_zones(pixels, zones, cell=cell)
+    """Statistics of each raster in each zone; zones without a pixel centre keep a row of nulls.
+
+    Rasters of one grid share their pixel centres, so zones are tested once a centre, however many
+    rasters there are; pixels then join by the centre.
+    """
+    centres = pixels.select("x", "y").distinct()
+    met = pixels.join(pixels_in_zones(centres, zones, cell=cell), ["x", "y"])
     v = F.when(F.col("valid"), F.col("value"))
     stats = met.groupBy("zone_id", "raster_id").agg(
         F.count(F.lit(1)).alias("zone_pixels"),

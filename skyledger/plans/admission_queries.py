@@ -120,8 +120,8 @@ def overlapping_scopes(spark, d):
     return A.overlapping_scopes(rows.select("scope").union(rows.select(F.concat(F.lit("s"), ((F.col("reservation_id") + 1) % 8).cast("string")))))
 
 
-@query("""SELECT path, concat_ws('; ', CASE WHEN path LIKE '%.log' OR path LIKE '%.sqlite3' OR path LIKE '%.pt' OR path LIKE '%.bin' THEN 'data/archive/model format' END, CASE WHEN size_bytes*20>2097152 THEN 'file exceeds 2 MiB' END,
- CASE WHEN inode%10=0 THEN 'symlinks and submodules require explicit review' END) AS errors FROM v_files""")
+@query("""SELECT path, concat_ws('; ', CASE WHEN path LIKE '%.log' OR path LIKE '%.sqlite3' OR path LIKE '%.pt' OR path LIKE '%.bin' THEN 'data_format' END, CASE WHEN size_bytes*20>2097152 THEN 'too_large' END,
+ CASE WHEN inode%10=0 THEN 'not_a_plain_file' END) AS errors FROM v_files""")
 def payload_policy(spark, d):
     """P20: reasons against files of a source tree."""
     errors = paths.payload_errors(F.col("path"), F.col("size_bytes") * 20, F.when(F.col("inode") % 10 == 0, "120000").otherwise("100644"))
@@ -148,20 +148,20 @@ def artifact_conflicts(spark, d):
     return A.register_conflicts(rows, ["episode_id", "artifact_id"], "content")
 
 
-@query("""WITH a AS (SELECT sha256(concat(source,'|',lang)) AS k, doc_id FROM documents), n AS (SELECT k, count(*) AS m FROM (SELECT sha256(concat('src',c_custkey%25,'|',CASE c_nationkey%3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'xx' END)) AS k FROM customer WHERE c_custkey<=60) GROUP BY 1)
+@query("""WITH a AS (SELECT sha256(concat(source,'|',doc_id%97)) AS k, doc_id FROM documents), n AS (SELECT k, count(*) AS m FROM (SELECT sha256(concat('src',c_custkey%25,'|',c_custkey%97)) AS k FROM customer) GROUP BY 1)
 SELECT doc_id, coalesce(m,0) AS matches, coalesce(m,0)=1 AS unique_match FROM a LEFT JOIN n USING (k)""")
 def unique_matches(spark, d):
     """Records that match exactly once by hash."""
-    left = V.read(spark, d, "documents").select(F.sha2(F.concat("source", F.lit("|"), "lang"), 256).alias("k"), "doc_id")
-    n = F.col("c_nationkey") % 3
-    right = V.read(spark, d, "customer").where("c_custkey <= 60").select(F.sha2(F.concat(F.lit("src"), (F.col("c_custkey") % 25).cast("string"), F.lit("|"), F.when(n == 0, "en").when(n == 1, "fr").otherwise("xx")), 256).alias("k"))
+    left = V.read(spark, d, "documents").select(F.sha2(F.concat("source", F.lit("|"), (F.col("doc_id") % 97).cast("string")), 256).alias("k"), "doc_id")
+    c = F.col("c_custkey")
+    right = V.read(spark, d, "customer").select(F.sha2(F.concat(F.lit("src"), (c % 25).cast("string"), F.lit("|"), (c % 97).cast("string")), 256).alias("k"))
     return A.match_unique(left, right, "k").select("doc_id", "matches", "unique_match")
 
 
 LINEAGE = "e AS (SELECT p_partkey AS child, p_partkey//3 AS parent FROM part WHERE p_partkey//3>0 UNION SELECT p_partkey, p_partkey//5 FROM part WHERE p_partkey//5>0)"
 
 
-@query(f"WITH RECURSIVE {LINEAGE}, up AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT up.child, e.parent, up.depth+1 FROM up JOIN e ON e.child=up.ancestor WHERE up.depth<16) SELECT child, ancestor, min(depth)::BIGINT AS depth FROM up GROUP BY 1,2")
+@query(f"WITH RECURSIVE {LINEAGE}, up AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT up.child, e.parent, up.depth+1 FROM up JOIN e ON e.child=up.ancestor) SELECT child, ancestor, min(depth)::BIGINT AS depth FROM up GROUP BY 1,2")
 def lineage_closure(spark, d):
     """Ancestors over many hops."""
     part = V.read(spark, d, "part")
@@ -175,7 +175,7 @@ def asset_manifest(spark, d):
     return V.read(spark, d, "documents").groupBy(F.col("source").alias("dataset_id")).agg(F.sort_array(F.collect_list("doc_id")).alias("assets"))
 
 
-@query("SELECT asset_id, doc_id, sha256(concat(dataset_id,'|',relative_path,'|',coalesce(size_bytes::VARCHAR,'\\N'))) AS derivation_id FROM v_assets")
+@query("SELECT asset_id, doc_id, sha256(concat(dataset_id,chr(0),relative_path,chr(0),coalesce(size_bytes::VARCHAR,'\\N'))) AS derivation_id FROM v_assets")
 def stable_ids(spark, d):
     """Ids that follow from content."""
     return V.assets(spark, d).select("asset_id", "doc_id", hashing.digest(F.col("dataset_id"), F.col("relative_path"), F.col("size_bytes")).alias("derivation_id"))

@@ -14,7 +14,7 @@ from .registry import query
 LIMITS = {"steps": 150, "tool_calls": 40, "input_bytes": 1500, "wall_time_ms": 90}
 
 
-@query("WITH h AS (SELECT episode_id, sequence, sha256(concat(event_id,'|',event_type,'|',props)) AS h FROM v_log) SELECT episode_id, count(*) AS events, sha256(string_agg(h, chr(10) ORDER BY sequence)) AS trace_hash FROM h GROUP BY 1")
+@query("WITH h AS (SELECT episode_id, sequence, sha256(concat(event_id,chr(0),event_type,chr(0),props)) AS h FROM v_log) SELECT episode_id, count(*) AS events, sha256(string_agg(h, chr(10) ORDER BY sequence)) AS trace_hash FROM h GROUP BY 1")
 def trace_hashes(spark, d):
     """One hash of each episode's events in order."""
     return L.trace_hash(V.log(spark, d), "episode_id", "sequence", ["event_id", "event_type", "props"])
@@ -156,6 +156,14 @@ def semantic_payloads(spark, d):
     return V.read(spark, d, "events").select("event_id", hashing.semantic(text).alias("meaning"))
 
 
+@query("""SELECT event_id, concat('{"answer":{"created_at":"x"},"evidence_ids":["e',event_id,'"],"inner":{"client_action_id":',event_id,',"k":',CAST(json_extract(props,'$.k') AS BIGINT),'},"wall_time_ms":{"limit":9}}') AS meaning FROM events""")
+def replay_payloads(spark, d):
+    """as a replay compares them: cited evidence, actions and answers stay."""
+    e = F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"event_id":'), e, F.lit(',"evidence_ids":["e'), e, F.lit('"],"answer":{"created_at":"x"},"inner":{"created_at":"x","client_action_id":'), e, F.lit(',"k":'), F.get_json_object("props", "$.k"), F.lit('},"wall_time_ms":{"limit":9,"used":4}}'))
+    return V.read(spark, d, "events").select("event_id", hashing.semantic(text, replay=True).alias("meaning"))
+
+
 MEM = """e AS (SELECT episode_id AS scope_id, sequence, CASE WHEN event_type IN ('error','signup') THEN 'invalidate' ELSE 'publish' END AS event_type, event_id*13%101 AS memory_id FROM v_log)"""
 
 

@@ -46,6 +46,59 @@ def ndvi_summary(spark, d):
     return P.summary(ndvi(spark, d), ["raster_id"])
 
 
+NDMI = ND.replace("red_dn", "swir_dn")
+
+
+@query(f"WITH {NDMI} SELECT raster_id, {STATS.format(ok='ok', v='v')} FROM ndvi GROUP BY raster_id")
+def ndmi_summary(spark, d):
+    """Near-infrared against short-wave infrared."""
+    return P.summary(P.band_ratio(band(spark, d, "nir_dn"), band(spark, d, "swir_dn")), ["raster_id"])
+
+
+#: Near-infrared and red assets of each order's raster; some pairs don't fit.
+BANDS = """n AS (SELECT o_orderkey AS raster_id, concat('n',o_orderkey) AS asset_id, 'nir' AS band, o_custkey AS item_id, o_orderdate AS acquired, concat('EPSG:326',10+o_custkey%50) AS crs, [10.0::DOUBLE,o_custkey%7*1000.0] AS transform, 100 AS width, 100 AS height FROM orders WHERE o_orderkey%23<>5),
+r AS (SELECT o_orderkey AS raster_id, concat(CASE WHEN o_orderkey%11=3 THEN 'n' ELSE 'r' END,o_orderkey) AS asset_id, CASE WHEN o_orderkey%13=2 THEN 'swir' ELSE 'red' END AS band, CASE WHEN o_orderkey%17=4 THEN -1 ELSE o_custkey END AS item_id,
+ CASE WHEN o_orderkey%7=1 THEN o_orderdate+INTERVAL 1 DAY ELSE o_orderdate END AS acquired, CASE WHEN o_orderkey%5=2 THEN 'EPSG:4326' ELSE concat('EPSG:326',10+o_custkey%50) END AS crs,
+ [CASE WHEN o_orderkey%19=6 THEN 20.0 ELSE 10.0 END::DOUBLE,o_custkey%7*1000.0] AS transform, CASE WHEN o_orderkey%29=7 THEN 50 ELSE 100 END AS width, CASE WHEN o_orderkey%31=8 THEN 50 ELSE 100 END AS height FROM orders)"""
+
+
+def bands(spark, d):
+    """The same two tables."""
+    o, k, c = V.read(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    text, crs = k.cast("string"), F.concat(F.lit("EPSG:326"), (10 + c % 50).cast("string"))
+    origin = (c % 7 * 1000).cast("double")
+    odd = lambda n, at, x, y: F.when(k % n == at, x).otherwise(y)
+    one = o.where(k % 23 != 5).select(k.alias("raster_id"), F.concat(F.lit("n"), text).alias("asset_id"), F.lit("nir").alias("band"), c.alias("item_id"), F.col("o_orderdate").alias("acquired"), crs.alias("crs"), F.array(F.lit(10.0), origin).alias("transform"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    two = o.select(
+        k.alias("raster_id"), F.concat(odd(11, 3, "n", "r"), text).alias("asset_id"), odd(13, 2, "swir", "red").alias("band"), odd(17, 4, F.lit(-1), c).alias("item_id"), odd(7, 1, F.col("o_orderdate") + F.expr("INTERVAL 1 DAY"), F.col("o_orderdate")).alias("acquired"),
+        odd(5, 2, F.lit("EPSG:4326"), crs).alias("crs"), F.array(odd(19, 6, F.lit(20.0), F.lit(10.0)), origin).alias("transform"), odd(29, 7, 50, 100).alias("width"), odd(31, 8, 50, 100).alias("height"),
+    )
+    return one, two
+
+
+@query(f"""WITH {BANDS} SELECT coalesce(n.raster_id,r.raster_id) AS raster_id, CASE WHEN n.band IS NULL OR r.band IS NULL THEN 'missing_band' WHEN n.band<>'nir' OR r.band<>'red' THEN 'wrong_band' WHEN n.asset_id=r.asset_id THEN 'same_asset' WHEN n.item_id<>r.item_id THEN 'item_id_mismatch'
+ WHEN n.acquired<>r.acquired THEN 'acquired_mismatch' WHEN n.crs<>r.crs THEN 'crs_mismatch' WHEN n.transform<>r.transform THEN 'transform_mismatch' WHEN n.width<>r.width THEN 'width_mismatch' WHEN n.height<>r.height THEN 'height_mismatch' END AS code FROM n FULL JOIN r ON n.raster_id=r.raster_id""")
+def pair_rejections(spark, d):
+    """The first reason against each pair of bands."""
+    return P.pair_codes(*bands(spark, d))
+
+
+@query(f"""WITH {BANDS} SELECT n.raster_id, CASE WHEN n.crs<>r.crs THEN 'crs_mismatch' WHEN n.transform<>r.transform THEN 'transform_mismatch' WHEN n.width<>r.width THEN 'width_mismatch' WHEN n.height<>r.height THEN 'height_mismatch' END AS code FROM n JOIN r ON n.raster_id=r.raster_id WHERE n.asset_id<>r.asset_id AND r.band='red'""")
+def date_pair_rejections(spark, d):
+    """Two dates need one grid, but not one acquisition."""
+    one, two = bands(spark, d)
+    codes = P.pair_codes(one, two, same=["crs", "transform", "width", "height"])
+    return codes.where("code IS NULL OR code NOT IN ('missing_band', 'wrong_band', 'same_asset')")
+
+
+@query(f"""WITH {BANDS}, {ND.strip()}, bad AS (SELECT n.raster_id FROM n JOIN r ON n.raster_id=r.raster_id WHERE r.band='red' AND n.asset_id<>r.asset_id AND n.item_id=r.item_id AND n.acquired=r.acquired AND n.crs=r.crs AND n.transform=r.transform AND n.width=r.width AND n.height=r.height)
+SELECT raster_id, {STATS.format(ok='ok', v='v')} FROM ndvi JOIN bad USING (raster_id) GROUP BY raster_id""")
+def admitted_ndvi(spark, d):
+    """NDVI of the pairs that are admitted, and of no other."""
+    codes = P.pair_codes(*bands(spark, d))
+    return P.summary(P.band_ratio(P.admitted(band(spark, d, "nir_dn"), codes), band(spark, d, "red_dn")), ["raster_id"])
+
+
 @query(f"WITH {ND} SELECT raster_id, row_idx, col_idx, round(v,6) AS value, ok AS valid FROM ndvi")
 def ndvi_pixels(spark, d):
     """The product itself."""
@@ -285,13 +338,12 @@ def change_scores(spark, d):
     return rows.withColumn("reward", F.round((0.4 * F.col("class_score") + 0.3 * F.col("direction_score") + 0.3 * F.col("fraction_score")) / 1.0, 6))
 
 
-SIZES_SQL = "r AS (SELECT l_orderkey*10+l_linenumber AS raster_id, CAST(l_quantity*300 AS BIGINT)+1 AS width, CAST(l_partkey%5000 AS BIGINT)+1 AS height, CAST(l_extendedprice*5000 AS BIGINT) AS bytes FROM lineitem WHERE l_linenumber=1)"
+SIZES_SQL = "r AS (SELECT l_orderkey*10+l_linenumber AS raster_id, CAST(l_quantity*300 AS BIGINT)+1 AS width, CAST(l_partkey%5000 AS BIGINT)+1 AS height, CAST(l_extendedprice*5000 AS BIGINT) AS bytes FROM lineitem)"
 
 
 def sizes(spark, d):
     """Raster sizes made of line items."""
-    rows = V.read(spark, d, "lineitem").where("l_linenumber = 1")
-    return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("raster_id"), ((F.col("l_quantity") * 300).cast("long") + 1).alias("width"), (F.col("l_partkey") % 5000 + 1).alias("height"), F.round(F.col("l_extendedprice") * 5000).cast("long").alias("bytes"))
+    return V.read(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("raster_id"), ((F.col("l_quantity") * 300).cast("long") + 1).alias("width"), (F.col("l_partkey") % 5000 + 1).alias("height"), F.round(F.col("l_extendedprice") * 5000).cast("long").alias("bytes"))
 
 
 @query(f"""WITH {SIZES_SQL}, t AS (SELECT raster_id, width, height, unnest(range(CAST(ceil(width/2048.0)*ceil(height/2048.0) AS BIGINT))) AS tile_index, CAST(ceil(width/2048.0) AS BIGINT) AS nc FROM r)
@@ -301,11 +353,11 @@ def tile_grid(spark, d):
     return P.tile_grid(sizes(spark, d))
 
 
-@query("WITH r AS (SELECT n_nationkey AS raster_id, n_nationkey%5*7+3 AS w, n_nationkey%4*9+2 AS h FROM nation), c AS (SELECT raster_id, w, h, unnest(range(w)) AS col_idx FROM r) SELECT raster_id, col_idx, unnest(range(h)) AS row_idx FROM c")
+@query("WITH r AS (SELECT c_custkey AS raster_id, c_custkey%5*2+3 AS w, c_custkey%4*3+2 AS h FROM customer), c AS (SELECT raster_id, w, h, unnest(range(w)) AS col_idx FROM r) SELECT raster_id, col_idx, unnest(range(h)) AS row_idx FROM c")
 def pixel_grid(spark, d):
     """Pixels of small rasters, tile by tile."""
-    k = F.col("n_nationkey").cast("long")
-    rasters = V.read(spark, d, "nation").select(F.col("n_nationkey").alias("raster_id"), (k % 5 * 7 + 3).alias("width"), (k % 4 * 9 + 2).alias("height"))
+    k = F.col("c_custkey").cast("long")
+    rasters = V.read(spark, d, "customer").select(F.col("c_custkey").alias("raster_id"), (k % 5 * 2 + 3).alias("width"), (k % 4 * 3 + 2).alias("height"))
     return P.pixel_grid(P.tile_grid(rasters, tile=8))
 
 

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import folder
 from ..streaming.actions import dedup_actions, episode_state
 from .registry import query
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     # A table may be one file or a folder of files.
@@ -25,7 +17,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    out = _folder(spark)
+    out = folder(spark)
     running = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")

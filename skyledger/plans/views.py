@@ -20,6 +20,7 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
         (e % 20).alias("col_idx"),
         (800 + F.floor(F.col("value") * 10) % 4000).alias("red_dn"),
         (900 + (F.col("user_id") * 137 + e * 31) % 6000).alias("nir_dn"),
+        (900 + (F.col("user_id") * 53 + e * 17) % 5000).alias("swir_dn"),
         (e % 12).alias("scl"),
         ((e * 7) % 4).alias("manual"),
         (e % 17 != 0).alias("mask"),
@@ -119,7 +120,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
 _RING_SQL = ",".join(f"({i},{x},{y})" for i, x, y in RING)
 SQL = {
     "v_pixels": """SELECT CAST(floor(event_id/400.0) AS BIGINT) AS raster_id, CAST(floor((event_id%400)/20.0) AS BIGINT) AS row_idx, event_id%20 AS col_idx,
-  800+CAST(floor(value*10) AS BIGINT)%4000 AS red_dn, 900+(user_id*137+event_id*31)%6000 AS nir_dn, event_id%12 AS scl, (event_id*7)%4 AS manual, event_id%17<>0 AS mask FROM events""",
+  800+CAST(floor(value*10) AS BIGINT)%4000 AS red_dn, 900+(user_id*137+event_id*31)%6000 AS nir_dn, 900+(user_id*53+event_id*17)%5000 AS swir_dn, event_id%12 AS scl, (event_id*7)%4 AS manual, event_id%17<>0 AS mask FROM events""",
     "v_zone_vertices": f"SELECT CAST(n_nationkey AS BIGINT) AS zone_id, i, CAST(n_nationkey%5*3+dx AS DOUBLE) AS x, CAST(n_nationkey%4*3+dy AS DOUBLE) AS y FROM nation CROSS JOIN (VALUES {_RING_SQL}) AS t(i,dx,dy)",
     "v_scenes": """SELECT o_orderkey AS item_id, o_orderdate AS acquired, o_orderpriority AS platform, o_orderstatus AS instrument,
   CAST(o_custkey%20 AS DOUBLE)/10 AS west, CAST(o_custkey%15 AS DOUBLE)/10 AS south, CAST(o_custkey%20 AS DOUBLE)/10+2.0 AS east, CAST(o_custkey%15 AS DOUBLE)/10+2.0 AS north,

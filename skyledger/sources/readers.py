@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 
-#: Words of columns that hold answers, not inputs.
-GUARDED = ("label", "answer", "mask", "annotation", "groundtruth")
+# Words of the names of columns that hold answers, not inputs.
+GUARDED = {"label", "labels", "answer", "answers", "mask", "masks", "annotation", "annotations", "bbox", "gt", "groundtruth"}
 
 
 def guard(columns: list[str], column: str) -> str:
-    """The column if it exists and isn't an answer column."""
+    """The column if it has a plain name, exists, and has no guarded word in its name."""
+    if not column.isascii() or not column.isidentifier() or column.startswith("_"):
+        raise ValueError(f"column_name_not_allowed: {column}")
     if column not in columns:
         raise ValueError(f"column_missing: {column}")
-    if any(word in column.lower() for word in GUARDED):
+    if GUARDED.intersection(column.lower().split("_")):
         raise ValueError(f"answer_column_not_allowed: {column}")
     return column
 
