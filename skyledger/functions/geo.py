@@ -152,6 +152,15 @@ def window(b: list[Column], a: Column, c: Column, e: Column, f: Column) -> list[
     return [F.floor(left), F.floor(top), F.ceil(right), F.ceil(bottom)]
 
 
+def rounded_window(b: list[Column], a: Column, c: Column, e: Column, f: Column) -> list[Column]:
+    """``col, row, width, height``: offsets down and lengths up, each by itself, to whole pixels.
+
+    A length may so end a pixel before or behind the outward window of :func:`window`.
+    """
+    left, top = (b[0] - c) / a, (b[3] - f) / e
+    return [F.floor(left), F.floor(top), F.ceil((b[2] - c) / a - left), F.ceil((b[1] - f) / e - top)]
+
+
 #: WGS84 and the UTM projection.
 _A, _FLAT, _K0 = 6378137.0, 1 / 298.257223563, 0.9996
 _E2 = _FLAT * (2 - _FLAT)

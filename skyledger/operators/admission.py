@@ -112,6 +112,17 @@ def scope_usage(files: DataFrame, reservations: DataFrame) -> DataFrame:
     return out.withColumn("headroom", F.greatest(F.lit(0), F.col("capacity") - F.col("charged")))
 
 
+def quota_status(usage: DataFrame, files: DataFrame, *, total: int) -> DataFrame:
+    """One row: bytes in files, reserved headroom, what is charged in all, and what is left of ``total``.
+
+    ``usage`` is :func:`scope_usage`; scopes should not lie within each other (:func:`overlapping_scopes`).
+    """
+    data = files.agg(F.coalesce(F.sum(hashing.charge(F.col("size_bytes"), F.col("blocks"))), F.lit(0)).cast("long").alias("data"))
+    held = usage.agg(F.count(F.lit(1)).alias("scopes"), F.coalesce(F.sum("headroom"), F.lit(0)).cast("long").alias("reserved"))
+    charged = F.col("data") + F.col("reserved")
+    return data.crossJoin(held).select("data", "scopes", "reserved", charged.alias("charged"), F.greatest(F.lit(0), F.lit(total) - charged).alias("available"))  # one row on either side
+
+
 def overlapping_scopes(reservations: DataFrame) -> DataFrame:
     """Pairs of different scopes of which one lies within the other."""
     scopes = reservations.select("scope").distinct()

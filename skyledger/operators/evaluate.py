@@ -114,6 +114,8 @@ def run_summary(runs: DataFrame, by: str) -> DataFrame:
         F.count_if("passed").alias("passed"),
         F.count_if("abstained").alias("abstained"),
         F.count_if(F.col("passed") & F.col("abstained")).alias("right_abstentions"),
+        F.count_if(~F.col("passed") & ~F.col("abstained")).alias("false_confidence"),
+        F.count_if(~F.col("passed") & F.col("abstained")).alias("unnecessary_abstentions"),
         F.sum("tokens").cast("long").alias("tokens"),
         F.max("elapsed_ms").alias("longest_ms"),
     )

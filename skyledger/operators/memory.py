@@ -76,14 +76,32 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, ce
 
 
 def case_matrix(records: DataFrame) -> DataFrame:
-    """Six variants of each record for tests of retrieval: what is changed, and whether it should match."""
-    case = lambda name, match, **changes: F.struct(F.lit(name).alias("case_name"), F.lit(match).alias("expected"), *(changes.get(c, F.col(c)).alias(f"case_{c}") for c in ("west", "east", "platform", "acquired")))
-    cases = F.array(
-        case("correct", True),
-        case("conflict", True, platform=F.col("platform")),
-        case("neighbour", False, west=F.col("west") + 10, east=F.col("east") + 10),
-        case("expired", False),
-        case("date", False, acquired=F.col("acquired") + F.expr("INTERVAL 400 DAY")),
-        case("sensor", False, platform=F.lit("other")),
-    )
-    return records.select("item_id", F.explode(cases).alias("c")).select("item_id", "c.*")
+    """Six variants of each record for tests of retrieval: what is changed, and whether a search for the record finds it.
+
+    ``records``: ``item_id, west, east, platform, acquired, available_at, expires_at, summary``.  A
+    conflicting record is found like the right one, but says something else; an expired one was
+    available for a second only.
+    """
+    columns = ("west", "east", "platform", "acquired", "expires_at", "summary")
+    changes = {
+        "correct": (True, {}),
+        "conflict": (True, {"summary": F.concat(F.lit("not: "), "summary")}),
+        "neighbour": (False, {"west": F.col("east") + 0.1, "east": 2 * F.col("east") - F.col("west") + 0.1}),
+        "expired": (False, {"expires_at": F.col("available_at") + F.expr("INTERVAL 1 SECOND")}),
+        "date": (False, {"acquired": F.col("acquired") + F.expr("INTERVAL 400 DAY")}),
+        "sensor": (False, {"platform": F.concat(F.lit("other than "), "platform")}),
+    }
+    cases = [F.struct(F.lit(name).alias("case_name"), F.lit(found).alias("expected"), *(change.get(c, F.col(c)).alias(f"case_{c}") for c in columns)) for name, (found, change) in changes.items()]
+    return records.select("item_id", F.explode(F.array(*cases)).alias("c")).select("item_id", "c.*")
+
+
+def check_cases(records: DataFrame, cases: DataFrame) -> DataFrame:
+    """``item_id, case_name, expected, found, says_same``: each variant under the search that its record answers.
+
+    The search asks for the record's box, platform and date, an hour after it became available.
+    """
+    asked = records.select("item_id", F.col("west").alias("q_west"), F.col("east").alias("q_east"), F.col("platform").alias("q_platform"), F.col("acquired").alias("q_acquired"), F.col("summary").alias("q_summary"), "available_at")
+    rows = cases.join(asked, "item_id")
+    current = times.current(F.col("available_at") + F.expr("INTERVAL 1 HOUR"), F.col("available_at"), F.col("case_expires_at"))
+    found = (F.col("case_west") <= F.col("q_east")) & (F.col("case_east") >= F.col("q_west")) & (F.col("case_platform") == F.col("q_platform")) & (F.col("case_acquired") == F.col("q_acquired")) & current
+    return rows.select("item_id", "case_name", "expected", F.coalesce(found, F.lit(False)).alias("found"), (F.col("case_summary") == F.col("q_summary")).alias("says_same"))

@@ -113,6 +113,15 @@ def scope_usage(spark, d):
     return A.scope_usage(V.files(spark, d), V.reservations(spark, d))
 
 
+@query("""WITH s AS (SELECT scope, sum(capacity)::BIGINT AS capacity FROM v_reservations GROUP BY 1), u AS (SELECT scope, sum(greatest(size_bytes,blocks*512))::BIGINT AS charged FROM s JOIN v_files f ON f.path=s.scope OR starts_with(f.path, concat(s.scope,'/')) GROUP BY 1),
+h AS (SELECT count(*) AS scopes, sum(greatest(0,capacity-coalesce(charged,0)))::BIGINT AS reserved FROM s LEFT JOIN u USING (scope)), t AS (SELECT sum(greatest(size_bytes,blocks*512))::BIGINT AS data FROM v_files)
+SELECT data, scopes, reserved, data+reserved AS charged, greatest(0,10000000000-data-reserved) AS available FROM t, h""")
+def quota_status(spark, d):
+    """Totals of a quota of ten gigabytes."""
+    files = V.files(spark, d)
+    return A.quota_status(A.scope_usage(files, V.reservations(spark, d)), files, total=10_000_000_000)
+
+
 @query("WITH s AS (SELECT scope FROM v_reservations UNION SELECT concat('s',(reservation_id+1)%8) FROM v_reservations) SELECT o.scope AS outer_scope, i.scope AS inner_scope FROM s o JOIN s i ON starts_with(i.scope, concat(o.scope,'/'))")
 def overlapping_scopes(spark, d):
     """Scopes within scopes."""

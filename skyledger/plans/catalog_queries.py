@@ -168,6 +168,13 @@ def aoi_windows(spark, d):
     return V.scenes(spark, d).select("item_id", *(c.alias(n) for c, n in zip(out, ("col", "row", "right", "bottom"), strict=True)))
 
 
+@query("""SELECT item_id, CAST(floor((west-0.0)/0.03) AS BIGINT) AS col, CAST(floor((north-4.0)/-0.03) AS BIGINT) AS row, CAST(ceil((east-0.0)/0.03-(west-0.0)/0.03) AS BIGINT) AS width, CAST(ceil((south-4.0)/-0.03-(north-4.0)/-0.03) AS BIGINT) AS height FROM v_scenes""")
+def rounded_windows(spark, d):
+    """pixel windows with offsets and lengths rounded by themselves."""
+    out = geo.rounded_window(geo.box(), F.lit(0.03), F.lit(0.0), F.lit(-0.03), F.lit(4.0))
+    return V.scenes(spark, d).select("item_id", *(c.alias(n) for c, n in zip(out, ("col", "row", "width", "height"), strict=True)))
+
+
 @query()
 def utm_boxes(spark, d):
     """WGS84 bounds of UTM boxes (no SQL: tests hold it against published values)."""

@@ -95,7 +95,7 @@ def temporal_scores(spark, d):
 
 
 @query(f"""{_pair_sql()}, t AS (SELECT reason, reason='selected' AS sel, request_id%5=0 AS abst, request_id FROM sel), r AS (SELECT CASE WHEN sel THEN 'selected' ELSE 'rejected' END AS truth, sel<>abst AS passed, abst, request_id%900 AS tokens, 900+request_id%300 AS ms FROM t)
-SELECT truth, count(*) AS episodes, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE abst) AS abstained, count(*) FILTER (WHERE passed AND abst) AS right_abstentions, sum(tokens)::BIGINT AS tokens, max(ms) AS longest_ms FROM r GROUP BY ROLLUP (truth)""")
+SELECT truth, count(*) AS episodes, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE abst) AS abstained, count(*) FILTER (WHERE passed AND abst) AS right_abstentions, count(*) FILTER (WHERE NOT passed AND NOT abst) AS false_confidence, count(*) FILTER (WHERE NOT passed AND abst) AS unnecessary_abstentions, sum(tokens)::BIGINT AS tokens, max(ms) AS longest_ms FROM r GROUP BY ROLLUP (truth)""")
 def run_summary(spark, d):
     """Counts by truth and in all."""
     from .catalog_queries import best_pairs

@@ -215,11 +215,27 @@ def memory_search(spark, d):
     return M.memory_search(records, queries, limit=10)
 
 
-@query("""SELECT item_id, k.case_name, k.expected, west+k.dx AS case_west, east+k.dx AS case_east, CASE WHEN k.case_name='sensor' THEN 'other' ELSE platform END AS case_platform, acquired+to_days(k.dd) AS case_acquired
-FROM v_scenes CROSS JOIN (VALUES ('correct',true,0,0),('conflict',true,0,0),('neighbour',false,10,0),('expired',false,0,0),('date',false,0,400),('sensor',false,0,0)) k(case_name,expected,dx,dd)""")
+CASES = """cs AS (SELECT item_id, acquired AS available_at, concat('summary of ',item_id) AS summary, west, east, platform, acquired, k.case_name, k.expected, CASE WHEN k.case_name='neighbour' THEN east+0.1 ELSE west END AS case_west, CASE WHEN k.case_name='neighbour' THEN 2*east-west+0.1 ELSE east END AS case_east,
+ CASE WHEN k.case_name='sensor' THEN concat('other than ',platform) ELSE platform END AS case_platform, CASE WHEN k.case_name='date' THEN acquired+INTERVAL 400 DAY ELSE acquired END AS case_acquired, CASE WHEN k.case_name='expired' THEN acquired+INTERVAL 1 SECOND ELSE acquired+INTERVAL 300 DAY END AS case_expires_at,
+ CASE WHEN k.case_name='conflict' THEN concat('not: summary of ',item_id) ELSE concat('summary of ',item_id) END AS case_summary FROM v_scenes CROSS JOIN (VALUES ('correct',true),('conflict',true),('neighbour',false),('expired',false),('date',false),('sensor',false)) k(case_name,expected))"""
+
+
+def case_records(spark, d):
+    at = F.col("acquired")
+    return V.scenes(spark, d).withColumns({"available_at": at, "expires_at": at + F.expr("INTERVAL 300 DAY"), "summary": F.concat(F.lit("summary of "), F.col("item_id").cast("string"))})
+
+
+@query(f"WITH {CASES} SELECT item_id, case_name, expected, case_west, case_east, case_platform, case_acquired, case_expires_at, case_summary FROM cs")
 def case_matrix(spark, d):
     """Six variants of each record."""
-    return M.case_matrix(V.scenes(spark, d))
+    return M.case_matrix(case_records(spark, d))
+
+
+@query(f"""WITH {CASES} SELECT item_id, case_name, expected, case_west<=east AND case_east>=west AND case_platform=platform AND case_acquired=acquired AND available_at+INTERVAL 1 HOUR>=available_at AND available_at+INTERVAL 1 HOUR<case_expires_at AS found, case_summary=summary AS says_same FROM cs""")
+def case_checks(spark, d):
+    """Each variant under its record's own search."""
+    records = case_records(spark, d)
+    return M.check_cases(records, M.case_matrix(records))
 
 
 @query("WITH w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)-1 AS n FROM conversations) SELECT conv_id, bool_and(n=turn) AS contiguous, count(*) AS turns FROM w GROUP BY 1")

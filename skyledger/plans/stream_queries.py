@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import folder
-from ..streaming.actions import dedup_actions, episode_state
+from ..streaming.actions import action_verdicts, dedup_actions, episode_state
 from .registry import query
 
 
@@ -30,6 +30,16 @@ def deduplicated_actions(spark, d):
     return _drain(spark, dedup_actions(rows)).select("episode_id", "client_action_id", "event_type")
 
 
+@query("""WITH r AS (SELECT user_id AS episode_id, event_id//3 AS client_action_id, event_type AS request, ts, event_id FROM events), f AS (SELECT episode_id, client_action_id, min(struct_pack(ts:=ts, request:=request)).request AS first FROM r GROUP BY 1,2),
+v AS (SELECT r.*, CASE WHEN request<>first THEN 'conflict' ELSE 'same' END AS c FROM r JOIN f USING (episode_id, client_action_id)) SELECT episode_id, client_action_id, 1::BIGINT AS new, count(*) FILTER (WHERE c='same')-1 AS repeats, count(*) FILTER (WHERE c='conflict') AS conflicts FROM v GROUP BY 1,2""")
+def action_conflicts(spark, d):
+    """An action that comes again with another request is a conflict."""
+    rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), F.expr("event_id div 3").alias("client_action_id"), F.col("event_type").alias("request"), F.col("ts").alias("created_at"))
+    verdicts = _drain(spark, action_verdicts(rows, delay="1000 days"))
+    count = lambda v: F.count_if(F.col("verdict") == v)
+    return verdicts.groupBy("episode_id", "client_action_id").agg(count("new").alias("new"), count("repeat").alias("repeats"), count("conflict").alias("conflicts"))
+
+
 @query("SELECT user_id AS episode_id, count(*) AS events, count(*) FILTER (WHERE event_type='click') AS tool_calls, bool_or(event_type='signup') AS finished FROM events GROUP BY 1")
 def live_episode_state(spark, d):
     """Counters and end of each episode, by state; the last state of each."""

@@ -15,6 +15,35 @@ def dedup_actions(stream: DataFrame, *, delay: str = "1 hour", keys: tuple[str,
     return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def action_verdicts(stream: DataFrame, *, delay: str = "1 hour", keys: tuple[str, ...] = ("episode_id", "client_action_id"), content: str = "request", at: str = "created_at") -> DataFrame:
+    """``keys, created_at, verdict``: ``new``, ``repeat`` or, with another ``content`` than the first, ``conflict``.
+
+    The state of an action is a hash of its first content, dropped as the watermark leaves it behind.
+    Send ``conflict`` rows to a table of their own; the others are safe to answer.
+    """
+    kept = pd.Timedelta(delay).total_seconds() * 1000
+
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = state.get[0] if state.exists else None
+        for rows in frames:
+            rows, verdicts = rows.sort_values([at, "_content"], kind="stable") if len(rows) > 1 else rows, []
+            for own in rows["_content"]:
+                verdicts.append("new" if first is None else "repeat" if own == first else "conflict")
+                first = own if first is None else first
+            rows["verdict"] = verdicts
+            yield rows[[*keys, at, "verdict"]]
+        state.update((first,))
+        state.setTimeoutTimestamp(int(state.getCurrentWatermarkMs() + kept) + 1)
+
+    rows = stream.select(*keys, F.col(at).cast("timestamp").alias(at), F.xxhash64(content).alias("_content")).withWatermark(at, delay)
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {at} timestamp, verdict string"
+    return rows.groupBy(*keys).applyInPandasWithState(judge, schema, "first long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 STATE = "episode_id long, events long, tool_calls long, finished boolean, open_since timestamp, status string"
 
 

@@ -74,6 +74,20 @@ def test_nearest_outside_and_masked(spark):
     assert out == {(0, 0): (4, True), (0, 1): (255, False), (1, 1): (255, False), (9, 9): (255, False)}
 
 
+def test_pair_rejects_dates_grids_bands_and_alias(spark):
+    base = ("nir-1", "nir", 7, "2024-01-01", "EPSG:32631", [10.0, 0.0, 5.0, 0.0, -10.0, 9.0], 4, 4)
+    red = ("red-1", "red", *base[2:])
+    change = lambda at, v: (*red[:at], v, *red[at + 1 :])
+    cases = {None: red, "wrong_band": change(1, "swir"), "same_asset": change(0, "nir-1"), "item_id_mismatch": change(2, 8), "acquired_mismatch": change(3, "2024-01-02"), "crs_mismatch": change(4, "EPSG:4326"), "transform_mismatch": change(5, [10.0, 0.0, 6.0, 0.0, -10.0, 9.0]), "width_mismatch": change(6, 5), "height_mismatch": change(7, 5)}
+    schema = "raster_id long, asset_id string, band string, item_id long, acquired string, crs string, transform array<double>, width int, height int"
+    one = spark.createDataFrame([(i, *base) for i in range(len(cases))], schema)
+    two = spark.createDataFrame([(i, *row) for i, row in enumerate(cases.values())] + [(99, *red)], schema)
+    codes = P.pair_codes(one, two)
+    assert {r.raster_id: r.code for r in codes.collect()} == dict(enumerate(cases)) | {99: "missing_band"}
+    pixels = spark.createDataFrame([(i, 0, 0) for i in range(len(cases))], "raster_id long, row_idx long, col_idx long")
+    assert [r.raster_id for r in P.admitted(pixels, codes).collect()] == [0]
+
+
 def test_zone_counts_of_a_partition_add_up(spark):
     square = lambda x0, x1: [(x0, 0.0), (x1, 0.0), (x1, 8.0), (x0, 8.0), (x0, 0.0)]
     zones = spark.createDataFrame([(1, square(0.0, 3.2)), (2, square(3.2, 8.0)), (3, square(90.0, 91.0))], "zone_id long, ring array<struct<x:double,y:double>>")

@@ -1,9 +1,11 @@
 """Hand-made rows for admission, logs, memory, evaluation, sources, sinks and streams."""
 
+import datetime
 import io
 import json
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from skyledger.functions import hashing, paths
@@ -13,6 +15,7 @@ from skyledger.operators import log as L
 from skyledger.plans import registry
 from skyledger.plans import views as V
 from skyledger.sources import readers, sinks
+from skyledger.streaming import actions
 
 
 @pytest.mark.parametrize(
@@ -82,6 +85,17 @@ def test_lineage(spark):
     assert {(r.child, r.ancestor, r.depth) for r in A.lineage_closure(edges).collect()} == {(3, 2, 1), (2, 1, 1), (3, 1, 1)}
 
 
+def test_lineage_of_any_depth(spark):
+    """A long chain, a row of diamonds (a way doubles at each) and a cycle."""
+    chain = [(i + 1, i) for i in range(20)]
+    diamonds = [e for i in range(100, 118, 2) for e in ((i + 2, i), (i + 2, i + 1), (i + 3, i), (i + 3, i + 1))]
+    edges = spark.createDataFrame([*chain, *diamonds, (900, 901), (901, 902), (902, 900), (None, 1)], "child long, parent long")
+    found = {(r.child, r.ancestor): r.depth for r in A.lineage_closure(edges).collect()}
+    assert {k: v for k, v in found.items() if k[0] <= 20} == {(i, j): i - j for i in range(1, 21) for j in range(i)}
+    assert sum(k[0] in (118, 119) for k in found) == 2 * 18 and found[118, 100] == 9
+    assert found[900, 900] == 3 and found[900, 902] == 2
+
+
 def test_chain_round_trip_and_tampering(spark):
     rows = spark.createDataFrame([(s, i, f"e{i}") for s in ("x", "y") for i in range(1, 6)], "scope string, seq long, body string")
     made = L.build_chain(rows, "scope", "seq", F.col("body"))
@@ -99,6 +113,55 @@ def test_semantic_payload(spark):
     assert row[0].s == '{"a":"é","answer":{},"b":[{"x":1}],"wall_time_ms":{"limit":5}}'
     assert '"answer":{"event_id":"k"}' in row[0].r
     assert row[1].s is None
+    cited = {"evidence_ids": ["e1"], "client_action_id": "c", "observation_id": "o", "inline": {"created_at": 1}, "list": [[{"request_id": 2}]]}
+    row = spark.createDataFrame([(json.dumps(cited),)], "p string").select(hashing.semantic(F.col("p")).alias("s"), hashing.semantic(F.col("p"), replay=True).alias("r")).first()
+    assert row.s == '{"inline":{},"list":[[{}]]}'
+    assert row.r == '{"client_action_id":"c","evidence_ids":["e1"],"inline":{"created_at":1},"list":[[{"request_id":2}]]}'
+
+
+def test_ids_dont_collide(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c")], "x string, y string")
+    assert rows.select(hashing.digest(F.col("x"), F.col("y")).alias("h")).distinct().count() == 2
+
+
+def test_guarded_columns():
+    for name in ("bbox", "gt", "image_gt", "ANSWER_text", "true_mask"):
+        with pytest.raises(ValueError, match="answer_column_not_allowed"):
+            readers.guard([name], name)
+    for name in ("unmasked", "image_path", "gtin", "relabelled"):
+        assert readers.guard([name], name) == name
+    for name in ("_x", "a b", "é", "x;y", "1x"):
+        with pytest.raises(ValueError, match="column_name_not_allowed"):
+            readers.guard([name], name)
+
+
+def test_parquet_shards(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        pq.write_table(pa.table({"x": [1]}), tmp_path / f"{name}.parquet")
+    (tmp_path / "note.txt").write_text("x")
+    rows = readers.shards(spark, str(tmp_path), glob="*.parquet").collect()
+    assert sorted(r.path.rsplit("/", 1)[-1] for r in rows) == ["a.parquet", "b.parquet", "c.parquet"]
+    assert [r.path.rsplit("/", 1)[-1] for r in readers.shards(spark, str(tmp_path), glob="*.parquet", max_shards=2).orderBy("path").collect()] == ["a.parquet", "b.parquet"]
+
+
+def test_lease_expiry(spark, tmp_path):
+    """A tool that is started and never ends is reported when the watermark passes its lease."""
+    schema = "episode_id long, event_type string, created_at timestamp"
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for i, rows in enumerate([[(1, "tool_started", at(0)), (2, "tool_started", at(0)), (2, "tool_finished", at(5))], [(3, "other", at(3600))], [(3, "other", at(3700))]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        running = actions.episode_state(stream, lease="90 seconds", delay="10 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
+    states = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.episode_id for r in states if r.status == "tool_interrupted"} == {1}
+
+
+def test_case_matrix_finds_what_it_should(spark, data):
+    rows = registry.QUERIES["case_checks"](spark, data)
+    assert rows.where("found <> expected").count() == 0
+    assert rows.where("expected AND NOT says_same").select("case_name").distinct().collect()[0].case_name == "conflict"
 
 
 def test_reward_ignores_null_weights(spark):
