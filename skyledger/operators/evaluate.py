@@ -166,6 +166,67 @@ def result_manifest(expected: DataFrame, reports: DataFrame, *, most_tokens: int
     return rows.select("sample_id", (F.size(failed) == 0).alias("passed"), F.array_join(F.sort_array(failed), ",").alias("failed"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 
+def report_checks(expected: DataFrame, reports: DataFrame, episodes: DataFrame, events: DataFrame, artifacts: DataFrame, evidence: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each reported sample against its episode's records: ``sample_id, episode_id, passed, failed`` (sorted names).
+
+    ``expected``: ``sample_id, task_id, task_version, manifest_sha, assets, contents`` (arrays);
+    ``reports``: ``sample_id, episode_id, status, tool_calls, image_hashes, has_metadata, has_receipt,
+    adapter_bound, resumable``; ``episodes``: ``episode_id, status, task_id, task_version, manifest_sha,
+    state_version, assets, contents``; ``events``: ``episode_id``; ``artifacts``: ``episode_id, artifact_id,
+    sha256, input``; ``evidence``: ``episode_id, artifact_id``; ``runs``: ``episode_id, action_id, completed``.
+    Records are counted by episode before they meet, so a long episode is one row of sums.
+    """
+    made = artifacts.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_artifacts"), F.collect_set("sha256").alias("made_hashes"), F.array_sort(F.collect_set("input")).alias("used"))
+    known = artifacts.select("episode_id", "artifact_id").distinct().withColumn("known", F.lit(True))
+    cited = evidence.join(known, ["episode_id", "artifact_id"], "left").groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_evidence"), F.count_if(F.col("known").isNull()).alias("unknown_evidence"))
+    by_action = runs.groupBy("episode_id", "action_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("done"))
+    ran = by_action.groupBy("episode_id").agg(F.sum("n").alias("n_runs"), F.count_if((F.col("n") != 1) | (F.col("done") != 1)).alias("odd_actions"))
+    traced = events.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n_events"))
+    named = lambda t, prefix, key: t.select(key, *(F.col(c).alias(f"{prefix}_{c}") for c in t.columns if c != key))
+    rows = reports.join(named(expected, "want", "sample_id"), "sample_id", "left").join(named(episodes, "ep", "episode_id"), "episode_id", "left")
+    for t in (traced, made, cited, ran):
+        rows = rows.join(t, "episode_id", "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0)) > 0
+    same = lambda a, b: F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+    episode = F.col("ep_status").isNotNull()
+    checks = {
+        "report_passed": F.col("status") == "passed",
+        "tool_called": some("tool_calls"),
+        "image_sent": F.size("image_hashes") > 0,
+        "response_metadata": F.col("has_metadata"),
+        "image_receipt": F.col("has_receipt"),
+        "adapter_bound": F.col("adapter_bound"),
+        "resumable": F.col("resumable"),
+        "episode_named": F.col("episode_id").startswith("ep2-"),
+        "episode_ended": F.col("ep_status") == "terminated",
+        "same_task": (F.col("ep_task_id") == F.col("want_task_id")) & (F.col("ep_task_version") == F.col("want_task_version")),
+        "same_manifest": F.col("ep_manifest_sha") == F.col("want_manifest_sha"),
+        "has_events": episode & some("n_events"),
+        "has_evidence": episode & some("n_evidence"),
+        "has_artifacts": episode & some("n_artifacts"),
+        "has_runs": episode & some("n_runs"),
+        "one_run_each": episode & (F.coalesce("odd_actions", F.lit(0)) == 0),
+        "evidence_known": episode & (F.coalesce("unknown_evidence", F.lit(0)) == 0),
+        "state_counted": some("ep_state_version"),
+        "images_of_episode": episode & (F.size("image_hashes") > 0) & (F.size(F.array_except("image_hashes", F.coalesce("made_hashes", F.array().cast("array<string>")))) == 0),
+        "same_assets": same(F.col("ep_assets"), F.col("want_assets")),
+        "same_contents": same(F.col("ep_contents"), F.col("want_contents")),
+        "all_inputs_used": same(F.col("used"), F.col("want_assets")),
+    }
+    failed = F.array_sort(F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()))))
+    return rows.select("sample_id", "episode_id", (F.size(failed) == 0).alias("passed"), F.array_join(failed, ",").alias("failed"))
+
+
+def report_totals(checked: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: samples, reported, passed, whether episodes are reported once each, and how often each check failed."""
+    fails = checked.select(F.explode(F.split("failed", ",")).alias("name")).where("name <> ''").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    packed = fails.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "name", F.col("n").cast("string")))), ",").alias("failed_checks"))
+    twice = checked.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice"))
+    totals = checked.agg(F.count(F.lit(1)).alias("reported"), F.count_if("passed").alias("passed"))
+    rows = expected.agg(F.count_distinct("sample_id").alias("samples")).crossJoin(totals).crossJoin(twice).crossJoin(packed)  # one row each
+    return rows.select("samples", "reported", "passed", (F.col("twice") == 0).alias("episodes_unique"), "failed_checks")
+
+
 def manifest_totals(manifest: DataFrame) -> DataFrame:
     """Samples, passed, tokens, and the distinct names of failed checks."""
     names = manifest.select(F.explode(F.split("failed", ",")).alias("name")).where("name <> ''").distinct()

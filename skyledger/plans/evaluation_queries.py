@@ -182,6 +182,65 @@ def manifest_totals(spark, d):
     return E.manifest_totals(manifest(spark, d))
 
 
+#: Records of episodes, one a customer, made of orders and line items; the rules below are the operator's.
+RECORDS = """ar AS (SELECT concat('ep2-',o_custkey) AS episode_id, o_orderkey AS artifact_id, concat('h',o_orderkey%400) AS sha256, concat(CASE WHEN o_orderkey%2=0 THEN 'a' ELSE 'b' END,o_custkey) AS input FROM orders),
+ev AS (SELECT DISTINCT concat('ep2-',o_custkey) AS episode_id, CASE WHEN l_partkey%90=0 THEN -1 ELSE l_orderkey END AS artifact_id FROM lineitem JOIN orders ON l_orderkey=o_orderkey WHERE l_quantity>30),
+ru AS (SELECT concat('ep2-',o_custkey) AS episode_id, o_orderkey//CASE WHEN o_custkey%6=0 THEN 64 ELSE 1 END AS action_id, o_orderstatus<>'P' OR o_custkey%3<>0 AS completed FROM orders),
+ex AS (SELECT c_custkey AS sample_id, c_nationkey AS task_id, 1 AS task_version, concat('m',c_nationkey) AS manifest_sha, [concat('a',c_custkey),concat('b',c_custkey)] AS assets, [concat('c',c_custkey)] AS contents FROM customer WHERE c_custkey%50<>0),
+ep AS (SELECT concat('ep2-',c_custkey) AS episode_id, CASE WHEN c_acctbal<-800 THEN 'running' ELSE 'terminated' END AS status, CASE WHEN c_custkey%13=0 THEN -1 ELSE c_nationkey END AS task_id, 1+(c_custkey%41=0)::INT AS task_version, concat('m',CASE WHEN c_custkey%43=0 THEN -1 ELSE c_nationkey END) AS manifest_sha,
+ c_custkey%47 AS state_version, [concat('b',c_custkey),concat('a',c_custkey-(c_custkey%17=0)::INT)] AS assets, [concat('c',c_custkey-(c_custkey%19=0)::INT)] AS contents FROM customer WHERE c_custkey%23<>0),
+rp AS (SELECT c_custkey AS sample_id, CASE WHEN c_custkey%29=0 THEN concat('old-',c_custkey) WHEN c_custkey%31=0 THEN concat('ep2-',c_custkey+1) ELSE concat('ep2-',c_custkey) END AS episode_id, CASE WHEN c_custkey%37=0 THEN 'failed' ELSE 'passed' END AS status, c_custkey%11 AS tool_calls,
+ CASE WHEN c_custkey%7=0 THEN [] WHEN c_custkey%7=1 THEN ['other'] ELSE coalesce(hs,[]) END AS image_hashes, c_custkey%53<>0 AS has_metadata, c_custkey%59<>0 AS has_receipt, c_custkey%61<>0 AS adapter_bound, c_custkey%67<>0 AS resumable FROM customer LEFT JOIN (SELECT episode_id, list(DISTINCT sha256) AS hs FROM ar GROUP BY 1) h ON h.episode_id=concat('ep2-',c_custkey)),
+am AS (SELECT episode_id, count(*) AS n_artifacts, list(DISTINCT sha256) AS made, list_sort(list(DISTINCT input)) AS used FROM ar GROUP BY 1), em AS (SELECT episode_id, count(*) AS n_evidence, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ar WHERE ar.episode_id=ev.episode_id AND ar.artifact_id=ev.artifact_id)) AS unknown FROM ev GROUP BY 1),
+rm AS (SELECT episode_id, sum(n) AS n_runs, count(*) FILTER (WHERE n<>1 OR done<>1) AS odd FROM (SELECT episode_id, action_id, count(*) AS n, count(*) FILTER (WHERE completed) AS done FROM ru GROUP BY 1,2) GROUP BY 1), tm AS (SELECT concat('ep2-',user_id) AS episode_id, count(*) AS n_events FROM events GROUP BY 1),
+jo AS (SELECT rp.*, ex.task_id AS wt, ex.task_version AS wv, ex.manifest_sha AS wm, ex.assets AS wa, ex.contents AS wc, ep.status AS es, ep.task_id AS et, ep.task_version AS ev_, ep.manifest_sha AS em_, ep.state_version, ep.assets AS ea, ep.contents AS ec, n_events, n_artifacts, made, used, n_evidence, unknown, n_runs, odd
+ FROM rp LEFT JOIN ex USING (sample_id) LEFT JOIN ep USING (episode_id) LEFT JOIN tm USING (episode_id) LEFT JOIN am USING (episode_id) LEFT JOIN em USING (episode_id) LEFT JOIN rm USING (episode_id)),
+ck AS (SELECT sample_id, episode_id, list_sort(list_filter([CASE WHEN status<>'passed' THEN 'report_passed' END, CASE WHEN tool_calls<=0 THEN 'tool_called' END, CASE WHEN len(image_hashes)=0 THEN 'image_sent' END, CASE WHEN NOT has_metadata THEN 'response_metadata' END, CASE WHEN NOT has_receipt THEN 'image_receipt' END,
+ CASE WHEN NOT adapter_bound THEN 'adapter_bound' END, CASE WHEN NOT resumable THEN 'resumable' END, CASE WHEN NOT starts_with(episode_id,'ep2-') THEN 'episode_named' END, CASE WHEN NOT coalesce(es='terminated',false) THEN 'episode_ended' END, CASE WHEN NOT coalesce(et=wt AND ev_=wv,false) THEN 'same_task' END,
+ CASE WHEN NOT coalesce(em_=wm,false) THEN 'same_manifest' END, CASE WHEN es IS NULL OR n_events IS NULL THEN 'has_events' END, CASE WHEN es IS NULL OR n_evidence IS NULL THEN 'has_evidence' END, CASE WHEN es IS NULL OR n_artifacts IS NULL THEN 'has_artifacts' END, CASE WHEN es IS NULL OR n_runs IS NULL THEN 'has_runs' END,
+ CASE WHEN es IS NULL OR coalesce(odd,0)>0 THEN 'one_run_each' END, CASE WHEN es IS NULL OR coalesce(unknown,0)>0 THEN 'evidence_known' END, CASE WHEN coalesce(state_version,0)<=0 THEN 'state_counted' END, CASE WHEN es IS NULL OR len(image_hashes)=0 OR len(list_filter(image_hashes, lambda x: NOT coalesce(list_contains(made,x),false)))>0 THEN 'images_of_episode' END,
+ CASE WHEN NOT coalesce(list_sort(ea)=list_sort(wa),false) THEN 'same_assets' END, CASE WHEN NOT coalesce(ec=wc,false) THEN 'same_contents' END, CASE WHEN NOT coalesce(used=list_sort(wa),false) THEN 'all_inputs_used' END], lambda x: x IS NOT NULL)) AS f FROM jo)"""
+
+
+def records(spark, d):
+    """The same tables: expected, reports, episodes, events, artifacts, evidence, runs."""
+    k, n, o, c = F.col("c_custkey"), F.col("c_nationkey"), F.col("o_orderkey"), F.col("o_custkey")
+    customer, orders = V.read(spark, d, "customer"), V.read(spark, d, "orders")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    at = lambda m: (k % m == 0).cast("int")
+    artifacts = orders.select(text("ep2-", c).alias("episode_id"), o.alias("artifact_id"), text("h", o % 400).alias("sha256"), F.concat(F.when(o % 2 == 0, "a").otherwise("b"), c.cast("string")).alias("input"))
+    lines = V.read(spark, d, "lineitem").where("l_quantity > 30").join(orders, F.col("l_orderkey") == o)
+    evidence = lines.select(text("ep2-", c).alias("episode_id"), F.when(F.col("l_partkey") % 90 == 0, -1).otherwise(F.col("l_orderkey")).alias("artifact_id")).distinct()
+    runs = orders.select(text("ep2-", c).alias("episode_id"), F.when(c % 6 == 0, F.expr("o_orderkey div 64")).otherwise(o).alias("action_id"), ((F.col("o_orderstatus") != "P") | (c % 3 != 0)).alias("completed"))
+    expected = customer.where("c_custkey % 50 <> 0").select(k.alias("sample_id"), n.alias("task_id"), F.lit(1).alias("task_version"), text("m", n).alias("manifest_sha"), F.array(text("a", k), text("b", k)).alias("assets"), F.array(text("c", k)).alias("contents"))
+    episodes = customer.where("c_custkey % 23 <> 0").select(
+        text("ep2-", k).alias("episode_id"), F.when(F.col("c_acctbal") < -800, "running").otherwise("terminated").alias("status"), F.when(k % 13 == 0, -1).otherwise(n).alias("task_id"), (1 + at(41)).alias("task_version"), text("m", F.when(k % 43 == 0, -1).otherwise(n)).alias("manifest_sha"),
+        (k % 47).alias("state_version"), F.array(text("b", k), text("a", k - at(17))).alias("assets"), F.array(text("c", k - at(19))).alias("contents"),
+    )
+    hashes = artifacts.groupBy("episode_id").agg(F.collect_set("sha256").alias("hs"))
+    nothing = F.array().cast("array<string>")
+    reports = customer.join(hashes, F.col("episode_id") == text("ep2-", k), "left").select(
+        k.alias("sample_id"), F.when(k % 29 == 0, text("old-", k)).when(k % 31 == 0, text("ep2-", k + 1)).otherwise(text("ep2-", k)).alias("episode_id"), F.when(k % 37 == 0, "failed").otherwise("passed").alias("status"), (k % 11).alias("tool_calls"),
+        F.when(k % 7 == 0, nothing).when(k % 7 == 1, F.array(F.lit("other"))).otherwise(F.coalesce("hs", nothing)).alias("image_hashes"), (k % 53 != 0).alias("has_metadata"), (k % 59 != 0).alias("has_receipt"), (k % 61 != 0).alias("adapter_bound"), (k % 67 != 0).alias("resumable"),
+    )
+    events = V.read(spark, d, "events").select(text("ep2-", F.col("user_id")).alias("episode_id"))
+    return expected, reports, episodes, events, artifacts, evidence, runs
+
+
+@query(f"WITH {RECORDS} SELECT sample_id, episode_id, len(f)=0 AS passed, array_to_string(f,',') AS failed FROM ck")
+def report_checks(spark, d):
+    """22 named checks of each report against its episode's records."""
+    return E.report_checks(*records(spark, d))
+
+
+@query(f"""WITH {RECORDS} SELECT (SELECT count(*) FROM ex) AS samples, count(*) AS reported, count(*) FILTER (WHERE len(f)=0) AS passed, count(DISTINCT episode_id)=count(*) AS episodes_unique,
+ (SELECT array_to_string(list_sort(list(concat(n,'=',c))),',') FROM (SELECT n, count(*) AS c FROM (SELECT unnest(f) AS n FROM ck) GROUP BY 1)) AS failed_checks FROM ck""")
+def report_totals(spark, d):
+    """Totals of the 22 checks."""
+    made = records(spark, d)
+    return E.report_totals(E.report_checks(*made), made[0])
+
+
 @query("""WITH r AS (SELECT o_custkey AS query_id, count(*) AS n, min(o_orderkey) AS first_id FROM orders WHERE o_orderstatus='F' GROUP BY 1) SELECT c_custkey AS query_id, coalesce(n,0) AS retrieved, (coalesce(first_id,0)%2=1)::INT::DOUBLE AS accuracy, (n IS NOT NULL)::INT::DOUBLE AS faithfulness,
  CASE WHEN n IS NOT NULL THEN round(least(1.0,2.0/n),6)::DOUBLE ELSE 0 END AS efficiency, round(0.6*(coalesce(first_id,0)%2=1)::INT+0.3*(n IS NOT NULL)::INT+0.1*(CASE WHEN n IS NOT NULL THEN round(least(1.0,2.0/n),6) ELSE 0 END),6)::DOUBLE AS reward FROM customer LEFT JOIN r ON query_id=c_custkey""")
 def memory_scores(spark, d):
