@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo, times
+from ..functions import geo, hashing, times
 
 
 def snapshot(events: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -40,6 +41,103 @@ def authorize(requests: DataFrame, grants: DataFrame) -> DataFrame:
     return rows.select("request_id", code.alias("code"))
 
 
+#: Seconds that a record must last at least, and the coordinate systems a source may have.
+LEAST_TTL, WGS84 = 60, ("EPSG:4326", "OGC:CRS84")
+
+
+def build_records(candidates: DataFrame, policies: DataFrame) -> DataFrame:
+    """``candidate_id, code, memory_id, provenance_sha256, available_at, expires_at``: records of evidence, or the first rule against them.
+
+    ``candidates``: ``candidate_id, policy_id, granted`` (by :func:`authorize`), ``episode_status,
+    answered, task_id, task_version, manifest_sha, pinned_task_id, pinned_task_version, pinned_manifest_sha,
+    cited`` (array), ``evidence_id, evidence_source, frozen_sha, source_id, source_sha, source_crs``, the
+    selector's box (null: none) and ``start, end``, the source's box ``s_*`` and ``s_start, s_end``,
+    ``summary, object_type, platform, instrument, updated_at, ttl``; ``policies``: ``policy_id,
+    scope_id, max_ttl, policy_expires_at``.  Ids are hashes of the whole record, so equal evidence gives equal ids.
+    """
+    rows = candidates.join(policies, "policy_id", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    equal = lambda *pairs: [F.col(a) == F.col(b) for a, b in pairs]
+    pin = equal(("task_id", "pinned_task_id"), ("task_version", "pinned_task_version"), ("manifest_sha", "pinned_manifest_sha"))
+    complete = F.col("start").isNotNull() & F.col("end").isNotNull()
+    for side in geo.SIDES:
+        complete = complete & F.col(side).isNotNull()
+    inside = (F.col("west") >= F.col("s_west")) & (F.col("east") <= F.col("s_east")) & (F.col("south") >= F.col("s_south")) & (F.col("north") <= F.col("s_north")) & (F.col("start") >= F.col("s_start")) & (F.col("end") <= F.col("s_end"))
+    expires = F.timestamp_seconds(F.unix_seconds(F.col("updated_at").cast("timestamp")) + F.col("ttl")).cast("timestamp_ntz")
+    rows = rows.withColumn("expires_at", expires)
+    rules = (
+        ("no_policy", F.col("scope_id").isNull()),
+        ("not_authorized", no(F.col("granted"))),
+        ("episode_unanswered", no((F.col("episode_status") == "terminated") & F.col("answered"))),
+        ("task_pin_mismatch", no(pin[0] & pin[1] & pin[2])),
+        ("evidence_not_cited", no(F.array_contains("cited", F.col("evidence_id")))),
+        ("source_mismatch", no(F.col("evidence_source") == F.col("source_id"))),
+        ("source_changed", no(F.col("frozen_sha") == F.col("source_sha"))),
+        ("selector_incomplete", no(complete)),
+        ("selector_outside_source", no(inside)),
+        ("source_not_wgs84", no(F.upper("source_crs").isin(*WGS84))),
+        ("lifetime_outside_policy", no(F.col("ttl").between(F.lit(LEAST_TTL), F.col("max_ttl")))),
+        ("outlives_policy", no(F.col("expires_at") <= F.col("policy_expires_at"))),
+    )
+    code = F.coalesce(*(F.when(broken, F.lit(name)) for name, broken in rules))
+    rows = rows.withColumn("code", code)
+    provenance = hashing.digest(*(F.col(c) for c in ("task_id", "task_version", "manifest_sha", "evidence_id", "source_id", "source_sha")))
+    rows = rows.withColumn("provenance_sha256", provenance)
+    body = ("scope_id", "policy_id", "object_type", "summary", *geo.SIDES, "start", "end", "platform", "instrument", "updated_at", "expires_at", "provenance_sha256")
+    memory = F.concat(F.lit("mem-"), hashing.digest(*(F.col(c) for c in body)))
+    good = F.col("code").isNull()
+    return rows.select("candidate_id", "code", *(F.when(good, v).alias(n) for n, v in (("memory_id", memory), ("provenance_sha256", F.col("provenance_sha256")), ("available_at", F.col("updated_at")), ("expires_at", F.col("expires_at")))))
+
+
+def judge_commands(commands: DataFrame, writers: DataFrame, *, cap: int) -> DataFrame:
+    """``scope_id, sequence, verdict`` of publications and invalidations, each judged by what stood before it.
+
+    ``commands``: ``scope_id, sequence, actor_id, kind, memory_id, content, reason, replacement_id``;
+    ``writers``: ``scope_id, actor_id``.  ``published`` and ``invalidated`` take effect; ``repeat`` says the
+    same again; all others are refused and change nothing: ``not_authorized``, ``content_conflict``,
+    ``cap_reached`` (of active records), ``unknown_memory``, ``invalidation_conflict``,
+    ``replacement_inactive``.  Each verdict depends on the ones before, so a scope is a stream of sorted batches;
+    its state is the ids it has seen.
+    """
+    fields = ("scope_id", "sequence", "kind", "memory_id", "content", "reason", "replacement_id", "actor_id")
+    allowed = writers.select("scope_id", "actor_id").distinct().withColumn("allowed", F.lit(True))
+    rows = commands.join(allowed, ["scope_id", "actor_id"], "left").select(*fields, F.coalesce("allowed", F.lit(False)).alias("allowed"))
+    kinds = dict(rows.dtypes)
+    rows = rows.repartition("scope_id").sortWithinPartitions("scope_id", "sequence")
+
+    def run(batches):
+        scope, contents, gone = None, {}, {}
+
+        def verdict(kind, memory, content, reason, replacement, actor, allowed):
+            if not allowed:
+                return "not_authorized"
+            if kind == "publish":
+                if memory in contents:
+                    return "repeat" if contents[memory] == content else "content_conflict"
+                if len(contents) - len(gone) >= cap:
+                    return "cap_reached"
+                contents[memory] = content
+                return "published"
+            if memory not in contents:
+                return "unknown_memory"
+            if memory in gone:
+                return "repeat" if gone[memory] == (reason, replacement, actor) else "invalidation_conflict"
+            if replacement is not None and (replacement not in contents or replacement in gone):
+                return "replacement_inactive"
+            gone[memory] = (reason, replacement, actor)
+            return "invalidated"
+
+        for batch in batches:
+            columns, out = [c.to_pylist() for c in batch.columns], []
+            for own, _, *command in zip(*columns, strict=True):
+                if own != scope:
+                    scope, contents, gone = own, {}, {}
+                out.append(verdict(*command))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["scope_id", "sequence", "verdict"])
+
+    return rows.mapInArrow(run, f"scope_id {kinds['scope_id']}, sequence {kinds['sequence']}, verdict string")
+
+
 def publish_batch(records: DataFrame, *, cap: int) -> DataFrame:
     """Publications ``scope_id, sequence, memory_id`` under a cap of active records.
 
@@ -57,7 +155,10 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, ce
     """Records for many searches at once, joined by platform, stretches of time and coarse grid cells.
 
     ``records``: ``memory_id, platform``, a box, ``available_at, expires_at``, ``start, end``;
-    ``queries``: ``query_id, platform, as_of``, a box ``q_*`` and ``q_start, q_end``.
+    ``queries``: ``query_id, platform, as_of``, a box ``q_*`` and ``q_start, q_end``.  Where queries have
+    them, ``q_instrument`` and ``q_object_type`` must be the record's (null: any), and with ``scope_id,
+    snapshot_sequence`` a record counts only if it was published, and not yet invalidated, at that sequence
+    of its scope (records then have ``scope_id, published_at, invalidated_at``).
     """
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     stretch = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (86_400 * days))
@@ -66,15 +167,37 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, ce
         t = t.where(F.col(start) <= F.col(end)).withColumn("ct", F.explode(F.sequence(stretch(F.col(start)), stretch(F.col(end)))))
         return t.withColumn("cx", F.explode(span(f"{p}west", f"{p}east"))).withColumn("cy", F.explode(span(f"{p}south", f"{p}north")))
 
-    met = keyed(records, "", "start", "end").join(keyed(queries, "q_", "q_start", "q_end"), ["platform", "ct", "cx", "cy"])
+    pinned = "snapshot_sequence" in queries.columns
+    met = keyed(records, "", "start", "end").join(keyed(queries, "q_", "q_start", "q_end"), ["platform", *(["scope_id"] if pinned else []), "ct", "cx", "cy"])
     # Of all cells and stretches that both sides meet only the first counts.
     first = (F.col("cx") == F.floor(F.greatest("west", "q_west") / cell)) & (F.col("cy") == F.floor(F.greatest("south", "q_south") / cell)) & (F.col("ct") == stretch(F.greatest("start", "q_start")))
     met = met.where(first & geo.intersects(geo.box(), geo.box("q_")) & times.current(F.col("as_of"), F.col("available_at"), F.col("expires_at")) & times.overlap(F.col("start"), F.col("end"), F.col("q_start"), F.col("q_end")))
+    for c in ("instrument", "object_type"):
+        if f"q_{c}" in queries.columns:
+            met = met.where(F.col(f"q_{c}").isNull() | (F.col(c) == F.col(f"q_{c}")))
+    if pinned:
+        seen = F.col("snapshot_sequence")
+        met = met.where((F.col("published_at") <= seen) & (F.col("invalidated_at").isNull() | (F.col("invalidated_at") > seen)))
     w = W.partitionBy("query_id")
     met = met.withColumns({"position": F.row_number().over(w.orderBy("memory_id")), "matched_count": F.count(F.lit(1)).over(w)})
     return met.where(F.col("position") <= limit).select("query_id", "memory_id", F.col("position").cast("long").alias("position"), "matched_count")
 
 
+def scan_costs(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, records_scanned, input_bytes``: what a search reads, the records of its scope published by its sequence.
+
+    ``records``: ``scope_id, published_at, bytes``; ``queries``: ``query_id, scope_id, snapshot_sequence``.
+    Records are summed by sequence before they meet the queries of their scope.
+    """
+    steps = records.groupBy("scope_id", F.col("published_at").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    none = F.lit(None).cast("long")
+    asked = queries.select("scope_id", F.col("snapshot_sequence").alias("at"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"), "query_id")
+    # A range frame takes in all steps at the query's own sequence.
+    w = W.partitionBy("scope_id").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    rows = steps.withColumn("query_id", none).unionByName(asked)
+    return rows.select("query_id", F.sum("n").over(w).alias("records_scanned"), F.sum("bytes").over(w).alias("input_bytes")).where("query_id IS NOT NULL")
+
+
 def case_matrix(records: DataFrame) -> DataFrame:
     """Six variants of each record for tests of retrieval: what is changed, and whether a search for the record finds it.
 

@@ -200,6 +200,75 @@ def grant_checks(spark, d):
     return M.authorize(requests, one.unionByName(one.where("task_id % 6 = 0")))
 
 
+CANDIDATES = """ca AS (SELECT o.*, o_orderkey AS candidate_id, concat('p',o_custkey%5) AS policy_id, o_orderkey%29<>0 AS granted, o_orderstatus<>'P' AS ended, o_orderkey%31<>0 AS pinned, o_orderkey%37<>0 AS cited, o_orderkey%41<>0 AS own_source, o_orderkey%43<>0 AS unchanged, o_orderkey%47=0 AS no_box,
+ CASE WHEN o_orderkey%53=0 THEN 'EPSG:3857' WHEN o_orderkey%2=0 THEN 'ogc:crs84' ELSE 'EPSG:4326' END AS source_crs, (o_custkey%20)/10.0 AS west, (o_custkey%20)/10.0+(o_custkey%9)/10.0 AS east, 30+o_orderkey%4000 AS ttl FROM orders o),
+co AS (SELECT *, CASE WHEN policy_id='p4' THEN 'no_policy' WHEN NOT granted THEN 'not_authorized' WHEN NOT ended THEN 'episode_unanswered' WHEN NOT pinned THEN 'task_pin_mismatch' WHEN NOT cited THEN 'evidence_not_cited' WHEN NOT own_source THEN 'source_mismatch' WHEN NOT unchanged THEN 'source_changed' WHEN no_box THEN 'selector_incomplete'
+ WHEN east>(o_custkey%20)/10.0+0.7 THEN 'selector_outside_source' WHEN source_crs='EPSG:3857' THEN 'source_not_wgs84' WHEN ttl<60 OR ttl>3600 THEN 'lifetime_outside_policy' WHEN o_orderdate+to_seconds(ttl)>TIMESTAMP '1998-01-01' THEN 'outlives_policy' END AS code FROM ca)"""
+
+
+def candidates(spark, d):
+    """Evidence of orders that may become memory, and four policies."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    odd = lambda n, x, y: F.when(k % n == 0, x).otherwise(y)
+    west = (c % 20) / 10.0
+    at = F.col("o_orderdate")
+    rows = V.read(spark, d, "orders").select(
+        k.alias("candidate_id"), text("p", c % 5).alias("policy_id"), (k % 29 != 0).alias("granted"), F.when(F.col("o_orderstatus") == "P", "running").otherwise("terminated").alias("episode_status"), F.lit(True).alias("answered"),
+        c.alias("task_id"), F.lit(1).alias("task_version"), text("m", c).alias("manifest_sha"), odd(31, F.lit(-1), c).alias("pinned_task_id"), F.lit(1).alias("pinned_task_version"), text("m", c).alias("pinned_manifest_sha"),
+        odd(37, F.array(F.lit("other")), F.array(text("e", k), F.lit("e"))).alias("cited"), text("e", k).alias("evidence_id"), text("s", k).alias("evidence_source"), text("h", k).alias("frozen_sha"), odd(41, F.lit("x"), text("s", k)).alias("source_id"), odd(43, F.lit("x"), text("h", k)).alias("source_sha"),
+        F.when(k % 53 == 0, "EPSG:3857").when(k % 2 == 0, "ogc:crs84").otherwise("EPSG:4326").alias("source_crs"), odd(47, F.lit(None), west).alias("west"), F.lit(0.0).alias("south"), (west + (c % 9) / 10.0).alias("east"), F.lit(1.0).alias("north"), at.alias("start"), at.alias("end"),
+        west.alias("s_west"), F.lit(0.0).alias("s_south"), (west + 0.7).alias("s_east"), F.lit(1.0).alias("s_north"), at.alias("s_start"), at.alias("s_end"), F.lit("dominant").alias("summary"), F.lit("cropland").alias("object_type"), F.col("o_orderpriority").alias("platform"), F.lit("msi").alias("instrument"), at.alias("updated_at"), (30 + k % 4000).alias("ttl"),
+    )
+    policies = V.read(spark, d, "region").where("r_regionkey < 4").select(text("p", F.col("r_regionkey")).alias("policy_id"), text("scope", F.col("r_regionkey")).alias("scope_id"), F.lit(3600).alias("max_ttl"), F.lit("1998-01-01").cast("timestamp_ntz").alias("policy_expires_at"))
+    return rows, policies
+
+
+@query(f"""WITH {CANDIDATES} SELECT candidate_id, code, code IS NULL AS has_id, CASE WHEN code IS NULL THEN sha256(concat(o_custkey,chr(0),1,chr(0),'m',o_custkey,chr(0),'e',candidate_id,chr(0),'s',candidate_id,chr(0),'h',candidate_id)) END AS provenance_sha256, CASE WHEN code IS NULL THEN o_orderdate+to_seconds(ttl) END AS expires_at FROM co""")
+def memory_records(spark, d):
+    """Evidence becomes a record, or the first of twelve rules refuses it."""
+    return M.build_records(*candidates(spark, d)).select("candidate_id", "code", F.col("memory_id").rlike("^mem-[0-9a-f]{64}$").alias("has_id"), "provenance_sha256", "expires_at").withColumn("has_id", F.coalesce("has_id", F.lit(False)))
+
+
+@query()
+def memory_commands(spark, d):
+    """Publications and invalidations in order (no SQL: each verdict depends on those before; a test holds them against a loop)."""
+    k = F.col("event_id")
+    rows = memory_events(spark, d).join(V.log(spark, d).select(F.col("episode_id").alias("scope_id"), "sequence", "event_id"), ["scope_id", "sequence"])
+    rows = rows.select("scope_id", "sequence", (k % 7).alias("actor_id"), F.col("event_type").alias("kind"), "memory_id", (k % 11 == 0).alias("content"), (k % 3).alias("reason"), F.when(k % 5 == 0, F.col("memory_id") + 1).alias("replacement_id"))
+    writers = rows.select("scope_id", "actor_id").distinct().where("actor_id <> 6")
+    return M.judge_commands(rows, writers, cap=30)
+
+
+PINNED = """r AS (SELECT o_orderkey AS memory_id, o_custkey%50 AS scope_id, o_orderpriority AS platform, o_orderstatus AS instrument, concat('t',o_orderkey%3) AS object_type, o_custkey%20/10.0 AS west, o_custkey%15/10.0 AS south, o_orderdate AS a, o_orderdate+INTERVAL 900 DAY AS x, o_orderdate+INTERVAL 60 DAY AS e, o_orderkey//20 AS published_at, CASE WHEN o_orderkey%4=0 THEN o_orderkey//20+100 END AS invalidated_at, o_orderkey%500 AS bytes FROM orders),
+q AS (SELECT c_custkey AS query_id, c_custkey%50 AS scope_id, CASE c_custkey%3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '5-LOW' END AS platform, CASE WHEN c_custkey%2=0 THEN 'F' END AS q_instrument, CASE WHEN c_custkey%3=0 THEN 't1' END AS q_object_type, c_custkey*7%4000 AS snapshot_sequence, c_custkey%20/10.0 AS w, TIMESTAMP '1996-06-01'+to_days(CAST(c_custkey%300 AS INT)) AS t FROM customer)"""
+
+
+def pinned(spark, d):
+    """Records with the sequences at which they were published and invalidated, and searches as of one."""
+    o, k, c, at = F.col("o_orderkey"), F.col("c_custkey"), F.col("o_custkey"), F.col("o_orderdate")
+    days = lambda n: F.expr(f"INTERVAL {n} DAY")
+    x, y = (c % 20) / 10.0, (c % 15) / 10.0
+    records = V.read(spark, d, "orders").select(o.alias("memory_id"), (c % 50).alias("scope_id"), F.col("o_orderpriority").alias("platform"), F.col("o_orderstatus").alias("instrument"), F.concat(F.lit("t"), (o % 3).cast("string")).alias("object_type"), x.alias("west"), y.alias("south"), (x + 2.0).alias("east"), (y + 2.0).alias("north"), at.alias("available_at"), (at + days(900)).alias("expires_at"), at.alias("start"), (at + days(60)).alias("end"), F.expr("o_orderkey div 20").alias("published_at"), F.expr("CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey div 20 + 100 END").alias("invalidated_at"), (o % 500).alias("bytes"))
+    t, qx = F.lit("1996-06-01").cast("timestamp_ntz") + F.make_dt_interval((k % 300).cast("int")), (k % 20) / 10.0
+    name = F.when(k % 3 == 0, "1-URGENT").when(k % 3 == 1, "2-HIGH").otherwise("5-LOW")
+    queries = V.read(spark, d, "customer").select(k.alias("query_id"), (k % 50).alias("scope_id"), name.alias("platform"), F.when(k % 2 == 0, "F").alias("q_instrument"), F.when(k % 3 == 0, "t1").alias("q_object_type"), (k * 7 % 4000).alias("snapshot_sequence"), qx.alias("q_west"), F.lit(0.5).alias("q_south"), (qx + 0.3).alias("q_east"), F.lit(1.0).alias("q_north"), t.alias("as_of"), (t - days(500)).alias("q_start"), t.alias("q_end"))
+    return records, queries
+
+
+@query(f"""WITH {PINNED}, m AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) AS position, count(*) OVER (PARTITION BY query_id) AS matched_count FROM q JOIN r USING (scope_id, platform)
+ WHERE west<=w+0.3 AND west+2.0>=w AND south<=1.0 AND south+2.0>=0.5 AND t>=a AND t<x AND a<=t AND e>=t-INTERVAL 500 DAY AND (q_instrument IS NULL OR instrument=q_instrument) AND (q_object_type IS NULL OR object_type=q_object_type) AND published_at<=snapshot_sequence AND (invalidated_at IS NULL OR invalidated_at>snapshot_sequence)) SELECT * FROM m WHERE position<=5""")
+def memory_search_as_of(spark, d):
+    """Searches of a scope as of a sequence, by instrument and object type."""
+    return M.memory_search(*pinned(spark, d), limit=5)
+
+
+@query(f"WITH {PINNED} SELECT query_id, count(memory_id) AS records_scanned, coalesce(sum(bytes),0)::BIGINT AS input_bytes FROM q LEFT JOIN r ON r.scope_id=q.scope_id AND published_at<=snapshot_sequence GROUP BY 1")
+def memory_search_costs(spark, d):
+    """What each search scans."""
+    return M.scan_costs(*pinned(spark, d))
+
+
 @query("""WITH r AS (SELECT item_id AS memory_id, platform, west, south, east, north, acquired AS available_at, acquired+INTERVAL 300 DAY AS expires_at, acquired AS s, acquired+INTERVAL 60 DAY AS e FROM v_scenes),
 q AS (SELECT c_custkey AS query_id, CASE c_custkey%5 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' ELSE '5-LOW' END AS platform, c_custkey%20/10.0 AS w, c_custkey%15/10.0 AS so, TIMESTAMP '1996-01-01'+to_days(CAST(c_custkey%700 AS INT)) AS t FROM customer),
 m AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) AS position, count(*) OVER (PARTITION BY query_id) AS matched_count FROM q JOIN r USING (platform) WHERE west<=w+0.3 AND east>=w AND south<=so+0.3 AND north>=so AND t>=available_at AND t<expires_at AND s<=t AND e>=t-INTERVAL 5 DAY)

@@ -3,6 +3,7 @@
 import datetime
 import io
 import json
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -12,6 +13,7 @@ from skyledger.functions import hashing, paths
 from skyledger.operators import admission as A
 from skyledger.operators import evaluate as E
 from skyledger.operators import log as L
+from skyledger.operators import memory as M
 from skyledger.plans import registry
 from skyledger.plans import views as V
 from skyledger.sources import readers, sinks
@@ -158,6 +160,41 @@ def test_lease_expiry(spark, tmp_path):
     assert {r.episode_id for r in states if r.status == "tool_interrupted"} == {1}
 
 
+def test_memory_commands_against_a_loop(spark):
+    r = random.Random(6)
+    rows = [(f"s{s}", i, f"a{r.randrange(4)}", r.choice(["publish", "publish", "invalidate"]), r.randrange(12), r.randrange(5) == 0, r.randrange(2), r.choice([None, r.randrange(12)])) for s in range(3) for i in range(150)]
+    writers = [(f"s{s}", f"a{a}") for s in range(3) for a in range(3)] * 2
+    want = {}
+    for s in range(3):
+        active, all_, gone = set(), {}, {}
+        for scope, i, actor, kind, m, content, reason, other in rows:
+            if scope != f"s{s}":
+                continue
+            if actor == "a3":
+                v = "not_authorized"
+            elif kind == "publish" and m in all_:
+                v = "repeat" if all_[m] == content else "content_conflict"
+            elif kind == "publish":
+                v = "cap_reached" if len(active) == 5 else "published"
+                if v == "published":
+                    all_[m] = content
+                    active.add(m)
+            elif m not in all_:
+                v = "unknown_memory"
+            elif m in gone:
+                v = "repeat" if gone[m] == (reason, other, actor) else "invalidation_conflict"
+            elif other is not None and other not in active:
+                v = "replacement_inactive"
+            else:
+                v = "invalidated"
+                gone[m] = (reason, other, actor)
+                active.discard(m)
+            want[scope, i] = v
+    frame = spark.createDataFrame(rows, "scope_id string, sequence long, actor_id string, kind string, memory_id long, content boolean, reason long, replacement_id long")
+    out = {(x.scope_id, x.sequence): x.verdict for x in M.judge_commands(frame.repartition(7), spark.createDataFrame(writers, "scope_id string, actor_id string"), cap=5).collect()}
+    assert out == want and len(set(out.values())) == 9
+
+
 def test_case_matrix_finds_what_it_should(spark, data):
     rows = registry.QUERIES["case_checks"](spark, data)
     assert rows.where("found <> expected").count() == 0
