@@ -57,11 +57,12 @@ def faithful(evidence: DataFrame, key: str) -> DataFrame:
     return evidence.groupBy(key).agg(F.coalesce(source, F.lit(False)).alias("source_valid"), F.coalesce(rendered, F.lit(False)).alias("rendered_valid"))
 
 
-def score_grounding(rows: DataFrame, key: str, *, said: str, truth: str, crop: str) -> DataFrame:
-    """IoU of the answered box, whether the crop held the truth, and faithfulness (both)."""
+def score_grounding(rows: DataFrame, key: str, *, said: str, truth: str, crop: str, process: Column | None = None) -> DataFrame:
+    """IoU of the answered box, whether the crop held the truth, faithfulness (both), and efficiency where ``process`` gives it."""
+    more = [] if process is None else [process.alias("process.efficiency")]
     hit = geo.contains(geo.box(crop), geo.box(truth))
     value = F.round(geo.iou(geo.box(said), geo.box(truth)), 6)
-    return rows.select(key, value.alias("task.iou"), hit.cast("int").alias("evidence.crop_contains_truth"), (hit & geo.valid_unit_box(geo.box(said))).cast("int").alias("evidence.faithfulness"))
+    return rows.select(key, value.alias("task.iou"), hit.cast("int").alias("evidence.crop_contains_truth"), (hit & geo.valid_unit_box(geo.box(said))).cast("int").alias("evidence.faithfulness"), *more)
 
 
 def abstention(said: Column, should: Column) -> list[Column]:
@@ -69,6 +70,25 @@ def abstention(said: Column, should: Column) -> list[Column]:
     return [(said == should).cast("int").cast("double").alias("correct"), ((should == "abstained") & (said == "submitted")).alias("false_confidence"), ((should == "submitted") & (said == "abstained")).alias("unnecessary")]
 
 
+def score_memory(answers: DataFrame, hits: DataFrame, key: str, *, ideal_calls: int = 1) -> DataFrame:
+    """``key, treatment, accuracy, faithfulness, efficiency, reward`` of answers with and without memory.
+
+    ``answers``: key, ``treatment`` (with or without), ``said, truth, cited`` (array of memory ids),
+    ``searches``; ``hits``: key, ``memory_id`` of what the searches returned.  An answer is faithful if it
+    cites something, and nothing that its searches didn't return.  Efficiency counts where the
+    protocol was kept: searches with memory, none without.
+    """
+    cited = answers.select(key, F.explode(F.array_distinct("cited")).alias("memory_id"))
+    found = hits.select(key, "memory_id").distinct().withColumn("_hit", F.lit(True))
+    seen = cited.join(found, [key, "memory_id"], "left").groupBy(key).agg(F.bool_and(F.col("_hit").isNotNull()).alias("_known"))
+    rows = answers.join(seen, key, "left")
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
+    with_memory = F.col("treatment") == "with"
+    process = F.when(with_memory & (F.col("searches") > 0), F.round(share(F.lit(float(ideal_calls)), F.col("searches")), 6)).when(~with_memory & (F.col("searches") == 0), 1.0).otherwise(0.0)
+    rows = rows.select(key, "treatment", number(F.col("said") == F.col("truth")).alias("accuracy"), number(F.col("_known")).alias("faithfulness"), process.alias("efficiency"))
+    return rows.withColumn("reward", F.round(0.6 * F.col("accuracy") + 0.3 * F.col("faithfulness") + 0.1 * F.col("efficiency"), 6))
+
+
 def unknown_citations(answers: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
     """Cited evidence ids that the episode doesn't have."""
     cited = answers.select(key, F.explode("evidence_ids").alias("evidence_id")).distinct()

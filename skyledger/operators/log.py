@@ -15,12 +15,18 @@ from ..functions import hashing
 GENESIS = "0" * 64
 
 
-def trace_hash(log: DataFrame, key: str, sequence: str, fields: list[str]) -> DataFrame:
-    """One hash of each episode's events in order."""
-    one = hashing.digest(*(F.col(c) for c in fields))
-    rows = log.select(key, F.struct(F.col(sequence).alias("s"), one.alias("h")).alias("e"))
-    lines = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["h"])
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("events"), F.sha2(F.array_join(lines, "\n"), 256).alias("trace_hash"))
+#: Events whose hashes are hashed together, so that no row holds an episode whole.
+BLOCK = 1024
+
+
+def trace_hash(log: DataFrame, key: str, sequence: str, fields: list[str | Column], *, block: int = BLOCK) -> DataFrame:
+    """One hash of each episode's events in order: of the hashes of blocks of ``block`` sequence numbers."""
+    one = hashing.digest(*(F.col(c) if isinstance(c, str) else c for c in fields))
+    rows = log.select(key, F.expr(f"`{sequence}` div {block}").alias("b"), F.struct(F.col(sequence).alias("s"), one.alias("h")).alias("e"))
+    lines = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["h"]), "\n"), 256)
+    blocks = rows.groupBy(key, "b").agg(F.count(F.lit(1)).alias("n"), lines("e").alias("h"))
+    blocks = blocks.select(key, "n", F.struct(F.col("b").alias("s"), "h").alias("e"))
+    return blocks.groupBy(key).agg(F.sum("n").alias("events"), lines("e").alias("trace_hash"))
 
 
 def event_counts(log: DataFrame, key: str, sequence: str, kind: str, head: str) -> DataFrame:
@@ -106,6 +112,24 @@ def diff_traces(expected: DataFrame, actual: DataFrame, key: str, sequence: str,
     )
 
 
+def replay_report(events: DataFrame, states: tuple[DataFrame, DataFrame], artifacts: tuple[DataFrame, DataFrame], key: str) -> DataFrame:
+    """``key, events_equal, state_equal, artifacts_missing, artifacts_unexpected, reproduced`` of each episode.
+
+    ``events`` is :func:`diff_traces`; ``states`` are the recorded and the replayed ``key, state_hash``;
+    ``artifacts`` likewise ``key, sha256``: contents with their counts, as ids are made anew.
+    """
+    want, got = (t.select(key, F.col("state_hash").alias(n)) for t, n in zip(states, ("_want", "_got"), strict=True))
+    state = want.join(got, key, "full_outer").select(key, F.col("_want").eqNullSafe(F.col("_got")).alias("state_equal"))
+    one, two = (t.groupBy(key, "sha256").agg(F.count(F.lit(1)).alias(n)) for t, n in zip(artifacts, ("_one", "_two"), strict=True))
+    both = one.join(two, [key, "sha256"], "full_outer").fillna(0, ["_one", "_two"])
+    more = lambda a, b: F.sum(F.greatest(F.lit(0).cast("long"), F.col(a) - F.col(b)))
+    made = both.groupBy(key).agg(more("_one", "_two").alias("artifacts_missing"), more("_two", "_one").alias("artifacts_unexpected"))
+    rows = events.select(key, (F.col("missing") + F.col("unexpected") + F.col("changed") == 0).alias("events_equal")).join(state, key, "full_outer").join(made, key, "full_outer")
+    rows = rows.fillna(0, ["artifacts_missing", "artifacts_unexpected"]).fillna(True, ["events_equal", "state_equal"])
+    same = F.col("events_equal") & F.col("state_equal") & (F.col("artifacts_missing") + F.col("artifacts_unexpected") == 0)
+    return rows.withColumn("reproduced", same)
+
+
 def trace_page(log: DataFrame, cursors: DataFrame, key: str, sequence: str) -> DataFrame:
     """Pages behind exclusive cursors ``key, cursor, limit``: rows with ``has_more, next_cursor``."""
     rows = log.join(cursors, key).where(F.col(sequence) > F.col("cursor"))

@@ -176,6 +176,16 @@ def stack_summary(stack: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def align_pairs(pairs: DataFrame, pixels: DataFrame, *, key: str = "request_id", item: str = "item_id") -> DataFrame:
+    """The two-date stack of each selected pair ``key, before_id, after_id`` from ``pixels(item, row_idx, col_idx, red, scene_class, mask)``.
+
+    A scene that many pairs use is read once: pairs join its pixels by the scene.
+    """
+    cell = ["row_idx", "col_idx", "red", "scene_class", "mask"]
+    side = lambda s: pairs.where(F.col(f"{s}_id").isNotNull()).select(key, F.col(f"{s}_id").alias(item)).join(pixels, item).select(key, *cell)
+    return stack_two_dates(side("before"), side("after"), keys=(key,))
+
+
 def class_histogram(pixels: DataFrame, keys: list[str], code: str, classes: int = R.SCENE_CLASSES) -> DataFrame:
     """Counts of every class from 0, also of those that don't occur."""
     one = pixels.groupBy(*keys).agg(*(F.count_if(F.col("valid") & (F.col(code) == k)).alias(f"c{k}") for k in range(classes)))

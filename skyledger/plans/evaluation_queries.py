@@ -55,13 +55,15 @@ def metric_pivot(spark, d):
 
 @query("""WITH x AS (SELECT *, greatest(0,least(east,a_east)-greatest(west,a_west))*greatest(0,least(north,a_north)-greatest(south,a_south)) AS shared, west-0.1<=a_west AND south-0.1<=a_south AND east+0.1>=a_east AND north+0.1>=a_north AS hit FROM v_boxes),
 s AS (SELECT doc_id, round(shared/((east-west)*(north-south)+(a_east-a_west)*(a_north-a_south)-shared),6) AS iou, hit::INT::DOUBLE AS h FROM x)
-SELECT doc_id, 'task.iou' AS name, iou AS value, 0.6::DOUBLE AS weight FROM s UNION ALL SELECT doc_id, 'evidence.crop_contains_truth', h, NULL FROM s UNION ALL SELECT doc_id, 'evidence.faithfulness', h, 0.4::DOUBLE FROM s""")
+SELECT doc_id, 'task.iou' AS name, iou AS value, 0.6::DOUBLE AS weight FROM s UNION ALL SELECT doc_id, 'evidence.crop_contains_truth', h, NULL FROM s UNION ALL SELECT doc_id, 'evidence.faithfulness', h, 0.3::DOUBLE FROM s
+UNION ALL SELECT doc_id, 'process.efficiency', round(least(1.0,5.0/(4+doc_id%7))*(CASE WHEN doc_id%4>0 THEN least(1.0,2.0/(doc_id%4)) ELSE 0.0 END)*least(1.0,1000.0/(500+doc_id%900))/(1+doc_id%3),6)::DOUBLE, 0.1::DOUBLE FROM s""")
 def grounding_metrics(spark, d):
     """Answered boxes against true ones."""
-    rows = V.boxes(spark, d)
+    rows, k = V.boxes(spark, d), F.col("doc_id")
+    process = E.efficiency(steps=4 + k % 7, ideal_steps=F.lit(5), calls=k % 4, ideal_calls=F.lit(2), wall=500 + k % 900, wall_limit=F.lit(1000), failed=k % 3)
     crop = {f"crop_{s}": F.col(s) + (-0.1 if s in ("west", "south") else 0.1) for s in geo.SIDES}
-    scored = E.score_grounding(rows.withColumns(crop), "doc_id", said="", truth="a_", crop="crop_")
-    return E.to_metrics(scored, "doc_id", {"task.iou": 0.6, "evidence.crop_contains_truth": None, "evidence.faithfulness": 0.4})
+    scored = E.score_grounding(rows.withColumns(crop), "doc_id", said="", truth="a_", crop="crop_", process=process)
+    return E.to_metrics(scored, "doc_id", {"task.iou": 0.6, "evidence.crop_contains_truth": None, "evidence.faithfulness": 0.3, "process.efficiency": 0.1})
 
 
 def temporal(spark, d):
@@ -241,15 +243,22 @@ def report_totals(spark, d):
     return E.report_totals(E.report_checks(*made), made[0])
 
 
-@query("""WITH r AS (SELECT o_custkey AS query_id, count(*) AS n, min(o_orderkey) AS first_id FROM orders WHERE o_orderstatus='F' GROUP BY 1) SELECT c_custkey AS query_id, coalesce(n,0) AS retrieved, (coalesce(first_id,0)%2=1)::INT::DOUBLE AS accuracy, (n IS NOT NULL)::INT::DOUBLE AS faithfulness,
- CASE WHEN n IS NOT NULL THEN round(least(1.0,2.0/n),6)::DOUBLE ELSE 0 END AS efficiency, round(0.6*(coalesce(first_id,0)%2=1)::INT+0.3*(n IS NOT NULL)::INT+0.1*(CASE WHEN n IS NOT NULL THEN round(least(1.0,2.0/n),6) ELSE 0 END),6)::DOUBLE AS reward FROM customer LEFT JOIN r ON query_id=c_custkey""")
+@query("""WITH h AS (SELECT o_custkey AS episode_id, o_orderkey AS memory_id, o_orderstatus AS found FROM orders WHERE o_orderstatus<>'P'), f AS (SELECT episode_id, count(*) AS n, min(memory_id) AS first, arg_min(found,memory_id) AS found FROM h GROUP BY 1),
+a AS (SELECT c_custkey AS episode_id, CASE WHEN c_custkey%2=0 THEN 'with' ELSE 'without' END AS treatment, CASE WHEN c_nationkey%2=0 THEN 'F' ELSE 'O' END AS truth, coalesce(CASE WHEN c_custkey%2=0 THEN found END,'unknown') AS said, CASE WHEN c_custkey%9=0 THEN [first,-1] WHEN c_custkey%2=0 AND first IS NOT NULL THEN [first] ELSE [] END AS cited, (CASE WHEN c_custkey%2=0 THEN c_custkey%4 ELSE (c_custkey%7=0)::INT END) AS searches FROM customer LEFT JOIN f ON f.episode_id=c_custkey),
+s AS (SELECT episode_id, treatment, (said=truth)::INT::DOUBLE AS accuracy, (len(cited)>0 AND NOT list_contains(cited,-1))::INT::DOUBLE AS faithfulness, CASE WHEN treatment='with' AND searches>0 THEN round(least(1.0,1.0/searches),6) WHEN treatment='without' AND searches=0 THEN 1.0 ELSE 0.0 END::DOUBLE AS efficiency FROM a)
+SELECT *, round(0.6*accuracy+0.3*faithfulness+0.1*efficiency,6)::DOUBLE AS reward FROM s""")
 def memory_scores(spark, d):
-    """Retrieval by episode: accuracy, faithfulness, and efficiency only where the protocol was kept."""
-    hits = V.read(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("query_id")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_id"))
-    rows = V.read(spark, d, "customer").select(F.col("c_custkey").alias("query_id")).join(hits, "query_id", "left")
-    used = F.col("n").isNotNull()
-    rows = rows.select("query_id", F.coalesce("n", F.lit(0)).alias("retrieved"), (F.coalesce("first_id", F.lit(0)) % 2 == 1).cast("int").cast("double").alias("accuracy"), used.cast("int").cast("double").alias("faithfulness"), F.when(used, F.round(E.share(F.lit(2.0), F.col("n")), 6)).otherwise(0.0).alias("efficiency"))
-    return rows.withColumn("reward", F.round(0.6 * F.col("accuracy") + 0.3 * F.col("faithfulness") + 0.1 * F.col("efficiency"), 6))
+    """Answers with and without memory: accuracy, faithfulness to what was found, efficiency."""
+    k, o = F.col("c_custkey"), V.read(spark, d, "orders").where("o_orderstatus <> 'P'")
+    hits = o.select(F.col("o_custkey").alias("episode_id"), F.col("o_orderkey").alias("memory_id"), F.col("o_orderstatus").alias("found"))
+    first = hits.groupBy("episode_id").agg(F.min("memory_id").alias("first"), F.min_by("found", "memory_id").alias("found"))
+    rows = V.read(spark, d, "customer").join(first, k == F.col("episode_id"), "left").drop("episode_id")
+    even = k % 2 == 0
+    answers = rows.select(
+        k.alias("episode_id"), F.when(even, "with").otherwise("without").alias("treatment"), F.when(F.col("c_nationkey") % 2 == 0, "F").otherwise("O").alias("truth"), F.coalesce(F.when(even, F.col("found")), F.lit("unknown")).alias("said"),
+        F.when(k % 9 == 0, F.array(F.col("first"), F.lit(-1))).when(even & F.col("first").isNotNull(), F.array("first")).otherwise(F.array().cast("array<bigint>")).alias("cited"), F.when(even, k % 4).otherwise((k % 7 == 0).cast("int")).alias("searches"),
+    )
+    return E.score_memory(answers, hits, "episode_id")
 
 
 @query("""SELECT l.doc_id%20 AS "window", count(*) FILTER (WHERE quality=1 AND toxic=0) AS tn, count(*) FILTER (WHERE quality=1 AND toxic=1) AS fp, count(*) FILTER (WHERE quality=0 AND toxic=0) AS fn, count(*) FILTER (WHERE quality=0 AND toxic=1) AS tp FROM labels l GROUP BY 1""")

@@ -14,10 +14,20 @@ from .registry import query
 LIMITS = {"steps": 150, "tool_calls": 40, "input_bytes": 1500, "wall_time_ms": 90}
 
 
-@query("WITH h AS (SELECT episode_id, sequence, sha256(concat(event_id,chr(0),event_type,chr(0),props)) AS h FROM v_log) SELECT episode_id, count(*) AS events, sha256(string_agg(h, chr(10) ORDER BY sequence)) AS trace_hash FROM h GROUP BY 1")
+TRACE = "WITH h AS (SELECT episode_id, sequence, sha256({one}) AS h FROM v_log), b AS (SELECT episode_id, sequence//16 AS b, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY sequence)) AS h FROM h GROUP BY 1,2) SELECT episode_id, sum(n)::BIGINT AS events, sha256(string_agg(h, chr(10) ORDER BY b)) AS trace_hash FROM b GROUP BY 1"
+
+
+@query(TRACE.format(one="concat(event_id,chr(0),event_type,chr(0),props)"))
 def trace_hashes(spark, d):
-    """One hash of each episode's events in order."""
-    return L.trace_hash(V.log(spark, d), "episode_id", "sequence", ["event_id", "event_type", "props"])
+    """One hash of each episode's events in order, by blocks of sixteen."""
+    return L.trace_hash(V.log(spark, d), "episode_id", "sequence", ["event_id", "event_type", "props"], block=16)
+
+
+@query(TRACE.format(one="""concat(event_type,chr(0),'{"k":',CAST(json_extract(props,'$.k') AS BIGINT),'}')"""))
+def semantic_trace_hashes(spark, d):
+    """The same of what the events mean, without ids and times."""
+    payload = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"created_at":"x","k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    return L.trace_hash(V.log(spark, d), "episode_id", "sequence", ["event_type", hashing.semantic(payload)], block=16)
 
 
 @query("SELECT episode_id, count(*) AS events, count(DISTINCT event_type) AS kinds, min(sequence) AS first_sequence, max(sequence) AS last_sequence, arg_max(event_id,sequence) AS head, max(sequence)+1 AS next_sequence FROM v_log GROUP BY 1")
@@ -79,6 +89,21 @@ def trace_diff(spark, d):
     return L.diff_traces(expected, actual, "episode_id", "sequence", "h")
 
 
+@query("""WITH e AS (SELECT DISTINCT episode_id FROM v_log), o AS (SELECT o_custkey AS episode_id, o_orderkey%9 AS sha256, o_orderkey%40=0 AS lost, o_orderkey%50=0 AS twice FROM orders),
+a AS (SELECT episode_id, sha256, count(*) AS n, count(*) FILTER (WHERE NOT lost)+count(*) FILTER (WHERE NOT lost AND twice) AS m FROM o GROUP BY 1,2), s AS (SELECT episode_id, sum(greatest(0,n-m))::BIGINT AS artifacts_missing, sum(greatest(0,m-n))::BIGINT AS artifacts_unexpected FROM a GROUP BY 1),
+j AS (SELECT coalesce(e.episode_id,s.episode_id) AS episode_id, e.episode_id IS NULL OR e.episode_id%4<>1 AS events_equal, e.episode_id IS NULL OR e.episode_id%5<>2 AS state_equal, coalesce(artifacts_missing,0) AS artifacts_missing, coalesce(artifacts_unexpected,0) AS artifacts_unexpected FROM e FULL JOIN s ON s.episode_id=e.episode_id)
+SELECT *, events_equal AND state_equal AND artifacts_missing+artifacts_unexpected=0 AS reproduced FROM j""")
+def replay_report(spark, d):
+    """Events, states and artifacts of a recording against its replay."""
+    log = V.log(spark, d).withColumn("h", hashing.digest(F.col("event_id"), F.col("event_type")))
+    e = F.col("episode_id")
+    events = L.diff_traces(log, log.withColumn("h", F.when((e % 4 == 1) & (F.col("sequence") == 0), "other").otherwise(F.col("h"))), "episode_id", "sequence", "h")
+    states = log.groupBy("episode_id").agg(F.max("event_id").cast("string").alias("state_hash"))
+    o = V.read(spark, d, "orders").select(F.col("o_custkey").alias("episode_id"), (F.col("o_orderkey") % 9).alias("sha256"), F.col("o_orderkey").alias("k"))
+    kept = o.where("k % 40 <> 0")
+    return L.replay_report(events, (states, states.withColumn("state_hash", F.when(e % 5 == 2, "other").otherwise(F.col("state_hash")))), (o, kept.unionByName(kept.where("k % 50 = 0"))), "episode_id")
+
+
 @query("""WITH p AS (SELECT l.*, row_number() OVER (PARTITION BY episode_id ORDER BY sequence) AS n, count(*) OVER (PARTITION BY episode_id) AS m FROM v_log l WHERE sequence>episode_id%50)
 SELECT episode_id, sequence, event_id, m>7 AS has_more, max(sequence) OVER (PARTITION BY episode_id) AS next_cursor FROM p WHERE n<=7""")
 def trace_pages(spark, d):

@@ -182,6 +182,25 @@ def two_date_pixels(spark, d):
     return two_dates(spark, d).select("scene", "row_idx", "col_idx", "before_red", "after_red", "before_class", "after_class", "aligned")
 
 
+def _pairs():
+    from .catalog_queries import PAIR
+
+    return PAIR
+
+
+@query(f"""{_pairs()}, b AS (SELECT request_id, row_idx, col_idx, scl, mask FROM sel JOIN v_pixels ON raster_id=before_id%25 WHERE reason='selected'), a AS (SELECT request_id, row_idx, col_idx, scl, mask FROM sel JOIN v_pixels ON raster_id=after_id%25 WHERE reason='selected'),
+t AS (SELECT request_id, b.mask AND a.mask AS aligned, b.scl AS bs, a.scl AS ac FROM b JOIN a USING (request_id,row_idx,col_idx))
+SELECT request_id, count(*) AS total_pixels, count(*) FILTER (WHERE aligned) AS aligned_pixels, count(*) FILTER (WHERE aligned AND bs NOT IN {BAD} AND ac NOT IN {BAD}) AS clear_pixels, round(count(*) FILTER (WHERE aligned)::DOUBLE/count(*),6) AS aligned_fraction,
+ round(coalesce(count(*) FILTER (WHERE aligned AND bs IN {BAD})::DOUBLE/nullif(count(*) FILTER (WHERE aligned),0),0),6) AS before_cloud, round(coalesce(count(*) FILTER (WHERE aligned AND ac IN {BAD})::DOUBLE/nullif(count(*) FILTER (WHERE aligned),0),0),6) AS after_cloud FROM t GROUP BY 1""")
+def aligned_pairs(spark, d):
+    """The best pair of each request, aligned and summed (25 rasters stand for all scenes)."""
+    from .catalog_queries import best_pairs
+
+    pairs = best_pairs(spark, d).select("request_id", (F.col("before_id") % 25).alias("before_id"), (F.col("after_id") % 25).alias("after_id"))
+    p = V.pixels(spark, d).where("raster_id < 25").select(F.col("raster_id").alias("item_id"), "row_idx", "col_idx", F.col("red_dn").alias("red"), F.col("scl").alias("scene_class"), "mask")
+    return P.stack_summary(P.align_pairs(pairs, p), ["request_id"])
+
+
 @query("""SELECT r.raster_id, k AS class, count(p.scl) AS pixels FROM (SELECT DISTINCT raster_id FROM v_pixels) r CROSS JOIN (SELECT unnest(range(12)) AS k) c
  LEFT JOIN v_pixels p ON p.raster_id=r.raster_id AND p.scl=k AND p.mask GROUP BY 1,2""")
 def class_histogram(spark, d):
