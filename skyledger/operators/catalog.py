@@ -60,7 +60,11 @@ def select_pairs(requests: DataFrame, scenes: DataFrame) -> DataFrame:
         met = _candidates(requests, scenes, side)
         seen = met.groupBy("request_id").agg(F.count(F.lit(1)).alias(f"{side}_dated"), F.count_if("covered").alias(f"{side}_covered"), F.count_if("clear").alias(f"{side}_clear"))
         flags = flags.join(seen, "request_id", "left")
-        sides[side] = met.where("clear").select("request_id", "platform", "instrument", F.col("item_id").alias(f"{side}_id"), F.col("acquired").alias(f"{side}_at"), F.col("cloud").alias(f"{side}_cloud"), F.col("coverage").alias(f"{side}_coverage"))
+        # The least sum of clouds takes the least cloud of either side, so no other scene can be in the best pair
+        # (the margin is for sums that round to one number).
+        least = F.min("cloud").over(W.partitionBy("request_id", "platform", "instrument"))
+        met = met.where("clear").withColumn("least", least).where(F.col("cloud") <= F.col("least") + 1e-9)
+        sides[side] = met.select("request_id", "platform", "instrument", F.col("item_id").alias(f"{side}_id"), F.col("acquired").alias(f"{side}_at"), F.col("cloud").alias(f"{side}_cloud"), F.col("coverage").alias(f"{side}_coverage"))
     pairs = sides["before"].join(sides["after"], ["request_id", "platform", "instrument"])
     order = F.struct((F.col("before_cloud") + F.col("after_cloud")).alias("c"), (-F.least("before_coverage", "after_coverage")).alias("v"), "before_at", "after_at", "before_id", "after_id")
     best = pairs.groupBy("request_id").agg(F.min(order).alias("best"))
