@@ -70,6 +70,25 @@ def abstention(said: Column, should: Column) -> list[Column]:
     return [(said == should).cast("int").cast("double").alias("correct"), ((should == "abstained") & (said == "submitted")).alias("false_confidence"), ((should == "submitted") & (said == "abstained")).alias("unnecessary")]
 
 
+def score_temporal(truth: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """``key, validity, correct, false_confidence, unnecessary, faithfulness`` of answers to requests for two dates.
+
+    ``truth``: key, ``status, reason, before_id, after_id`` (best pairs); ``answers``: key, ``said`` (submitted or
+    abstained), ``said_before, said_after, said_reason, cited`` (array of scenes).  A submitted answer is valid
+    with the best pair, an abstention with the right reason; it is faithful if it is valid and cites both
+    scenes, or none when it abstains.  A request without an answer counts as an invalid abstention.
+    """
+    rows = truth.join(answers, key, "left").withColumn("said", F.coalesce("said", F.lit("abstained")))
+    should = F.when(F.col("status") == "selected", "submitted").otherwise("abstained")
+    right, confident, needless = abstention(F.col("said"), should)
+    pair = (F.col("said_before") == F.col("before_id")) & (F.col("said_after") == F.col("after_id"))
+    submitted = F.col("said") == "submitted"
+    valid = F.coalesce((F.col("said") == should) & F.when(submitted, pair).otherwise(F.col("said_reason") == F.col("reason")), F.lit(False))
+    cites = F.when(submitted, F.array_contains("cited", F.col("before_id")) & F.array_contains("cited", F.col("after_id"))).otherwise(F.size("cited") == 0)
+    number = lambda c: F.coalesce(c, F.lit(False)).cast("int").cast("double")
+    return rows.select(key, number(valid).alias("validity"), right, confident, needless, number(valid & cites).alias("faithfulness"))
+
+
 def score_memory(answers: DataFrame, hits: DataFrame, key: str, *, ideal_calls: int = 1) -> DataFrame:
     """``key, treatment, accuracy, faithfulness, efficiency, reward`` of answers with and without memory.
 

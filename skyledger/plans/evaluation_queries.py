@@ -96,6 +96,26 @@ def temporal_scores(spark, d):
     return temporal(spark, d)
 
 
+@query(f"""{_pair_sql()}, an AS (SELECT request_id, CASE WHEN request_id%5=0 OR reason<>'selected' AND request_id%4<>0 THEN 'abstained' ELSE 'submitted' END AS said, before_id+(request_id%7=0)::INT AS said_before, after_id AS said_after, CASE WHEN request_id%10=0 THEN 'cloudy' ELSE reason END AS said_reason,
+ CASE WHEN reason='selected' AND request_id%3=0 THEN [before_id] WHEN reason='selected' THEN [before_id,after_id] ELSE [] END AS cited FROM sel WHERE request_id%11<>0),
+t AS (SELECT sel.*, coalesce(said,'abstained') AS said, CASE WHEN sel.reason='selected' THEN 'submitted' ELSE 'abstained' END AS should, said_before, said_after, said_reason, cited FROM sel LEFT JOIN an USING (request_id)),
+v AS (SELECT *, coalesce(said=should AND CASE WHEN said='submitted' THEN said_before=before_id AND said_after=after_id ELSE said_reason=reason END,false) AS ok FROM t)
+SELECT request_id, ok::INT::DOUBLE AS validity, (said=should)::INT::DOUBLE AS correct, should='abstained' AND said='submitted' AS false_confidence, should='submitted' AND said='abstained' AS unnecessary,
+ coalesce(ok AND CASE WHEN said='submitted' THEN list_contains(cited,before_id) AND list_contains(cited,after_id) ELSE len(cited)=0 END,false)::INT::DOUBLE AS faithfulness FROM v""")
+def temporal_answers(spark, d):
+    """Recorded answers to pair requests against the best pairs."""
+    from .catalog_queries import best_pairs
+
+    truth, k = best_pairs(spark, d), F.col("request_id")
+    chosen = F.col("status") == "selected"
+    none = F.array().cast("array<bigint>")
+    answers = truth.where("request_id % 11 <> 0").select(
+        "request_id", F.when((k % 5 == 0) | (~chosen & (k % 4 != 0)), "abstained").otherwise("submitted").alias("said"), (F.col("before_id") + (k % 7 == 0).cast("int")).alias("said_before"), F.col("after_id").alias("said_after"),
+        F.when(k % 10 == 0, "cloudy").otherwise(F.col("reason")).alias("said_reason"), F.when(chosen & (k % 3 == 0), F.array("before_id")).when(chosen, F.array("before_id", "after_id")).otherwise(none).alias("cited"),
+    )
+    return E.score_temporal(truth, answers, "request_id")
+
+
 @query(f"""{_pair_sql()}, t AS (SELECT reason, reason='selected' AS sel, request_id%5=0 AS abst, request_id FROM sel), r AS (SELECT CASE WHEN sel THEN 'selected' ELSE 'rejected' END AS truth, sel<>abst AS passed, abst, request_id%900 AS tokens, 900+request_id%300 AS ms FROM t)
 SELECT truth, count(*) AS episodes, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE abst) AS abstained, count(*) FILTER (WHERE passed AND abst) AS right_abstentions, count(*) FILTER (WHERE NOT passed AND NOT abst) AS false_confidence, count(*) FILTER (WHERE NOT passed AND abst) AS unnecessary_abstentions, sum(tokens)::BIGINT AS tokens, max(ms) AS longest_ms FROM r GROUP BY ROLLUP (truth)""")
 def run_summary(spark, d):
