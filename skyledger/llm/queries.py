@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, licences, quality
+from . import chroma, licences, merkle, quality
 from .common import map_rows, table
 from .decontaminate import contaminated
 from .mixing import mix
+from .periodic_runs import periodic_runs
 from .pseudonyms import pseudonymize
 from .secret_scan import scan_secrets
+from .sentencepiece_chunks import encode
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .toxicity import fit, score_toxicity
@@ -72,6 +74,22 @@ def op10_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.without_line_feeds())
+
+
+#: On every executor.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op12_sentencepiece_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), model=PIECES, ids=False)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), plant=True).drop("collapsed")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -85,6 +103,9 @@ QUERIES = {
         op8_secret_scan,
         op9_compression_toxicity,
         op10_spaced_seed_decontamination,
+        op11_merkle_manifest,
+        op12_sentencepiece_chunks,
+        op13_periodic_runs,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op3_licence_scan": licences.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_licence_scan": licences.oracle_sql(), "op11_merkle_manifest": merkle.oracle_sql()}
