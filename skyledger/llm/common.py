@@ -6,16 +6,19 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-#: Folders made by :func:`scratch`, by application, for :func:`clear`.
+#: Folders made by :func:`scratch`, by application, for :func:`clear`; and the root where the session has none.
 _made: dict[str, list[str]] = {}
+_roots: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
@@ -24,14 +27,15 @@ def scratch(spark: SparkSession) -> str:
     The setting is read from the session.  Only in local mode, where one machine does all, a
     temporary folder is taken if it is unset; on a cluster that is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root, application = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # The setting can't be changed in a running session, so the folder is kept here.
+        root = _roots.get(application) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        _roots[application] = root
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _made.setdefault(application, []).append(path)
     return path
 
 
@@ -63,6 +67,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``place`` within their group by ``order`` (nulls first) and its size ``n``, without one task for a group."""
+    keys = [*group, *order]
+    dealt = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
+    dealt = dealt.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    ranges = dealt.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
+    w = W.partitionBy(*group)  # a row for each range of a group
+    before = F.coalesce(F.sum("size").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(*(F.col(c).alias(f"{c}_") for c in group), F.col("part").alias("part_"), (before - F.col("first")).alias("shift"), F.sum("size").over(w).alias("n"))
+    same = reduce(Column.__and__, (dealt[c].eqNullSafe(ranges[f"{c}_"]) for c in group), dealt["part"] == ranges["part_"])
+    return dealt.join(ranges, same).withColumn("place", F.col("at") + F.col("shift")).drop("at", "part", "shift", "part_", *(f"{c}_" for c in group))
+
+
 def docs_only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns; nulls in ``text`` become empty text."""
     picked = df.select(*columns)

@@ -23,10 +23,9 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 ARITY = 3
 #: Levels of a superblock: 729 leaves.
@@ -75,19 +74,6 @@ def fold(node: str, proof: list[str]) -> str:
     return node
 
 
-def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with ``place`` within their group by ``order`` (nulls first) and its size ``n``, without one task for a group."""
-    keys = [*group, *order]
-    dealt = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()))
-    dealt = dealt.withColumn("part", F.shiftright("at", 33)).withColumn("at", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    ranges = dealt.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("size"), F.min("at").alias("first"))
-    w = W.partitionBy(*group)  # a row for each range of a group
-    before = F.coalesce(F.sum("size").over(w.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(*(F.col(c).alias(f"{c}_") for c in group), F.col("part").alias("part_"), (before - F.col("first")).alias("shift"), F.sum("size").over(w).alias("n"))
-    same = reduce(Column.__and__, (dealt[c].eqNullSafe(ranges[f"{c}_"]) for c in group), dealt["part"] == ranges["part_"])
-    return dealt.join(ranges, same).withColumn("place", F.col("at") + F.col("shift")).drop("at", "part", "shift", "part_", *(f"{c}_" for c in group))
-
-
 def _up(nodes: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame]:
     """Tables ``tree, place, n, node`` of every ``depth`` levels, and ``tree, node, level`` of the roots.
 

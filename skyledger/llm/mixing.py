@@ -5,22 +5,23 @@ release time ``floor(j / w)`` and deadline ``ceil((j + 1) / w)``; in each slot t
 block with the earliest deadline goes next.  At any slot each source is then less than one
 block away from its share.
 
-Weights are exact fractions of their sum.  With integers ``W`` of sum ``S`` the schedule repeats
-after ``S`` slots.  Where ``S`` is at most ``longest_period``, one period is scheduled, and every block finds
-its slot by arithmetic.  Otherwise the driver walks through the slots up to the first dry one (one
-step a block, whatever the documents), keeping each source's place every ``STRETCH`` slots; tasks walk
-through the stretches again, side by side, and write the plan.  Nothing about the documents passes through the driver
-but one row for each source.
+Weights are exact fractions of their sum, whatever their size.  Stretches of slots are scheduled side by side,
+each in a task: a schedule that keeps all deadlines has the same state as any other once all windows open at
+its start are over, so a task starts one longest window before its stretch, from a state of its own
+(:func:`state`), and has the state of the schedule from slot zero when the stretch begins.  (Count the waiting blocks of
+a deadline up to any limit: two such schedules agree where the limit is past those windows, and have
+none within.)  A weight so small that its window is longer than the whole schedule leaves one stretch, in one task.  The
+driver sees one row for each weight.
 
 When sources run dry their slots stay empty; ``position`` numbers the blocks that exist, so
 all documents are kept, and ``full`` marks the blocks before the first dry slot, to which the deviation
-bound applies.  Behind it a schedule without a short period has the last slot before a block's
-deadline, and equal slots go by name.
+bound applies.  Behind it a block has the last slot before its deadline, and equal slots go by name.
 
 Defined cases: a null source is a source of its own (named ``null_source``, empty by default); sources
 without a weight follow after all others, in name order; sources of weight zero likewise; an
 empty table gives an empty result; rows of one source and doc_id share one place; extra columns
-pass through unless they have the name of a new one.
+pass through unless they have the name of a new one; a slot past the range of a long (weights of one in 10^18)
+is given as the greatest long, while ``position`` still goes by the true one.
 """
 
 from __future__ import annotations
@@ -32,30 +33,31 @@ from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_rows, numbered, written
 
 BLOCK = 64
-#: Slots of the longest period that is scheduled whole.
-LONGEST_PERIOD = 100_000
-#: Slots that one task schedules at a time.
+#: Slots that one task schedules at least.
 STRETCH = 100_000
-#: Slots whose blocks are ranked together.
-TURN = 64
+#: Slots of a schedule handed on at once.
+HANDED = 10_000
+GREATEST = (1 << 63) - 1
 
 
 def shares(weights: dict[str, float | Fraction]) -> dict[str, int]:
-    """The positive weights as the smallest integers of the same proportions."""
-    exact = {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items() if w and w > 0}
-    exact = {s: w for s, w in exact.items() if w}
+    """The positive weights as the smallest integers of exactly the same proportions."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w and w > 0}
     common = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
     whole = {s: int(w * common) for s, w in exact.items()}
     divisor = math.gcd(*whole.values()) if whole else 1
     return {s: w // divisor for s, w in whole.items()}
 
 
+def deadline(block: int, weight: int, period: int) -> int:
+    return -(-(block + 1) * period // weight)
+
+
 def schedule(parts: dict[str, int], start: int = 0, done: dict[str, int] | None = None) -> Iterator[tuple[str, int]]:
     """``source, block`` of each slot from ``start`` on, without end; ties go to the smaller name.
 
@@ -69,72 +71,64 @@ def schedule(parts: dict[str, int], start: int = 0, done: dict[str, int] | None
     while True:
         while waiting and waiting[0][0] <= now:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // parts[s]), s, j))
-        deadline, s, j = heapq.heappop(ready)
-        assert deadline > now
+            heapq.heappush(ready, (deadline(j, parts[s], period), s, j))
+        due, s, j = heapq.heappop(ready)
+        assert due > now
         yield s, j
         heapq.heappush(waiting, ((j + 1) * period // parts[s], s, j + 1))
         now += 1
 
 
-def stretches(parts: dict[str, int], blocks: dict[str, int], stretch: int) -> tuple[list[tuple[int, int, list[int]]], int]:
-    """Start, end and places of the sources (in the order of ``parts``) of each stretch; the first dry slot."""
-    done = dict.fromkeys(parts, 0)
-    out, start, now = [], 0, 0
-    places = list(done.values())
-    for s, j in schedule(parts):
-        if j >= blocks.get(s, 0):
-            break
-        done[s] = j + 1
-        now += 1
-        if now % stretch == 0:
-            out.append((start, now, places))
-            start, places = now, list(done.values())
-    if now > start:
-        out.append((start, now, places))
-    return out, now
+def state(parts: dict[str, int], at: int) -> dict[str, int]:
+    """How many blocks each source may have had before slot ``at``, so that no deadline is missed from there on.
 
+    Each has its whole share, and those with the earliest deadlines the block that is in progress.
+    """
+    period = sum(parts.values())
+    done = {s: w * at // period for s, w in parts.items()}
+    begun = sorted((deadline(done[s], w, period), s) for s, w in parts.items() if w * at % period)
+    for _, s in begun[: at - sum(done.values())]:
+        done[s] += 1
+    return done
 
-def _plan(spark: SparkSession, parts: dict[str, int], pieces: list[tuple[int, int, list[int]]]) -> DataFrame:
-    """``source_key, nth, at`` of every slot of the stretches, a task for each."""
 
-    def walk(batches):
-        for batch in batches:
-            for start, end, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = schedule(parts, start, dict(zip(parts, places, strict=True)))
-                rows = [next(found) for _ in range(start, end)]
-                yield pa.RecordBatch.from_pydict({"source_key": [s for s, _ in rows], "nth": [j for _, j in rows], "at": list(range(start, end))})
+def longest_window(parts: dict[str, int]) -> int:
+    return -(-sum(parts.values()) // min(parts.values())) + 1 if parts else 1
 
-    rows = spark.createDataFrame(pieces, "start long, until long, places array<long>").repartition(max(1, len(pieces)), "start")
-    return rows.mapInArrow(walk, "source_key string, nth long, at long")
 
+def stretch(parts: dict[str, int], start: int, end: int) -> Iterator[tuple[str, int]]:
+    """The slots from ``start`` to ``end`` of the schedule that begins at slot zero."""
+    early = max(0, start - longest_window(parts))
+    slots = schedule(parts, early, state(parts, early))
+    for at, slot in zip(range(early, end), slots, strict=False):
+        if at >= start:
+            yield slot
 
-def _before(rows: DataFrame, order: str, n: str) -> DataFrame:
-    """``rows`` with ``base``, the sum of ``n`` in all rows before, by ``order``; ranges first, so that no task has them all."""
-    dealt = written(rows.repartitionByRange(order).withColumn("part", F.spark_partition_id()))
-    parts = dealt.groupBy("part").agg(F.sum(n).alias("sum"))
-    above = F.sum("sum").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))  # one row a partition
-    own = F.sum(n).over(W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    joined = dealt.withColumn("own", F.coalesce(own, F.lit(0))).join(parts.select("part", F.coalesce(above, F.lit(0)).alias("above")), "part")
-    return joined.withColumn("base", F.col("above") + F.col("own")).drop("part", "own", "above")
 
+def _plan(spark: SparkSession, parts: dict[str, int], end: int, least: int) -> DataFrame:
+    """``source_key, block, at`` of every slot before ``end``."""
+    size = max(least, 2 * longest_window(parts))
+    n = max(1, -(-end // size))
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``source_key, doc_id`` with a number in each source by doc_id, without one task for a hot source.
+    def walk(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                first, last = i * size, min(end, (i + 1) * size)
+                slots = stretch(parts, first, last)
+                for at in range(first, last, HANDED):
+                    rows = [s for s, _ in zip(slots, range(at, min(last, at + HANDED)), strict=False)]
+                    yield pa.RecordBatch.from_pydict({"source_key": [s for s, _ in rows], "block": [j for _, j in rows], "at": list(range(at, at + len(rows)))})
+
+    return spark.range(0, n, 1, n).mapInArrow(walk, "source_key string, block long, at long")
 
-    Rows are dealt by range of (source, doc_id) and written, so the counts of the ranges are
-    stable; a row's number is the sum of the ranges before plus its place in its own.
-    """
-    dealt = docs.repartitionByRange("source_key", "doc_id").withColumn("part", F.spark_partition_id())
-    dealt = written(dealt)
-    counts = dealt.groupBy("source_key", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy("source_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    counts = counts.select("source_key", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(W.partitionBy("source_key", "part").orderBy("doc_id"))
-    return dealt.withColumn("place", place).join(counts, ["source_key", "part"]).withColumn("number", F.col("before") + F.col("place") - 1).drop("part", "place", "before")
 
+def _ordered(slot: int) -> bytes:
+    """A key that sorts as the number does, of any size."""
+    digits = slot.to_bytes((slot.bit_length() + 7) // 8, "big")
+    return len(digits).to_bytes(4, "big") + digits
 
-def mix(docs: DataFrame, weights: dict[str, float | Fraction], *, block: int = BLOCK, longest_period: int = LONGEST_PERIOD, null_source: str = "") -> DataFrame:
+
+def mix(docs: DataFrame, weights: dict[str, float | Fraction], *, block: int = BLOCK, null_source: str = "") -> DataFrame:
     """``docs`` with ``number, block, slot, position, full``.
 
     ``weights`` are relative target weights by source.  Order by ``position`` and then
@@ -143,47 +137,32 @@ def mix(docs: DataFrame, weights: dict[str, float | Fraction], *, block: int = B
     spark: SparkSession = docs.sparkSession
     docs = docs.drop("source_key", "number", "block", "slot", "position", "full")
     keyed = docs.withColumn("source_key", F.coalesce("source", F.lit(null_source)))
-    rows = _numbered(keyed.select("source_key", "doc_id").distinct()).withColumn("block", F.expr(f"number div {block}"))
-    blocks = written(rows.groupBy("source_key", "block").agg(F.count(F.lit(1)).alias("n")))
+    rows = numbered(keyed.select("source_key", "doc_id").distinct(), ["source_key"], ["doc_id"]).withColumnRenamed("place", "number").drop("n").withColumn("block", F.expr(f"number div {block}"))
+    blocks = written(rows.select("source_key", "block").distinct())
 
     parts = shares(weights)
     period = sum(parts.values())
-    share = spark.createDataFrame([(s, w if period <= longest_period else 1, period / w) for s, w in parts.items()], "source_key string, per_period long, apart double")
-    weighted = blocks.join(F.broadcast(share), "source_key")  # one row a weight
-    ends = {r.source_key: r.b for r in weighted.groupBy("source_key").agg((F.max("block") + 1).alias("b")).collect()}
-    if period <= longest_period:
-        order = [step for step, _ in zip(schedule(parts), range(period), strict=False)] if parts else []
-        plan = spark.createDataFrame([(s, j, at) for at, (s, j) in enumerate(order)], "source_key string, nth long, at long")
-        first_dry = _first_dry(ends, [s for s, _ in order])
-        weighted = weighted.withColumn("nth", F.expr("block % per_period")).join(plan, ["source_key", "nth"])
-        real = weighted.withColumn("slot", F.expr(f"(block div per_period) * {period} + at"))
-    else:
-        pieces, first_dry = stretches(parts, ends, STRETCH)
-        plan = _plan(spark, parts, pieces)
-        last = F.ceil((F.col("block") + 1) * F.col("apart")) - 1
-        weighted = weighted.withColumn("nth", F.col("block")).join(plan, ["source_key", "nth"], "left")
-        real = weighted.withColumn("slot", F.coalesce("at", F.greatest(last, F.lit(first_dry))))
-    real = written(real.select("source_key", "block", "slot").withColumn("turn", F.expr(f"slot div {TURN}")))
-
-    # Dense positions: how many blocks are in the turns before, and the place in one's own.
-    base = _before(real.groupBy("turn").agg(F.count(F.lit(1)).alias("n")), "turn", "n").select("turn", "base")
-    place = F.row_number().over(W.partitionBy("turn").orderBy("slot", "source_key"))
-    real = real.withColumn("place", place).join(base, "turn")
-    real = real.select("source_key", "block", "slot", (F.col("base") + F.col("place") - 1).alias("position"), (F.col("slot") < first_dry).alias("full"))
-    total = sum(ends.values())
-    other = blocks.join(F.broadcast(share.select("source_key")), "source_key", "left_anti")
-    counts = _before(other.groupBy("source_key").agg((F.max("block") + 1).alias("b")), "source_key", "b").select("source_key", "base")
-    other = other.join(counts, "source_key").select("source_key", "block", F.lit(None).cast("long").alias("slot"), (F.lit(total) + F.col("base") + F.col("block")).alias("position"), F.lit(False).alias("full"))
+    named = spark.createDataFrame([(s,) for s in parts], "source_key string")  # one row a weight
+    weighted = blocks.join(F.broadcast(named), "source_key")
+    ends = dict.fromkeys(parts, 0) | {r.source_key: r.n for r in weighted.groupBy("source_key").agg((F.max("block") + 1).alias("n")).collect()}
+    # The first block that a source lacks leaves the first dry slot, before its deadline.
+    plan = written(_plan(spark, parts, min((deadline(n, parts[s], period) for s, n in ends.items()), default=0), STRETCH))
+    lacking = F.create_map(*(F.lit(x) for pair in ends.items() for x in pair))[F.col("source_key")] if ends else F.lit(0)
+    first_dry = plan.where(F.col("block") >= lacking).agg(F.min("at")).first()[0] or 0
+
+    def slots():
+        def one(source, block, at):
+            late = max(deadline(block, parts[source], period) - 1, first_dry)
+            slot = late if at is None or at >= first_dry else at
+            return source, block, min(slot, GREATEST), _ordered(slot)
+
+        return one
+
+    real = map_rows(weighted.join(plan, ["source_key", "block"], "left"), slots, "source_key string, block long, slot long, due binary")
+    real = numbered(real, [], ["due", "source_key", "block"]).select("source_key", "block", "slot", F.col("place").alias("position"), (F.col("slot") < first_dry).alias("full"))
+    other = numbered(blocks.join(F.broadcast(named), "source_key", "left_anti"), [], ["source_key", "block"])
+    other = other.select("source_key", "block", F.lit(None).cast("long").alias("slot"), (F.lit(sum(ends.values())) + F.col("place")).alias("position"), F.lit(False).alias("full"))
     placed = rows.join(real.unionByName(other), ["source_key", "block"])
     # Null-safe on doc_id: a null id is a row like any other.
     same = (keyed.source_key == placed.source_key) & keyed.doc_id.eqNullSafe(placed.doc_id)
     return keyed.join(placed, same).select(*(keyed[c] for c in docs.columns), "number", "block", "slot", "position", "full")
-
-
-def _first_dry(blocks: dict[str, int], order: list[str]) -> int:
-    """The first slot that a source, out of blocks, leaves empty; ``order`` is one period."""
-    places: dict[str, list[int]] = {}
-    for at, s in enumerate(order):
-        places.setdefault(s, []).append(at)
-    dry = [b // len(at) * len(order) + at[b % len(at)] for s, at in places.items() for b in [blocks.get(s, 0)]]
-    return min(dry, default=0)

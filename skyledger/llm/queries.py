@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .toxicity import fit, score_toxicity
 
 
 #: Target weights: the larger the number in a source's name, the smaller its share.
-WEIGHTS = {f"src{i}": 1.0 / (1 + i % 5) for i in range(20)}
+WEIGHTS = {f"src{i}": Fraction(1, 1 + i % 5) for i in range(20)}
 
 
 def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
@@ -11,10 +12,10 @@ from fractions import Fraction
 import pytest
 import xxhash
 from pyspark.sql import functions as F
-from skyledger.llm import chroma, licences, quality, simhash, toxicity
+from skyledger.llm import chroma, licences, mixing, quality, simhash, toxicity
 from skyledger.llm.components import components
 from skyledger.llm.decontaminate import HITS, MASK, contaminated, decontaminate, seeding
-from skyledger.llm.mixing import mix, schedule, shares
+from skyledger.llm.mixing import longest_window, mix, schedule, shares, stretch
 from skyledger.llm.pseudonyms import Permutation, Pseudonyms, luhn_digit, pseudonymize
 from skyledger.llm.secret_scan import scan_secrets
 from skyledger.llm.simhash import keep_one, near_copies, near_duplicates
@@ -41,21 +42,6 @@ def edited(text, edits, seed):
     return " ".join(w)
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls, empty and blank texts, ties, repeated rows, a very long text, clashing extra columns."""
-    long = prose(30_000, 1)
-    rows = [(0, None), (1, ""), (2, " \n\t "), (3, "Hello"), (4, "Hello"), (5, long), (6, "a " * 3000), (7, "naïve ſecret ünïcode 😀 text"), (8, prose(80, 2)), (8, prose(80, 2))]
-    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
-    extra = {c: F.lit("clash") for c in ("path", "votes", "block", "slot", "component_id", "fp", "seed", "place", "number", "n_email", "score", "kind")}
-    return frame.withColumns(extra)
-
-
-@pytest.fixture(scope="module")
-def empty(spark):
-    return spark.createDataFrame([], DOCS)
-
-
 # 1 quality
 
 
@@ -264,35 +250,65 @@ def test_licences_have_no_python(spark, odd, empty):
 # 4 mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 / (i + 1) for i in range(17)}, {"a": 1}, {"a": 10_000, "b": 1}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}, {"a": 0.123456789, "b": 0.2345678901, "c": 1.7}, {f"src{i}": 1.0 / (1 + i % 5) for i in range(20)}])
+WEIGHTS = [{"a": 1, "b": 1}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i}": 1 / (i + 1) for i in range(17)}, {"a": 1}, {"a": 10_000, "b": 1}, {"a": 1 / 3, "b": 1 / 7, "c": 11 / 21}, {"a": 1e-10, "b": 3e-10}, {"a": 7e-10, "b": 9e-10}, {"a": 1, "b": 1e-12}, {"a": math.pi, "b": math.e, "c": 1e-5}, {"a": Fraction(1, 3), "b": Fraction(10**30, 7)}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
 def test_schedule_deviates_by_less_than_a_block(weights):
     """Against the true weights, over 100,000 slots."""
-    parts = shares(weights)
-    total, exact = sum(parts.values()), {s: Fraction(w).limit_denominator(10**9) for s, w in weights.items()}
-    assert all(Fraction(parts[s], total) == exact[s] / sum(exact.values()) for s in weights)
+    parts, whole = shares(weights), sum(map(Fraction, weights.values()))
+    assert set(parts) == set(weights)
     seen = dict.fromkeys(parts, 0)
     for t, (s, j) in zip(range(1, 100_001), schedule(parts), strict=False):
         assert j == seen[s]
         seen[s] += 1
         # A source drifts most just after its own block, or just before it.
-        assert abs(seen[s] * total - parts[s] * t) < total and (seen[s] - 1) * total > parts[s] * (t - 1) - total
+        share = Fraction(weights[s]) / whole
+        assert seen[s] - share * t < 1 and share * (t - 1) - seen[s] + 1 < 1
         if t % 997 == 0:
-            assert all(abs(seen[k] * total - w * t) < total for k, w in parts.items())
-    done = dict.fromkeys(parts, 0)
-    whole = [x for x, _ in zip(schedule(parts), range(500), strict=False)]
-    for s, _ in whole[:200]:
-        done[s] += 1
-    assert [x for x, _ in zip(schedule(parts, 200, done), range(300), strict=False)] == whole[200:]
+            assert all(abs(seen[k] - Fraction(w) / whole * t) < 1 for k, w in weights.items())
 
 
-@pytest.mark.parametrize("longest", [100_000, 10])
-def test_mix_keeps_all_rows(spark, monkeypatch, longest):
-    from skyledger.llm import mixing
-
-    monkeypatch.setattr(mixing, "STRETCH", 7)
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_stretches_join_to_one_schedule(weights):
+    parts = shares(weights)
+    window = longest_window(parts)
+    step = min(max(7, window // 3), 5000)
+    whole = [x for x, _ in zip(schedule(parts), range(min(6 * window, 30_000)), strict=False)]
+    for start in range(0, len(whole) - step, step):
+        if start > 12 * step and start % (7 * step):
+            continue
+        assert list(stretch(parts, start, start + step)) == whole[start : start + step]
+
+
+def mixture(spark, weights, sizes, block):
+    rows = [(f"{s}{i}", s) for s, n in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(rows)], "doc_id long, source string")
+    found = {(r.source, r.block): (r.slot, r.position, r.full) for r in mix(docs, weights, block=block).collect()}
+    return sorted((p, s, b, slot, full) for (s, b), (slot, p, full) in found.items())
+
+
+@pytest.mark.parametrize("weights", [{"a": 3.0, "b": 1.0, "c": 1.0}, {"a": 3.0 + 1e-8, "b": 1.0, "c": 1.0}, {"a": 1, "b": 1e-12, "c": 1e-30}, {"a": 1e-10, "b": 3e-10}])
+@pytest.mark.parametrize("size", [3, 100_000])
+def test_mix_against_a_walk(spark, monkeypatch, weights, size):
+    """One walk over all slots up to the first dry one, and the last slot before the deadline behind it."""
+    monkeypatch.setattr(mixing, "STRETCH", size)
+    sizes = {"a": 230, "b": 70, "c": 25}
+    ends = {s: -(-n // 5) for s, n in sizes.items()}
+    parts, slots = shares(weights), {}
+    for dry, (s, j) in enumerate(schedule(parts)):
+        if j >= ends.get(s, 0):
+            break
+        slots[s, j] = dry
+    due = {(s, j): slots.get((s, j), max(-(-(j + 1) * sum(parts.values()) // parts[s]) - 1, dry)) for s in parts for j in range(ends.get(s, 0))}
+    order = sorted(due, key=lambda x: (due[x], x)) + [(s, j) for s in ends if s not in parts for j in range(ends[s])]
+    want = [(p, s, j, min(due[s, j], 2**63 - 1) if s in parts else None, s in parts and due[s, j] < dry) for p, (s, j) in enumerate(order)]
+    assert mixture(spark, weights, sizes, 5) == want
+
+
+def test_mix_keeps_all_rows(spark):
     docs = spark.createDataFrame([(i, f"s{i % 3 if i % 7 else 0}" if i % 11 else None, "x") for i in range(1000)], "doc_id long, source string, block string")
-    weights = {"s0": 3.0, "s1": 1.0, "s2": 1.0} if longest > 10 else {"s0": 3.0 + 1e-8, "s1": 1.0, "s2": 1.0}
-    out = mix(docs, weights, block=10, longest_period=longest).collect()
+    out = mix(docs, {"s0": 3.0, "s1": 1.0, "s2": 1.0}, block=10).collect()
     assert sorted(r.doc_id for r in out) == list(range(1000))
     blocks = {}
     for r in out:
@@ -310,7 +326,7 @@ def test_mix_keeps_all_rows(spark, monkeypatch, longest):
         if b.full:
             assert b.slot == b.position
             seen[b.source] += 1
-            assert all(abs(seen[s] - w * t) < 1 + 1e-5 for s, w in share.items())
+            assert all(abs(seen[s] - w * t) < 1 for s, w in share.items())
     assert sum(b.full for _, b in positions) > 20
     assert all(not b.full for _, b in positions if b.source is None)
 
