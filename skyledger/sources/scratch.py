@@ -8,19 +8,38 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: By application: the root where the session names none, and the folders made.
+_roots: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
+
 
 def folder(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
     Only in local mode, where one machine does all, may the setting be missing.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root, application = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not root:
         if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        # A running session refuses to have the setting changed, so the folder is kept here.
+        root = _roots.get(application) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+        _roots[application] = root
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _made.setdefault(application, []).append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Hadoop's file systems have it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every folder made in this application: for after the results are stored elsewhere."""
+    for path in _made.pop(spark.sparkContext.applicationId, []):
+        delete(spark, path)
 
 
 def written(df: DataFrame) -> DataFrame:
