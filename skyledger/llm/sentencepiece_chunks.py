@@ -2,14 +2,18 @@
 
 The tokenizer writes a marker for each space and one before the text.  Where no piece of the vocabulary has a marker
 behind another character, no merge crosses from a character to a marker: each chunk, a run of markers with
-the characters behind it, is segmented by itself.  So each distinct chunk of the corpus is segmented once
-(:func:`chunk_table`), and the ids are joined back by position.
+the characters behind it, is segmented by itself.  So each distinct chunk of the corpus is segmented once, and the ids are
+joined back by position.
 
-Joining every occurrence would shuffle a row a word.  A chunk that makes up at least one in ``2 ** COMMON_BITS`` of all
-(document, chunk) pairs is common; there can be no more than ``2 ** COMMON_BITS`` of those, whatever the corpus, and none is longer than
-``COMMON_BYTES``, so their part of the table is broadcast.  Documents keep a mark where another chunk stands; those
-chunks are looked up by a join on a 128-bit hash, once a document and chunk, none of them in so many documents that a key
-is hot, and come back to their document as one row.  A longer chunk takes this way too, however frequent; there AQE splits its key.
+A row for each chunk of each document would be many times the text.  Consecutive documents form blocks of
+``BLOCK_BYTES`` of text.  A block lists its distinct chunks, dealt by hash into the parts of the corpus-wide table; a row of the exchange is the
+list that a block has in a part, packed.  A part takes the lists of all blocks in turn, segments each chunk as it meets it first,
+and answers with ids.  A block's answers then meet its documents, kept as chunk numbers, and every number becomes its ids.
+However frequent a chunk is, a block asks for it once, so no key is hot; a task holds one block, or one part of the table
+(beyond ``HELD`` chunks a part starts anew, so memory is bounded whatever the corpus, and a chunk met again is segmented again).
+
+Blocks are made twice, for the lists and for the documents, so ``docs`` must give its rows in the same order when read again, as files do;
+a block that comes out otherwise is an error, not a wrong result.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; repeated rows each get a row; a text of one chunk is
 one lookup; an empty table gives an empty result; extra columns are ignored.
@@ -19,23 +23,26 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_only, map_rows, slices, written
+from .common import docs_only, map_rows, slices
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: At most ``2 ** COMMON_BITS`` chunks of at most ``COMMON_BYTES`` bytes are broadcast: with their ids under 100 MB, whatever the corpus.
-COMMON_BITS, COMMON_BYTES = 17, 128
-#: Distinct chunks that a task counts before it hands them on.
-COUNTED = 1 << 19
+#: Text of a block, and of all blocks for each part of the table, of which there are at most ``PARTS``.
+BLOCK_BYTES, PART_BYTES, PARTS = 8 << 20, 1 << 20, 4096
+#: Distinct chunks that a part of the table holds at a time.
+HELD = 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -47,7 +54,7 @@ def processor(path: str):
     if any(re.search(f"[^{MARK}]{MARK}", sp.id_to_piece(i)) for i in range(sp.get_piece_size())):
         raise ValueError("a piece has a marker behind another character, so chunks are not independent")
     # Texts that tell normalizers, prefixes and squeezed spaces apart.
-    for text in ("a", " a", "a  b ", "①ﬁ x", "　\ta"):
+    for text in ("a", " a", "a  b ", "①ﬁ x", "　\ta"):
         if [i for c in chunks(text) for i in segment(sp, [c])[0]] != sp.encode(text):
             raise ValueError("the model changes texts otherwise than by a marker for each space and one before them")
     return sp
@@ -64,118 +71,151 @@ def segment(sp, found: list[str]) -> list[list[int]]:
     return [ids if text else [sp.piece_to_id(MARK)] for text, ids in zip(bare, sp.encode(bare, num_threads=1), strict=True)]
 
 
-def chunk_key(chunk: str) -> bytes:
-    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+# Chunks have no space, so a space parts them in a packed list.
+def _packed(found: list[str]) -> bytes:
+    return zstandard.compress(" ".join(found).encode("utf-8", "surrogatepass"))
 
 
-def chunk_table(docs: DataFrame, model: str) -> DataFrame:
-    """``chunk, n, ids``: every distinct chunk of ``docs``, in how many rows it is (as counted by tasks) and its ids."""
-    texts = docs_only(docs, "text")
+def _unpacked(blob: bytes) -> list[str]:
+    return zstandard.decompress(blob).decode("utf-8", "surrogatepass").split(" ")
 
-    def count(batches):
-        seen: Counter[str] = Counter()
 
-        def out():
-            return pa.RecordBatch.from_pydict({"chunk": list(seen), "n": list(seen.values())}, schema=pa.schema([("chunk", pa.string()), ("n", pa.int64())]))
+def _numbers(values, kind=np.uint32) -> bytes:
+    return zstandard.compress(np.asarray(values, kind).tobytes())
 
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(set(chunks(text)))
-                if len(seen) >= COUNTED:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
 
-    counted = texts.mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+def _read_numbers(blob: bytes, kind=np.uint32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob), kind)
+
+
+class Block:
+    """Documents as numbers of their chunks, by first use."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids: list[int | None] = []
+        self.sizes: list[int] = []
+        self.sequence: list[int] = []
+        self.bytes = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        found, known = chunks(text), self.known
+        self.ids.append(doc_id)
+        self.sizes.append(len(found))
+        self.sequence += [known.setdefault(c, len(known)) for c in found]
+        self.bytes += len(text) + 64
+
+    def parts(self, n: int) -> np.ndarray:
+        """The part of the table of each chunk, by number."""
+        return np.fromiter((zlib.crc32(c.encode("utf-8", "surrogatepass")) % n for c in self.known), np.uint16, len(self.known))
+
+    def sign(self) -> int:
+        """Changes with the chunks or their order."""
+        return zlib.crc32("".join(self.known).encode("utf-8", "surrogatepass"))
+
+
+def _blocks(batches, size: int) -> Iterator[tuple[int, Block]]:
+    """Blocks of a task with a number of their own."""
+    nth, block = TaskContext.get().partitionId() << 32, Block()
+    for batch in slices(batches):
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            block.add(doc_id, text)
+            if block.bytes >= size:
+                yield nth, block
+                nth, block = nth + 1, Block()
+    if block.ids:
+        yield nth, block
+
+
+def _lists(texts: DataFrame, parts: int, size: int) -> DataFrame:
+    """``block, sign, part, chunks``: the chunks of a block that are of a part, packed, by number."""
+
+    def make(batches):
+        for nth, block in _blocks(batches, size):
+            part, names = block.parts(parts), list(block.known)
+            order = np.argsort(part, kind="stable")
+            ends = np.flatnonzero(np.diff(part[order])) + 1
+            for own in np.split(order, ends) if len(order) else []:
+                yield pa.RecordBatch.from_pydict({"block": [nth], "sign": [block.sign()], "part": pa.array([int(part[own[0]])], pa.int32()), "chunks": [_packed([names[i] for i in own.tolist()])]})
+
+    return texts.mapInArrow(make, "block long, sign long, part int, chunks binary")
+
+
+def _answers(lists: DataFrame, model: str, held: int) -> DataFrame:
+    """``block, sign, part, counts, ids``: the ids of each list; each chunk of a part is segmented once."""
+
+    def make(batches):
+        sp, table, current = processor(model), {}, None
+        for batch in batches:
+            for block, sign, part, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != current or len(table) > held:
+                    table, current = {}, part
+                found = _unpacked(blob)
+                new = [c for c in found if c not in table]
+                table.update(zip(new, (np.array(ids, np.int32).tobytes() for ids in segment(sp, new)), strict=True))
+                own = [table[c] for c in found]
+                yield pa.RecordBatch.from_pydict({"block": [block], "sign": [sign], "part": pa.array([part], pa.int32()), "counts": [_numbers([len(ids) // 4 for ids in own])], "ids": [zstandard.compress(b"".join(own))]})
+
+    dealt = lists.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(make, "block long, sign long, part int, counts binary, ids binary")
 
-    def ids(batches):
-        sp = processor(model)
-        for batch in slices(batches):
-            found = segment(sp, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["chunk", "n", "ids"])
 
-    return written(counted.mapInArrow(ids, "chunk string, n long, ids array<int>"))
+def _gathered(answers: pd.DataFrame, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all chunks of a block, and where those of each chunk number start and how many they are."""
+    start, count, flat, at = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), [np.zeros(0, np.int32)], 0
+    order = np.argsort(part, kind="stable")
+    first = np.searchsorted(part[order], np.arange(int(part.max()) + 2 if len(part) else 1))
+    for number, counts, ids in zip(answers["part"], answers["counts"], answers["ids"], strict=True):
+        own, n, found = order[first[number] : first[number + 1]], _read_numbers(counts).astype(np.int64), _read_numbers(ids, np.int32)
+        start[own], count[own] = at + np.cumsum(n) - n, n
+        flat.append(found)
+        at += len(found)
+    return np.concatenate(flat), start, count
 
 
-def encode(docs: DataFrame, *, model: str, ids: bool = True, common_bits: int = COMMON_BITS) -> DataFrame:
+def encode(docs: DataFrame, *, model: str, ids: bool = True, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, held: int = HELD) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every row of ``docs``.
 
     ``model`` is a SentencePiece model file found at that path on every executor.  ``ids_sha256`` hashes the ids in decimal, joined by
     commas; ``decoded_sha256`` hashes the text that the library decodes them to.  ``ids=False`` leaves the ids out.
     """
-    spark = docs.sparkSession
-    table = chunk_table(docs, model)
-    pairs = table.agg(F.sum("n")).first()[0] or 0
-    common = (F.col("n") * (1 << common_bits) >= pairs) & (F.octet_length("chunk") <= COMMON_BYTES)
-    known = {r.chunk: np.array(r.ids, np.int32).tobytes() for r in table.where(common).select("chunk", "ids").toLocalIterator()}
-    known_to_all = spark.sparkContext.broadcast(known)
-    texts = docs_only(docs, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
-    gap = np.array([-1], np.int32).tobytes()
-
-    def names():
+    texts = docs_only(docs, "doc_id", "text")
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(PARTS, 1 + total // part_bytes)
+    answers = _answers(_lists(texts, parts, block_bytes), model, held)
+
+    def kept(batches):
+        for nth, block in _blocks(batches, block_bytes):
+            yield pa.RecordBatch.from_pydict({
+                "block": [nth], "sign": [block.sign()], "doc_ids": pa.array([block.ids], pa.list_(pa.int64())), "sizes": pa.array([block.sizes], pa.list_(pa.int32())),
+                "parts": [_numbers(block.parts(parts), np.uint16)], "sequence": [_numbers(block.sequence)],
+            })
+
+    documents = texts.mapInArrow(kept, "block long, sign long, doc_ids array<long>, sizes array<int>, parts binary, sequence binary")
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.list_(pa.int32()))]
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         sp = processor(model)
-        return [f"{i}," for i in range(sp.get_piece_size())]
-
-    def results(sp, decimal, found: np.ndarray) -> tuple:
-        listed = found.tolist()
-        text = "".join(map(decimal.__getitem__, listed))[:-1]
-        decoded = sp.decode(listed) if listed else ""
-        return len(listed), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), listed if ids else None
-
-    def other(batches):
-        """The chunks of each document that aren't common, with their number among those."""
-        table = known_to_all.value
-        for batch in slices(batches):
-            rows = []
-            for doc_id, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rare = dict.fromkeys(c for c in chunks(text) if c not in table)
-                rows += [(doc_id, digest, i, chunk_key(c)) for i, c in enumerate(rare)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "digest", "nth", "key"])
-
-    keyed = map_rows(table.where(~common).select("chunk", "ids"), lambda: lambda chunk, found: (chunk_key(chunk), found), "key binary, found array<int>")
-    looked_up = texts.mapInArrow(other, "doc_id long, digest long, nth int, key binary").join(keyed, "key")
-    # A set: rows that repeat an id and a text ask the same.
-    answers = looked_up.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("nth", "found")).alias("answers"))
-
-    def places():
-        """A document whose chunks are all common is done; of another, its ids with gaps, and which chunk stands in each."""
-        table, sp, decimal = known_to_all.value, processor(model), names()
-
-        def one(doc_id, text, digest):
-            found = chunks(text)
-            parts = list(map(table.get, found))
-            if None not in parts:
-                return doc_id, digest, None, None, *results(sp, decimal, np.frombuffer(b"".join(parts), np.int32))
-            rare: dict[str, int] = {}
-            which = [rare.setdefault(c, len(rare)) for c, p in zip(found, parts, strict=True) if p is None]
-            return doc_id, digest, b"".join(p or gap for p in parts), which, None, None, None, None
-
-        return one
-
-    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
-    begun = map_rows(texts, places, f"doc_id long, digest long, gaps binary, which array<int>, {columns}")
-    same = begun["doc_id"].eqNullSafe(answers["doc_id"]) & (begun["digest"] == answers["digest"])
-    joined = begun.join(answers, same, "left").select(begun["doc_id"], "gaps", "which", *(c.split()[0] for c in columns.split(", ")), "answers")
-
-    def finish():
-        sp, decimal = processor(model), names()
-
-        def one(doc_id, gaps, which, n, ids_hash, decoded, listed, answers):
-            if gaps is None:
-                return doc_id, n, ids_hash, decoded, listed
-            by_number = {a["nth"]: np.array(a["found"], np.int32) for a in answers}
-            parts = np.frombuffer(gaps, np.int32)
-            pieces, last = [], 0
-            for at, nth in zip(np.flatnonzero(parts < 0).tolist(), which, strict=True):
-                pieces += [parts[last:at], by_number[nth]]
-                last = at + 1
-            return doc_id, *results(sp, decimal, np.concatenate([*pieces, parts[last:]]))
-
-        return one
-
-    out = map_rows(joined, finish, f"doc_id long, {columns}")
+        decimal = [f"{i}," for i in range(sp.get_piece_size())]
+        rows = []
+        if left.num_rows != 1 or set(right["sign"].to_pylist()) - set(left["sign"].to_pylist()):
+            raise RuntimeError("a block of documents came out otherwise when it was read again: write the documents first")
+        block = left.to_pylist()[0]
+        flat, start, count = _gathered(right.select(["part", "counts", "ids"]).to_pandas(), _read_numbers(block["parts"], np.uint16))
+        sequence, at = _read_numbers(block["sequence"]), 0
+        for doc_id, size in zip(block["doc_ids"], block["sizes"], strict=True):
+            own = sequence[at : at + size]
+            at += size
+            n = count[own]
+            # Where each id comes from: the start of its chunk's ids and the place among them.
+            found = flat[np.repeat(start[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tolist()
+            decoded = sp.decode(found) if found else ""
+            digest = hashlib.sha256("".join(map(decimal.__getitem__, found))[:-1].encode()).hexdigest()
+            rows.append((doc_id, len(found), digest, hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), found if ids else None))
+        return pa.Table.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [name for name, _ in fields])
+
+    out = documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
     return out if ids else out.drop("ids")
 
 

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from skyledger.llm import merkle, sentencepiece_chunks
 from skyledger.llm.periodic_runs import collapse, densest, periodic_runs, runs
 from skyledger.llm.queries import PIECES
@@ -93,12 +94,12 @@ def test_chunks_are_independent(text):
     assert [i for ids in segment(sp, chunks(text)) for i in ids] == sp.encode(text)
 
 
-@pytest.mark.parametrize("bits", [17, 3, 0])
-def test_encode_by_the_library(spark, bits):
-    """Whole ids, with a few, most and all chunks found by the join."""
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 20_000, "part_bytes": 100_000}, {"block_bytes": 1, "part_bytes": 1 << 30, "held": 500}])
+def test_encode_by_the_library(spark, sizes):
+    """Whole ids, for one block a file, many blocks and parts, and a block a document."""
     sp = processor(PIECES)
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rows = {r.doc_id: r for r in encode(docs, model=PIECES, common_bits=bits).collect()}
+    rows = {r.doc_id: r for r in encode(docs, model=PIECES, **sizes).collect()}
     assert len(rows) == docs.count()
     for d in docs.collect():
         ids, r = sp.encode(d.text or ""), rows[d.doc_id]
@@ -108,8 +109,8 @@ def test_encode_by_the_library(spark, bits):
 
 def test_encode_edges(spark, odd, empty):
     sp = processor(PIECES)
-    for bits in (17, 0):
-        rows = encode(odd, model=PIECES, common_bits=bits)
+    for size in (1, 1 << 20):
+        rows = encode(odd, model=PIECES, block_bytes=size, part_bytes=size)
         assert sorted((r.doc_id, r.ids) for r in rows.collect()) == sorted((d.doc_id, sp.encode(d.text or "")) for d in odd.collect())
     assert sorted((r.doc_id, r.text) for r in decode(rows, model=PIECES).collect()) == sorted((d.doc_id, d.text or "") for d in odd.collect())
     assert encode(empty, model=PIECES).count() == 0
@@ -117,6 +118,14 @@ def test_encode_edges(spark, odd, empty):
     assert sorted((r.doc_id or 0, r.n_tokens) for r in encode(long, model=PIECES).collect()) == sorted((d.doc_id or 0, len(sp.encode(d.text))) for d in long.collect())
 
 
+def test_other_blocks_are_an_error(spark):
+    """Rows that come in another order when read again."""
+    docs = spark.createDataFrame([(i, f"word{i} word{i * i}") for i in range(400)], "doc_id long, text string").repartition(2).withColumn("r", F.rand()).sortWithinPartitions("r")
+    shaken = docs.mapInArrow(lambda batches: (b.take(random.sample(range(b.num_rows), b.num_rows)) for b in batches), docs.schema)
+    with pytest.raises(Exception, match="write the documents first"):
+        encode(shaken, model=PIECES, block_bytes=3000).collect()
+
+
 def test_only_independent_chunks(monkeypatch):
     import sentencepiece
 
