@@ -101,10 +101,10 @@ INDEX_WORDS, SEGMENTS, VERIFY = 2, 24, 32
 FLIPS = 2
 #: Members of the largest group under its keys that a text meets before it meets all of them.
 MEMBERS = 8
-#: Texts of a group that is large: it is asked, but asks no more.
+#: Texts of a group that is large: in the second step it only gets asked; in the last it asks like any other.
 LARGE = 64
-#: Members of a key that meet as many others at once: 70 KB.
-BLOCK = 256
+#: Members of a key that meet as many others at once (70 KB), and blocks of a key that one task meets.
+BLOCK, DEAL = 256, 16
 #: Texts to compare by their shingles whose ids may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -182,8 +182,9 @@ def _near(a: pa.Array, b: pa.Array, far: np.ndarray, most: int) -> pa.RecordBatc
 def _across(table: DataFrame, asks: DataFrame, classes: DataFrame, most: int) -> DataFrame:
     """``a, b, distance`` of the pairs of different groups under a key at most ``most`` bits apart.
 
-    Both sides have ``key, node, component``.  Under each key they meet in blocks of about ``BLOCK``
-    members, so no key meets in one task and no row is made for a pair that is far apart.
+    Both sides have ``key, node, component``.  Under each key they meet in blocks of about ``BLOCK`` members, and
+    ``table``'s blocks are dealt by ``DEAL``, each deal to a task of its own; so no row is made for a pair that is far
+    apart, a hot key is met by many tasks, and only the blocks of keys over ``BLOCK * DEAL`` members are repeated.
     """
     keys = table.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n"))
     asked = written(asks.join(keys, "key").where("component <> least OR component <> most").select("key", "node", "component"))
@@ -194,9 +195,10 @@ def _across(table: DataFrame, asks: DataFrame, classes: DataFrame, most: int) ->
         return rows.groupBy("key", "block").agg(F.collect_list(F.struct("node", "component", "bits")).alias("rows"))
 
     counts = asked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    one = blocks(asked, counts)
-    two = blocks(table.join(counts.select("key"), "key", "left_semi"), keys)
-    met = one.select("key", F.col("rows").alias("one")).join(two.select("key", F.col("rows").alias("two")), "key").select("one", "two")
+    deals = keys.select("key", F.explode(F.sequence(F.lit(0), F.expr(f"CAST((n - 1) div {BLOCK * DEAL} AS INT)"))).alias("deal"))
+    one = blocks(asked, counts).select("key", F.col("rows").alias("one")).join(deals, "key")
+    two = blocks(table.join(counts.select("key"), "key", "left_semi"), keys).select("key", F.expr(f"CAST(block div {DEAL} AS INT)").alias("deal"), F.col("rows").alias("two"))
+    met = one.join(two, ["key", "deal"]).select("one", "two")
 
     def compare(batches):
         for batch in batches:
@@ -248,8 +250,8 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     links: list[DataFrame] = []
 
-    def joined(near: DataFrame, last: bool = False) -> DataFrame | None:
-        """Labels of groups from all pairs so far and those of ``near`` that are near; whole groups at the ``last`` call."""
+    def joined(near: DataFrame, whole: bool = True) -> DataFrame | None:
+        """Labels of groups from all pairs so far and those of ``near`` that are near; unless ``whole``, a group may have several."""
         near = written(near)
         if not near.isEmpty():
             more = similar(texts, classes, near.where(F.col("distance") >= most - doubt), words, similarity)
@@ -257,7 +259,7 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         if not links:
             return None
         every = reduce(DataFrame.unionByName, links)
-        return written(components(every) if last else labels(every)).where("node <> component")
+        return written(components(every) if whole else labels(every)).where("node <> component")
 
     def of(rows: DataFrame, known: DataFrame | None) -> DataFrame:
         """``rows`` with the component of ``node``."""
@@ -265,25 +267,24 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
 
     # A key's least node first: a group of near copies becomes one in proportion to its size.
     keys = entries.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last"))
-    known = joined(compared(entries.join(keys, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()))
+    known = joined(compared(entries.join(keys, "key").where("node <> b").select(F.col("node").alias("a"), "b").distinct()), whole=False)
     # Balls are looked up once; a key that only its own node has is of no use to it.
     hits = written(_balls(entries).join(keys, "key").where("node <> b OR node <> last").select("key", "node"))
 
-    def asking() -> DataFrame:
-        large = known.groupBy("component").count().where(F.col("count") >= LARGE).select("component") if known else None
-        return of(hits, known).join(large, "component", "left_anti") if known else of(hits, known)
-
     # What is left of a group then meets some members of the largest group under its keys.
+    asking = of(hits, known)
+    if known:
+        asking = asking.join(known.groupBy("component").count().where(F.col("count") >= LARGE).select("component"), "component", "left_anti")
     table = of(entries.select("key", "node"), known)
     salts = table.groupBy("key", "component", F.pmod(F.xxhash64("node"), F.lit(MEMBERS)).alias("salt")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("b"))
     groups = salts.groupBy("key", "component").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("b")).alias("b"))
     largest = groups.groupBy("key").agg(F.max(F.struct("n", "component", "b")).alias("x")).select("key", F.col("x.component").alias("other"), "x.b")
     member = F.get("b", F.pmod(F.xxhash64("node", "key"), F.size("b")).cast("int"))
-    asks = asking().join(largest, "key").where("component <> other").select(F.col("node").alias("a"), member.alias("b"), "other")
+    asks = asking.join(largest, "key").where("component <> other").select(F.col("node").alias("a"), member.alias("b"), "other")
     some = asks.groupBy("a", "other", F.pmod(F.xxhash64("b"), F.lit(MEMBERS))).agg(F.min("b").alias("b")).select("a", "b").distinct()
     known = joined(compared(some))
-    # At last each text meets all under its keys that are in another group.
-    known = joined(_across(of(entries.select("key", "node"), known), asking(), classes, most + doubt), last=True)
+    # At last each text, of a group of any size, meets all under its keys that are in another group.
+    known = joined(_across(of(entries.select("key", "node"), known), of(hits, known), classes, most + doubt))
 
     linked = of(classes.select("node", "bits", "none", "doc_id", "digest"), known)
     first = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "digest")).alias("first"))
@@ -302,10 +303,9 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
 
     Every text is compared with all others under its keys, or is in one group with them already.  Groups are
     contracted in between: own keys meet the least member of a key, then balls some members of
-    the largest group under a key, and at last all members that are in another group by then.  Groups of ``LARGE``
-    texts are asked, but ask no more.  So a large group of near copies costs comparisons in
-    proportion to its size; only texts of one template that are no near copies of each other meet pairwise,
-    in blocks.  Complete distances decide, but for those within three standard deviations of the limit: there
+    the largest group under a key, and at last all members that are in another group by then, whatever the size of either
+    group.  So a large group of near copies costs comparisons in proportion to its size; only texts of one
+    template that are no near copies of each other meet pairwise, in blocks.  Complete distances decide, but for those within three standard deviations of the limit: there
     the shingles themselves are compared.
 
     Rows of one id and text are one row; ``component_id`` is null where no row of a group has an id.

@@ -439,6 +439,34 @@ def test_near_copies_of_one_template(spark):
     assert [out[i] for i in range(1000)] == [i - i % 2 for i in range(1000)]
 
 
+def bridged(family, size=67):
+    """Two groups of ``size`` texts; only one pair, of the last of each, shares 0.8 of its shingles."""
+    base = [random.Random(9000 + 300 * family + i).choice(WORDS) for i in range(300)]
+    places = list(range(10, 250, 30))  # eight of them: too far from any text of the other group
+
+    def text(changed, own=None):
+        return " ".join(f"s{i}" if i in changed else f"own{own}" if own is not None and i == 255 + own % 40 else w for i, w in enumerate(base))
+
+    return [text([], k) for k in range(size - 1)] + [text(places[:1])], [text(places, size + k) for k in range(size - 1)] + [text(places[:7])]
+
+
+def test_near_copies_of_large_groups(spark):
+    """Groups over ``LARGE`` texts that one pair joins are one group."""
+    texts, split = [], 0
+    for one, two in map(bridged, range(24)):
+        texts += one + two
+        sets = [[shingles(t) for t in g] for g in (one, two)]
+        assert [(x, y) for x, a in enumerate(sets[0]) for y, b in enumerate(sets[1]) if len(a & b) >= 0.8 * len(a | b)] == [(66, 66)]
+        assert all(len(a & b) >= 0.8 * len(a | b) for g in sets for a in g for b in g)
+    out = {r.doc_id: r.component_id for r in near_copies(table(spark, texts)).collect()}
+    for at in range(0, len(texts), 134):
+        groups = {out[i] for i in range(at, at + 134)}
+        assert groups <= {at, at + 67}
+        split += len(groups) - 1
+    # The index finds 0.99 of all pairs; these are as near the limit as can be.
+    assert split <= 2
+
+
 def test_near_copies_against_brute_force(spark):
     """Pairs at 0.8 or more end in one group; each group is held together by such pairs."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
