@@ -132,11 +132,11 @@ def _lists(texts: DataFrame, parts: int, size: int) -> DataFrame:
 
     def make(batches):
         for nth, block in _blocks(batches, size):
-            part, names = block.parts(parts), list(block.known)
+            part, names, sign = block.parts(parts), list(block.known), block.sign()
             order = np.argsort(part, kind="stable")
             ends = np.flatnonzero(np.diff(part[order])) + 1
             for own in np.split(order, ends) if len(order) else []:
-                yield pa.RecordBatch.from_pydict({"block": [nth], "sign": [block.sign()], "part": pa.array([int(part[own[0]])], pa.int32()), "chunks": [_packed([names[i] for i in own.tolist()])]})
+                yield pa.RecordBatch.from_pydict({"block": [nth], "sign": [sign], "part": pa.array([int(part[own[0]])], pa.int32()), "chunks": [_packed([names[i] for i in own.tolist()])]})
 
     return texts.mapInArrow(make, "block long, sign long, part int, chunks binary")
 
