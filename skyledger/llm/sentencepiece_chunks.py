@@ -80,12 +80,18 @@ def _unpacked(blob: bytes) -> list[str]:
     return zstandard.decompress(blob).decode("utf-8", "surrogatepass").split(" ")
 
 
-def _numbers(values, kind=np.uint32) -> bytes:
-    return zstandard.compress(np.asarray(values, kind).tobytes())
+def _numbers(values) -> bytes:
+    """Numbers from 0 on in the least width that holds them; of wide ones the first bytes of all come first, then the second, which packs better."""
+    whole = np.asarray(values, np.uint32)
+    kind = np.min_scalar_type(int(whole.max())) if len(whole) else np.dtype(np.uint8)
+    own = whole.astype(kind)
+    return bytes([kind.itemsize]) + zstandard.compress(own.view(np.uint8).reshape(-1, 4).T.tobytes() if kind.itemsize == 4 else own.tobytes())
 
 
-def _read_numbers(blob: bytes, kind=np.uint32) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
+def _read_numbers(blob: bytes) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(blob[1:]), np.uint8)
+    own = np.ascontiguousarray(flat.reshape(4, -1).T).view(np.uint32).ravel() if blob[0] == 4 else flat.view(f"u{blob[0]}")
+    return own.astype(np.int64)
 
 
 class Block:
@@ -154,7 +160,7 @@ def _answers(lists: DataFrame, model: str, held: int) -> DataFrame:
                 new = [c for c in found if c not in table]
                 table.update(zip(new, (np.array(ids, np.int32).tobytes() for ids in segment(sp, new)), strict=True))
                 own = [table[c] for c in found]
-                yield pa.RecordBatch.from_pydict({"block": [block], "sign": [sign], "part": pa.array([part], pa.int32()), "counts": [_numbers([len(ids) // 4 for ids in own])], "ids": [zstandard.compress(b"".join(own))]})
+                yield pa.RecordBatch.from_pydict({"block": [block], "sign": [sign], "part": pa.array([part], pa.int32()), "counts": [_numbers([len(ids) // 4 for ids in own])], "ids": [_numbers(np.frombuffer(b"".join(own), np.int32))]})
 
     dealt = lists.repartition("part").sortWithinPartitions("part")
     return dealt.mapInArrow(make, "block long, sign long, part int, counts binary, ids binary")
@@ -162,11 +168,11 @@ def _answers(lists: DataFrame, model: str, held: int) -> DataFrame:
 
 def _gathered(answers: pd.DataFrame, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all chunks of a block, and where those of each chunk number start and how many they are."""
-    start, count, flat, at = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), [np.zeros(0, np.int32)], 0
+    start, count, flat, at = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), [np.zeros(0, np.int64)], 0
     order = np.argsort(part, kind="stable")
     first = np.searchsorted(part[order], np.arange(int(part.max()) + 2 if len(part) else 1))
     for number, counts, ids in zip(answers["part"], answers["counts"], answers["ids"], strict=True):
-        own, n, found = order[first[number] : first[number + 1]], _read_numbers(counts).astype(np.int64), _read_numbers(ids, np.int32)
+        own, n, found = order[first[number] : first[number + 1]], _read_numbers(counts), _read_numbers(ids)
         start[own], count[own] = at + np.cumsum(n) - n, n
         flat.append(found)
         at += len(found)
@@ -188,7 +194,7 @@ def encode(docs: DataFrame, *, model: str, ids: bool = True, block_bytes: int =
         for nth, block in _blocks(batches, block_bytes):
             yield pa.RecordBatch.from_pydict({
                 "block": [nth], "sign": [block.sign()], "doc_ids": pa.array([block.ids], pa.list_(pa.int64())), "sizes": pa.array([block.sizes], pa.list_(pa.int32())),
-                "parts": [_numbers(block.parts(parts), np.uint16)], "sequence": [_numbers(block.sequence)],
+                "parts": [_numbers(block.parts(parts))], "sequence": [_numbers(block.sequence)],
             })
 
     documents = texts.mapInArrow(kept, "block long, sign long, doc_ids array<long>, sizes array<int>, parts binary, sequence binary")
@@ -202,7 +208,7 @@ def encode(docs: DataFrame, *, model: str, ids: bool = True, block_bytes: int =
         if left.num_rows != 1 or set(right["sign"].to_pylist()) - set(left["sign"].to_pylist()):
             raise RuntimeError("a block of documents came out otherwise when it was read again: write the documents first")
         block = left.to_pylist()[0]
-        flat, start, count = _gathered(right.select(["part", "counts", "ids"]).to_pandas(), _read_numbers(block["parts"], np.uint16))
+        flat, start, count = _gathered(right.select(["part", "counts", "ids"]).to_pandas(), _read_numbers(block["parts"]))
         sequence, at = _read_numbers(block["sequence"]), 0
         for doc_id, size in zip(block["doc_ids"], block["sizes"], strict=True):
             own = sequence[at : at + size]
