@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,30 +53,40 @@ def verify_chain(chain: DataFrame, scope: str, order: str, content: Column) -> D
     return rows.groupBy(scope).agg(F.count(F.lit(1)).alias("events"), bad.alias("_bad")).select(scope, "events", F.col("_bad.at").alias("first_bad"), F.col("_bad.code").alias("code"))
 
 
-def build_chain(events: DataFrame, scope: str, order: str, content: Column) -> DataFrame:
+def build_chain(events: DataFrame, scope: str, order: str, content: Column, *, after: tuple[str, str] | None = None) -> DataFrame:
     """``scope, order, previous_event_sha256, event_sha256`` of each event.
 
     A chain is sequential by nature; each scope is a stream of sorted batches, so that a long one
-    needs no memory in proportion to its length.
+    needs no memory in proportion to its length.  ``after`` names columns with the sequence and the hash of
+    the event that a scope's chain goes on from (null: none); then all columns of ``events`` stay, with ``sequence``.
     """
-    rows = events.select(F.col(scope).alias("scope"), F.col(order).cast("long").alias("seq"), content.alias("content"))
-    rows = rows.repartition("scope").sortWithinPartitions("scope", "seq")
+    place, head = after or (None, None)
+    rows = events.select(
+        F.col(scope).alias("scope"), F.col(order).alias("seq"), content.alias("content"),
+        (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), (F.col(head) if head else F.lit(None).cast("string")).alias("head"),
+        F.struct(*(c for c in events.columns if c not in (place, head))).alias("row") if after else F.lit(0).alias("row"),
+    )
+    rows = rows.repartition("scope").sortWithinPartitions("scope", "seq", "content")
+    # What a task's function sees of a row is its content; the rest passes by as Arrow columns.
+    kind = dict(rows.dtypes)
 
     def run(batches):
-        scope_now, last = None, GENESIS
+        started, scope_now, last, n = False, None, GENESIS, 0
         for batch in batches:
-            before, own = [], []
-            for s, c in zip(batch["scope"], batch["content"], strict=True):
-                if s != scope_now:
-                    scope_now, last = s, GENESIS
+            before, own, at = [], [], []
+            for s, c, p, h in zip(*(batch.column(k).to_pylist() for k in ("scope", "content", "place", "head")), strict=True):
+                if not started or s != scope_now:
+                    started, scope_now, last, n = True, s, h or GENESIS, p or 0
                 before.append(last)
-                last = hashlib.sha256(f"{c}|{last}".encode()).hexdigest()
+                last, n = hashlib.sha256(f"{c}|{last}".encode()).hexdigest(), n + 1
                 own.append(last)
-            yield pd.DataFrame({"scope": batch["scope"], "seq": batch["seq"], "previous_event_sha256": before, "event_sha256": own})
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("scope"), batch.column("seq"), batch.column("row"), pa.array(at, pa.int64()), pa.array(before, pa.string()), pa.array(own, pa.string())], ["scope", "seq", "row", "sequence", "previous_event_sha256", "event_sha256"])
 
-    kind = dict(events.dtypes)[scope]
-    made = rows.mapInPandas(run, f"scope {kind}, seq long, previous_event_sha256 string, event_sha256 string")
-    return made.withColumnsRenamed({"scope": scope, "seq": order})
+    made = rows.mapInArrow(run, f"scope {kind['scope']}, seq {kind['seq']}, row {kind['row']}, sequence long, previous_event_sha256 string, event_sha256 string")
+    if after:
+        return made.select("row.*", "sequence", "previous_event_sha256", "event_sha256")
+    return made.select(F.col("scope").alias(scope), F.col("seq").cast("long").alias(order), "previous_event_sha256", "event_sha256")
 
 
 def trace_checks(log: DataFrame, key: str, sequence: str, identity: str, version: str, first_kind: str, kind: str) -> DataFrame:

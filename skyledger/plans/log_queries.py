@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import hashing
 from ..operators import log as L
 from ..operators import memory as M
+from ..sources import chained
+from ..sources.scratch import folder, written
 from . import views as V
 from .registry import query
 
@@ -55,6 +57,26 @@ def build_chain(spark, d):
     return L.build_chain(chain_log(spark, d), "episode_id", "sequence", content())
 
 
+@query(f"WITH RECURSIVE {CHAIN}, n AS (SELECT episode_id, count(*) AS n FROM v_log GROUP BY 1) SELECT episode_id, sequence, p AS previous_event_sha256, h AS event_sha256, greatest(0, least(n, 8) - 3) AS refused FROM k JOIN n USING (episode_id)")
+def chained_append(spark, d):
+    """Three batches of one writer, a batch of another whose heads are stale, and a batch that comes twice."""
+    path, rows = folder(spark), chain_log(spark, d)
+
+    def send(batch, name, expected=None):
+        return chained.append(batch, path, scope="episode_id", order="n", content=content(), batch_id=name, expected=expected)
+
+    rows = rows.withColumnRenamed("sequence", "n")
+    send(rows.where("n <= 3"), "a")
+    seen = written(chained.heads(spark, path, "episode_id", "long"))
+    middle = rows.where("n BETWEEN 4 AND 8")
+    send(middle, "b", seen)
+    late = send(middle.withColumn("event_type", F.lit("late")), "other writer", seen)
+    send(middle, "b", seen)
+    send(rows.where("n > 8"), "c")
+    refused = late.where("code = 'stale_head'").select("episode_id", F.col("events").alias("refused"))
+    return chained.read(spark, path).join(refused, "episode_id", "left").select("episode_id", "sequence", "previous_event_sha256", "event_sha256", F.coalesce("refused", F.lit(0)).cast("long").alias("refused"))
+
+
 @query("SELECT episode_id, count(*) AS events, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 5::BIGINT END AS first_bad, CASE WHEN episode_id%3=0 AND count(*)>=5 THEN 'hash_mismatch' END AS code FROM v_log GROUP BY 1")
 def verify_chain(spark, d):
     """A changed event in each third scope is found at its place."""

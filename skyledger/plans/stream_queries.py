@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import folder
-from ..streaming.actions import action_verdicts, dedup_actions, episode_state
+from ..streaming.actions import action_verdicts, dedup_actions, episode_state, ingest_actions
 from .registry import query
 
 
@@ -47,3 +47,25 @@ def live_episode_state(spark, d):
     rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), kind.alias("event_type"), F.col("ts").alias("created_at"))
     states = _drain(spark, episode_state(rows))
     return states.groupBy("episode_id").agg(F.max("events").alias("events"), F.max("tool_calls").alias("tool_calls"), F.max("finished").alias("finished"))
+
+
+@query("""WITH r AS (SELECT user_id AS episode_id, event_id//3 AS client_action_id, event_type AS request, event_id, ts FROM events), f AS (SELECT episode_id, client_action_id, min(struct_pack(ts:=ts, request:=request)).request AS first FROM r GROUP BY 1,2)
+SELECT episode_id, client_action_id, first AS request, 'accepted' AS kept_in, 1::BIGINT AS n FROM f UNION ALL SELECT episode_id, client_action_id, request, 'conflicts', count(*) FROM r JOIN f USING (episode_id, client_action_id) WHERE request<>first GROUP BY 1,2,3""")
+def action_tables(spark, d):
+    """One stream to the table of accepted actions and the table of conflicting ones."""
+    out = folder(spark)
+    rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), F.expr("event_id div 3").alias("client_action_id"), F.col("event_type").alias("request"), F.col("ts").alias("created_at"), "event_id")
+    ingest_actions(rows, f"{out}/accepted", f"{out}/conflicts", f"{out}/checkpoint", horizon="1000 days").awaitTermination()
+    kept = [spark.read.parquet(f"{out}/{t}").groupBy("episode_id", "client_action_id", "request").agg(F.count(F.lit(1)).alias("n")).withColumn("kept_in", F.lit(t)) for t in ("accepted", "conflicts")]
+    return kept[0].unionByName(kept[1])
+
+
+@query("""WITH s AS (SELECT user_id AS episode_id, bool_or(event_type='signup') AS finished, max(epoch_ms(ts)) FILTER (WHERE event_type='click') AS started, max(epoch_ms(ts)) FILTER (WHERE event_type<>'click') AS closed FROM events GROUP BY 1), w AS (SELECT max(epoch_ms(ts))-600000 AS mark FROM events),
+o AS (SELECT *, NOT finished AND started IS NOT NULL AND (closed IS NULL OR started>closed) AS open FROM s) SELECT episode_id, CASE WHEN finished THEN 'finished' WHEN open AND started+90000<=mark THEN 'tool_interrupted' ELSE 'running' END AS status, open AND started+90000>mark AS still_open FROM o, w""")
+def episode_leases(spark, d):
+    """How each episode stands as the watermark ends: finished, running, or interrupted as a tool outlived its lease."""
+    kind = F.when(F.col("event_type") == "click", "tool_started").when(F.col("event_type") == "signup", "terminal").otherwise("tool_finished")
+    rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), kind.alias("event_type"), F.col("ts").alias("created_at"))
+    states = _drain(spark, episode_state(rows))
+    last = states.groupBy("episode_id").agg(F.max_by(F.struct("status", "open_since"), "version").alias("x"))
+    return last.select("episode_id", "x.status", F.col("x.open_since").isNotNull().alias("still_open"))

@@ -27,5 +27,5 @@ def report(rows: DataFrame, path: str) -> None:
 
 
 def append_events(rows: DataFrame, path: str, *, scope: str = "scope_id") -> None:
-    """Append events to a log, clustered by scope."""
+    """Append events to a log, clustered by scope; :mod:`chained` has logs with chains and expected heads."""
     rows.repartition(scope).sortWithinPartitions(scope).write.mode("append").parquet(path)
