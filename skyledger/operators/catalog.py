@@ -6,22 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import geo, paths, times
+from ..functions import geo, paths
+from . import ranges
 
-DAY = 86_400
+def in_windows(requests: DataFrame, scenes: DataFrame, start: str, end: str, *, anywhere: Column | None = None) -> DataFrame:
+    """Requests with the scenes acquired in their window ``start`` to ``end`` whose boxes meet theirs.
 
-
-def _days(start: Column, end: Column) -> Column:
-    """Numbers of the days that an interval meets."""
-    day = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / DAY)
-    return F.sequence(day(start), day(end))
-
-
-def in_windows(requests: DataFrame, scenes: DataFrame, start: str, end: str) -> DataFrame:
-    """Requests with the scenes acquired in their window ``start`` to ``end``, joined by day."""
-    asked = requests.withColumn("day", F.explode(_days(F.col(start), F.col(end))))
-    shot = scenes.withColumn("day", F.floor(F.unix_seconds(F.col("acquired").cast("timestamp")) / DAY))
-    return asked.join(shot, "day").where(times.within(F.col("acquired"), F.col(start), F.col(end))).drop("day")
+    Where ``anywhere`` is true the scene may lie outside the request's box.
+    """
+    far = {"west": -720.0, "south": -90.0, "east": 720.0, "north": 90.0}
+    area = {f"_{c}": F.col(f"q_{c}").cast("double") if anywhere is None else F.when(anywhere, F.lit(x)).otherwise(F.col(f"q_{c}")) for c, x in far.items()}
+    asked = requests.withColumns({**area, "_from": ranges.micros(F.col(start)), "_until": ranges.micros(F.col(end))})
+    shot = scenes.withColumn("_at", ranges.micros(F.col("acquired")))
+    axes = [("west", "east", "_west", "_east"), ("south", "north", "_south", "_north")]
+    return ranges.meeting(shot, asked, [(ranges.DEGREES, axes), (ranges.HOUR, [("_at", "_at", "_from", "_until")])]).drop("_at", "_from", "_until", *area)
 
 
 def search(assets: DataFrame, queries: DataFrame, *, page: int = 20) -> DataFrame:
@@ -31,8 +29,7 @@ def search(assets: DataFrame, queries: DataFrame, *, page: int = 20) -> DataFram
     ``offset``; assets have a box, ``acquired`` and ``cloud``.  Unknown cloud is no match.
     Gives ``query_id, item_id, position, matched_count, next_offset``.
     """
-    met = in_windows(queries, assets, "q_start", "q_end")
-    met = met.where(geo.intersects(geo.box(), geo.box("q_")) & F.coalesce(F.col("cloud") <= F.col("max_cloud"), F.lit(False)))
+    met = in_windows(queries, assets, "q_start", "q_end").where(F.coalesce(F.col("cloud") <= F.col("max_cloud"), F.lit(False)))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("item_id"))
     met = met.withColumns({"position": rank, "matched_count": F.count(F.lit(1)).over(W.partitionBy("query_id"))})
     met = met.where((F.col("position") > F.col("offset")) & (F.col("position") <= F.col("offset") + page))
@@ -41,11 +38,11 @@ def search(assets: DataFrame, queries: DataFrame, *, page: int = 20) -> DataFram
 
 
 def _candidates(requests: DataFrame, scenes: DataFrame, side: str) -> DataFrame:
-    """Scenes in the window of one side, with coverage and whether they are covered and clear."""
-    met = in_windows(requests, scenes, f"{side}_start", f"{side}_end")
-    met = met.withColumn("coverage", geo.coverage(geo.box(), geo.box("q_")))
-    met = met.withColumn("covered", F.col("coverage") >= F.col("min_coverage"))
-    return met.withColumn("clear", F.col("covered") & F.coalesce(F.col("cloud") <= F.col("max_cloud"), F.lit(False)))
+    """Scenes in the window of one side that cover enough, with coverage and whether they are clear."""
+    # No coverage is enough for a request that asks for none.
+    met = in_windows(requests, scenes, f"{side}_start", f"{side}_end", anywhere=F.col("min_coverage") <= 0)
+    met = met.withColumn("coverage", geo.coverage(geo.box(), geo.box("q_"))).where(F.col("coverage") >= F.col("min_coverage"))
+    return met.withColumn("clear", F.coalesce(F.col("cloud") <= F.col("max_cloud"), F.lit(False)))
 
 
 def select_pairs(requests: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -58,8 +55,9 @@ def select_pairs(requests: DataFrame, scenes: DataFrame) -> DataFrame:
     sides, flags = {}, requests.select("request_id")
     for side in ("before", "after"):
         met = _candidates(requests, scenes, side)
-        seen = met.groupBy("request_id").agg(F.count(F.lit(1)).alias(f"{side}_dated"), F.count_if("covered").alias(f"{side}_covered"), F.count_if("clear").alias(f"{side}_clear"))
-        flags = flags.join(seen, "request_id", "left")
+        dated = ranges.count_within(scenes, requests, "request_id", "acquired", f"{side}_start", f"{side}_end").withColumnRenamed("n", f"{side}_dated")
+        seen = met.groupBy("request_id").agg(F.count(F.lit(1)).alias(f"{side}_covered"), F.count_if("clear").alias(f"{side}_clear"))
+        flags = flags.join(dated, "request_id", "left").join(seen, "request_id", "left")
         # The least sum of clouds takes the least cloud of either side, so no other scene can be in the best pair
         # (the margin is for sums that round to one number).
         least = F.min("cloud").over(W.partitionBy("request_id", "platform", "instrument"))

@@ -8,6 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo, hashing, times
+from . import ranges
+
+#: A fixed limit: no page of a search begins behind this offset.
+LAST_OFFSET = 1000
 
 
 def snapshot(events: DataFrame, as_of: DataFrame) -> DataFrame:
@@ -151,27 +155,22 @@ def publish_batch(records: DataFrame, *, cap: int) -> DataFrame:
     return rows.withColumn("verdict", verdict).drop("_first", "_active")
 
 
-def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, cell: float = 10.0, days: int = 30) -> DataFrame:
-    """Records for many searches at once, joined by platform, stretches of time and coarse grid cells.
+def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20) -> DataFrame:
+    """Pages of records for many searches at once, joined by platform and by covers of boxes and of intervals.
 
     ``records``: ``memory_id, platform``, a box, ``available_at, expires_at``, ``start, end``;
     ``queries``: ``query_id, platform, as_of``, a box ``q_*`` and ``q_start, q_end``.  Where queries have
     them, ``q_instrument`` and ``q_object_type`` must be the record's (null: any), and with ``scope_id,
     snapshot_sequence`` a record counts only if it was published, and not yet invalidated, at that sequence
-    of its scope (records then have ``scope_id, published_at, invalidated_at``).
+    of its scope (records then have ``scope_id, published_at, invalidated_at``).  With ``offset`` a page of
+    ``limit`` starts there, and rows have ``next_offset``: null at the end, and past ``LAST_OFFSET``.
     """
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    stretch = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (86_400 * days))
-
-    def keyed(t: DataFrame, p: str, start: str, end: str) -> DataFrame:
-        t = t.where(F.col(start) <= F.col(end)).withColumn("ct", F.explode(F.sequence(stretch(F.col(start)), stretch(F.col(end)))))
-        return t.withColumn("cx", F.explode(span(f"{p}west", f"{p}east"))).withColumn("cy", F.explode(span(f"{p}south", f"{p}north")))
-
-    pinned = "snapshot_sequence" in queries.columns
-    met = keyed(records, "", "start", "end").join(keyed(queries, "q_", "q_start", "q_end"), ["platform", *(["scope_id"] if pinned else []), "ct", "cx", "cy"])
-    # Of all cells and stretches that both sides meet only the first counts.
-    first = (F.col("cx") == F.floor(F.greatest("west", "q_west") / cell)) & (F.col("cy") == F.floor(F.greatest("south", "q_south") / cell)) & (F.col("ct") == stretch(F.greatest("start", "q_start")))
-    met = met.where(first & geo.intersects(geo.box(), geo.box("q_")) & times.current(F.col("as_of"), F.col("available_at"), F.col("expires_at")) & times.overlap(F.col("start"), F.col("end"), F.col("q_start"), F.col("q_end")))
+    pinned, paged = "snapshot_sequence" in queries.columns, "offset" in queries.columns
+    held = records.withColumns({"_start": ranges.micros(F.col("start")), "_end": ranges.micros(F.col("end"))})
+    asked = queries.withColumns({"_from": ranges.micros(F.col("q_start")), "_until": ranges.micros(F.col("q_end"))})
+    box = [("west", "east", "q_west", "q_east"), ("south", "north", "q_south", "q_north")]
+    met = ranges.meeting(held, asked, [(ranges.DEGREES, box), (ranges.HOUR, [("_start", "_end", "_from", "_until")])], on=("platform", *(["scope_id"] if pinned else [])))
+    met = met.where(times.current(F.col("as_of"), F.col("available_at"), F.col("expires_at")))
     for c in ("instrument", "object_type"):
         if f"q_{c}" in queries.columns:
             met = met.where(F.col(f"q_{c}").isNull() | (F.col(c) == F.col(f"q_{c}")))
@@ -179,8 +178,13 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20, ce
         seen = F.col("snapshot_sequence")
         met = met.where((F.col("published_at") <= seen) & (F.col("invalidated_at").isNull() | (F.col("invalidated_at") > seen)))
     w = W.partitionBy("query_id")
-    met = met.withColumns({"position": F.row_number().over(w.orderBy("memory_id")), "matched_count": F.count(F.lit(1)).over(w)})
-    return met.where(F.col("position") <= limit).select("query_id", "memory_id", F.col("position").cast("long").alias("position"), "matched_count")
+    met = met.withColumns({"position": F.row_number().over(w.orderBy("memory_id")).cast("long"), "matched_count": F.count(F.lit(1)).over(w)})
+    shown = ["query_id", "memory_id", "position", "matched_count"]
+    if not paged:
+        return met.where(F.col("position") <= limit).select(*shown)
+    after = F.col("offset") + limit
+    following = F.when((after < F.col("matched_count")) & (after <= LAST_OFFSET), after)
+    return met.where((F.col("position") > F.col("offset")) & (F.col("position") <= after)).select(*shown, following.alias("next_offset"))
 
 
 def scan_costs(records: DataFrame, queries: DataFrame) -> DataFrame:

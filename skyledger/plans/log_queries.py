@@ -331,6 +331,16 @@ def memory_search(spark, d):
     return M.memory_search(records, queries, limit=10)
 
 
+@query(f"""WITH {PINNED}, p AS (SELECT *, (query_id%4)*3+CASE WHEN query_id%50=0 THEN 996 ELSE 0 END AS o FROM q), m AS (SELECT query_id, memory_id, o, row_number() OVER (PARTITION BY query_id ORDER BY memory_id) AS position, count(*) OVER (PARTITION BY query_id) AS matched_count FROM p JOIN r ON r.platform=p.platform
+ WHERE west<=w+0.3 AND west+2.0>=w AND south<=1.0 AND south+2.0>=0.5 AND t>=a AND t<x AND a<=t AND e>=t-INTERVAL 500 DAY) SELECT query_id, memory_id, position, matched_count, CASE WHEN o+3<matched_count AND o+3<=1000 THEN o+3 END AS next_offset FROM m WHERE position>o AND position<=o+3""")
+def memory_pages(spark, d):
+    """Pages of three, with the offset of the next; none at the end, and none behind the last offset."""
+    records, queries = pinned(spark, d)
+    k = F.col("query_id")
+    queries = queries.drop("scope_id", "snapshot_sequence", "q_instrument", "q_object_type").withColumn("offset", k % 4 * 3 + F.when(k % 50 == 0, 996).otherwise(0))
+    return M.memory_search(records.drop("scope_id"), queries, limit=3)
+
+
 CASES = """cs AS (SELECT item_id, acquired AS available_at, concat('summary of ',item_id) AS summary, west, east, platform, acquired, k.case_name, k.expected, CASE WHEN k.case_name='neighbour' THEN east+0.1 ELSE west END AS case_west, CASE WHEN k.case_name='neighbour' THEN 2*east-west+0.1 ELSE east END AS case_east,
  CASE WHEN k.case_name='sensor' THEN concat('other than ',platform) ELSE platform END AS case_platform, CASE WHEN k.case_name='date' THEN acquired+INTERVAL 400 DAY ELSE acquired END AS case_acquired, CASE WHEN k.case_name='expired' THEN acquired+INTERVAL 1 SECOND ELSE acquired+INTERVAL 300 DAY END AS case_expires_at,
  CASE WHEN k.case_name='conflict' THEN concat('not: summary of ',item_id) ELSE concat('summary of ',item_id) END AS case_summary FROM v_scenes CROSS JOIN (VALUES ('correct',true),('conflict',true),('neighbour',false),('expired',false),('date',false),('sensor',false)) k(case_name,expected))"""
