@@ -225,13 +225,11 @@ def pixels_in_zones(pixels: DataFrame, zones: DataFrame, *, cell: float = 4.0) -
 
 
 def zonal_stats(pixels: DataFrame, zones: DataFrame, *, cell: float = 4.0, digits: int = 6) -> DataFrame:
-    """Statistics of each raster in each zone; zones without a pixel centre keep a row of nulls.
+    """Statistics of scattered points ``raster_id, x, y, value, valid`` in each zone; zones without one keep a row of nulls.
 
-    Rasters of one grid share their pixel centres, so zones are tested once a centre, however many
-    rasters there are; pixels then join by the centre.
+    Rasters on a grid have :func:`tiles.zonal_stats`, which tests no pixel.
     """
-    centres = pixels.select("x", "y").distinct()
-    met = pixels.join(pixels_in_zones(centres, zones, cell=cell), ["x", "y"])
+    met = pixels_in_zones(pixels, zones, cell=cell)
     v = F.when(F.col("valid"), F.col("value"))
     stats = met.groupBy("zone_id", "raster_id").agg(
         F.count(F.lit(1)).alias("zone_pixels"),

@@ -8,6 +8,7 @@ from ..functions import geo
 from ..functions import raster as R
 from ..operators import confusion as C
 from ..operators import raster as P
+from ..operators import tiles as T
 from . import views as V
 from .registry import query
 
@@ -136,8 +137,19 @@ SELECT w.raster_id, w.row_idx, w.col_idx, CASE WHEN coalesce(s.mask AND s.scl<>0
 FROM w LEFT JOIN v_pixels s ON s.raster_id=w.raster_id AND s.row_idx=w.sr AND s.col_idx=w.sc""")
 def nearest_resample(spark, d):
     """20 m classes on a shifted 10 m grid."""
-    source = V.pixels(spark, d).select(*CELL, F.col("scl").alias("code"), "mask")
-    return P.resample_nearest(source, V.pixels(spark, d), src=(20.0, 0.0, -20.0, 0.0), dst=(10.0, 5.0, -10.0, -5.0))
+    tiles = P.to_tiles(V.pixels(spark, d), "scl", size=TILE)
+    out = whole(tiles, T.resample(tiles, **SHIFTED, method="nearest"))
+    return out.select(*CELL, F.col("value").cast("long").alias("code"), "valid")
+
+
+TILE = 8
+SHIFTED = {"src": (20.0, 0.0, -20.0, 0.0), "dst": (10.0, 5.0, -10.0, -5.0), "shape": (20, 20), "target": (20, 20), "size": TILE}
+
+
+def whole(source, resampled):
+    """Pixels of resampled tiles; of a raster that ends early, as many as its source has."""
+    sizes = source.groupBy("raster_id").agg(F.sum(F.size("values")).alias("n"))
+    return T.from_tiles(resampled, 20, size=TILE).join(sizes, "raster_id").where("row_idx * 20 + col_idx < n").drop("n")
 
 
 @query("""WITH t AS (SELECT raster_id, row_idx, col_idx, (5+10*(col_idx+0.5))/20.0 AS x, (5+10*(row_idx+0.5))/20.0 AS y FROM v_pixels),
@@ -150,8 +162,8 @@ g AS (SELECT n.raster_id, n.row_idx, n.col_idx, any_value(x BETWEEN 0 AND 20 AND
 SELECT raster_id, row_idx, col_idx, CASE WHEN within AND ws>=1-1e-6 THEN round((vs/ws+0.1)*160000) END AS value, within AND ws>=1-1e-6 AS valid FROM g""")
 def bilinear_resample(spark, d):
     """Four weighted neighbours, clamped at the edges."""
-    source = V.pixels(spark, d).select(*CELL, R.physical(F.col("nir_dn")).alias("value"), F.col("mask").alias("valid"))
-    out = P.resample_bilinear(source, V.pixels(spark, d), src=(20.0, 0.0, -20.0, 0.0), dst=(10.0, 5.0, -10.0, -5.0), width=20, height=20)
+    tiles = P.to_tiles(V.pixels(spark, d).withColumn("value", R.physical(F.col("nir_dn"))), "value", size=TILE)
+    out = whole(tiles, T.resample(tiles, **SHIFTED))
     # Values are sixteenths of a stored unit, so this is a whole number.
     return out.withColumn("value", F.round((F.col("value") + 0.1) * 160000))
 
@@ -274,8 +286,20 @@ def pixels_in_zones(spark, d):
  FROM i JOIN ndvi USING (raster_id,row_idx,col_idx) GROUP BY 1,2)
 SELECT z.zone_id, raster_id, zone_pixels, valid_pixels, invalid_pixels, valid_fraction, min_value, max_value, mean_value, CASE WHEN raster_id IS NULL THEN 'no_pixel_centres' END AS code FROM (SELECT DISTINCT zone_id FROM v_zone_vertices) z LEFT JOIN s USING (zone_id)""")
 def zonal_stats(spark, d):
-    """Statistics by raster and zone."""
-    return P.zonal_stats(points(spark, d), V.zones(spark, d))
+    """Statistics by raster and zone, from tiles and the runs of zones on the one grid."""
+    tiles = P.to_tiles(ndvi(spark, d, True).withColumn("mask", F.col("valid")), "value", size=8).withColumn("grid_id", F.lit(1))
+    return T.zonal_stats(tiles, V.zones(spark, d), grid(spark), size=8)
+
+
+def grid(spark):
+    """The grid that all rasters here share."""
+    return spark.range(1).select(F.lit(1).alias("grid_id"), *(F.lit(v).alias(k) for k, v in {"a": 1.0, "c": 0.0, "e": 1.0, "f": 0.0}.items()), F.lit(20).alias("width"), F.lit(20).alias("height"))
+
+
+@query(f"WITH {IN_ZONE}, held AS (SELECT DISTINCT zone_id, row_idx, col_idx FROM i), islands AS (SELECT *, col_idx-row_number() OVER (PARTITION BY zone_id, row_idx ORDER BY col_idx) AS k FROM held) SELECT zone_id, row_idx, min(col_idx) AS first, max(col_idx) AS last FROM islands GROUP BY zone_id, row_idx, k")
+def zone_runs(spark, d):
+    """A scanline fill of each zone on the grid."""
+    return T.zone_runs(V.zones(spark, d), grid(spark)).drop("grid_id", "width")
 
 
 @query("""WITH c AS (SELECT raster_id, count(*) FILTER (WHERE mask AND NOT manual IN (1,2) AND NOT scl IN (8,9,10)) AS tn, count(*) FILTER (WHERE mask AND NOT manual IN (1,2) AND scl IN (8,9,10)) AS fp,
@@ -393,6 +417,22 @@ def round_robin_windows(spark, d):
     return P.round_robin(P.tile_grid(sizes(spark, d)), 500).select("raster_id", "tile_index")
 
 
+@query("""WITH s AS (SELECT raster_id, max(row_idx)+1 AS height FROM v_pixels GROUP BY 1), a AS (SELECT raster_id, CASE WHEN 20*height*100000>20000000 THEN 'window' ELSE 'whole' END AS admission FROM s), w AS (SELECT p.raster_id, row_idx, col_idx, red_dn, (row_idx//8)*3+col_idx//8 AS tile_index FROM v_pixels p JOIN a USING (raster_id) WHERE admission='window' AND mask),
+k AS (SELECT raster_id, tile_index FROM (SELECT DISTINCT raster_id, tile_index FROM (SELECT raster_id, unnest(range(((height+7)//8)*3)) AS tile_index FROM s JOIN a USING (raster_id) WHERE admission='window')) ORDER BY tile_index, raster_id LIMIT 60)
+SELECT w.raster_id, row_idx, col_idx, red_dn::DOUBLE+d.v AS red_dn, d.side FROM w JOIN k USING (raster_id, tile_index), (VALUES (0,'missing'),(1,'unexpected')) d(v,side) WHERE raster_id%5=0 AND row_idx=3 AND col_idx=7""")
+def window_admission(spark, d):
+    """Large rasters are cut to windows, one of each in turn; each window is checked by hashes, then by pixel: one is damaged in each fifth raster."""
+    tiles = P.to_tiles(V.pixels(spark, d), "red_dn", size=TILE).withColumn("values", F.col("values").cast("array<double>"))
+    rasters = V.pixels(spark, d).groupBy("raster_id").agg(F.lit(20).alias("width"), (F.max("row_idx") + 1).alias("height"))
+    # A pixel here stands for a hundred thousand.
+    cut = rasters.where(P.admission(F.col("width"), F.col("height") * 100_000, F.lit(0)) == "window")
+    chosen = P.round_robin(P.tile_grid(cut, tile=TILE), 60).select("raster_id", F.expr(f"row_off div {TILE}").alias("tile_row"), F.expr(f"col_off div {TILE}").alias("tile_col"))
+    source = tiles.join(chosen, ["raster_id", "tile_row", "tile_col"], "left_semi")
+    hit = (F.col("raster_id") % 5 == 0) & (F.col("tile_row") == 0) & (F.col("tile_col") == 0)
+    damaged = source.withColumn("values", F.when(hit, F.transform("values", lambda v, i: F.when(i == 3 * TILE + 7, v + 1).otherwise(v))).otherwise(F.col("values")))
+    return T.verify_windows(source, damaged, 20, size=TILE, value="red_dn")
+
+
 @query("SELECT raster_id, row_idx, col_idx, red_dn, 'missing' AS side FROM v_pixels WHERE raster_id%5=0 AND col_idx=7")
 def verify_windows(spark, d):
     """Windows that lost a column of some rasters are found by set difference."""

@@ -1,12 +1,16 @@
 """Hand-computed rasters and properties."""
 
+import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from skyledger.functions import geo
 from skyledger.operators import confusion as C
+from skyledger.operators import ranges
 from skyledger.operators import raster as P
+from skyledger.operators import tiles as T
 
 CELL = ["raster_id", "row_idx", "col_idx"]
 
@@ -161,3 +165,83 @@ def test_no_nested_loops_and_no_python(spark, data, name):
 
     plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_runs_against_the_ring_test(spark):
+    """Every pixel centre of random and of touching rings, on grids that go down and up."""
+    r = random.Random(8)
+    rings = [[(0.5, 0.5), (6.5, 0.5), (6.5, 5.5), (0.5, 5.5)], [(1.0, 1.0), (9.0, 4.0), (3.0, 9.5)], [(2.5, 2.5), (5.5, 2.5), (5.5, 4.5), (9.5, 4.5), (9.5, 8.5), (2.5, 8.5)], [(-5.0, -5.0), (-1.0, -5.0), (-3.0, -2.0)], [(4.5, -3.0), (7.5, 3.5), (4.5, 20.0), (1.5, 3.5)]]
+    for _ in range(40):
+        corners = sorted(((r.uniform(-2, 14), r.uniform(-2, 12)) for _ in range(r.randint(3, 9))), key=lambda p: math.atan2(p[1] - 5, p[0] - 6))
+        rings.append(corners)
+    zones = spark.createDataFrame([(i, [*ring, ring[0]]) for i, ring in enumerate(rings)], "zone_id long, ring array<struct<x:double,y:double>>")
+    grids = spark.createDataFrame([(1, 1.0, 0.0, 1.0, 0.0, 12, 10), (2, 0.5, 1.0, -0.5, 9.0, 15, 16)], "grid_id long, a double, c double, e double, f double, width long, height long")
+    found = T.zone_runs(zones, grids)
+    rows = found.collect()
+    assert all(0 <= x.first <= x.last for x in rows) and len({(x.grid_id, x.zone_id, x.row_idx, x.first) for x in rows}) == len(rows)
+    cells = [(g, row, col, c + a * (col + 0.5), f + e * (row + 0.5)) for g, a, c, e, f, w, h in grids.collect() for row in range(h) for col in range(w)]
+    points = spark.createDataFrame(cells, "grid_id long, row_idx long, col_idx long, x double, y double")
+    want = {tuple(x) for x in P.pixels_in_zones(points, zones).select("grid_id", "zone_id", "row_idx", "col_idx").collect()}
+    filled = {(x.grid_id, x.zone_id, x.row_idx, col) for x in rows for col in range(x.first, x.last + 1)}
+    assert filled == want and len(want) > 500
+
+
+def tiled(pixels, value, size):
+    return P.to_tiles(pixels, value, size=size)
+
+
+@pytest.mark.parametrize(("src", "dst", "target", "size"), [((20.0, 0.0, -20.0, 0.0), (10.0, 5.0, -10.0, -5.0), (26, 22), 4), ((10.0, 0.0, -10.0, 0.0), (25.0, -40.0, -25.0, 30.0), (9, 8), 5), ((10.0, 0.0, -10.0, 0.0), (10.0, 0.0, -10.0, 0.0), (13, 11), 4)])
+def test_tiles_resample_as_pixels(spark, src, dst, target, size):
+    """Tiles with a halo give what joins of pixels give, at edges, holes and outside."""
+    r = random.Random(2)
+    cells = [(k, row, col, float(r.randrange(9)), r.random() < 0.9) for k in (1, 2) for row in range(11) for col in range(13)]
+    pixels = spark.createDataFrame(cells, "raster_id long, row_idx long, col_idx long, value double, mask boolean")
+    wanted = spark.createDataFrame([(k, row, col) for k in (1, 2) for row in range(target[1]) for col in range(target[0])], "raster_id long, row_idx long, col_idx long")
+    tiles = tiled(pixels, "value", size)
+    args = {"src": src, "dst": dst, "shape": (13, 11), "target": target, "size": size}
+    smooth = P.resample_bilinear(pixels.withColumnRenamed("mask", "valid"), wanted, src=src, dst=dst, width=13, height=11)
+    near = P.resample_nearest(pixels.withColumnRenamed("value", "code"), wanted, src=src, dst=dst)
+    for made, right, column in ((T.resample(tiles, **args), smooth, "value"), (T.resample(tiles, **args, method="nearest"), near, "code")):
+        one = {(x.raster_id, x.row_idx, x.col_idx): (x.value, x.valid) for x in T.from_tiles(made, target[0], size=size).collect()}
+        two = {(x.raster_id, x.row_idx, x.col_idx): (x[column], x.valid) for x in right.collect()}
+        assert one.keys() == two.keys() and all(one[k][1] == two[k][1] and one[k][0] == pytest.approx(two[k][0], abs=1e-6) for k in two)
+
+
+def test_window_hashes(spark):
+    cells = [(k, row, col, float(row * 7 + col), (row + col) % 5 > 0) for k in range(6) for row in range(9) for col in range(10)]
+    pixels = spark.createDataFrame(cells, "raster_id long, row_idx long, col_idx long, value double, mask boolean")
+    whole = tiled(pixels, "value", 4)
+    assert T.differing_tiles(whole, whole).count() == 0
+    bad = pixels.withColumn("value", F.when((F.col("raster_id") == 3) & (F.col("row_idx") == 5) & (F.col("col_idx") == 9), -1.0).otherwise(F.col("value"))).where("NOT (raster_id = 4 AND row_idx >= 8)")
+    windows = tiled(bad, "value", 4)
+    assert sorted(tuple(x) for x in T.differing_tiles(whole, windows).collect()) == [(3, 1, 2), (4, 2, 0), (4, 2, 1), (4, 2, 2)]
+    found = {(x.raster_id, x.row_idx, x.col_idx, x.value, x.side) for x in T.verify_windows(whole, windows, 10, size=4).collect()}
+    assert found == {(3, 5, 9, 44.0, "missing"), (3, 5, 9, -1.0, "unexpected")} | {(4, 8, col, float(56 + col), "missing") for col in range(10) if (8 + col) % 5}
+
+
+def test_meeting_against_all_pairs(spark):
+    """Boxes and intervals of every size, points, and ends that only touch."""
+    r = random.Random(1)
+
+    def side(n, kind):
+        out = []
+        for i in range(n):
+            w, h, t = (r.choice([0, 0.01, 0.5, 3, 40, 200]) * r.random() for _ in range(3))
+            x, y, s = r.choice([r.uniform(-180, 170), r.randrange(-5, 5)]), r.uniform(-80, 80), r.choice([0, r.randrange(0, 10**13)])
+            out.append((i, x, x + w, y, y + h, s, s + int(t * 1e11), r.randrange(2)))
+        return [*out, (n, 0.0, -1.0, 0.0, 1.0, 0, 1, 0), (n + 1, None, 1.0, 0.0, 1.0, 0, 1, 0)], spark.createDataFrame(out + [(n, 0.0, -1.0, 0.0, 1.0, 0, 1, 0), (n + 1, None, 1.0, 0.0, 1.0, 0, 1, 0)], ", ".join(f"{c} {k}" for c, k in zip([f"{kind}{c}" for c in ("id", "x0", "x1", "y0", "y1", "t0", "t1")] + ["p"], ["long", *["double"] * 4, *["long"] * 3], strict=True)))
+
+    (rows_a, a), (rows_b, b) = side(150, "a"), side(160, "b")
+    met = ranges.meeting(a, b, [(ranges.DEGREES, [("ax0", "ax1", "bx0", "bx1"), ("ay0", "ay1", "by0", "by1")]), (ranges.HOUR, [("at0", "at1", "bt0", "bt1")])], on=("p",))
+    ok = lambda v: v[1] is not None and v[1] <= v[2]
+    want = sorted((u[0], v[0]) for u in rows_a for v in rows_b if ok(u) and ok(v) and u[7] == v[7] and all(u[k] <= v[k + 1] and v[k] <= u[k + 1] for k in (1, 3, 5)))
+    assert sorted((x.aid, x.bid) for x in met.select("aid", "bid").collect()) == want and len(want) > 50
+
+
+def test_counts_within(spark):
+    r = random.Random(4)
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda: start + datetime.timedelta(minutes=r.randrange(0, 600))
+    points, spans = [(at(),) for _ in range(200)], [(i, at(), at()) for i in range(100)]
+    found = {x.k: x.n for x in ranges.count_within(spark.createDataFrame([*points, (None,)], "at timestamp_ntz"), spark.createDataFrame(spans, "k long, a timestamp_ntz, b timestamp_ntz"), "k", "at", "a", "b").collect()}
+    assert found == {i: sum(a <= p <= b for (p,) in points) for i, a, b in spans if a <= b}
