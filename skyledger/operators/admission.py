@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -159,6 +161,63 @@ def embedded_images(rows: DataFrame, column: str, key: str, *, most: int = 16) -
     return wide.select(key, "position", paths.image_kind(F.col("image.bytes")).alias("kind"), F.sha2("image.bytes", 256).alias("sha256"), code.alias("code"))
 
 
+#: Fixed limits of embedded images: how deep they may lie, how many there may be, bytes of one.
+IMAGE_DEPTH, IMAGES, IMAGE_BYTES = 3, 16, 128 << 20
+
+
+def nested_images(rows: DataFrame, column: str, key: str, *, depth: int = IMAGE_DEPTH, most: int = IMAGES, most_bytes: int = IMAGE_BYTES) -> DataFrame:
+    """``key, code, images`` of a VARIANT column with images nested in lists and in objects with ``bytes``.
+
+    The walk goes down a level at a time, so plans are as deep as the limit.  ``code`` is the first failure in the order of a
+    reader that goes through lists item by item (null: none): ``image_nesting_limit``, ``image_sequence_limit`` (a list of more
+    than ``most`` items, or with more images than that so far after an item), ``external_image_reference_not_allowed`` (an object without bytes:
+    its path is never followed), ``missing_embedded_image``, ``image_size_limit``.  ``images`` has ``path, kind, sha256`` in order, and is
+    empty after a failure.  ``key`` is unique; a null value is a missing image.
+    """
+    place = lambda i: F.lpad(i.cast("string"), 6, "0")
+    # Made once: a filter isn't moved before an explode, so what it tests isn't computed again.
+    once = lambda c: F.explode(F.array(c))
+    level = rows.select(key, F.lit("").alias("path"), once(F.col(column)).alias("v"))
+    leaves = []
+    for at in range(depth + 2):
+        kind = F.regexp_extract(F.coalesce(F.schema_of_variant("v"), F.lit("VOID")), "^[A-Z]+", 0)
+        level = level.withColumn("kind", kind)
+        if at > depth:
+            leaves.append(level.select(key, "path", F.lit("image_nesting_limit").alias("code"), F.lit(None).cast("binary").alias("bytes")))
+            break
+        items = F.when(F.col("kind") == "ARRAY", F.expr("try_variant_get(v, '$', 'array<variant>')"))
+        held = F.when(F.col("kind") == "OBJECT", F.expr("try_variant_get(v, '$.bytes', 'variant')"))
+        binary = F.when(F.col("kind") == "BINARY", F.expr("try_variant_get(v, '$', 'binary')"))
+        level = level.select(key, "path", once(F.struct("kind", items.alias("items"), held.alias("held"), binary.alias("bytes"))).alias("x")).select(key, "path", "x.*")
+        empty = F.col("held").isNull() | F.is_variant_null("held")
+        code = (
+            F.when((F.col("kind") == "ARRAY") & (F.size("items") > most), "image_sequence_limit")
+            .when((F.col("kind") == "OBJECT") & empty, "external_image_reference_not_allowed")
+            .when(F.col("kind").isin("ARRAY", "OBJECT"), "")
+            .when(F.coalesce(F.octet_length("bytes"), F.lit(0)) == 0, "missing_embedded_image")
+            .when(F.octet_length("bytes") > most_bytes, "image_size_limit")
+        )
+        level = level.withColumn("code", code)
+        leaves.append(level.where("code IS NULL OR code <> ''").select(key, "path", "code", "bytes"))
+        inner = F.when(F.col("kind") == "ARRAY", F.col("items")).otherwise(F.array("held"))
+        level = level.where("code = ''").select(key, "path", F.posexplode(inner).alias("i", "v")).select(key, F.concat("path", place(F.col("i")), F.lit("/")).alias("path"), "v")
+    met = written(reduce(DataFrame.unionByName, leaves).select(key, "path", "code", paths.image_kind(F.col("bytes")).alias("kind"), F.sha2("bytes", 256).alias("sha256")))
+    # After an item of a list there are more images than allowed: a failure behind all that the item holds.
+    over = []
+    for k in range(depth):
+        item = met.where(F.col("code").isNull() & (F.length("path") > 7 * k)).groupBy(key, F.substring("path", 1, 7 * k).alias("list"), F.substring("path", 7 * k + 1, 6).alias("item")).agg(F.count(F.lit(1)).alias("n"))
+        so_far = F.sum("n").over(W.partitionBy(key, "list").orderBy("item"))
+        over.append(item.withColumn("sum", so_far).where(F.col("sum") > most).select(key, F.concat("list", "item", F.lit("~")).alias("path"), F.lit("image_sequence_limit").alias("code")))
+    none = F.lit(None).cast("string")
+    met = reduce(DataFrame.unionByName, over).withColumns({"kind": none, "sha256": none}).unionByName(met)
+    failed = F.min(F.when(F.col("code").isNotNull(), F.struct("path", "code")))
+    images = F.array_sort(F.collect_list(F.when(F.col("code").isNull(), F.struct("path", "kind", "sha256"))))
+    out = met.groupBy(key).agg(failed["code"].alias("code"), images.alias("images"))
+    # An empty list has no node of its own.
+    out = rows.select(key).join(out, key, "left")
+    return out.select(key, "code", F.when(F.col("code").isNull() & F.col("images").isNotNull(), F.col("images")).otherwise(F.array().cast("array<struct<path:string,kind:string,sha256:string>>")).alias("images"))
+
+
 def jpeg_size(content: bytes | None) -> tuple[int, int, int] | None:
     """Width, height and channels from the frame header of a JPEG; None if there is none."""
     if not content or content[:2] != b"\xff\xd8":
@@ -197,21 +256,54 @@ def match_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("unique_match", F.col("matches") == 1)
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select("child", F.col("parent").alias("ancestor")).where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
+
+
+def _joined(one: DataFrame, two: DataFrame, depth: Column | None = None) -> DataFrame:
+    """Steps of ``one`` and then of ``two``."""
+    on = two.select(F.col("child").alias("step"), F.col("ancestor").alias("next"), *(["depth"] if depth is not None else []))
+    return one.join(on, F.col("ancestor") == F.col("step")).select("child", F.col("next").alias("ancestor"), *([depth.alias("depth")] if depth is not None else []))
+
+
 def lineage_closure(edges: DataFrame) -> DataFrame:
     """All ancestors of every node in ``edges(child, parent)``, with the least depth.
 
-    One round a generation: the newest ancestors step to their parents, and pairs known before are
-    dropped, so ancestors met on several ways go on once and a cycle ends.  Each round is written.
+    Jumps of 1, 2, 4 ... steps: a way of up to twice as many steps as known so far is a jump and a way that is known.  So a depth of
+    ``d`` takes about ``log2(d)`` rounds, each written, and a pair is made once for each jump that leads to it.  A round
+    without a new pair ends the search, also in cycles: where a way is longer than all known ones, so is one by a single step.
+    """
+    jumps = _steps(edges)
+    known, far = written(jumps.withColumn("depth", F.lit(1).cast("long"))), 1
+    count = known.count()
+    while True:
+        more = _joined(jumps, known, F.col("depth") + far).unionByName(jumps.withColumn("depth", F.lit(far).cast("long")))
+        known = written(known.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
+        before, count = count, known.count()
+        if far > 1 and count == before:
+            return known
+        jumps, far = written(_joined(jumps, jumps).distinct()), 2 * far
+
+
+def lineage_roots(edges: DataFrame) -> DataFrame:
+    """``node, root, is_root``: the inputs without a parent that every node comes from; a root has a row with itself.
+
+    Pointer doubling: a node points to where 1, 2, 4 ... steps lead it, and a root to itself.  Only ends of ways are kept, so a
+    chain of any length has a row a node in each of its ``log2`` rounds.  Nodes that only a cycle leads to have no row.
     """
-    steps = edges.select(F.col("child").alias("step"), F.col("parent").alias("next")).where("step IS NOT NULL AND next IS NOT NULL").distinct()
-    newest = written(steps.select(F.col("step").alias("child"), F.col("next").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
-    known, depth = newest, 1
-    while not newest.isEmpty():
-        depth += 1
-        up = newest.join(steps, F.col("ancestor") == F.col("step")).select("child", F.col("next").alias("ancestor")).distinct()
-        newest = written(up.join(known, ["child", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
-        known = known.unionByName(newest)
-    return known
+    steps = _steps(edges)
+    roots = written(steps.select(F.col("ancestor").alias("child")).join(steps.select("child"), "child", "left_anti").distinct().withColumn("ancestor", F.col("child")))
+    pointers = written(steps.unionByName(roots))
+    nodes = pointers.select("child").distinct().count()
+    for _ in range(max(1, nodes.bit_length())):
+        open_ = pointers.join(roots.select(F.col("child").alias("root")), F.col("ancestor") == F.col("root"), "left_anti")
+        if open_.isEmpty():
+            break
+        # Ends that are roots stay; the others go on.
+        done = pointers.join(roots.select(F.col("child").alias("root")), F.col("ancestor") == F.col("root"), "left_semi")
+        pointers = written(done.unionByName(_joined(open_, pointers)).distinct())
+    ends = pointers.join(roots.select(F.col("child").alias("root")), F.col("ancestor") == F.col("root"), "left_semi")
+    return ends.select(F.col("child").alias("node"), F.col("ancestor").alias("root"), (F.col("child") == F.col("ancestor")).alias("is_root"))
 
 
 def grounding_rows(rows: DataFrame, *, key: str = "question_id") -> DataFrame:
@@ -222,17 +314,17 @@ def grounding_rows(rows: DataFrame, *, key: str = "question_id") -> DataFrame:
     declared, and question and content not seen before (in key order).
     """
     sized = rows.join(image_sizes(rows, key), key).withColumn("content_sha", F.sha2("content", 256))
-    first_question = F.row_number().over(W.partitionBy("question").orderBy(key))
-    first_content = F.row_number().over(W.partitionBy("content_sha").orderBy(key))
-    sized = sized.withColumns({"_q": first_question, "_c": first_content})
     code = (
-        F.when(~geo.valid_unit_box(geo.box()), "invalid_box")
+        F.when(~F.coalesce(geo.valid_unit_box(geo.box()), F.lit(False)), "invalid_box")
         .when(F.coalesce(F.trim("question"), F.lit("")) == "", "empty_question")
         .when(F.col("width").isNull() | (F.col("width") != F.col("image_width")) | (F.col("height") != F.col("image_height")), "size_mismatch")
-        .when(F.col("_q") > 1, "repeated_question")
-        .when(F.col("_c") > 1, "repeated_image")
     )
-    return sized.select(key, code.alias("code"))
+    sized = sized.withColumn("_code", code)
+    # Of a question or a content the first row counts, whether it is fit or not; blank questions are refused before.
+    first = lambda t, column, name: t.groupBy(column).agg(F.min(key).alias(name))
+    sized = sized.join(first(sized.where(F.trim("question") != ""), "question", "_q"), "question", "left").join(first(sized, "content_sha", "_c"), "content_sha", "left")
+    repeated = F.when(F.col(key) > F.col("_q"), "repeated_question").when(F.col(key) > F.col("_c"), "repeated_image")
+    return sized.select(key, F.coalesce("_code", repeated).alias("code"))
 
 
 def associated(events: DataFrame, artifacts: DataFrame, keys: tuple[str, ...] = ("episode_id", "artifact_id")) -> DataFrame:

@@ -186,7 +186,9 @@ def result_manifest(expected: DataFrame, reports: DataFrame, *, most_tokens: int
     ``expected``: ``sample_id, task_id, inputs`` (array); ``reports``: ``sample_id, task_id, inputs,
     terminal, actions, tool_runs, rendered, tokens, reward``.
     """
-    n = reports.groupBy("sample_id").agg(F.count(F.lit(1)).alias("reports"), *(F.first(c).alias(c) for c in ("task_id", "inputs", "terminal", "actions", "tool_runs", "rendered", "tokens", "reward")))
+    # Of a sample reported twice the whole of one report, the least, is judged.
+    least = F.min(F.struct("task_id", "inputs", "terminal", "actions", "tool_runs", "rendered", "tokens", "reward"))
+    n = reports.groupBy("sample_id").agg(F.count(F.lit(1)).alias("reports"), least.alias("x")).select("sample_id", "reports", "x.*")
     want = expected.select("sample_id", F.col("task_id").alias("want_task"), F.array_sort("inputs").alias("want_inputs"))
     rows = want.join(n, "sample_id", "full_outer")
     checks = {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,7 +49,7 @@ def authorize(requests: DataFrame, grants: DataFrame) -> DataFrame:
 LEAST_TTL, WGS84 = 60, ("EPSG:4326", "OGC:CRS84")
 
 
-def build_records(candidates: DataFrame, policies: DataFrame) -> DataFrame:
+def build_records(candidates: DataFrame, policies: DataFrame, *, stored: bool = False) -> DataFrame:
     """``candidate_id, code, memory_id, provenance_sha256, available_at, expires_at``: records of evidence, or the first rule against them.
 
     ``candidates``: ``candidate_id, policy_id, granted`` (by :func:`authorize`), ``episode_status,
@@ -85,12 +85,39 @@ def build_records(candidates: DataFrame, policies: DataFrame) -> DataFrame:
     )
     code = F.coalesce(*(F.when(broken, F.lit(name)) for name, broken in rules))
     rows = rows.withColumn("code", code)
-    provenance = hashing.digest(*(F.col(c) for c in ("task_id", "task_version", "manifest_sha", "evidence_id", "source_id", "source_sha")))
-    rows = rows.withColumn("provenance_sha256", provenance)
-    body = ("scope_id", "policy_id", "object_type", "summary", *geo.SIDES, "start", "end", "platform", "instrument", "updated_at", "expires_at", "provenance_sha256")
-    memory = F.concat(F.lit("mem-"), hashing.digest(*(F.col(c) for c in body)))
+    rows = rows.withColumn("provenance_sha256", hashing.digest(*map(F.col, PROVENANCE)))
     good = F.col("code").isNull()
-    return rows.select("candidate_id", "code", *(F.when(good, v).alias(n) for n, v in (("memory_id", memory), ("provenance_sha256", F.col("provenance_sha256")), ("available_at", F.col("updated_at")), ("expires_at", F.col("expires_at")))))
+    made = [(c, F.col(c)) for c in BODY] if stored else [("provenance_sha256", F.col("provenance_sha256")), ("available_at", F.col("updated_at")), ("expires_at", F.col("expires_at"))]
+    return rows.select("candidate_id", "code", *(F.when(good, v).alias(n) for n, v in (("memory_id", _memory_id()), *made)), *(["evidence_id"] if stored else []))
+
+
+#: What a record's provenance and its id are hashes of, in this order.
+PROVENANCE = ("task_id", "task_version", "manifest_sha", "evidence_id", "source_id", "source_sha")
+BODY = ("scope_id", "policy_id", "object_type", "summary", *geo.SIDES, "start", "end", "platform", "instrument", "updated_at", "expires_at", "provenance_sha256")
+
+
+def _memory_id() -> Column:
+    return F.concat(F.lit("mem-"), hashing.digest(*map(F.col, BODY)))
+
+
+def verify_records(stored: DataFrame, sources: DataFrame) -> DataFrame:
+    """``memory_id, code`` of stored records against what their sources and their own columns give (null: sound).
+
+    ``stored``: ``memory_id, evidence_id`` and the columns of ``BODY``; ``sources``: the columns of ``PROVENANCE``, by ``evidence_id``.
+    The provenance is hashed anew from the joined sources, the id from the stored record: ``missing_source``,
+    ``ambiguous_source`` (two that differ), ``provenance_mismatch``, ``id_mismatch``, ``repeated_id``, the first of them.
+    """
+    known = sources.select("evidence_id", hashing.digest(*map(F.col, PROVENANCE)).alias("_p")).groupBy("evidence_id").agg(F.min("_p").alias("_p"), F.max("_p").alias("_q"))
+    times = stored.groupBy("memory_id").agg(F.count(F.lit(1)).alias("_n"))
+    rows = stored.withColumn("_id", _memory_id()).join(known, "evidence_id", "left").join(times, "memory_id", "left")
+    code = (
+        F.when(F.col("_p").isNull(), "missing_source")
+        .when(F.col("_p") != F.col("_q"), "ambiguous_source")
+        .when(~F.col("provenance_sha256").eqNullSafe(F.col("_p")), "provenance_mismatch")
+        .when(~F.col("memory_id").eqNullSafe(F.col("_id")), "id_mismatch")
+        .when(F.col("_n") > 1, "repeated_id")
+    )
+    return rows.select("memory_id", "evidence_id", code.alias("code"))
 
 
 def judge_commands(commands: DataFrame, writers: DataFrame, *, cap: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import hashing, paths
@@ -178,6 +180,14 @@ def lineage_closure(spark, d):
     return A.lineage_closure(edge(3).union(edge(5)).distinct())
 
 
+@query(f"WITH RECURSIVE {LINEAGE}, up AS (SELECT child, parent AS root FROM e UNION SELECT up.child, e.parent FROM up JOIN e ON e.child=up.root) SELECT child AS node, root, false AS is_root FROM up WHERE root NOT IN (SELECT child FROM e) UNION SELECT parent, parent, true FROM e WHERE parent NOT IN (SELECT child FROM e)")
+def lineage_roots(spark, d):
+    """The inputs that each artifact comes from, by pointer doubling."""
+    part = V.read(spark, d, "part")
+    edge = lambda n: part.select(F.col("p_partkey").alias("child"), F.expr(f"p_partkey div {n}").alias("parent")).where("parent > 0")
+    return A.lineage_roots(edge(3).union(edge(5)).distinct())
+
+
 @query("SELECT source AS dataset_id, list_sort(list(doc_id)) AS assets FROM documents GROUP BY 1")
 def asset_manifest(spark, d):
     """Each dataset's assets as a sorted list."""
@@ -210,6 +220,22 @@ def embedded_images(spark, d):
     return A.embedded_images(rows, "images", "vec_id").select("vec_id", F.coalesce("position", F.lit(0)).alias("position"), "kind", "code")
 
 
+@query("""WITH k AS (SELECT vec_id, vec_id%13 AS k FROM embeddings) SELECT vec_id, CASE WHEN k=4 THEN 'image_nesting_limit' WHEN k IN (7,8) THEN 'image_sequence_limit' WHEN k=5 THEN 'external_image_reference_not_allowed' WHEN k IN (6,10) THEN 'missing_embedded_image' WHEN k=9 THEN 'image_size_limit' END AS code,
+CASE WHEN k IN (0,2,3) THEN 1 WHEN k=1 THEN 2 WHEN k=12 THEN 16 ELSE 0 END AS images, CASE WHEN k IN (0,1,2,3,12) THEN 'png' END AS kind FROM k""")
+def nested_images(spark, d):
+    """images nested up to four deep in lists and objects, and the first failure of each row."""
+    k = F.col("vec_id") % 13
+    image = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("vec_id").cast("string").cast("binary"))
+    variant, nest = lambda c: c.cast("variant"), F.to_variant_object
+    held = F.struct(image.alias("bytes"), F.lit("a.png").alias("path"))
+    many = lambda n, c: F.array_repeat(c, n)
+    shapes = [variant(image), nest(many(2, image)), nest(F.array(held)), nest(F.array(F.array(held))), nest(F.array(F.array(F.array(held)))), nest(F.struct(F.lit(None).cast("binary").alias("bytes"), F.lit("a.png").alias("path"))), variant(F.lit(b"")), nest(many(17, image)), nest(many(2, many(9, image))), nest(F.array(image, F.rpad(image, 99, b"x"))), nest(F.array(F.lit("text"))), nest(F.array().cast("array<binary>")), nest(many(2, many(8, held)))]
+    value = reduce(lambda rest, i: rest.when(k == i, shapes[i]), range(1, 13), F.when(k == 0, shapes[0]))
+    rows = V.read(spark, d, "embeddings").select("vec_id", value.alias("images"))
+    found = A.nested_images(rows, "images", "vec_id", most_bytes=64)
+    return found.select("vec_id", "code", F.size("images").alias("images"), F.get("images", 0)["kind"].alias("kind"))
+
+
 @query("SELECT DISTINCT source AS dataset_id FROM documents WHERE source NOT IN (SELECT concat('src', c_nationkey%15) FROM customer)")
 def set_difference(spark, d):
     """Expected names that are absent."""

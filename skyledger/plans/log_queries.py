@@ -277,6 +277,18 @@ def memory_records(spark, d):
     return M.build_records(*candidates(spark, d)).select("candidate_id", "code", F.col("memory_id").rlike("^mem-[0-9a-f]{64}$").alias("has_id"), "provenance_sha256", "expires_at").withColumn("has_id", F.coalesce("has_id", F.lit(False)))
 
 
+@query(f"""WITH {CANDIDATES}, good AS (SELECT candidate_id AS k, o_custkey AS c, o_orderdate AS t0, o_orderdate+to_seconds(ttl) AS x, o_orderpriority AS platform FROM co WHERE code IS NULL), made AS (SELECT *, sha256(concat_ws(chr(0),c,1,concat('m',c),concat('e',k),concat('s',k),concat('h',k))) AS p FROM good),
+body AS (SELECT *, concat_ws(chr(0),concat('scope',c%5),concat('p',c%5),'cropland') AS b1, concat_ws(chr(0),(c%20)/10.0::DOUBLE,0.0::DOUBLE,(c%20)/10.0::DOUBLE+(c%9)/10.0::DOUBLE,1.0::DOUBLE) AS b2, concat_ws(chr(0),t0,t0,platform,'msi',t0,x) AS b3 FROM made),
+stored AS (SELECT k, concat('mem-',sha256(concat_ws(chr(0),b1,'dominant',b2,b3,p))) AS id, CASE WHEN k%7=1 THEN 'changed' ELSE 'dominant' END AS summary, CASE WHEN k%7=2 THEN sha256(p) ELSE p END AS p, p AS source_p, k%11=4 AS lost, b1, b2, b3 FROM body)
+SELECT id AS memory_id, concat('e',k) AS evidence_id, CASE WHEN lost THEN 'missing_source' WHEN p<>source_p THEN 'provenance_mismatch' WHEN id<>concat('mem-',sha256(concat_ws(chr(0),b1,summary,b2,b3,p))) THEN 'id_mismatch' END AS code FROM stored""")
+def memory_integrity(spark, d):
+    """Ids and provenance of stored records computed again, where summaries, provenance and sources were damaged."""
+    rows, policies = candidates(spark, d)
+    k = F.col("candidate_id")
+    stored = M.build_records(rows, policies, stored=True).where("code IS NULL").withColumns({"summary": F.when(k % 7 == 1, "changed").otherwise(F.col("summary")), "provenance_sha256": F.when(k % 7 == 2, F.sha2("provenance_sha256", 256)).otherwise(F.col("provenance_sha256"))})
+    return M.verify_records(stored, rows.where(k % 11 != 4))
+
+
 @query()
 def memory_commands(spark, d):
     """Publications and invalidations in order (no SQL: each verdict depends on those before; a test holds them against a loop)."""

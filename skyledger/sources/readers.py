@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +41,10 @@ def shards(spark: SparkSession, path: str, *, glob: str = "*", max_shards: int |
 
 
 def arrow_column(spark: SparkSession, path: str, column: str, kind: str, *, glob: str = "*.arrow", max_shards: int | None = None) -> DataFrame:
-    """One field of Arrow IPC shards (file or stream framing); a task reads a shard at a time."""
+    """One field of Arrow IPC shards (file or stream framing); a task reads a shard at a time.
+
+    A shard is one value in memory, of at most 2 GB (the limit of ``binaryFile``); larger ones are to be split.
+    """
     guard([column], column)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
     if max_shards is not None:
@@ -51,8 +53,8 @@ def arrow_column(spark: SparkSession, path: str, column: str, kind: str, *, glob
     def read(batches):
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data = io.BytesIO(content.as_py())
-                framed = data.getvalue()[:6] == b"ARROW1"
+                data = content.as_buffer()
+                framed = data.slice(0, 6).to_pybytes() == b"ARROW1"
                 reader = pa.ipc.open_file(data) if framed else pa.ipc.open_stream(data)
                 if column not in reader.schema.names:
                     raise ValueError(f"column_missing: {column} in {name}")

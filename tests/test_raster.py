@@ -227,7 +227,7 @@ def test_meeting_against_all_pairs(spark):
         out = []
         for i in range(n):
             w, h, t = (r.choice([0, 0.01, 0.5, 3, 40, 200]) * r.random() for _ in range(3))
-            x, y, s = r.choice([r.uniform(-180, 170), r.randrange(-5, 5)]), r.uniform(-80, 80), r.choice([0, r.randrange(0, 10**13)])
+            x, y, s = r.choice([r.uniform(-180, 170), float(r.randrange(-5, 5))]), r.uniform(-80, 80), r.choice([0, r.randrange(0, 10**13)])
             out.append((i, x, x + w, y, y + h, s, s + int(t * 1e11), r.randrange(2)))
         return [*out, (n, 0.0, -1.0, 0.0, 1.0, 0, 1, 0), (n + 1, None, 1.0, 0.0, 1.0, 0, 1, 0)], spark.createDataFrame(out + [(n, 0.0, -1.0, 0.0, 1.0, 0, 1, 0), (n + 1, None, 1.0, 0.0, 1.0, 0, 1, 0)], ", ".join(f"{c} {k}" for c, k in zip([f"{kind}{c}" for c in ("id", "x0", "x1", "y0", "y1", "t0", "t1")] + ["p"], ["long", *["double"] * 4, *["long"] * 3], strict=True)))
 
