@@ -101,10 +101,12 @@ INDEX_WORDS, SEGMENTS, VERIFY = 2, 24, 32
 FLIPS = 2
 #: Members of the largest group under its keys that a text meets before it meets all of them.
 MEMBERS = 8
-#: Texts of a group that is large: in the second step it only gets asked; in the last it asks like any other.
+#: Texts of a group that is large: it asks as a whole, and whoever it asks meets all of its texts.
 LARGE = 64
 #: Members of a key that meet as many others at once (70 KB), and blocks of a key that one task meets.
 BLOCK, DEAL = 256, 16
+#: Texts of either side whose shingles meet at once: a few MB, as most texts are.
+MET = 64
 #: Texts to compare by their shingles whose ids may be broadcast: 24 bytes each.
 BROADCAST_ROWS = 1_000_000
 
@@ -180,7 +182,7 @@ def _near(a: pa.Array, b: pa.Array, far: np.ndarray, most: int) -> pa.RecordBatc
 
 
 def _across(table: DataFrame, asks: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """``a, b, distance`` of the pairs of different groups under a key at most ``most`` bits apart.
+    """``a, b, component, distance``: of each text that asks and each other group under a key the nearest pair, if at most ``most`` bits apart.
 
     Both sides have ``key, node, component``.  Under each key they meet in blocks of about ``BLOCK`` members, and
     ``table``'s blocks are dealt by ``DEAL``, each deal to a task of its own; so no row is made for a pair that is far
@@ -214,10 +216,56 @@ def _across(table: DataFrame, asks: DataFrame, classes: DataFrame, most: int) ->
                     far = np.bitwise_count(b_bits[other] ^ a_bits[k]).sum(axis=1, dtype=np.int32)
                     at = np.flatnonzero(far <= most)
                     if len(at):
-                        met = b[other[at]]
-                        yield pa.RecordBatch.from_pydict({"a": np.minimum(met, a[k]), "b": np.maximum(met, a[k]), "distance": far[at]})
+                        # The nearest of each group.
+                        at = at[np.lexsort((far[at], b_group[other[at]]))]
+                        groups, first = np.unique(b_group[other[at]], return_index=True)
+                        yield pa.RecordBatch.from_pydict({"a": np.full(len(first), a[k]), "b": b[other[at[first]]], "component": groups, "distance": far[at[first]]})
 
-    return met.mapInArrow(compare, "a long, b long, distance int").distinct()
+    return met.mapInArrow(compare, "a long, b long, component long, distance int")
+
+
+def _sets(texts: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``node, shingles`` (distinct, sorted) of the texts of ``nodes(node)``."""
+    wanted = written(nodes.distinct().join(classes.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("d")), "node"))
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    texts = texts.join(few, texts.doc_id.eqNullSafe(few.id) & (texts.digest == few.d)).select("node", "text")
+
+    def one(node, text):
+        return node, np.sort(_shingles(text.encode("utf-8", "surrogatepass").lower().split(), words).view(np.int64)).tolist()
+
+    return written(map_rows(texts, lambda: one, "node long, shingles array<long>").dropDuplicates(["node"]))
+
+
+def _any_of_group(asked: DataFrame, members: DataFrame, texts: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Links ``a, b``: of each ``asked(a, component)`` and some text of the group that shares enough of its shingles, if one does.
+
+    ``members`` has ``node, component``.  Both sides meet in blocks, so no row is made for a pair, and no group meets in one task.
+    """
+    members = members.join(asked.select("component").distinct(), "component", "left_semi")
+    sets = _sets(texts, classes, asked.select(F.col("a").alias("node")).unionByName(members.select("node")), words)
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MET))).join(sets, "node")
+        return rows.groupBy("component", "block").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("block")
+
+    met = blocks(asked.select(F.col("a").alias("node"), "component"), "one").join(blocks(members, "two"), "component").select("one", "two")
+
+    def check(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one, two = (batch.column(c)[i].values for c in (0, 1))
+                flat, ends = two.field(1).flatten().to_numpy(), two.field(1).offsets.to_numpy()
+                sizes, starts, nodes = np.diff(ends), ends[:-1] - ends[0], two.field(0).to_numpy()
+                for a, own in zip(one.field(0).to_pylist(), one.field(1), strict=True):
+                    own = own.values.to_numpy()
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.add.reduceat((own[at] == flat).astype(np.int64), starts)
+                    hit = np.flatnonzero((both >= similarity * (sizes + len(own) - both)) & (nodes != a))
+                    if len(hit):
+                        yield pa.RecordBatch.from_pydict({"a": [a], "b": [int(nodes[hit[0]])]})
+
+    return met.mapInArrow(check, "a long, b long")
 
 
 def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -283,8 +331,29 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     asks = asking.join(largest, "key").where("component <> other").select(F.col("node").alias("a"), member.alias("b"), "other")
     some = asks.groupBy("a", "other", F.pmod(F.xxhash64("b"), F.lit(MEMBERS))).agg(F.min("b").alias("b")).select("a", "b").distinct()
     known = joined(compared(some))
-    # At last each text, of a group of any size, meets all under its keys that are in another group.
-    known = joined(_across(of(entries.select("key", "node"), known), of(hits, known), classes, most + doubt))
+    # At last each text meets all under its keys that are in another group.  A large group asks once a key, for all its texts:
+    # whoever it meets there is compared with every one of them.
+    table, before = of(entries.select("key", "node"), known), of(classes.select("node"), known)
+    if known:
+        large = written(known.groupBy("component").count().where(F.col("count") >= LARGE - 1).select("component"))
+        asks = of(hits, known)
+        met = _across(table, asks.join(large, "component", "left_anti"), classes, most + doubt)
+        whole = asks.join(large, "component", "left_semi").select("key", F.col("component").alias("group")).distinct()
+        asked = whole.join(table, "key").where("component <> group").select(F.col("group").alias("key"), "node", "component").distinct()
+        groups = before.join(large, "component", "left_semi").select(F.col("component").alias("key"), "node", "component")
+        met = met.unionByName(_across(groups, asked, classes, most + doubt))
+    else:
+        met = _across(table, of(hits, None), classes, most + doubt)
+    # Of each text and other group the nearest pair is checked first; where it isn't near, the whole group.
+    met = written(met.groupBy("a", "component").agg(F.min(F.struct("distance", "b")).alias("x")).select("a", "x.b", "component", "x.distance"))
+    known = joined(met.select("a", "b", "distance"))
+    doubtful = met.where(F.col("distance") >= most - doubt)
+    if not doubtful.isEmpty():
+        many = before.groupBy("component").count().where("count > 1").select("component")
+        ends = [of(classes.select("node"), known).select(F.col("node").alias(c), F.col("component").alias(f"{c}_now")) for c in ("a", "b")]
+        rest = doubtful.join(many, "component", "left_semi").join(ends[0], "a").join(ends[1], "b").where("a_now <> b_now").select("a", "component")
+        links.append(written(_any_of_group(written(rest), before, texts, classes, words, similarity)))
+        known = written(components(reduce(DataFrame.unionByName, links))).where("node <> component")
 
     linked = of(classes.select("node", "bits", "none", "doc_id", "digest"), known)
     first = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "digest")).alias("first"))
@@ -303,8 +372,10 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
 
     Every text is compared with all others under its keys, or is in one group with them already.  Groups are
     contracted in between: own keys meet the least member of a key, then balls some members of
-    the largest group under a key, and at last all members that are in another group by then, whatever the size of either
-    group.  So a large group of near copies costs comparisons in proportion to its size; only texts of one
+    the largest group under a key, and at last all members that are in another group by then.  There a group of ``LARGE`` texts or more
+    asks as a whole, and whoever has one of its texts' keys meets all of them.  Of a text and a group that it meets only
+    the nearest pair becomes a row; where that one is in doubt and turns out not to be near, the text's shingles are compared
+    with those of the whole group.  So a large group of near copies costs comparisons in proportion to its size; only texts of one
     template that are no near copies of each other meet pairwise, in blocks.  Complete distances decide, but for those within three standard deviations of the limit: there
     the shingles themselves are compared.
 
@@ -315,15 +386,7 @@ def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
 
 def similar(texts: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` of nodes whose texts share enough of their distinct shingles."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("doc_id").alias("id"), F.col("digest").alias("d")), "node")
-    wanted = written(wanted)
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = texts.join(few, texts.doc_id.eqNullSafe(few.id) & (texts.digest == few.d)).select("node", "text")
-
-    def sets(node, text):
-        return node, _shingles(text.encode("utf-8", "surrogatepass").lower().split(), words).view(np.int64).tolist()
-
-    sets_of = written(map_rows(texts, lambda: sets, "node long, shingles array<long>").dropDuplicates(["node"]))
+    sets_of = _sets(texts, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")), words)
     sides = [sets_of.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in ("a", "b")]
     both = F.size(F.array_intersect("a_set", "b_set"))
     rows = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
