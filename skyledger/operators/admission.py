@@ -102,6 +102,35 @@ def physical_usage(files: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("files"), F.count_if(~first).alias("aliases"), F.sum(F.when(first, F.col("blocks") * 512).otherwise(0)).alias("allocated_bytes"))
 
 
+def usage_report(entries: DataFrame, *, root_device: int | None = None) -> DataFrame:
+    """``category, files, aliases, allocated_bytes, symlinks, errors, complete`` of a walk's entries, and a row of all (null category).
+
+    ``entries``: ``path, kind, dev, inode, blocks``; kinds are ``file, symlink, directory, error`` (could not be read) and others.  Links are
+    counted and never followed.  The report is complete if no entry is an error and, with ``root_device``, none lies on another device.
+    """
+    rows = entries.withColumn("category", F.when(F.col("kind") == "file", paths.category(F.col("path"))))
+    first = rows.where("kind = 'file'").groupBy("dev", "inode").agg(F.min("path").alias("_first"))
+    rows = rows.join(first, ["dev", "inode"], "left")
+    file, once = F.col("kind") == "file", (F.col("kind") == "file") & (F.col("path") == F.col("_first"))
+    away = F.lit(False) if root_device is None else F.coalesce(F.col("dev") != root_device, F.lit(True))
+    bad = (F.col("kind") == "error") | away
+    sums = [F.count_if(file).alias("files"), F.count_if(file & ~once).alias("aliases"), F.sum(F.when(once, F.col("blocks") * 512).otherwise(0)).alias("allocated_bytes"), F.count_if(F.col("kind") == "symlink").alias("symlinks"), F.count_if(bad).alias("errors"), (F.count_if(bad) == 0).alias("complete")]
+    by = rows.where("kind = 'file'").groupBy("category").agg(*sums)
+    return by.unionByName(rows.agg(*sums).withColumn("category", F.lit(None).cast("string")))
+
+
+def coverage_maps(outcomes: DataFrame, *maps: str) -> DataFrame:
+    """``map, name, rows`` of a coverage report, ordered by map and name: outcomes, failures and duplicates, which add up to all rows, and each of ``maps``.
+
+    ``outcomes`` has ``kind, outcome`` and the columns of ``maps`` (null: not counted), which say something of admitted files only.
+    """
+    shown = {"failure": "failures", "duplicate": "duplicates", "admitted": "outcomes"}
+    kind = reduce(lambda c, k: c.when(F.col("kind") == k, shown[k]), shown, F.when(F.lit(False), ""))
+    cells = F.array(F.struct(kind.alias("map"), F.col("outcome").alias("name")), *(F.struct(F.lit(m).alias("map"), name.alias("name")) for m, name in (("all", F.lit("rows")), *((m, F.when(F.col("kind") == "admitted", F.col(m))) for m in maps))))
+    rows = outcomes.select(F.explode(cells).alias("c")).select("c.map", "c.name").where("name IS NOT NULL")
+    return rows.groupBy("map", "name").agg(F.count(F.lit(1)).alias("rows")).orderBy("map", "name")
+
+
 def scope_usage(files: DataFrame, reservations: DataFrame) -> DataFrame:
     """Charged bytes under each reserved scope, and the headroom that is left.
 
@@ -249,6 +278,19 @@ def image_sizes(images: DataFrame, key: str, column: str = "content") -> DataFra
     return rows.select(key, "kind", F.coalesce("png.width", "jpeg.width").alias("width"), F.coalesce("png.height", "jpeg.height").alias("height"))
 
 
+def image_channels(images: DataFrame, key: str, column: str = "content") -> DataFrame:
+    """``key, kind, width, height, channels`` from header bytes; channels of a PNG by its colour type (a palette is one)."""
+
+    @F.pandas_udf("struct<width:int,height:int,channels:int>")
+    def walk(contents: pd.Series) -> pd.DataFrame:
+        sizes = [jpeg_size(c) or (None,) * 3 for c in contents]
+        return pd.DataFrame({name: pd.array([s[i] for s in sizes], "Int32") for i, name in enumerate(("width", "height", "channels"))})
+
+    rows = images.select(key, paths.image_kind(F.col(column)).alias("kind"), paths.png_size(F.col(column)).alias("png"), walk(F.when(paths.image_kind(F.col(column)) == "jpeg", F.col(column))).alias("jpeg"))
+    colours = F.create_map(*(F.lit(x) for pair in ((0, 1), (2, 3), (3, 1), (4, 2), (6, 4)) for x in pair))
+    return rows.select(key, "kind", *(F.coalesce(f"png.{c}", f"jpeg.{c}").alias(c) for c in ("width", "height")), F.coalesce(colours[F.col("png.colour")], F.col("jpeg.channels")).alias("channels"))
+
+
 def match_unique(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Left rows with the number of their matches on the right; good if it is exactly one."""
     counts = right.groupBy(key).agg(F.count(F.lit(1)).alias("matches"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,16 +75,27 @@ def select_pairs(requests: DataFrame, scenes: DataFrame) -> DataFrame:
 
 
 def check_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
-    """The first rule that each piece of evidence breaks, or null.
+    """The first rule that each piece of evidence breaks, or null, in this order.
 
-    ``evidence``: ``evidence_id, source_ref, frozen_sha256``, a box ``e_*``, ``e_start, e_end``,
-    ``e_bands``; ``sources``: ``source_ref, sha256``, a box ``s_*``, ``s_start, s_end, s_bands``.
+    ``evidence``: ``evidence_id, source_ref, frozen_sha256``, a box ``e_*``, ``e_start, e_end``, ``e_bands``; where there are such columns,
+    ``e_geometry`` (null: none) and ``e_window``, an array of x, y, width and height in pixels.  ``sources``: ``source_ref, sha256``, a
+    box ``s_*`` (null: not georeferenced), ``s_start, s_end, s_bands``; where there are such columns ``s_kind`` (``pixel_asset``,
+    ``pixel_artifact`` or another, whose bands aren't known; without the column all are assets) and ``s_width, s_height``.
     """
     rows = evidence.join(sources, "source_ref", "left")
+    have = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    window, geometry = have("e_window", "array<long>"), have("e_geometry", "string")
+    width, height = have("s_width", "long"), have("s_height", "long")
+    kind = F.col("s_kind") if "s_kind" in rows.columns else F.lit("pixel_asset")
+    named = F.size(F.coalesce("e_bands", F.array().cast("array<string>"))) > 0
     code = (
         F.when(F.col("sha256").isNull(), "missing_source")
-        .when(F.col("frozen_sha256") != F.col("sha256"), "hash_mismatch")
-        .when(F.col("e_bands").isNotNull() & (F.size(F.array_except("e_bands", F.coalesce("s_bands", F.array().cast("array<string>")))) > 0), "unknown_bands")
+        .when(~F.col("frozen_sha256").eqNullSafe(F.col("sha256")), "hash_mismatch")
+        .when(geometry.isNotNull() & F.col("s_west").isNull(), "source_not_georeferenced")
+        .when(window.isNotNull() & (width.isNull() | height.isNull()), "no_source_dimensions")
+        .when((F.get(window, 0) + F.get(window, 2) > width) | (F.get(window, 1) + F.get(window, 3) > height), "outside_window")
+        .when((kind == "pixel_asset") & named & (F.size(F.array_except("e_bands", F.coalesce("s_bands", F.array().cast("array<string>")))) > 0), "unknown_bands")
+        .when((kind == "pixel_artifact") & named, "unnamed_bands")
         .when(F.col("e_west").isNotNull() & ~F.coalesce(geo.contains(geo.box("s_"), geo.box("e_")), F.lit(False)), "outside_extent")
         .when(F.col("e_start").isNotNull() & F.col("s_start").isNull(), "no_source_time")
         .when((F.col("e_start") < F.col("s_start")) | (F.col("e_end") > F.col("s_end")), "outside_time")
@@ -90,6 +103,28 @@ def check_evidence(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.select("evidence_id", code.alias("code"))
 
 
+#: Fixed values of the 20 m short-wave band of a catalog item.
+SWIR16 = {"key": "swir16", "file": "B11.tif", "side": 20000, "step": 20.0, "type": "uint16", "nodata": 0.0, "scale": 0.0001, "offset": -0.1}
+SWIR_SCHEMA = "id string, assets map<string, struct<href:string, type:string, roles:array<string>, `proj:shape`:array<int>, `proj:transform`:array<double>, `raster:bands`:array<struct<data_type:string, nodata:double, scale:double, offset:double, spatial_resolution:double>>, `eo:bands`:array<struct<name:string, common_name:string>>>>"
+
+
+def swir16_codes(items: DataFrame, *, host: str, column: str = "item", pinned: str = "pinned_sha256") -> DataFrame:
+    """``items`` with the first rule that their short-wave asset breaks: ``snapshot_mismatch, missing_asset, asset_identity, grid, radiometry``.
+
+    ``column`` is the item as JSON text, ``pinned`` the hash of the admitted text; the asset's place is below ``host``.
+    """
+    x = F.from_json(column, SWIR_SCHEMA)
+    rows = items.withColumn("x", x).withColumn("asset", F.col("x.assets")[SWIR16["key"]])
+    a, t = F.col("asset"), F.col("asset.`proj:transform`")
+    band, eo = F.get("asset.`raster:bands`", 0), F.get("asset.`eo:bands`", 0)
+    no = lambda *tests: ~reduce(Column.__and__, (F.coalesce(c, F.lit(False)) for c in tests))
+    identity = [a["href"].startswith(host), a["href"].endswith(F.concat(F.lit("/"), F.col("x.id"), F.lit(f"/{SWIR16['file']}"))), a["type"].startswith("image/tiff"), a["roles"] == F.array(F.lit("data"), F.lit("reflectance"))]
+    grid = [F.size(a["proj:shape"]) == 2, F.forall(a["proj:shape"], lambda n: n.between(1, SWIR16["side"])), F.size(t) >= 6, F.get(t, 0) == SWIR16["step"], F.get(t, 1) == 0, F.get(t, 3) == 0, F.get(t, 4) == -SWIR16["step"], F.forall(F.slice(t, 1, 6), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))]
+    radiometry = [F.size(a["raster:bands"]) == 1, band["data_type"] == SWIR16["type"], *(band[k] == SWIR16[k] for k in ("nodata", "scale", "offset")), band["spatial_resolution"] == SWIR16["step"], F.size(a["eo:bands"]) == 1, eo["name"] == SWIR16["key"], eo["common_name"] == SWIR16["key"]]
+    code = F.when(~F.sha2(column, 256).eqNullSafe(F.col(pinned)), "snapshot_mismatch").when(a.isNull(), "missing_asset").when(no(*identity), "asset_identity").when(no(*grid), "grid").when(no(*radiometry), "radiometry")
+    return rows.withColumn("code", code).drop("x", "asset")
+
+
 STAC_SCHEMA = "type string, collection string, id string, bbox array<double>, properties struct<datetime:string, `eo:cloud_cover`:double, `proj:epsg`:int>, assets map<string, struct<href:string, type:string, roles:array<string>, `proj:shape`:array<int>>>"
 
 

@@ -276,3 +276,25 @@ def manifest_totals(manifest: DataFrame) -> DataFrame:
     return totals.crossJoin(packed)  # one row on either side
 
 
+
+
+#: How many runs of a benchmark have to be there: right ones, those of them that reject, and counterfactuals.
+GROUP_SIZES = {"correct": 4, "rejection": 3, "counterfactual": 1}
+
+
+def group_summary(runs: DataFrame, key: str, *, accepted: str = "valid-pair") -> DataFrame:
+    """``key, status`` and counts of a benchmark's groups of runs.
+
+    ``runs``: ``key, case_id, counterfactual, passed, false_confidence``.  Right runs all pass, and those of another case than ``accepted``
+    reject without false confidence; a counterfactual passes by being found falsely confident.
+    """
+    own, other = ~F.col("counterfactual"), F.col("counterfactual")
+    rejects = own & (F.col("case_id") != accepted)
+    counts = {
+        "correct_total": own, "correct_passed": own & F.col("passed"), "rejection_total": rejects, "rejection_false": rejects & F.coalesce("false_confidence", F.lit(False)),
+        "rejection_sure": rejects & F.coalesce(~F.col("false_confidence"), F.lit(False)), "counterfactual_total": other, "counterfactual_passed": other & F.col("passed") & F.coalesce("false_confidence", F.lit(False)),
+    }
+    rows = runs.groupBy(key).agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in counts.items()))
+    n = GROUP_SIZES
+    good = (F.col("correct_total") == n["correct"]) & (F.col("correct_passed") == F.col("correct_total")) & (F.col("rejection_total") == n["rejection"]) & (F.col("rejection_sure") == F.col("rejection_total")) & (F.col("counterfactual_total") == n["counterfactual"]) & (F.col("counterfactual_passed") == F.col("counterfactual_total"))
+    return rows.withColumn("status", F.when(good, "passed").otherwise("failed")).drop("rejection_sure")

@@ -166,6 +166,38 @@ def action_coverage(accepted: DataFrame, results: DataFrame, keys: list[str]) ->
     return rows.withColumn("code", code)
 
 
+def run_codes(actions: DataFrame, runs: DataFrame, keys: list[str], request: str, status: str) -> DataFrame:
+    """``keys, code`` of each tool action against its runs: ``missing_run, duplicate_run, not_completed, request_mismatch``, or null.
+
+    An action has exactly one run, which is completed and was asked for the same request (as canonical text or hash).
+    """
+    own = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col(status).alias("s"), F.col(request).alias("r"))).alias("_run"))
+    rows = actions.select(*keys, F.col(request).alias("_want")).join(own, keys, "left")
+    code = F.when(F.col("_n").isNull(), "missing_run").when(F.col("_n") > 1, "duplicate_run").when(~F.col("_run.s").eqNullSafe(F.lit("completed")), "not_completed").when(~F.col("_run.r").eqNullSafe(F.col("_want")), "request_mismatch")
+    return rows.select(*keys, code.alias("code"))
+
+
+def pinned(log: DataFrame, pins: DataFrame, key: str, sequence: str, pin: str) -> DataFrame:
+    """``key, code``: whether each episode's first event holds the ``pin`` of ``pins(key, pin)``: ``no_events, not_from_zero, pin_missing, pin_mismatch``, or null."""
+    first = log.groupBy(key).agg(F.min(F.struct(F.col(sequence).alias("n"), F.col(pin).alias("pin"))).alias("_first"))
+    rows = pins.select(key, F.col(pin).alias("_want")).join(first, key, "left")
+    code = F.when(F.col("_first").isNull(), "no_events").when(F.col("_first.n") != 0, "not_from_zero").when(F.col("_first.pin").isNull(), "pin_missing").when(F.col("_first.pin") != F.col("_want"), "pin_mismatch")
+    return rows.select(key, code.alias("code"))
+
+
+def returned_ids(results: DataFrame, key: str, tool: str, name: str, payload: str, order: str) -> DataFrame:
+    """``key, count, ids``: what the results of one tool returned to each episode, in order, from JSON ``payload``.
+
+    A payload counts if it has ``matched_count``; its ``records`` give their ``memory_id``.  Episodes without such a result
+    have no row.
+    """
+    found = F.from_json(payload, "matched_count long, records array<struct<memory_id:string>>")
+    rows = results.where(F.col(tool) == name).select(key, F.col(order).alias("_at"), found.alias("x")).where("x.matched_count IS NOT NULL")
+    ids = rows.select(key, "_at", F.posexplode_outer("x.records").alias("i", "r")).select(key, F.struct("_at", "i", F.col("r.memory_id").alias("id")).alias("e"))
+    inside = F.array_sort(F.collect_list(F.when(F.col("e.id").isNotNull(), F.col("e"))))
+    return ids.groupBy(key).agg(F.transform(inside, lambda e: e["id"]).alias("ids")).select(key, F.size("ids").cast("long").alias("count"), "ids")
+
+
 def unmatched_starts(events: DataFrame, keys: list[str], kind: str, start: str, done: str) -> DataFrame:
     """Starts without a completion of the same key."""
     return events.where(F.col(kind) == start).join(events.where(F.col(kind) == done).select(*keys).distinct(), keys, "left_anti")

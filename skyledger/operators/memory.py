@@ -17,12 +17,19 @@ LAST_OFFSET = 1000
 def snapshot(events: DataFrame, as_of: DataFrame) -> DataFrame:
     """What is published and not withdrawn in each scope as of a sequence, and rule violations.
 
-    ``events``: ``scope_id, sequence, event_type, memory_id``; ``as_of``: ``scope_id, as_of``.
+    ``events``: ``scope_id, sequence, event_type, memory_id`` and, if withdrawals name one, ``replacement_id``; ``as_of``: ``scope_id, as_of``.
     """
     rows = events.join(as_of, "scope_id").where(F.col("sequence") <= F.col("as_of"))
     publish, withdraw = F.col("event_type") == "publish", F.col("event_type") == "invalidate"
     one = rows.groupBy("scope_id", "memory_id").agg(F.count_if(publish).alias("published"), F.min(F.when(publish, F.col("sequence"))).alias("published_at"), F.min(F.when(withdraw, F.col("sequence"))).alias("invalidated_at"))
     code = F.when(F.col("published") == 0, "invalidate_without_publish").when(F.col("published") > 1, "published_twice").when(F.col("invalidated_at") < F.col("published_at"), "invalidate_before_publish")
+    if "replacement_id" in events.columns:
+        # The record that takes the place of a withdrawn one was published before.
+        named = rows.where(withdraw & F.col("replacement_id").isNotNull()).select("scope_id", "memory_id", "replacement_id", F.col("sequence").alias("_at"))
+        known = one.select("scope_id", F.col("memory_id").alias("replacement_id"), F.col("published_at").alias("_there"))
+        lacking = named.join(known, ["scope_id", "replacement_id"], "left").where(F.col("_there").isNull() | (F.col("_there") > F.col("_at"))).select("scope_id", "memory_id").distinct()
+        one = one.join(lacking.withColumn("_lacking", F.lit(True)), ["scope_id", "memory_id"], "left")
+        code = F.coalesce(code, F.when(F.col("_lacking"), "missing_replacement"))
     return one.select("scope_id", "memory_id", "published_at", "invalidated_at", ((F.col("published") > 0) & F.col("invalidated_at").isNull()).alias("active"), code.alias("code"))
 
 

@@ -16,6 +16,7 @@ PATH_CODE = """CASE WHEN path='' OR path IS NULL OR length(path)>4096 THEN 'inva
  WHEN starts_with(path,'/') OR regexp_matches(path,'^[A-Za-z]:') THEN 'external_image_reference_not_allowed' WHEN len(list_intersect(string_split(path,'/'),['','.','..']))>0 THEN 'image_path_not_normalized' END"""
 UNDER = "(starts_with(path,'train/images/') OR starts_with(path,'val/images/'))"
 FILES = "f AS (SELECT concat('train/images/',p_partkey,'.png') AS path, p_size*200 AS width, CAST(p_retailprice AS BIGINT)*3 AS height, CAST(p_retailprice*100000 AS BIGINT) AS bytes FROM part UNION ALL SELECT concat('val/images/',k,'.tif'), 1000, 1000, 1000000 FROM (VALUES (0),(1),(2)) t(k))"
+CATEGORY = """CASE WHEN path LIKE '%.sqlite3-wal' THEN 'sqlite_wal' WHEN path LIKE '%.sqlite3' THEN 'sqlite_main' WHEN path LIKE '%.log' THEN 'logs' WHEN path LIKE '%.pt' THEN 'checkpoints' ELSE 'uncategorized' END"""
 COVER = f"""WITH p AS (SELECT page_id, path, {PATH_CODE} AS c0 FROM v_paths), q AS (SELECT *, coalesce(c0, CASE WHEN NOT {UNDER} THEN 'outside_reviewed_prefix' END) AS failure, row_number() OVER (PARTITION BY path ORDER BY page_id) AS copy FROM p), {FILES},
 o AS (SELECT page_id, q.path, CASE WHEN failure IS NOT NULL THEN failure WHEN copy>1 THEN 'duplicate' WHEN bytes IS NULL THEN 'missing_file' WHEN bytes>134217728 THEN 'oversize' WHEN width*height>20000000 THEN 'window' ELSE 'whole' END AS outcome,
  CASE WHEN failure IS NOT NULL THEN 'failure' WHEN copy>1 THEN 'duplicate' WHEN bytes IS NULL THEN 'failure' ELSE 'admitted' END AS kind FROM q LEFT JOIN f ON q.path=f.path)"""
@@ -46,6 +47,38 @@ def path_coverage(spark, d):
     return A.coverage_report(coverage(spark, d))
 
 
+@query(f"""{COVER}, x AS (SELECT *, CASE WHEN kind<>'admitted' THEN NULL WHEN ends_with(path,'.png') THEN 'PNG' ELSE 'GTiff' END AS driver, CASE WHEN kind<>'admitted' THEN NULL WHEN starts_with(path,'train/') THEN 'image' ELSE 'geotransform' END AS reference FROM o)
+SELECT 'all' AS map, 'rows' AS name, count(*) AS "rows" FROM x UNION ALL SELECT CASE kind WHEN 'failure' THEN 'failures' WHEN 'duplicate' THEN 'duplicates' ELSE 'outcomes' END, outcome, count(*) FROM x GROUP BY 1,2
+UNION ALL SELECT 'driver', driver, count(*) FROM x WHERE driver IS NOT NULL GROUP BY 2 UNION ALL SELECT 'reference', reference, count(*) FROM x WHERE reference IS NOT NULL GROUP BY 2""")
+def coverage_maps(spark, d):
+    """The ordered maps of a coverage report, by outcome, failure, driver and reference."""
+    rows = coverage(spark, d).withColumns({"driver": F.when(F.col("path").endswith(".png"), "PNG").otherwise("GTiff"), "reference": F.when(F.col("path").startswith("train/"), "image").otherwise("geotransform")})
+    return A.coverage_maps(rows, "driver", "reference")
+
+
+@query(f"""WITH e AS (SELECT *, {CATEGORY} AS category, CASE WHEN inode%7=0 THEN 'symlink' WHEN inode%50=1 THEN 'error' WHEN inode%9=0 THEN 'directory' ELSE 'file' END AS entry FROM v_files), w AS (SELECT *, entry='file' AND path=min(path) FILTER (WHERE entry='file') OVER (PARTITION BY inode) AS once FROM e)
+SELECT CASE WHEN g=0 THEN category END AS category, count(*) FILTER (WHERE entry='file') AS files, count(*) FILTER (WHERE entry='file' AND NOT once) AS aliases, sum(CASE WHEN once THEN blocks*512 ELSE 0 END)::BIGINT AS allocated_bytes, count(*) FILTER (WHERE entry='symlink') AS symlinks,
+ count(*) FILTER (WHERE entry='error') AS errors, count(*) FILTER (WHERE entry='error')=0 AS complete FROM w, (VALUES (0),(1)) t(g) WHERE g=1 OR entry='file' GROUP BY CASE WHEN g=0 THEN category END, g""")
+def usage_report(spark, d):
+    """Bytes by category with links counted and not followed, and whether all could be read."""
+    i = F.col("inode")
+    kind = F.when(i % 7 == 0, "symlink").when(i % 50 == 1, "error").when(i % 9 == 0, "directory").otherwise("file")
+    return A.usage_report(V.files(spark, d).withColumn("kind", kind), root_device=1)
+
+
+@query("""SELECT page_id, CASE page_id%3 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' END AS kind, CASE WHEN page_id%3<2 THEN page_id%300+1 END AS width, CASE WHEN page_id%3<2 THEN 7 END AS height, CASE page_id%3 WHEN 0 THEN CASE page_id%5 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 4 END WHEN 1 THEN CASE WHEN page_id%2=0 THEN 1 ELSE 3 END END AS channels FROM pages""")
+def image_channels(spark, d):
+    """sizes and channels of PNG and JPEG headers, with other segments before the frame."""
+    p = F.col("page_id")
+    number = lambda n, digits: F.unhex(F.lpad(F.hex(n), digits, "0"))
+    colour = F.element_at(F.array(*map(F.lit, ("00", "02", "03", "04", "06"))), (p % 5 + 1).cast("int"))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), number(p % 300 + 1, 8), number(F.lit(7), 8), F.unhex(F.lit("08")), F.unhex(colour), F.unhex(F.lit("000000")))
+    before = F.when(p % 4 == 1, "FFE100080102030405FF").when(p % 4 == 2, "FFFFDB00040101FFC4000401AA").otherwise("")
+    jpeg = F.concat(F.unhex(F.lit("FFD8FFE000104A46494600010100000100010000")), F.unhex(before), F.unhex(F.lit("FFC0000B08")), number(F.lit(7), 4), number(p % 300 + 1, 4), F.unhex(F.when(p % 2 == 0, "01").otherwise("03")), F.unhex(F.lit("01110000")))
+    head = F.when(p % 3 == 0, png).when(p % 3 == 1, jpeg).otherwise(F.unhex(F.lit("00010203")))
+    return A.image_channels(V.read(spark, d, "pages").select("page_id", head.alias("content")), "page_id")
+
+
 @query("SELECT asset_id, dataset_id, sha256, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id) AS copy FROM v_assets")
 def first_distinct_assets(spark, d):
     """Copies by content, the first wins."""
@@ -92,9 +125,6 @@ def greedy_byte_cap(spark, d):
     return A.greedy_cap(V.assets(spark, d), "dataset_id", ["doc_id"], "size_bytes", 20_000).select("dataset_id", "asset_id", "size_bytes")
 
 
-CATEGORY = """CASE WHEN path LIKE '%.sqlite3-wal' THEN 'sqlite_wal' WHEN path LIKE '%.sqlite3' THEN 'sqlite_main' WHEN path LIKE '%.log' THEN 'logs' WHEN path LIKE '%.pt' THEN 'checkpoints' ELSE 'uncategorized' END"""
-
-
 @query(f"SELECT path, {CATEGORY} AS category, greatest(size_bytes, blocks*512) AS charge FROM v_files")
 def file_categories(spark, d):
     """category and charge of each file."""

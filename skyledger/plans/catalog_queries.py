@@ -226,3 +226,41 @@ def json_numbers(spark, d):
     """whole floats print as integers."""
     v = hashing.json_number(F.col("value"))
     return V.read(spark, d, "events").select("event_id", F.when(v.contains("."), "fraction").otherwise(v).alias("printed"))
+
+
+@query("""WITH e AS (SELECT c_custkey AS evidence_id, c_custkey AS k, c_custkey%13 AS m, c_custkey%4 AS kind, c_nationkey AS n FROM customer)
+SELECT evidence_id, CASE WHEN k%17=0 THEN 'missing_source' WHEN k%19=0 THEN 'hash_mismatch' WHEN k%5=0 AND kind=3 THEN 'source_not_georeferenced' WHEN m<6 AND kind=2 THEN 'no_source_dimensions' WHEN m<6 AND (m*40+50>200 OR n*5+30>100) THEN 'outside_window'
+ WHEN n>18 AND kind=0 THEN 'unknown_bands' WHEN kind=1 THEN 'unnamed_bands' WHEN kind=3 OR n>20 THEN 'outside_extent' WHEN k%7=0 THEN 'no_source_time' WHEN k%11=0 THEN 'outside_time' END AS code FROM e""")
+def pixel_evidence_checks(spark, d):
+    """Geometry, pixel windows and bands by kind of source, in their order."""
+    t = lambda s: F.lit(s).cast("timestamp_ntz")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    place = lambda x: F.when(k % 4 != 3, x).cast("double")
+    rows = V.read(spark, d, "customer")
+    sources = rows.where(k % 17 != 0).select(
+        k.alias("source_ref"), F.sha2("c_name", 256).alias("sha256"), place(F.lit(0)).alias("s_west"), place(F.lit(0)).alias("s_south"), place(F.lit(20)).alias("s_east"), place(F.lit(20)).alias("s_north"),
+        F.when(k % 7 != 0, t("2024-01-01")).alias("s_start"), F.when(k % 7 != 0, t("2024-12-31")).alias("s_end"), F.when(k % 4 == 0, F.array(F.lit("red"), F.lit("nir"))).alias("s_bands"),
+        F.when(k % 4 == 0, "pixel_asset").when(k % 4 == 1, "pixel_artifact").otherwise("scene").alias("s_kind"), F.when(k % 4 != 2, 200).alias("s_width"), F.when(k % 4 != 2, 100).alias("s_height"),
+    )
+    evidence = rows.select(
+        k.alias("evidence_id"), k.alias("source_ref"), F.when(k % 19 == 0, "other").otherwise(F.sha2("c_name", 256)).alias("frozen_sha256"), F.when(k % 5 == 0, "ring").alias("e_geometry"),
+        F.when(k % 13 < 6, F.array(k % 13 * 40, (n * 5).cast("long"), F.lit(50).cast("long"), F.lit(30).cast("long"))).alias("e_window"), F.when(n > 18, F.array(F.lit("swir"))).otherwise(F.array(F.lit("red"))).alias("e_bands"),
+        F.lit(0.0).alias("e_west"), F.lit(0.0).alias("e_south"), n.cast("double").alias("e_east"), n.cast("double").alias("e_north"), t("2024-02-01").alias("e_start"), F.when(k % 11 == 0, t("2025-02-01")).otherwise(t("2024-03-01")).alias("e_end"),
+    )
+    return K.check_evidence(evidence, sources)
+
+
+@query("""SELECT o_orderkey AS item_id, CASE WHEN o_orderkey%23=0 THEN 'snapshot_mismatch' WHEN o_custkey%11=0 THEN 'missing_asset' WHEN o_custkey%7=0 OR o_orderstatus='P' THEN 'asset_identity' WHEN o_custkey%5=0 OR o_orderkey%13=0 THEN 'grid' WHEN o_orderkey%8=0 OR o_custkey%9=0 THEN 'radiometry' END AS code FROM orders""")
+def swir_admission(spark, d):
+    """Identity, grid and radiometry of the short-wave band of pinned items."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    asset = F.struct(
+        F.concat(F.lit("https://store.example/"), F.when(c % 7 == 0, "other").otherwise(k.cast("string")), F.lit("/B11.tif")).alias("href"), F.when(F.col("o_orderstatus") == "P", "text/html").otherwise("image/tiff; application=geotiff").alias("type"), F.array(F.lit("data"), F.lit("reflectance")).alias("roles"),
+        F.when(c % 5 == 0, F.array(F.lit(100))).otherwise(F.array(F.lit(100), F.lit(200))).alias("proj:shape"), F.array(F.when(k % 13 == 0, 10.0).otherwise(20.0), F.lit(0.0), F.lit(600000.0), F.lit(0.0), F.lit(-20.0), F.lit(5.0e6)).alias("proj:transform"),
+        F.array(F.struct(F.lit("uint16").alias("data_type"), F.lit(0).alias("nodata"), F.when(k % 8 == 0, 0.001).otherwise(0.0001).alias("scale"), F.lit(-0.1).alias("offset"), F.lit(20).alias("spatial_resolution"))).alias("raster:bands"),
+        F.array(F.struct(F.lit("swir16").alias("name"), F.when(c % 9 == 0, "swir22").otherwise("swir16").alias("common_name"))).alias("eo:bands"),
+    )
+    item = F.to_json(F.struct(k.cast("string").alias("id"), F.create_map(F.when(c % 11 == 0, "red").otherwise("swir16"), asset).alias("assets")))
+    items = V.read(spark, d, "orders").select(k.alias("item_id"), item.alias("item"))
+    items = items.withColumn("pinned_sha256", F.when(F.col("item_id") % 23 == 0, "another").otherwise(F.sha2("item", 256)))
+    return K.swir16_codes(items, host="https://store.example/").select("item_id", "code")

@@ -287,3 +287,15 @@ def label_confusion(spark, d):
     from ..operators import confusion as C
 
     return C.confusion(V.read(spark, d, "labels").withColumn("window", F.col("doc_id") % 20), F.col("quality") == 0, F.col("toxic") == 1, ["window"])
+
+
+@query("""WITH r AS (SELECT o_custkey AS benchmark_id, o_orderkey%4 AS c, o_orderkey%5=0 AS counterfactual, o_orderkey%11<>0 AS passed, CASE WHEN o_orderkey%5=0 THEN o_orderkey%3<>0 WHEN o_orderkey%13=0 THEN NULL ELSE o_orderkey%17=0 END AS fc FROM orders),
+g AS (SELECT benchmark_id, count(*) FILTER (WHERE NOT counterfactual) AS correct_total, count(*) FILTER (WHERE NOT counterfactual AND passed) AS correct_passed, count(*) FILTER (WHERE NOT counterfactual AND c<>0) AS rejection_total, count(*) FILTER (WHERE NOT counterfactual AND c<>0 AND fc) AS rejection_false,
+ count(*) FILTER (WHERE NOT counterfactual AND c<>0 AND NOT fc) AS sure, count(*) FILTER (WHERE counterfactual) AS counterfactual_total, count(*) FILTER (WHERE counterfactual AND passed AND fc) AS counterfactual_passed FROM r GROUP BY 1)
+SELECT * EXCLUDE (sure), CASE WHEN correct_total=4 AND correct_passed=4 AND rejection_total=3 AND sure=3 AND counterfactual_total=1 AND counterfactual_passed=1 THEN 'passed' ELSE 'failed' END AS status FROM g""")
+def benchmark_groups(spark, d):
+    """Right runs, rejections and counterfactuals of each benchmark."""
+    k = F.col("o_orderkey")
+    sure = F.when(k % 5 == 0, k % 3 != 0).when(k % 13 != 0, k % 17 == 0)
+    runs = V.read(spark, d, "orders").select(F.col("o_custkey").alias("benchmark_id"), F.when(k % 4 == 0, "valid-pair").otherwise("other").alias("case_id"), (k % 5 == 0).alias("counterfactual"), (k % 11 != 0).alias("passed"), sure.alias("false_confidence"))
+    return E.group_summary(runs, "benchmark_id")

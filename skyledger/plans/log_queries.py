@@ -183,6 +183,39 @@ def size_guard(spark, d):
     return L.size_guard(V.log(spark, d), "episode_id", "props", most_rows=100, most_bytes=1000)
 
 
+@query("""WITH a AS (SELECT event_id AS k, user_id AS episode_id, event_id%9 AS req FROM events WHERE event_type='click'), r AS (SELECT k, CASE WHEN k%11=0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN k%13=0 THEN req+1 ELSE req END AS req FROM a WHERE k%5<>0 UNION ALL SELECT k, 'completed', req FROM a WHERE k%7=0 AND k%5<>0)
+SELECT a.episode_id, a.k AS client_action_id, CASE WHEN g.n IS NULL THEN 'missing_run' WHEN g.n>1 THEN 'duplicate_run' WHEN g.status<>'completed' THEN 'not_completed' WHEN g.req<>a.req THEN 'request_mismatch' END AS code FROM a LEFT JOIN (SELECT k, count(*) AS n, min(status) AS status, min(req) AS req FROM r GROUP BY 1) g ON g.k=a.k""")
+def action_runs(spark, d):
+    """Each tool action has one completed run of the same request."""
+    k = F.col("client_action_id")
+    request = lambda n: F.sha2(hashing.canonical(F.concat(F.lit('{"tool":"x","n":'), n.cast("string"), F.lit("}"))), 256)
+    acts = V.read(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("episode_id"), F.col("event_id").alias("client_action_id"), (F.col("event_id") % 9).alias("n"))
+    once = acts.where(k % 5 != 0).select("episode_id", "client_action_id", F.when(k % 11 == 0, "failed").otherwise("completed").alias("status"), request(F.when(k % 13 == 0, F.col("n") + 1).otherwise(F.col("n"))).alias("request"))
+    again = acts.where((k % 7 == 0) & (k % 5 != 0)).select("episode_id", "client_action_id", F.lit("completed").alias("status"), request(F.col("n")).alias("request"))
+    return L.run_codes(acts.withColumn("request", request(F.col("n"))), once.unionByName(again), ["episode_id", "client_action_id"], "request", "status")
+
+
+@query("""WITH f AS (SELECT episode_id, arg_min(event_type, sequence) AS first FROM v_log WHERE NOT (episode_id%10=3 AND sequence=0) GROUP BY 1) SELECT c_custkey AS episode_id, CASE WHEN f.episode_id IS NULL THEN 'no_events' WHEN c_custkey%10=3 THEN 'not_from_zero' WHEN first='view' THEN 'pin_missing' WHEN first<>'click' THEN 'pin_mismatch' END AS code FROM customer LEFT JOIN f ON f.episode_id=c_custkey""")
+def pinned_traces(spark, d):
+    """The first event of an episode holds the hash of its manifest."""
+    sha = lambda c: F.sha2(c, 256)
+    rows = V.log(spark, d).where("NOT (episode_id % 10 = 3 AND sequence = 0)").withColumn("manifest", F.when(F.col("event_type") != "view", sha(F.col("event_type"))))
+    pins = V.read(spark, d, "customer").select(F.col("c_custkey").alias("episode_id"), sha(F.lit("click")).alias("manifest"))
+    return L.pinned(rows, pins, "episode_id", "sequence", "manifest")
+
+
+@query("""WITH r AS (SELECT episode_id, sequence, concat('mem-',event_id) AS a, concat('mem-',event_id+1) AS b, event_id%4 AS n FROM v_log WHERE event_type='view' AND event_id%5<>0), i AS (SELECT episode_id, sequence, 0 AS p, a AS id FROM r WHERE n>0 UNION ALL SELECT episode_id, sequence, 1, b FROM r WHERE n>1)
+SELECT episode_id, count(id) AS count, coalesce(string_agg(id, ',' ORDER BY sequence, p), '') AS ids FROM (SELECT DISTINCT episode_id FROM r) LEFT JOIN i USING (episode_id) GROUP BY 1""")
+def returned_memories(spark, d):
+    """How many memories a tool returned to each episode, and which."""
+    e = F.col("event_id")
+    one = lambda x: F.concat(F.lit('{"memory_id":"mem-'), x.cast("string"), F.lit('"}'))
+    records = F.when(e % 4 == 0, "").when(e % 4 == 1, one(e)).otherwise(F.concat(one(e), F.lit(","), one(e + 1)))
+    payload = F.when(e % 5 == 0, F.lit('{"error":"x"}')).otherwise(F.concat(F.lit('{"matched_count":9,"records":['), records, F.lit("]}")))
+    found = L.returned_ids(V.log(spark, d).withColumn("payload", payload), "episode_id", "event_type", "view", "payload", "sequence")
+    return found.withColumn("ids", F.array_join("ids", ","))
+
+
 @query("SELECT episode_id, event_type, arg_max(value,sequence) AS last_result, max(sequence) AS last_sequence FROM v_log GROUP BY 1,2")
 def last_results(spark, d):
     """The last result of each tool."""
@@ -227,6 +260,19 @@ def memory_snapshot(spark, d):
     return M.snapshot(rows, rows.select("scope_id").distinct().withColumn("as_of", F.lit(60)))
 
 
+@query("""WITH e AS (SELECT user_id AS scope_id, row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id)-1 AS sequence, event_type IN ('error','signup') AS gone, event_id AS memory_id, CASE WHEN event_id%3=0 THEN lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts,event_id) ELSE event_id+1 END AS other FROM events),
+f AS (SELECT scope_id, sequence, gone, CASE WHEN gone THEN lag(memory_id) OVER (PARTITION BY scope_id ORDER BY sequence) ELSE memory_id END AS memory_id, CASE WHEN gone AND sequence%4>0 THEN other END AS replacement_id FROM e), k AS (SELECT * FROM f WHERE sequence<=60 AND memory_id IS NOT NULL),
+g AS (SELECT scope_id, memory_id, count(*) FILTER (WHERE NOT gone) AS n, min(sequence) FILTER (WHERE NOT gone) AS p, min(sequence) FILTER (WHERE gone) AS w FROM k GROUP BY 1,2), l AS (SELECT DISTINCT k.scope_id, k.memory_id FROM k LEFT JOIN g r ON r.scope_id=k.scope_id AND r.memory_id=k.replacement_id WHERE gone AND replacement_id IS NOT NULL AND (r.p IS NULL OR r.p>k.sequence))
+SELECT scope_id, memory_id, n>0 AND w IS NULL AS active, CASE WHEN n=0 THEN 'invalidate_without_publish' WHEN n>1 THEN 'published_twice' WHEN w<p THEN 'invalidate_before_publish' WHEN l.memory_id IS NOT NULL THEN 'missing_replacement' END AS code FROM g LEFT JOIN l USING (scope_id, memory_id)""")
+def memory_replacements(spark, d):
+    """Withdrawals that name a record which wasn't published by then."""
+    w = W.partitionBy("episode_id").orderBy("sequence")
+    gone, e = F.col("event_type").isin("error", "signup"), F.col("event_id")
+    rows = V.log(spark, d).withColumns({"gone": gone, "own": F.lag(e).over(w), "other": F.when(e % 3 == 0, F.lag(e, 2).over(w)).otherwise(e + 1)})
+    rows = rows.select(F.col("episode_id").alias("scope_id"), "sequence", F.when(F.col("gone"), "invalidate").otherwise("publish").alias("event_type"), F.when(F.col("gone"), F.col("own")).otherwise(e).alias("memory_id"), F.when(F.col("gone") & (F.col("sequence") % 4 > 0), F.col("other")).alias("replacement_id")).where("memory_id IS NOT NULL")
+    return M.snapshot(rows, rows.select("scope_id").distinct().withColumn("as_of", F.lit(60))).select("scope_id", "memory_id", "active", "code")
+
+
 @query(f"""WITH {MEM}, p AS (SELECT *, row_number() OVER (PARTITION BY scope_id, memory_id ORDER BY sequence) AS n FROM e WHERE event_type='publish'), a AS (SELECT *, sum((n=1)::INT) OVER (PARTITION BY scope_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS active FROM p)
 SELECT scope_id, sequence, memory_id, CASE WHEN n>1 THEN 'repeat' WHEN active>30 THEN 'cap_reached' ELSE 'published' END AS verdict FROM a""")
 def memory_publish(spark, d):

@@ -267,3 +267,29 @@ def test_sinks(spark, tmp_path):
     sinks.append_events(events, str(tmp_path / "log"))
     sinks.append_events(events.withColumn("sequence", F.lit(2).cast("long")), str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_report_maps_are_in_order(spark, data):
+    rows = [tuple(r) for r in registry.QUERIES["coverage_maps"](spark, data).collect()]
+    assert rows == sorted(rows) and {m for m, *_ in rows} == {"all", "failures", "duplicates", "outcomes", "driver", "reference"}
+    total = {m: sum(n for k, _, n in rows if k == m) for m, *_ in rows}
+    assert total["all"] == total["failures"] + total["duplicates"] + total["outcomes"] and total["outcomes"] == total["driver"] == total["reference"]
+
+
+def test_published_temporal_groups(spark):
+    """Four of four right, none of three falsely confident, one counterfactual found: passed; else failed."""
+    right = [("valid-pair", False, True, True), ("cloudy", False, True, False), ("date", False, True, False), ("sensor", False, True, False), ("valid-pair", True, True, True)]
+    unsure = [*right[:3], ("sensor", False, True, None), right[4]]
+    rows = [(name, *r) for name, runs in (("a", right), ("b", right[:4]), ("c", unsure), ("d", [*right, right[4]])) for r in runs]
+    found = {r.k: r for r in E.group_summary(spark.createDataFrame(rows, "k string, case_id string, counterfactual boolean, passed boolean, false_confidence boolean"), "k").collect()}
+    assert {k: r.status for k, r in found.items()} == {"a": "passed", "b": "failed", "c": "failed", "d": "failed"}
+    assert (found["a"].correct_passed, found["a"].rejection_false, found["a"].rejection_total, found["a"].counterfactual_passed) == (4, 0, 3, 1)
+
+
+def test_usage_of_links_and_devices(spark):
+    entries = [("a", "file", 1, 1, 8), ("b", "file", 1, 1, 8), ("c.log", "file", 1, 2, 4), ("l", "symlink", 1, 3, 0), ("d", "directory", 1, 4, 8)]
+    frame = lambda rows: spark.createDataFrame(rows, "path string, kind string, dev long, inode long, blocks long")
+    whole = {r.category: r for r in A.usage_report(frame(entries), root_device=1).collect()}
+    assert (whole[None].files, whole[None].aliases, whole[None].allocated_bytes, whole[None].symlinks, whole[None].complete) == (3, 1, 12 * 512, 1, True)
+    for more in (("e", "error", 1, 5, 0), ("f", "file", 2, 6, 1)):
+        assert not {r.category: r for r in A.usage_report(frame([*entries, more]), root_device=1).collect()}[None].complete
