@@ -21,7 +21,7 @@ def in_windows(requests: DataFrame, scenes: DataFrame, start: str, end: str, *,
     asked = requests.withColumns({**area, "_from": ranges.micros(F.col(start)), "_until": ranges.micros(F.col(end))})
     shot = scenes.withColumn("_at", ranges.micros(F.col("acquired")))
     axes = [("west", "east", "_west", "_east"), ("south", "north", "_south", "_north")]
-    return ranges.meeting(shot, asked, [(ranges.DEGREES, axes), (ranges.HOUR, [("_at", "_at", "_from", "_until")])]).drop("_at", "_from", "_until", *area)
+    return ranges.meeting(shot, asked, [(ranges.DEGREES, 2, axes), (ranges.HOUR, 8, [("_at", "_at", "_from", "_until")])]).drop("_at", "_from", "_until", *area)
 
 
 def search(assets: DataFrame, queries: DataFrame, *, page: int = 20) -> DataFrame:

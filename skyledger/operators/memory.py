@@ -203,7 +203,7 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20) ->
     held = records.withColumns({"_start": ranges.micros(F.col("start")), "_end": ranges.micros(F.col("end"))})
     asked = queries.withColumns({"_from": ranges.micros(F.col("q_start")), "_until": ranges.micros(F.col("q_end"))})
     box = [("west", "east", "q_west", "q_east"), ("south", "north", "q_south", "q_north")]
-    met = ranges.meeting(held, asked, [(ranges.DEGREES, box), (ranges.HOUR, [("_start", "_end", "_from", "_until")])], on=("platform", *(["scope_id"] if pinned else [])))
+    met = ranges.meeting(held, asked, [(ranges.DEGREES, 2, box), (ranges.HOUR, 8, [("_start", "_end", "_from", "_until")])], on=("platform", *(["scope_id"] if pinned else [])))
     met = met.where(times.current(F.col("as_of"), F.col("available_at"), F.col("expires_at")))
     for c in ("instrument", "object_type"):
         if f"q_{c}" in queries.columns:

@@ -10,61 +10,64 @@ from pyspark.sql import functions as F
 
 #: Smallest cells: of degrees, and of microseconds (an hour).
 DEGREES, HOUR = 1 / 64, 3_600_000_000
-#: Only every second level is used: a range has two cells at most in any case, and fewer levels are fewer keys.
-STEP = 2
-
-
 def micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
 def _level(extent: Column, unit: float) -> Column:
-    """The level whose cells are no smaller than ``extent``."""
-    return F.when(extent > unit, F.ceil(F.log2(extent / unit) / STEP) * STEP).otherwise(0).cast("int")
+    """The level whose cells are no smaller than ``extent`` (but for rounding, which makes no difference to what is met)."""
+    return F.when(extent > unit, F.ceil(F.log2(extent / unit) - 1e-6)).otherwise(0).cast("int")
 
 
-def meeting(a: DataFrame, b: DataFrame, groups: list[tuple[float, list[tuple[str, str, str, str]]]], *, on: tuple[str, ...] = ()) -> DataFrame:
+def meeting(a: DataFrame, b: DataFrame, groups: list[tuple[float, int, list[tuple[str, str, str, str]]]], *, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` whose closed ranges meet on all axes and whose ``on`` are equal, each once.
 
-    ``groups`` are sets of axes with one scale (x and y; time): the smallest cell, and for each axis the names of ``a``'s
-    lower and upper end and of ``b``'s.  Ranges with a null or reversed end meet nothing.
+    ``groups`` are sets of axes with one scale (x and y; time): the smallest cell, in how many parts the longer of two ranges is cut, and for
+    each axis the names of ``a``'s lower and upper end and of ``b``'s.  Ranges with a null or reversed end meet nothing.
 
-    Every row has a level for each group, with cells no smaller than itself, so two cells at most on an axis.  A pair meets at
-    the coarser of its two levels: each side has a set of keys for each combination of levels that the other side
-    has (a logarithmic number: two small queries find them), and of the cells that both have, the one with the lower
-    corner of what they share counts.  So a long window or a wide box costs as many keys as a short one.
+    Every row has a level for each group: the power of two of cells that its longest range needs.  The pairs of levels that occur (two
+    small queries find them, with the longest ranges of each) have cells of their own, a part of the coarser level's.  For
+    each of them a row of ``a`` has one key, the cell of its lower corner, and a row of ``b`` the few cells where a row that
+    meets it can begin.  So a long window or a wide box costs no more keys than a short one, and no pair is met twice.
+    ``a`` should be the larger table.
     """
     n = range(len(groups))
     names = {"a": [f"_la{g}" for g in n], "b": [f"_lb{g}" for g in n]}
+    flat = [(g, k, axis) for g, (*_, axes) in enumerate(groups) for k, axis in enumerate(axes)]
     ends = {"a": lambda x: x[:2], "b": lambda x: x[2:]}
+    span = lambda side, axis: F.col(ends[side](axis)[1]) - F.col(ends[side](axis)[0])
     rows, found = {}, {}
     for side, frame in (("a", a), ("b", b)):
-        ordered, level = F.lit(True), {}
-        for g, (unit, axes) in enumerate(groups):
-            spans = [F.col(hi) - F.col(lo) for lo, hi in map(ends[side], axes)]
-            ordered = reduce(Column.__and__, (s >= 0 for s in spans), ordered)
-            level[names[side][g]] = _level(F.greatest(*spans) if len(spans) > 1 else spans[0], unit)
-        rows[side] = frame.where(ordered).withColumns(level)
-        found[side] = [tuple(r) for r in rows[side].select(*names[side]).distinct().collect()] or [(0,) * len(groups)]
+        spans = [[span(side, axis) for axis in axes] for *_, axes in groups]
+        ordered = reduce(Column.__and__, (s >= 0 for g in spans for s in g))
+        rows[side] = frame.where(ordered).withColumns({names[side][g]: _level(F.greatest(*spans[g]) if len(spans[g]) > 1 else spans[g][0], groups[g][0]) for g in n})
+        longest = [F.max(span(side, axis)).cast("double") for *_, axis in flat]
+        found[side] = [tuple(r) for r in rows[side].groupBy(*names[side]).agg(*longest).collect()]
+    if not (found["a"] and found["b"]):
+        found = {side: [(0,) * len(groups) + (0.0,) * len(flat)] for side in "ab"}
 
     def size(g: int) -> Column:
-        return F.lit(groups[g][0]) * F.pow(F.lit(2.0), F.greatest(f"_la{g}", f"_lb{g}"))
+        unit, parts, _ = groups[g]
+        return F.lit(float(unit) / parts) * F.pow(F.lit(2.0), F.greatest(f"_la{g}", f"_lb{g}"))
 
     def keyed(side: str, other: str) -> DataFrame:
-        levels = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(combination, names[other], strict=True))) for combination in found[other]))
+        fields = [*names[other], *(f"_longest{i}" for i in range(len(flat)))]
+        levels = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(combination, fields, strict=True))) for combination in found[other]))
         out = rows[side].withColumn("_other", F.explode(levels)).select("*", "_other.*").drop("_other")
-        for g, (_, axes) in enumerate(groups):
-            for k, axis in enumerate(axes):
-                lo, hi = ends[side](axis)
-                out = out.withColumn(f"_cell{g}_{k}", F.explode(F.sequence(F.floor(F.col(lo) / size(g)), F.floor(F.col(hi) / size(g)))))
-        return out
-
-    cells = [f"_cell{g}_{k}" for g in n for k in range(len(groups[g][1]))]
-    met = keyed("a", "b").join(keyed("b", "a"), [*on, *names["a"], *names["b"], *cells])
-    for g, (_, axes) in enumerate(groups):
-        for k, (lo, hi, other_lo, other_hi) in enumerate(axes):
-            met = met.where((F.col(lo) <= F.col(other_hi)) & (F.col(other_lo) <= F.col(hi)) & (F.col(f"_cell{g}_{k}") == F.floor(F.greatest(lo, other_lo) / size(g))))
-    return met.drop(*names["a"], *names["b"], *cells)
+        for i, (g, k, axis) in enumerate(flat):
+            lo, hi = map(F.col, ends[side](axis))
+            cell = F.floor(lo / size(g)) if side == "a" else F.explode(F.sequence(F.floor((lo - F.col(f"_longest{i}")) / size(g)), F.floor(hi / size(g))))
+            out = out.withColumn(f"_cell{g}_{k}", cell)
+        # One number to join by; the key itself is compared behind it (as a difference, so that it isn't joined by).
+        return out.drop(*fields[len(groups) :]).withColumn("_key", F.xxhash64(*names["a"], *names["b"], *cells)).withColumnsRenamed({c: f"{c}_{side}" for c in [*names["a"], *names["b"], *cells]})
+
+    cells = [f"_cell{g}_{k}" for g, k, _ in flat]
+    key = [*names["a"], *names["b"], *cells]
+    met = keyed("a", "b").join(keyed("b", "a"), [*on, "_key"])
+    for _, _, (lo, hi, other_lo, other_hi) in flat:
+        met = met.where((F.col(lo) <= F.col(other_hi)) & (F.col(other_lo) <= F.col(hi)))
+    met = met.where(reduce(Column.__and__, (F.col(f"{c}_a") - F.col(f"{c}_b") == 0 for c in key)))
+    return met.drop("_key", *(f"{c}_{side}" for c in key for side in "ab"))
 
 
 def count_within(points: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:

@@ -7,7 +7,6 @@ lower edge; a last tile may end early where pixels lack.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,7 +49,7 @@ def _zones_on_grids(zones: DataFrame, grids: DataFrame) -> DataFrame:
     along = {f"_z{axis}{k}": pick(F.col(f"ring.{axis}")) for axis in "xy" for k, pick in enumerate((F.array_min, F.array_max))}
     axes = [(f"_z{axis}0", f"_z{axis}1", f"_{axis}0", f"_{axis}1") for axis in "xy"]
     crs = ("crs",) if "crs" in zones.columns and "crs" in grids.columns else ()
-    return meeting(zones.withColumns(along), grids.withColumns(boxes), [(1.0, axes)], on=crs).drop(*along, *boxes)
+    return meeting(zones.withColumns(along), grids.withColumns(boxes), [(1.0, 2, axes)], on=crs).drop(*along, *boxes)
 
 
 def zone_runs(zones: DataFrame, grids: DataFrame) -> DataFrame:
@@ -158,14 +157,14 @@ def resample(tiles: DataFrame, *, src: tuple[float, ...], dst: tuple[float, ...]
                         found.append((raster, tr, tcol, top, left, part.shape[1], part.ravel(), m[cut].ravel()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(6)] + [pa.array([x[6] for x in found], pa.list_(pa.float64())), pa.array([x[7] for x in found], pa.list_(pa.bool_()))], names)
 
-    def together(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        raster, tr, tcol = key
+    def made(tr: int, tcol: int, found: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
         (r0, r1), (c0, c1) = rows_of[tr], columns_of[tcol]
         v, m = np.zeros((r1 - r0 + 1, c1 - c0 + 1)), np.zeros((r1 - r0 + 1, c1 - c0 + 1), bool)
-        for top, left, across, values, mask in zip(*(found[k] for k in names[3:]), strict=True):
-            part = np.asarray(values, float).reshape(-1, across)
+        place = [found.field(k).to_pylist() for k in range(3)]
+        for i, (top, left, across) in enumerate(zip(*place, strict=True)):
+            part = found.field(3)[i].values.to_numpy().reshape(-1, across)
             cut = np.s_[top - r0 : top - r0 + part.shape[0], left - c0 : left - c0 + across]
-            v[cut], m[cut] = part, np.asarray(mask, bool).reshape(-1, across)
+            v[cut], m[cut] = part, found.field(4)[i].values.to_numpy(zero_copy_only=False).reshape(-1, across)
         x = centres(min(size, target_width - tcol * size), tcol * size, ta, tc, a, c)[None, :]
         y = centres(min(size, target_height - tr * size), tr * size, te, tf, e, f)[:, None]
         if method == "nearest":
@@ -188,11 +187,20 @@ def resample(tiles: DataFrame, *, src: tuple[float, ...], dst: tuple[float, ...]
             ok = (x >= 0) & (x <= width) & (y >= 0) & (y <= height) & (weight >= 1 - tolerance)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out = np.where(ok, (total / weight).astype(np.float32).astype(float), np.nan)
-        flat = [None if np.isnan(z) else z for z in out.ravel().tolist()]
-        return pd.DataFrame({"raster_id": [raster], "tile_row": [tr], "tile_col": [tcol], "values": [flat], "mask": [ok.ravel().tolist()]})
+        return out.ravel(), ok.ravel()
+
+    def together(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [made(tr, tcol, batch.column(3)[i].values) for i, (tr, tcol) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2)), strict=True))]
+            ends = pa.array(np.cumsum([0, *(len(ok) for _, ok in rows)]), pa.int32())
+            flat = pa.array(np.concatenate([out for out, _ in rows]), from_pandas=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, flat), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([ok for _, ok in rows])))], ["raster_id", "tile_row", "tile_col", "values", "mask"])
 
     read = tiles.select("raster_id", "tile_row", "tile_col", F.col("values").cast("array<double>"), "mask")
-    return read.mapInArrow(hand, parts).groupBy("raster_id", "tile_row", "tile_col").applyInPandas(together, columns + "values array<double>, mask array<boolean>")
+    found = read.mapInArrow(hand, parts).groupBy("raster_id", "tile_row", "tile_col").agg(F.collect_list(F.struct(*names[3:])).alias("parts"))
+    return found.mapInArrow(together, columns + "values array<double>, mask array<boolean>")
 
 
 # Windows

@@ -232,7 +232,7 @@ def test_meeting_against_all_pairs(spark):
         return [*out, (n, 0.0, -1.0, 0.0, 1.0, 0, 1, 0), (n + 1, None, 1.0, 0.0, 1.0, 0, 1, 0)], spark.createDataFrame(out + [(n, 0.0, -1.0, 0.0, 1.0, 0, 1, 0), (n + 1, None, 1.0, 0.0, 1.0, 0, 1, 0)], ", ".join(f"{c} {k}" for c, k in zip([f"{kind}{c}" for c in ("id", "x0", "x1", "y0", "y1", "t0", "t1")] + ["p"], ["long", *["double"] * 4, *["long"] * 3], strict=True)))
 
     (rows_a, a), (rows_b, b) = side(150, "a"), side(160, "b")
-    met = ranges.meeting(a, b, [(ranges.DEGREES, [("ax0", "ax1", "bx0", "bx1"), ("ay0", "ay1", "by0", "by1")]), (ranges.HOUR, [("at0", "at1", "bt0", "bt1")])], on=("p",))
+    met = ranges.meeting(a, b, [(ranges.DEGREES, 2, [("ax0", "ax1", "bx0", "bx1"), ("ay0", "ay1", "by0", "by1")]), (ranges.HOUR, 8, [("at0", "at1", "bt0", "bt1")])], on=("p",))
     ok = lambda v: v[1] is not None and v[1] <= v[2]
     want = sorted((u[0], v[0]) for u in rows_a for v in rows_b if ok(u) and ok(v) and u[7] == v[7] and all(u[k] <= v[k + 1] and v[k] <= u[k + 1] for k in (1, 3, 5)))
     assert sorted((x.aid, x.bid) for x in met.select("aid", "bid").collect()) == want and len(want) > 50
