@@ -29,7 +29,10 @@ def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with format-preserving pseudonyms and counts of replaced values."""
+    """Documents with format-preserving pseudonyms and counts of replaced values.
+
+    Without ``spark.skyledger.pseudonyms.secret`` the key is drawn for the session, so pseudonyms differ from run to run.
+    """
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
