@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_only, map_rows, written
+from .common import docs_only, drop_written, map_rows, scratch, written
 from .components import components, labels
 
 SEED = 42
@@ -277,10 +277,15 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most, doubt = round(64 * VERIFY * share), round(3 * (64 * VERIFY * share * (1 - share)) ** 0.5)
     texts = docs_only(docs, "doc_id", "text").withColumn("digest", F.xxhash64("text"))
-    seen = written(map_rows(texts, lambda: lambda doc_id, text, digest: (doc_id, digest, *wide(text, words)), "doc_id long, digest long, keys array<long>, flips array<int>, bits binary"))
+    path = scratch(docs.sparkSession)
+    seen = written(map_rows(texts, lambda: lambda doc_id, text, digest: (doc_id, digest, *wide(text, words)), "doc_id long, digest long, keys array<long>, flips array<int>, bits binary"), path)
     whole = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "keys", "flips")
     classes = seen.groupBy("bits").agg(F.min(whole).alias("x"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "bits", "x.*"))
+    # Behind this the rows need no more than 128 bits to find their class.
+    short = [F.xxhash64("bits").alias("h1"), F.xxhash64("bits", F.lit(1)).alias("h2")]
+    seen = written(seen.select("doc_id", "digest", *short))
+    drop_written(docs.sparkSession, path)
     entries = classes.select("node", F.explode(F.arrays_zip("keys", "flips")).alias("e")).select("node", "e.keys", "e.flips").withColumnRenamed("keys", "key")
 
     def compared(met: DataFrame) -> DataFrame:
@@ -355,10 +360,10 @@ def _rows(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         links.append(written(_any_of_group(written(rest), before, texts, classes, words, similarity)))
         known = written(components(reduce(DataFrame.unionByName, links))).where("node <> component")
 
-    linked = of(classes.select("node", "bits", "none", "doc_id", "digest"), known)
+    linked = of(classes.select("node", *short, "none", "doc_id", "digest"), known)
     first = linked.groupBy("component").agg(F.min(F.struct("none", "doc_id", "digest")).alias("first"))
-    rows = seen.groupBy("bits", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
-    return rows.join(linked.select("bits", "component"), "bits").join(first, "component").select("doc_id", "digest", "copies", "first")
+    rows = seen.groupBy("h1", "h2", "doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    return rows.join(linked.select("h1", "h2", "component"), ["h1", "h2"]).join(first, "component").select("doc_id", "digest", "copies", "first")
 
 
 def near_copies(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
