@@ -198,8 +198,10 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20) ->
     snapshot_sequence`` a record counts only if it was published, and not yet invalidated, at that sequence
     of its scope (records then have ``scope_id, published_at, invalidated_at``).  With ``offset`` a page of
     ``limit`` starts there, and rows have ``next_offset``: null at the end, and past ``LAST_OFFSET``.
+    Equal queries are searched once.
     """
     pinned, paged = "snapshot_sequence" in queries.columns, "offset" in queries.columns
+    queries, members = ranges.alike(queries, "query_id")
     held = records.withColumns({"_start": ranges.micros(F.col("start")), "_end": ranges.micros(F.col("end"))})
     asked = queries.withColumns({"_from": ranges.micros(F.col("q_start")), "_until": ranges.micros(F.col("q_end"))})
     box = [("west", "east", "q_west", "q_east"), ("south", "north", "q_south", "q_north")]
@@ -215,10 +217,11 @@ def memory_search(records: DataFrame, queries: DataFrame, *, limit: int = 20) ->
     met = met.withColumns({"position": F.row_number().over(w.orderBy("memory_id")).cast("long"), "matched_count": F.count(F.lit(1)).over(w)})
     shown = ["query_id", "memory_id", "position", "matched_count"]
     if not paged:
-        return met.where(F.col("position") <= limit).select(*shown)
+        return ranges.shared(met.where(F.col("position") <= limit).select(*shown), members, "query_id").select(*shown)
     after = F.col("offset") + limit
     following = F.when((after < F.col("matched_count")) & (after <= LAST_OFFSET), after)
-    return met.where((F.col("position") > F.col("offset")) & (F.col("position") <= after)).select(*shown, following.alias("next_offset"))
+    met = met.where((F.col("position") > F.col("offset")) & (F.col("position") <= after)).select(*shown, following.alias("next_offset"))
+    return ranges.shared(met, members, "query_id").select(*shown, "next_offset")
 
 
 def scan_costs(records: DataFrame, queries: DataFrame) -> DataFrame:
