@@ -8,7 +8,7 @@ from skyledger.operators import ranges
 from skyledger.plans import registry
 
 JOINED = [
-    "memory_pages", "memory_search", "memory_search_as_of",
+    "memory_pages", "memory_search", "memory_search_as_of", "pair_reasons",
 ]
 
 
