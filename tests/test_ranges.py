@@ -8,7 +8,7 @@ from skyledger.operators import ranges
 from skyledger.plans import registry
 
 JOINED = [
-    "memory_pages", "memory_search", "memory_search_as_of", "pair_reasons", "run_summary", "aligned_pairs", "best_pairs", "catalog_search", "temporal_answers",
+    "memory_pages", "memory_search", "memory_search_as_of", "pair_reasons", "run_summary", "aligned_pairs", "best_pairs", "catalog_search", "temporal_answers", "temporal_scores",
 ]
 
 
