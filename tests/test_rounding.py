@@ -14,7 +14,7 @@ def halves(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["path_coverage", "coverage_maps"])
+@pytest.mark.parametrize("name", ["path_outcomes", "path_coverage", "coverage_maps"])
 def test_sizes_of_halves(spark, halves, name):
     duck = duckdb.connect()
     for table in ("part", "pages"):
