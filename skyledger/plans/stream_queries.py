@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import folder
-from ..streaming.actions import action_verdicts, dedup_actions, episode_state, ingest_actions
+from ..streaming.actions import dedup_actions, episode_state, ingest_actions, record_verdicts
 from .registry import query
 
 
@@ -35,7 +35,9 @@ v AS (SELECT r.*, CASE WHEN request<>first THEN 'conflict' ELSE 'same' END AS c
 def action_conflicts(spark, d):
     """An action that comes again with another request is a conflict."""
     rows = _events(spark, d).select(F.col("user_id").alias("episode_id"), F.expr("event_id div 3").alias("client_action_id"), F.col("event_type").alias("request"), F.col("ts").alias("created_at"))
-    verdicts = _drain(spark, action_verdicts(rows, delay="1000 days"))
+    out = folder(spark)
+    record_verdicts(rows, f"{out}/verdicts", f"{out}/checkpoint", horizon="1000 days").awaitTermination()
+    verdicts = spark.read.parquet(f"{out}/verdicts")
     count = lambda v: F.count_if(F.col("verdict") == v)
     return verdicts.groupBy("episode_id", "client_action_id").agg(count("new").alias("new"), count("repeat").alias("repeats"), count("conflict").alias("conflicts"))
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,7 +22,8 @@ def action_verdicts(stream: DataFrame, *, delay: str = "1 hour", keys: tuple[str
     """``keys, created_at, verdict``: ``new``, ``repeat`` or, with another ``content`` than the first, ``conflict``.
 
     The state of an action is a hash of its first content, dropped as the watermark leaves it behind.
-    :func:`ingest_actions` sends ``conflict`` rows to a table of their own.
+    :func:`ingest_actions` sends ``conflict`` rows to a table of their own.  Python is called for each action of a batch, so millions
+    of them are for :func:`record_verdicts`.
     """
     kept = pd.Timedelta(delay).total_seconds() * 1000
 
@@ -81,6 +83,29 @@ def ingest_actions(stream: DataFrame, accepted: str, conflicts: str, checkpoint:
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def record_verdicts(stream: DataFrame, verdicts: str, checkpoint: str, *, keys: tuple[str, ...] = ("episode_id", "client_action_id"), content: str = "request", at: str = "created_at", horizon: str = "1 day", trigger: dict | None = None):
+    """One stream to a table of the verdicts of :func:`action_verdicts`, a row each, without a Python call for each action.
+
+    The first of an action is found as in :func:`ingest_actions`, from its micro-batch or from the ``new`` rows of batches before, and
+    each batch replaces the folder of its own number.  The table belongs to one checkpoint.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        rows = batch.select(*keys, F.col(at).cast("timestamp").alias(at), F.xxhash64(content).alias("content"))
+        known = F.lit(None).cast("long")
+        if number:
+            since = rows.agg(F.min(at)).first()[0]
+            before = batch.sparkSession.read.parquet(verdicts).where((F.col("batch") < number) & (F.col("verdict") == "new") & (F.col(at) >= F.lit(since) - F.expr(f"INTERVAL {horizon}")))
+            rows = rows.join(before.groupBy(*keys).agg(F.min_by("content", at).alias("_known")), list(keys), "left")
+            known = F.col("_known")
+        w = W.partitionBy(*keys).orderBy(at, "content")
+        rows = rows.withColumns({"_first": F.coalesce(known, F.first("content").over(w)), "_new": known.isNull() & (F.row_number().over(w) == 1)})
+        verdict = F.when(F.col("_new"), "new").when(F.col("content") == F.col("_first"), "repeat").otherwise("conflict")
+        rows.select(*keys, at, "content", verdict.alias("verdict")).write.mode("overwrite").parquet(f"{verdicts}/batch={number}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 STATE = "episode_id long, events long, tool_calls long, finished boolean, open_since timestamp, status string, version long"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
