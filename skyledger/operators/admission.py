@@ -302,9 +302,15 @@ def _steps(edges: DataFrame) -> DataFrame:
     return edges.select("child", F.col("parent").alias("ancestor")).where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
 
 
-def _joined(one: DataFrame, two: DataFrame, depth: Column | None = None) -> DataFrame:
-    """Steps of ``one`` and then of ``two``."""
+#: Known pairs for each task of a round; a round makes several times as many.
+PAIRS = 250_000
+
+
+def _joined(one: DataFrame, two: DataFrame, depth: Column | None = None, parts: int | None = None) -> DataFrame:
+    """Steps of ``one`` and then of ``two``, by ``parts`` tasks: tasks merged by the size of what they read would make too many rows each."""
     on = two.select(F.col("child").alias("step"), F.col("ancestor").alias("next"), *(["depth"] if depth is not None else []))
+    if parts:
+        one, on = one.repartition(parts, "ancestor"), on.repartition(parts, "step").hint("merge")
     return one.join(on, F.col("ancestor") == F.col("step")).select("child", F.col("next").alias("ancestor"), *([depth.alias("depth")] if depth is not None else []))
 
 
@@ -319,12 +325,13 @@ def lineage_closure(edges: DataFrame) -> DataFrame:
     known, far = written(jumps.withColumn("depth", F.lit(1).cast("long"))), 1
     count = known.count()
     while True:
-        more = _joined(jumps, known, F.col("depth") + far).unionByName(jumps.withColumn("depth", F.lit(far).cast("long")))
+        parts = 1 + count // PAIRS
+        more = _joined(jumps, known, F.col("depth") + far, parts).unionByName(jumps.withColumn("depth", F.lit(far).cast("long")))
         known = written(known.unionByName(more).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         before, count = count, known.count()
         if far > 1 and count == before:
             return known
-        jumps, far = written(_joined(jumps, jumps).distinct()), 2 * far
+        jumps, far = written(_joined(jumps, jumps, parts=parts).distinct()), 2 * far
 
 
 def lineage_roots(edges: DataFrame) -> DataFrame:
