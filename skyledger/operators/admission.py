@@ -27,8 +27,10 @@ def path_coverage(found: DataFrame, files: DataFrame, prefixes: list[str]) -> Da
     rows = rows.withColumn("failure", F.coalesce("failure", F.when(~paths.under(F.col("path"), prefixes), F.lit("outside_reviewed_prefix"))))
     # Broken paths, which are often the same one, don't meet: only good ones are looked up.
     first = rows.where("failure IS NULL").groupBy("path").agg(F.min("page_id").alias("first")).join(files, "path", "left")
-    rows = rows.withColumn("path_key", F.when(F.col("failure").isNull(), F.col("path"))).join(first.withColumnRenamed("path", "path_key"), "path_key", "left")
-    rows = rows.withColumn("copy", F.when(F.col("page_id") > F.col("first"), 2).otherwise(1))
+    # Of rows that share the id as well, one is the first.
+    again = F.row_number().over(W.partitionBy("path_key", "page_id").orderBy("page_id")) > 1
+    rows = rows.withColumn("path_key", F.when(F.col("failure").isNull(), F.col("path"))).withColumn("again", again).join(first.withColumnRenamed("path", "path_key"), "path_key", "left")
+    rows = rows.withColumn("copy", F.when((F.col("page_id") > F.col("first")) | F.col("again"), 2).otherwise(1))
     size = F.when(F.col("bytes").isNull(), "missing_file").when(F.col("bytes") > 128 << 20, "oversize").when(F.col("width") * F.col("height") > 20_000_000, "window").otherwise("whole")
     outcome = F.when(F.col("failure").isNotNull(), F.col("failure")).when(F.col("copy") > 1, "duplicate").otherwise(size)
     kind = F.when(F.col("failure").isNotNull(), "failure").when(F.col("copy") > 1, "duplicate").when(F.col("bytes").isNull(), "failure").otherwise("admitted")
