@@ -14,7 +14,7 @@ def repeated(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["path_coverage"])
+@pytest.mark.parametrize("name", ["path_coverage", "path_outcomes"])
 def test_repeated_pages(spark, repeated, name):
     duck = duckdb.connect()
     for table in ("part", "pages"):
