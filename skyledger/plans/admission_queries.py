@@ -30,8 +30,8 @@ def path_checks(spark, d):
 
 def coverage(spark, d):
     """Outcomes of page paths against files made of parts."""
-    # DuckDB's cast rounds halves to even numbers, as rint does.
-    part = V.read(spark, d, "part").select(F.concat(F.lit("train/images/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), (F.col("p_size") * 200).alias("width"), (F.rint("p_retailprice").cast("long") * 3).alias("height"), F.rint(F.col("p_retailprice") * 100000).cast("long").alias("bytes"))
+    # DuckDB's cast rounds halves to even numbers, as rint does; its concat leaves nulls out, as concat_ws does.
+    part = V.read(spark, d, "part").select(F.concat_ws("", F.lit("train/images/"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("path"), (F.col("p_size") * 200).alias("width"), (F.rint("p_retailprice").cast("long") * 3).alias("height"), F.rint(F.col("p_retailprice") * 100000).cast("long").alias("bytes"))
     val = spark.range(3).select(F.concat(F.lit("val/images/"), F.col("id").cast("string"), F.lit(".tif")).alias("path"), F.lit(1000).alias("width"), F.lit(1000).cast("long").alias("height"), F.lit(1_000_000).cast("long").alias("bytes"))
     return A.path_coverage(V.paths(spark, d), part.unionByName(val), ["train/images", "val/images"])
 
